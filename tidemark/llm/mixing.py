@@ -30,9 +30,10 @@ def word_count(text: Column) -> Column:
 
 
 def _cells(sized: DataFrame) -> DataFrame:
-    """With _class (two for each doubling of the words) and _cell; both follow from the row alone."""
-    bits = F.bin("_size")
-    size_class = (F.length(bits) * 2 + F.substring(bits, 2, 1).eqNullSafe("1").cast("int")).cast("int")
+    """With _class (four for each doubling of the words) and _cell; both follow from the row alone."""
+    bits = F.concat(F.bin("_size"), F.lit("00"))
+    digit = lambda i: (F.substring(bits, i, 1) == "1").cast("int")
+    size_class = (F.length(bits) * 4 + digit(2) * 2 + digit(3)).cast("int")
     return sized.withColumn("_class", size_class).withColumn("_cell", F.coalesce(F.pmod("_id", F.lit(CELLS)), F.lit(-1)).cast("int"))
 
 

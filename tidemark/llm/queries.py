@@ -43,7 +43,7 @@ v AS (SELECT *, (total - coalesce(sum(full_) OVER (ORDER BY full_ / weight, sour
 t AS (SELECT source, source_size, least(full_, max(level) OVER () * weight) AS target FROM v),
 c AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate,
   ('0x' || substr(md5(coalesce('s' || d.source, 'n') || ':1'), 1, 4))::BIGINT / 65536.0::DOUBLE AS u,
-  row_number() OVER (PARTITION BY d.source ORDER BY length(bin(size)) * 2 + (substr(bin(size), 2, 1) = '1')::INT, coalesce(((doc_id % 61) + 61) % 61, -1), size, doc_id) AS i
+  row_number() OVER (PARTITION BY d.source ORDER BY length(bin(size)) * 4 + (substr(bin(size) || '00', 2, 1) = '1')::INT * 2 + (substr(bin(size) || '00', 3, 1) = '1')::INT, coalesce(((doc_id % 61) + 61) % 61, -1), size, doc_id) AS i
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, ((floor(i::DOUBLE * rate + u) - floor((i - 1)::DOUBLE * rate + u))::BIGINT * size)::BIGINT AS taken FROM c
 """
