@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, token_files
+from . import decontam, mixing, near_dup, quality, token_files
 from .store import keep, new_path
 
 
@@ -55,10 +55,20 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
+    "op9_decontamination": op9_decontamination,
+    "op10_near_dup": op10_near_dup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL}

@@ -112,7 +112,7 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> Iterator[np.ndarray]:
                 yield np.unique(codes[cut[k] : cut[k + 1]])
             elif n:
                 own = words[part.first[k] : part.first[k + 1]]
-                yield mix(np.array([np.sum(own * _SHIFT_CODES[:n], dtype=_U) + _SHIFT_CODES[32 + n]], _U))
+                yield mix(np.array([np.sum(own * _SHIFT_CODES[:n], dtype=_U) ^ _SHIFT_CODES[32 + n]], _U))
             else:
                 yield np.zeros(0, _U)
 
