@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, near_dup, quality, token_files
+from . import decontam, language, lattice, mixing, near_dup, quality, token_files
 from .store import keep, new_path
 
 
@@ -55,6 +55,17 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = language.held_out(F.col("doc_id"))
+    network = language.train(language.sample(docs.where(~held)))
+    return language.identify(docs, network).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.scored(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -67,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
+    "op5_language": op5_language,
+    "op6_lattice": op6_lattice,
     "op9_decontamination": op9_decontamination,
     "op10_near_dup": op10_near_dup,
 }
