@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, lattice, mixing, near_dup, quality, token_files
+from . import decontam, html_text, language, lattice, mixing, near_dup, quality, token_files, urls
 from .store import keep, new_path
 
 
@@ -66,6 +66,14 @@ def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.scored(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -80,8 +88,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_language": op5_language,
     "op6_lattice": op6_lattice,
+    "op7_html": op7_html,
+    "op8_urls": op8_urls,
     "op9_decontamination": op9_decontamination,
     "op10_near_dup": op10_near_dup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op8_urls": urls.sql()}
