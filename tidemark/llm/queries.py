@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, language, lattice, mixing, near_dup, quality, token_files, urls
+from . import decontam, html_text, language, lattice, mixing, near_dup, quality, secrets, token_files, urls
 from .store import keep, new_path
 
 
@@ -27,6 +27,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(spark, path)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = keep(mixing.prepared(table(spark, sf_dir, "documents")), "sizes")
     mixed = mixing.with_copies(sized, sized)
@@ -84,6 +88,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_secrets": op2_secrets,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
     "op5_language": op5_language,
