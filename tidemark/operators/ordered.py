@@ -6,6 +6,8 @@ read from copies of the rows next to the edge.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,15 +29,16 @@ def framed(df: DataFrame, make, before: int, after: int, t: str = "t", size: int
     return made.where("_own").drop("_block", "_own")
 
 
-def running_sum(df: DataFrame, value: str, name: str, t: str = "t", by: str | None = None, size: int = BLOCK) -> DataFrame:
-    """The sum of ``value`` over all rows up to this one, of each ``by``."""
+def running_sums(df: DataFrame, values: Mapping[str, str], t: str = "t", by: str | None = None, size: int = BLOCK) -> DataFrame:
+    """For each column its sum over all rows up to this one, of each ``by``, under the name given."""
     keys = [by] if by else []
     block = F.floor(F.col(t) / size)
-    sums = df.groupBy(*keys, block.alias("_b")).agg(F.sum(value).alias("_s"))
+    blocks = df.groupBy(*keys, block.alias("_b")).agg(*[F.sum(c).alias(f"_s_{c}") for c in values])
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(earlier), F.lit(0))).drop("_s")
-    own = F.sum(value).over(Window.partitionBy(*keys, "_b").orderBy(t).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn("_b", block).withColumn("_own", own).join(sums, [*keys, "_b"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_b", "_own", "_before")
+    blocks = blocks.select(*keys, "_b", *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in values])
+    frame = Window.partitionBy(*keys, "_b").orderBy(t).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = df.withColumn("_b", block).select("*", *[F.sum(c).over(frame).alias(f"_own_{c}") for c in values])
+    return own.join(blocks, [*keys, "_b"]).select(*df.columns, *[(F.col(f"_before_{c}") + F.col(f"_own_{c}")).alias(name) for c, name in values.items()])
 
 
 def forward_fill(df: DataFrame, value: str, name: str, t: str = "t", size: int = BLOCK) -> DataFrame:
