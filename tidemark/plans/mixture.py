@@ -1 +1,163 @@
-"""To come."""
+"""Mixture components with fixed moments: the classes of the points."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import gaussian as G
+from ..operators import mixture as M
+from ..operators import prepare as P
+from .registry import query
+from .tables import CHUNK, POINTS_SQL, points, r6, read, stream
+
+COMP_SQL = f"""{POINTS_SQL}, mo AS (SELECT label, count(*) AS n, avg(x) AS m1, avg(y) AS m2, covar_samp(x, x) AS s11, covar_samp(x, y) AS s12, covar_samp(y, y) AS s22 FROM points GROUP BY 1),
+comp AS (SELECT *, s11 * s22 - s12 * s12 AS det, ln(s11 * s22 - s12 * s12) AS log_det, ln(n / sum(n) OVER ()) AS log_weight FROM mo WHERE n >= 3),
+sc AS (SELECT t, x, y, p.label, c.label AS component, (s22 * (x - m1) * (x - m1) - 2 * s12 * (x - m1) * (y - m2) + s11 * (y - m2) * (y - m2)) / det AS maha, log_det, log_weight FROM points p, comp c)"""
+BEST_SQL = f"{COMP_SQL}, best AS (SELECT * FROM (SELECT *, maha + log_det - log_weight AS score, row_number() OVER (PARTITION BY t ORDER BY maha + log_det - log_weight, component) AS r FROM sc) WHERE r = 1)"
+
+
+def comps(spark, sf_dir):
+    return M.components(points(spark, sf_dir))
+
+
+@query(f"WITH {COMP_SQL} SELECT label, n, round(m1, 6) + 0.0::DOUBLE AS m1, round(m2, 6) + 0.0::DOUBLE AS m2, round(s11, 6) AS s11, round(s12, 6) + 0.0::DOUBLE AS s12, round(s22, 6) AS s22, round(log_det, 6) AS log_det FROM comp")
+def mean_cov(spark, sf_dir):
+    return M.moments(points(spark, sf_dir)).select("label", "n", *[r6(F.col(c)).alias(c) for c in ("m1", "m2", "s11", "s12", "s22", "log_det")])
+
+
+def _own(spark, sf_dir, value):
+    """A score of each point by its own class's component."""
+    rows = M.with_components(points(spark, sf_dir), comps(spark, sf_dir))
+    own = F.filter("_c", lambda c: c["key"] == F.col("label"))[0]
+    return rows.select("t", own.alias("c"), "x", "y").select("t", r6(value(F.col("x"), F.col("y"), F.col("c"))).alias("value"))
+
+
+@query(f"WITH {COMP_SQL} SELECT t, round(-(maha + log_det + 2 * ln(2 * pi())) / 2, 6) + 0.0::DOUBLE AS value FROM sc WHERE label = component")
+def gauss_logpdf(spark, sf_dir):
+    return _own(spark, sf_dir, G.log_density)
+
+
+@query(f"WITH {COMP_SQL} SELECT t, round(maha, 6) + 0.0::DOUBLE AS value FROM sc WHERE label = component")
+def mahalanobis(spark, sf_dir):
+    return _own(spark, sf_dir, G.mahalanobis)
+
+
+@query(f"WITH {BEST_SQL} SELECT t, component, round(score, 6) + 0.0::DOUBLE AS score FROM best")
+def gmm_assign(spark, sf_dir):
+    return M.assign(points(spark, sf_dir), comps(spark, sf_dir)).select("t", "component", r6(F.col("score")).alias("score"))
+
+
+@query(f"WITH {BEST_SQL} SELECT component, round(max(score) + (max(score) - min(score)) / 100, 6) + 0.0::DOUBLE AS relax, round(quantile_cont(score, 0.9), 6) + 0.0::DOUBLE AS strict FROM best GROUP BY 1")
+def component_thres(spark, sf_dir):
+    found = M.thresholds(M.assign(points(spark, sf_dir), comps(spark, sf_dir)), many=True)
+    return found.select("component", r6(F.col("relax")).alias("relax"), r6(F.col("strict")).alias("strict"))
+
+
+@query(f"WITH {BEST_SQL}, th AS (SELECT component AS c, quantile_cont(score, 0.95) AS th FROM best GROUP BY 1) SELECT t, component FROM best JOIN th ON component = c WHERE score > th")
+def uncertain_rows(spark, sf_dir):
+    assigned = M.assign(points(spark, sf_dir), comps(spark, sf_dir))
+    limits = M.thresholds(assigned, many=False)
+    return assigned.join(limits, "component").where("score > relax").select("t", "component")
+
+
+@query(
+    "WITH c AS (SELECT o_orderstatus AS label, count(*) AS n FROM orders GROUP BY 1), k AS (SELECT sum(n) // count(*) * CASE WHEN count(*) >= 5 THEN 0.75 ELSE 0.5 END AS share FROM c) SELECT label, n, n >= least(100, share) AS keep FROM c, k"
+)
+def component_prune(spark, sf_dir):
+    return M.prune(read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("label")))
+
+
+@query(f"WITH {BEST_SQL} SELECT component, list(t ORDER BY t) AS idx FROM best GROUP BY 1")
+def component_idx(spark, sf_dir):
+    assigned = M.assign(points(spark, sf_dir), comps(spark, sf_dir))
+    return assigned.groupBy("component").agg(F.array_sort(F.collect_list("t")).alias("idx"))
+
+
+@query(f"WITH {COMP_SQL} SELECT t, component, round(exp(z) / sum(exp(z)) OVER (PARTITION BY t), 6) AS p FROM (SELECT t, component, log_weight - (maha + log_det + 2 * ln(2 * pi())) / 2 AS z FROM sc)")
+def softmax(spark, sf_dir):
+    """Each point's posterior of each component."""
+    rows = M.with_components(points(spark, sf_dir), comps(spark, sf_dir))
+    p = M.softmax(F.transform("_c", lambda c: c["log_weight"] + G.log_density(F.col("x"), F.col("y"), c)))
+    both = F.arrays_zip(F.col("_c.key").alias("component"), p.alias("p"))
+    return rows.select("t", F.inline(both)).select("t", "component", r6(F.col("p")).alias("p"))
+
+
+@query(
+    f"WITH m AS (SELECT key, t FROM (SELECT event_id AS t FROM events) JOIN (SELECT event_id // 300 AS key, event_id AS t FROM events WHERE event_id < 600 UNION ALL SELECT 7, event_id FROM events WHERE event_id BETWEEN 450 AND 700) USING (t)), j AS (SELECT coalesce(key::VARCHAR, 'none') AS key FROM events LEFT JOIN m ON event_id = t WHERE event_id < 2 * {CHUNK}) SELECT key, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM j GROUP BY 1"
+)
+def gaussian_pct(spark, sf_dir):
+    """The first chunks' shares in three sets of rows, of which two overlap."""
+    rows = stream(spark, sf_dir)
+    t = F.col("t")
+    sets = rows.where(t < 600).select(F.floor(t / 300).alias("key"), "t").union(rows.where(t.between(450, 700)).select(F.lit(7).cast("long"), "t"))
+    return M.shares(rows.where(t < 2 * CHUNK).select("t"), sets).select("key", r6(F.col("share")).alias("share"))
+
+
+HALVES_SQL = f"""{POINTS_SQL}, mo AS (SELECT label + CASE WHEN t % 2 = 0 THEN 0 ELSE 10 END AS label, count(*) AS n, avg(x) AS m1, avg(y) AS m2, covar_samp(x, x) AS s11, covar_samp(x, y) AS s12, covar_samp(y, y) AS s22 FROM points WHERE label < 5 GROUP BY 1),
+sc AS (SELECT t, c.label AS component, (s22 * (x - m1) * (x - m1) - 2 * s12 * (x - m1) * (y - m2) + s11 * (y - m2) * (y - m2)) / (s11 * s22 - s12 * s12) + ln(s11 * s22 - s12 * s12) AS score FROM points p, mo c WHERE n >= 3),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score, component) AS r FROM sc) WHERE r = 1)"""
+
+
+def _halves(spark, sf_dir):
+    rows = points(spark, sf_dir)
+    old, new = rows.where("label < 5 and t % 2 = 0"), rows.where("label < 5 and t % 2 = 1")
+    return rows, M.components(old).unionByName(M.components(new.withColumn("label", F.col("label") + 10)))
+
+
+@query(f"WITH {HALVES_SQL} SELECT label AS component, n FROM mo WHERE n >= 3")
+def component_union(spark, sf_dir):
+    """Components of both halves, the later ones' labels moved past the first ones'."""
+    return _halves(spark, sf_dir)[1].select(F.col("label").alias("component"), "n")
+
+
+@query(f"WITH {HALVES_SQL}, th AS (SELECT component AS c, quantile_cont(score, 0.99) AS th FROM best GROUP BY 1) SELECT component, count(*) AS n, count(*) FILTER (WHERE score > th) AS uncertain, round(count(*) / (SELECT count(*) FILTER (WHERE score <= th) FROM best JOIN th ON component = c), 6) AS weight FROM best JOIN th ON component = c GROUP BY 1")
+def gmm_merge(spark, sf_dir):
+    """All rows assigned to the union of two mixtures, without weights."""
+    rows, both = _halves(spark, sf_dir)
+    assigned = M.assign(rows, both, weighted=False)
+    limits = assigned.groupBy("component").agg(F.percentile("score", F.lit(0.99)).alias("limit"))
+    counts = assigned.join(limits, "component").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("score") > F.col("limit")).cast("long")).alias("uncertain"))
+    return P.with_stats(counts, F.sum(F.col("n") - F.col("uncertain")).alias("sure")).select("component", "n", "uncertain", r6(F.col("n") / F.col("sure")).alias("weight"))
+
+
+@query("SELECT event_type AS label, count(*) AS n FROM events GROUP BY 1")
+def label_freq(spark, sf_dir):
+    return stream(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT event_type AS label FROM events")
+def distinct_labels(spark, sf_dir):
+    return stream(spark, sf_dir).select("label").distinct()
+
+
+@query(f"SELECT chunk_id, label FROM (SELECT event_id // {CHUNK} AS chunk_id, event_type AS label, row_number() OVER (PARTITION BY event_id // {CHUNK} ORDER BY count(*) DESC, event_type) AS r FROM events GROUP BY 1, 2) WHERE r = 1")
+def majority_label(spark, sf_dir):
+    counts = stream(spark, sf_dir).groupBy(F.floor(F.col("t") / CHUNK).alias("chunk_id"), "label").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("chunk_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("best"))
+    return best.select("chunk_id", F.col("best")["label"].alias("label"))
+
+
+@query(
+    f"""WITH {POINTS_SQL}, f AS (SELECT label, count(*) AS n, count(*) FILTER (WHERE x > 0) AS chosen FROM points GROUP BY 1), g AS (SELECT label, chosen / sum(chosen) OVER () AS of_selection, chosen / n AS of_component, count(*) FILTER (WHERE chosen > 0) OVER () AS k FROM f WHERE chosen > 0)
+SELECT label, round(of_selection, 6) AS of_selection, round(of_component, 6) AS of_component, of_selection > 1 / k / 2 AND of_component > 0.5 AS picked FROM g"""
+)
+def analysis_component(spark, sf_dir):
+    """Of a selection (x above 0): which components it mostly is, and mostly takes."""
+    counts = points(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("x") > 0).cast("long")).alias("chosen")).where("chosen > 0")
+    wide = P.with_stats(counts, F.sum("chosen").alias("all"), F.count(F.lit(1)).alias("k"))
+    a, b = F.col("chosen") / F.col("all"), F.col("chosen") / F.col("n")
+    return wide.select("label", r6(a).alias("of_selection"), r6(b).alias("of_component"), ((a > 1 / F.col("k") / 2) & (b > 0.5)).alias("picked"))
+
+
+@query(f"WITH {COMP_SQL}, e AS (SELECT label, 0.5 * log_det + 1 + ln(2 * pi()) AS e FROM comp) SELECT label, round((max(e) OVER () - 0.5 * e) / max(e) OVER () * 0.8, 6) + 0.0::DOUBLE AS alpha FROM e")
+def label_alpha(spark, sf_dir):
+    """How much the distances within a component shrink, by its entropy."""
+    entropy = comps(spark, sf_dir).select("label", (F.col("log_det") / 2 + 1 + F.log(2 * F.pi())).alias("e"))
+    return P.with_stats(entropy, F.max("e").alias("top")).select("label", r6((F.col("top") - 0.5 * F.col("e")) / F.col("top") * 0.8).alias("alpha"))
+
+
+@query(f"WITH {POINTS_SQL}, p AS (SELECT label, count(*) / sum(count(*)) OVER () AS p FROM points GROUP BY 1) SELECT round(sum(-p * log2(p)) + 1e-4, 6) AS entropy FROM p")
+def label_entropy(spark, sf_dir):
+    counts = P.with_stats(points(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n")), F.sum("n").alias("all"))
+    p = F.col("n") / F.col("all")
+    return counts.agg(r6(F.sum(-p * F.log2(p)) + 1e-4).alias("entropy"))
