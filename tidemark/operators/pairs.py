@@ -29,7 +29,7 @@ def all_distances(left: DataFrame, right: DataFrame, n_blocks: int = 4) -> DataF
         d = distance_block(np.stack(a["v"]), np.stack(b["v"]))
         return pd.DataFrame({"i": np.repeat(a["i"].to_numpy(), len(b)), "j": np.tile(b["j"].to_numpy(), len(a)), "d": d.ravel()})
 
-    return _in_blocks(left, right, n_blocks, "i", "j").applyInPandas(run, "i long, j long, d double")
+    return dealt(left, right, n_blocks, "i", "j").applyInPandas(run, "i long, j long, d double")
 
 
 def distance_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -41,9 +41,11 @@ def distance_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _in_blocks(left: DataFrame, right: DataFrame, n_blocks: int, i: str, j: str):
+def dealt(left: DataFrame, right: DataFrame, n_blocks: int, i: str, j: str):
+    """Both sides by pairs of blocks, to be met by a function of two frames."""
     blocks = F.sequence(F.lit(0), F.lit(n_blocks - 1))
     a = left.withColumn("_a", F.pmod(F.hash(i), F.lit(n_blocks))).withColumn("_b", F.explode(blocks))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own, if both come from one table
     b = right.withColumn("_b", F.pmod(F.hash(j), F.lit(n_blocks))).withColumn("_a", F.explode(blocks))
     return a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b"))
 
@@ -66,7 +68,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, n_blocks: int = 4, itself
         out = pd.DataFrame({"i": np.repeat(ids, best.shape[1]), "j": js[best.ravel()], "d": np.take_along_axis(d, best, 1).ravel()})
         return out[np.isfinite(out["d"])]
 
-    best = _in_blocks(left, right, n_blocks, "i", "j").applyInPandas(run, "i long, j long, d double")
+    best = dealt(left, right, n_blocks, "i", "j").applyInPandas(run, "i long, j long, d double")
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
 
 

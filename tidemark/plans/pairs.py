@@ -1 +1,121 @@
-"""To come."""
+"""Distances and neighbours of the vectors."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import pairs as J
+from .registry import query
+from .tables import points, r6, vectors
+
+DIST_SQL = """v AS (SELECT vec_id AS t, embedding::DOUBLE[] AS v, label FROM embeddings),
+dist AS (SELECT a.t AS i, b.t AS j, a.label AS li, b.label AS lj, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS d FROM v a, v b)"""
+#: Neighbours in the graph, and how much distances within a class shrink.
+K, ALPHA = 15, 0.8
+
+
+def sides(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    return rows.select(F.col("t").alias("i"), "v"), rows.select(F.col("t").alias("j"), "v")
+
+
+def ranked(d: str = "d", extra: str = "", k: int = K) -> str:
+    return f"SELECT * FROM (SELECT i, j, {d} AS d, row_number() OVER (PARTITION BY i ORDER BY {d}, j) AS r FROM dist {extra}) WHERE r <= {k}"
+
+
+@query(f"WITH {DIST_SQL} SELECT i, j, round(d, 6) AS d FROM dist")
+def pairwise_dist(spark, sf_dir):
+    """The matrix of all distances, which is as large as its square."""
+    return J.all_distances(*sides(spark, sf_dir)).select("i", "j", r6(F.col("d")).alias("d"))
+
+
+def block_sums(spark, sf_dir):
+    """(li, lj, s, n): sums of distances between classes, both orders and the diagonal included; no pair leaves its task."""
+    rows = vectors(spark, sf_dir)
+    a, b = rows.select(F.col("t").alias("i"), "v", F.col("label").cast("int").alias("li")), rows.select(F.col("t").alias("j"), "v", F.col("label").cast("int").alias("lj"))
+
+    def run(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for li, left in x.groupby("li"):
+            for lj, right in y.groupby("lj"):
+                out.append((li, lj, J.distance_block(np.stack(left["v"]), np.stack(right["v"])).sum(), len(left) * len(right)))
+        return pd.DataFrame(out, columns=["li", "lj", "s", "n"])
+
+    parts = J.dealt(a, b, 4, "i", "j").applyInPandas(run, "li int, lj int, s double, n long")
+    return parts.groupBy("li", "lj").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+@query(f"WITH {DIST_SQL} SELECT li, lj, round(sum(d), 4) AS total FROM dist GROUP BY 1, 2")
+def energy_block(spark, sf_dir):
+    return block_sums(spark, sf_dir).select("li", "lj", F.round("s", 4).alias("total"))
+
+
+@query(f"WITH {DIST_SQL}, m AS (SELECT li, lj, avg(d) AS m FROM dist GROUP BY 1, 2) SELECT a.li, a.lj, round(1 - (b.m + c.m) / (2 * a.m), 6) + 0.0::DOUBLE AS energy FROM m a JOIN m b ON b.li = a.li AND b.lj = a.li JOIN m c ON c.li = a.lj AND c.lj = a.lj WHERE a.li < a.lj")
+def energy_distance(spark, sf_dir):
+    """Between the classes of vectors."""
+    means = block_sums(spark, sf_dir).select("li", "lj", (F.col("s") / F.col("n")).alias("m"))
+    own = means.where("li = lj").select(F.col("li").alias("k"), F.col("m").alias("own"))
+    b, c = own.toDF("kb", "b"), own.toDF("kc", "c")
+    across = means.where("li < lj").join(b, F.col("li") == F.col("kb")).join(c, F.col("lj") == F.col("kc"))
+    return across.select("li", "lj", r6(J.energy(F.col("m"), F.col("b"), F.col("c"))).alias("energy"))
+
+
+@query(f"WITH {DIST_SQL} SELECT i, j, round(d, 6) AS d FROM ({ranked(extra='WHERE i <> j', k=5)})")
+def knn_plain(spark, sf_dir):
+    return J.nearest(*sides(spark, sf_dir), 5, itself=False).select("i", "j", r6(F.col("d")).alias("d"))
+
+
+@query(f"WITH {DIST_SQL} SELECT i, j, round(CASE WHEN li = lj THEN d * {ALPHA} ELSE d END, 6) AS d FROM ({ranked(extra='WHERE i <> j')}) JOIN (SELECT i, j, li, lj FROM dist) USING (i, j)")
+def knn_graph(spark, sf_dir):
+    """Each vector's neighbours; within a class the distances shrink."""
+    near = J.nearest(*sides(spark, sf_dir), K, itself=False)
+    labels = vectors(spark, sf_dir).select("t", "label")
+    both = near.join(labels.toDF("i", "li"), "i").join(labels.toDF("j", "lj"), "j")
+    return both.select("i", "j", r6(F.when(F.col("li") == F.col("lj"), F.col("d") * ALPHA).otherwise(F.col("d"))).alias("d"))
+
+
+@query(f"WITH {DIST_SQL} SELECT i, j, round(d, 6) AS d FROM ({ranked(extra='WHERE j % 10 = 3 AND i <> j', k=5)})")
+def knn_anchor(spark, sf_dir):
+    """Each vector's nearest anchors, a tenth of the rows."""
+    a, b = sides(spark, sf_dir)
+    return J.nearest(a, b.where("j % 10 = 3"), 5, itself=False).select("i", "j", r6(F.col("d")).alias("d"))
+
+
+@query(f"WITH {DIST_SQL} SELECT i AS t, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM ({ranked(extra='WHERE i >= 400 AND j < 400', k=1)}) JOIN embeddings ON j = vec_id")
+def nn1_init(spark, sf_dir):
+    """New rows start where their nearest old row lies."""
+    a, b = sides(spark, sf_dir)
+    near = J.nearest(a.where("i >= 400"), b.where("j < 400"), 1)
+    return near.join(points(spark, sf_dir).select(F.col("t").alias("j"), "x", "y"), "j").select(F.col("i").alias("t"), "x", "y")
+
+
+@query(f"WITH {DIST_SQL}, k AS ({ranked(extra='WHERE i <> j', k=5)}) SELECT j, count(*) AS n, list(i ORDER BY i) AS pointing FROM k GROUP BY 1")
+def reverse_adj(spark, sf_dir):
+    """Who has each vector among the five nearest."""
+    near = J.nearest(*sides(spark, sf_dir), 5, itself=False)
+    return near.groupBy("j").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("i")).alias("pointing"))
+
+
+@query(f"WITH {DIST_SQL}, k AS ({ranked(extra='WHERE i <> j', k=5)}), lo AS (SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY abs(a.label - b.label), j) AS r FROM dist d JOIN v a ON d.i = a.t JOIN v b ON d.j = b.t WHERE i <> j) WHERE r <= 5) SELECT i, (count(lo.j) / 5.0::DOUBLE) AS recall FROM k LEFT JOIN lo USING (i, j) GROUP BY 1")
+def knn_recall(spark, sf_dir):
+    """How many of the five nearest another search, by class alone, finds."""
+    near = J.nearest(*sides(spark, sf_dir), 5, itself=False).select("i", "j")
+    classes = vectors(spark, sf_dir).select("t", "label")
+    # By class and then id, the five best of a class are among its six first ids.
+    firsts = classes.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("t"))).where("r <= 6").select(F.col("t").alias("j"), "label")
+    guess = classes.select(F.col("t").alias("i"), "label").join(firsts, "label").where("i != j")
+    guess = guess.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("j"))).where("r <= 5").select("i", "j", F.lit(1).alias("hit"))
+    return near.join(guess, ["i", "j"], "left").groupBy("i").agg((F.count("hit") / 5.0).alias("recall"))
+
+
+@query(f"WITH {DIST_SQL}, k AS ({ranked(extra='WHERE j % 10 = 0', k=1)}) SELECT j, max(size) AS size, round(coalesce(sum(-p * log2(p)), 0), 6) + 0.0::DOUBLE AS entropy FROM (SELECT j, n / sum(n) OVER (PARTITION BY j) AS p, n FROM (SELECT j, label, count(*) AS n FROM k JOIN v ON k.i = v.t GROUP BY 1, 2)) x JOIN (SELECT j, count(*) AS size FROM k GROUP BY 1) USING (j) GROUP BY j")
+def hier_assign(spark, sf_dir):
+    """Vectors gathered under their nearest tenth row: how many, and how mixed their classes are."""
+    a, b = sides(spark, sf_dir)
+    near = J.nearest(a, b.where("j % 10 = 0"), 1).join(vectors(spark, sf_dir).select(F.col("t").alias("i"), "label"), "i")
+    counts = near.groupBy("j", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.sum("n").over(Window.partitionBy("j")))
+    p = F.col("n") / F.col("size")
+    return counts.groupBy("j").agg(F.max("size").alias("size"), r6(F.sum(-p * F.log2(p))).alias("entropy"))
