@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +35,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def of_worker(key: Hashable, make: Callable):
+    """What ``make`` gives, made once in this worker's process and kept for its later tasks."""
+    kept = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -14,6 +14,7 @@ and offset indexes are written, so that a range of ``doc_id`` reads only the pag
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -22,68 +23,148 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import partitions
+from .scan import Slice, slices
+from .store import of_worker, partitions
 
-#: Entries of a worker's memo of words; beyond that it starts anew.
-MEMO_WORDS = 200_000
-#: Longer words are encoded each time.
+#: Words of a worker's table, of some 60 bytes each; beyond that it starts anew.
+MEMO_WORDS = 1_000_000
+#: Longer words are encoded one by one.
 MEMO_BYTES = 64
 
 
+class HashTable:
+    """Numbers of 64-bit keys in order of their insertion, looked up many at once; open addressing in arrays."""
+
+    def __init__(self, most: int):
+        self.bits = (2 * most - 1).bit_length()
+        self.keys, self.numbers, self.size = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """-1 where there is none."""
+        place = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.numbers[place]
+        rest = np.flatnonzero((self.keys[place] != keys) & (out >= 0))
+        out[(self.keys[place] != keys) & (out >= 0)] = -1
+        while len(rest):
+            place[rest] = (place[rest] + 1) & ((1 << self.bits) - 1)
+            number, same = self.numbers[place[rest]], self.keys[place[rest]] == keys[rest]
+            out[rest[same]] = number[same]
+            rest = rest[~same & (number >= 0)]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Distinct keys that are not in it."""
+        place, rest = (keys >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(keys))
+        while len(rest):
+            free = self.numbers[place[rest]] < 0
+            at, first = np.unique(place[rest[free]], return_index=True)
+            won = rest[free][first]
+            self.keys[at], self.numbers[at] = keys[won], self.size + won
+            rest = np.setdiff1d(rest, won, assume_unique=True)
+            place[rest] = (place[rest] + 1) & ((1 << self.bits) - 1)
+        self.size += len(keys)
+
+
 class WordMemo:
     """Encodes whole texts by their words.
 
     The tokenizer must not let a token cross white space and must drop it, which is checked on a probe;
-    then a text's ids are its words' ids one after another, and a word is encoded once per worker.
+    then a text's ids are its words' ids one after another. Words are looked up by 64-bit hashes in a
+    table, and only those that aren't known yet are encoded, many by one call, with a mark between
+    them that is one id of its own. Where the tokenizer ignores the case of A-Z, so does the table. A
+    tokenizer of another kind encodes text by text.
     """
 
-    def __init__(self, tokenizer_file: str):
+    MARK = "\x01"
+
+    def __init__(self, tokenizer_file: str, most: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.memo: dict[bytes, bytes] = {}
-        probe = "A b'c  don't\n\té1 2x <|x|>  . ,\x0b\x0c\r end"
-        whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        self.by_words = self._encode_words(probe.encode()) == np.array(whole, "<u4").tobytes()
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def encode(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return self._encode_words(text) if self.by_words else self._ids([text])[0]
-
-    def _encode_words(self, text: bytes) -> bytes:
-        words = text.split()
-        memo = self.memo
-        missing = list(set(words) - memo.keys())
-        if missing:
-            if len(memo) + len(missing) > MEMO_WORDS:
-                memo.clear()
-                missing = list(set(words))
-            found = self._ids(missing)
-            once = dict(zip(missing, found, strict=True))
-            memo.update((w, x) for w, x in once.items() if len(w) <= MEMO_BYTES)
-            if len(memo) > MEMO_WORDS or any(len(w) > MEMO_BYTES for w in missing):
-                return b"".join([memo[w] if w in memo else once[w] for w in words])
-        return b"".join(map(memo.__getitem__, words))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer, self.most = Tokenizer.from_file(tokenizer_file), most
+        #: Special tokens are found in the text as it is written.
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._clear()
+        mark = self._plain(self.MARK.encode())
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+        probe = [b"A b'c  don't\n\t\xc3\xa91 2x <|x|>  . ,\x0b\x0c\r end", b"", b" x,y "]
+        upper = "ABCDEFGHIJKLM NOP'QRSTUVWXYZ E\u0301A\u030a X1Y".encode()
+        self.folds = np.array_equal(self._plain(upper), self._plain(upper.lower()))
+        values, counts = self.by_words(probe)
+        whole = [self._plain(x) for x in probe]
+        self.whole_texts = self.mark is None or not np.array_equal(values, np.concatenate(whole)) or counts.tolist() != [len(x) for x in whole]
+
+    def _clear(self) -> None:
+        self.table = HashTable(self.most)
+        self.starts, self.lengths, self.ids = (np.zeros(0, t) for t in (np.int64, np.int32, np.uint32))
+
+    def _plain(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+
+    def _words(self, words: list[bytes]) -> list[np.ndarray]:
+        """Each word's ids."""
+        mark, out = self.MARK.encode(), [None] * len(words)
+        plain = [k for k, w in enumerate(words) if mark not in w and len(w) <= MEMO_BYTES]
+        groups = [plain[i : i + 64] for i in range(0, len(plain), 64)]
+        joined = [(b" " + mark + b" ").join([words[k] for k in g]).decode() for g in groups]
+        for g, found in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            cuts = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            for k, a, b in zip(g, cuts[:-1], cuts[1:], strict=True):
+                out[k] = ids[a + 1 : b]
+        return [self._plain(w) if x is None else x for w, x in zip(words, out, strict=True)]
+
+    def by_words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if self.folds and not any(x in t for t in texts for x in self.special):
+            texts = [x.lower() for x in texts]
+        part = Slice(texts)
+        hashes = part.word_hashes()
+        number = self.table.find(hashes)
+        new, first = np.unique(hashes[number < 0], return_index=True)
+        if self.table.size + len(new) > self.most:
+            self._clear()
+            number[:] = -1
+            new, first = np.unique(hashes, return_index=True)
+            if len(new) > self.most:
+                self.most = len(new)
+                self._clear()
+        if len(new):
+            raw, at = part.buf.tobytes(), np.flatnonzero(number < 0)[first]
+            found = self._words([raw[a:b] for a, b in zip(part.starts[at].tolist(), part.ends[at].tolist(), strict=True)])
+            self.table.add(new)
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])
+            self.ids = np.concatenate([self.ids, *found])
+            number = self.table.find(hashes)
+        lengths = self.lengths[number].astype(np.int64)
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[number] - (ends - lengths), lengths)
+        at += np.arange(len(at))
+        return self.ids[at], np.diff(np.concatenate([[0], ends])[part.first])
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts end to end, and how many each has."""
+        if not self.whole_texts:
+            return self.by_words(texts)
+        found = [self._plain(x) for x in texts]
+        return np.concatenate(found), np.array(list(map(len, found)), np.int64)
 
 
 def _encoder(tokenizer_file: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordMemo(tokenizer_file)
-        end = np.array([end_id], "<u4").tobytes()
+        memo = of_worker(("words", tokenizer_file), lambda: WordMemo(tokenizer_file))
         for batch in batches:
-            texts = batch.column("text").cast(pa.large_binary())
-            for start in range(0, len(texts), 256):  # some documents at a time: bounded memory
-                part = batch.slice(start, 256)
-                ids = [memo.encode(x.as_py() or b"") + end for x in texts.slice(start, 256)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
-                values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-                counts = pa.array(np.diff(offsets), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), counts, lists], ["row", "doc_id", "n_tokens", "ids"])
+            for start in range(0, batch.num_rows, 512):  # some documents at a time: bounded memory
+                part = batch.slice(start, 512)
+                texts = [x or b"" for x in part.column("text").cast(pa.large_binary()).to_pylist()]
+                for i, j in slices(texts):
+                    ids, counts = memo.encode(texts[i:j])
+                    ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
+                    offsets = np.concatenate([[0], np.cumsum(counts + 1)])
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
+                    some = part.slice(i, j - i)
+                    yield pa.RecordBatch.from_arrays([some.column("row"), some.column("doc_id"), pa.array(counts + 1), lists], ["row", "doc_id", "n_tokens", "ids"])
 
     return encode
 
