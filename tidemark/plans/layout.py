@@ -1 +1,99 @@
-"""To come."""
+"""Layout quantities on fixed positions (the points' own coordinates)."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from ..operators import layout as L
+from ..operators import pairs as J
+from .pairs import DIST_SQL, ranked, sides
+from .registry import query
+from .tables import points, r6, vectors
+
+NEAR = 10
+P_SQL = f"""{DIST_SQL}, near AS ({ranked(extra='WHERE i <> j', k=NEAR)}), c AS (SELECT i, j, exp(-2 * d) / sum(exp(-2 * d)) OVER (PARTITION BY i) AS p FROM near),
+e AS (SELECT i, j, p / sum(p) OVER () AS p FROM (SELECT i, j, sum(p) AS p FROM (SELECT i, j, p FROM c UNION ALL SELECT j, i, p FROM c) GROUP BY 1, 2)),
+pos AS (SELECT vec_id AS t, embedding[1]::DOUBLE * 10 AS x, embedding[2]::DOUBLE * 10 AS y FROM embeddings),
+eq AS (SELECT e.*, a.x - b.x AS dx, a.y - b.y AS dy, 1 / (1 + (a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS q FROM e JOIN pos a ON i = a.t JOIN pos b ON j = b.t),
+att AS (SELECT i, sum(p * q * dx) AS fx, sum(p * q * dy) AS fy FROM eq GROUP BY 1),
+allq AS (SELECT a.t AS i, a.x - b.x AS dx, a.y - b.y AS dy, 1 / (1 + (a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS q FROM pos a JOIN pos b ON a.t <> b.t), z AS (SELECT sum(q) AS z FROM allq),
+rep AS (SELECT i, sum(q * q * dx) / (SELECT z FROM z) AS rx, sum(q * q * dy) / (SELECT z FROM z) AS ry FROM allq GROUP BY 1)"""
+
+
+def near(spark, sf_dir):
+    return J.nearest(*sides(spark, sf_dir), NEAR, itself=False).select("i", "j", "d")
+
+
+def edges(spark, sf_dir):
+    found = near(spark, sf_dir)
+    return L.symmetrized(L.conditional(found, found.select("i").distinct().withColumn("beta", F.lit(2.0))))
+
+
+def positions(spark, sf_dir):
+    return points(spark, sf_dir).select("t", (F.col("x") * 10).alias("x"), (F.col("y") * 10).alias("y"))
+
+
+@query(f"SELECT vec_id AS i, round({math.log(5)!r}::DOUBLE, 3) AS entropy FROM embeddings")
+def perplexity(spark, sf_dir):
+    """The entropy that the found bandwidths give: that of five neighbours."""
+    return L.bandwidths(near(spark, sf_dir), 5.0).select("i", F.round("entropy", 3).alias("entropy"))
+
+
+@query(f"WITH {P_SQL} SELECT i, j, round(p, 9) AS p FROM e")
+def p_symmetrize(spark, sf_dir):
+    return edges(spark, sf_dir).select("i", "j", F.round("p", 9).alias("p"))
+
+
+@query(f"WITH {P_SQL} SELECT i, round(fx, 9) + 0.0::DOUBLE AS fx, round(fy, 9) + 0.0::DOUBLE AS fy FROM att")
+def tsne_attr_force(spark, sf_dir):
+    found = L.attraction(edges(spark, sf_dir), positions(spark, sf_dir))
+    return found.select("i", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("fx", "fy")])
+
+
+@query(f"WITH {P_SQL} SELECT i, round(coalesce(fx, 0) - rx, 9) + 0.0::DOUBLE AS gx, round(coalesce(fy, 0) - ry, 9) + 0.0::DOUBLE AS gy FROM rep LEFT JOIN att USING (i)")
+def tsne_gradient(spark, sf_dir):
+    found = L.gradient(edges(spark, sf_dir), positions(spark, sf_dir))
+    return found.select("i", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("gx", "gy")])
+
+
+@query(f"WITH {P_SQL} SELECT round(sum(p * ln((p + 1e-12) / (q / z + 1e-12))), 6) AS error FROM eq, z")
+def kl_error(spark, sf_dir):
+    return L.kl_error(edges(spark, sf_dir), positions(spark, sf_dir)).select(r6(F.col("error")).alias("error"))
+
+
+@query("SELECT label, count(*) AS n, round(sqrt(count(*)), 6) AS anchor, round(CASE WHEN count(*) < 500 THEN pow(500 / (count(*) / 2), 0.13) ELSE 1 END, 6) AS row_weight FROM embeddings GROUP BY 1")
+def anchor_weight(spark, sf_dir):
+    """Weights of the components' own anchors and of rows that serve as anchors."""
+    n = F.col("n")
+    counts = points(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("label", "n", r6(F.sqrt(n)).alias("anchor"), r6(F.when(n < 500, F.pow(500 / (n / 2), F.lit(0.13))).otherwise(1.0)).alias("row_weight"))
+
+
+@query("SELECT vec_id AS t, [round(embedding[1]::DOUBLE, 4) + 0.0, round(embedding[3]::DOUBLE, 4) + 0.0] AS x, [round(embedding[2]::DOUBLE, 4) + 0.0, round(embedding[4]::DOUBLE, 4) + 0.0] AS y FROM embeddings")
+def layout_trace(spark, sf_dir):
+    """Where each row lay, step by step."""
+    v = F.col("v")
+    steps = vectors(spark, sf_dir).select("t", F.posexplode(F.array(F.struct(v[0].alias("x"), v[1].alias("y")), F.struct(v[2].alias("x"), v[3].alias("y")))).alias("step", "p"))
+    trace = steps.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("step", (F.round(F.col("p")["x"], 4) + F.lit(0.0)).alias("x"), (F.round(F.col("p")["y"], 4) + F.lit(0.0)).alias("y")))).alias("s"))
+    return trace.select("t", F.col("s.x").alias("x"), F.col("s.y").alias("y"))
+
+
+@query("WITH p AS (SELECT floor(min(embedding[1]::DOUBLE * 10)) AS x0, ceil(max(embedding[1]::DOUBLE * 10)) AS x1, floor(min(embedding[2]::DOUBLE * 10)) AS y0, ceil(max(embedding[2]::DOUBLE * 10)) AS y1 FROM embeddings) SELECT round(x0 - (x1 - x0) / 20, 6) AS x0, round(x1 + (x1 - x0) / 20, 6) AS x1, round(y0 - (y1 - y0) / 10, 6) AS y0, round(y1 + (y1 - y0) / 10, 6) AS y1 FROM p")
+def layout_extent(spark, sf_dir):
+    ends = positions(spark, sf_dir).agg(*[f(g(c)).cast("double").alias(f"{c}{k}") for c in "xy" for k, f, g in ((0, F.floor, F.min), (1, F.ceil, F.max))])
+    wide = lambda c, part: (F.col(f"{c}1") - F.col(f"{c}0")) / part
+    return ends.select(*[r6(F.col(f"{c}{k}") + sign * wide(c, part)).alias(f"{c}{k}") for c, part in (("x", 20), ("y", 10)) for k, sign in ((0, -1), (1, 1))])
+
+
+@query()
+def kmeans_local(spark, sf_dir):
+    """Two rounds from stretches of rows; an iteration, held against numpy in the tests."""
+    return L.kmeans(points(spark, sf_dir), 5, 2)
+
+
+@query()
+def tsne_layout(spark, sf_dir):
+    """The fitted layout of the points."""
+    return L.fitted(vectors(spark, sf_dir), rounds=100)
