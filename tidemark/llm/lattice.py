@@ -20,11 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scan import mix
+from .scan import Slice, slices
 from .store import keep
 
 HEAD_WORDS = 100_000
@@ -36,7 +35,8 @@ MAX_PIECE = 24
 #: Counts of the first scores that are added to the expected counts.
 PRIOR = 1000.0
 
-_P = np.uint64(0x100000001B3)
+_P = np.uint64(0x9DDFEA08EB382D69)
+_CODES = np.random.Generator(np.random.PCG64(30)).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64)
 
 
 def vocabulary(model_file: str) -> dict[bytes, float]:
@@ -62,32 +62,40 @@ class Lattice:
     """Pieces in a hash table of arrays, so many words of one length are scored at once."""
 
     def __init__(self, pieces: list[bytes], probabilities: np.ndarray):
-        self.logs = np.append(np.log(probabilities), -np.inf)
+        self.logs = np.log(probabilities)
         self.longest = max(map(len, pieces))
-        self.bits = max(4, (4 * len(pieces) - 1).bit_length())
-        self.keys, self.ids, self.probes = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, len(pieces), np.int32), 1
+        self.bits = max(4, (16 * len(pieces) - 1).bit_length())
+        self.keys, self.ids, self.probes = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32), 1
         for length in range(1, self.longest + 1):
             own = [k for k, x in enumerate(pieces) if len(x) == length]
             rows = np.frombuffer(b"".join(pieces[k] for k in own), np.uint8).reshape(-1, length) if own else np.zeros((0, length), np.uint8)
             code = np.zeros(len(own), np.uint64)
             for j in range(length):
-                code = code * _P + (rows[:, j].astype(np.uint64) + np.uint64(1))
-            for k, key in zip(own, mix(code), strict=True):
-                slot, probe = int(key) >> (64 - self.bits), 1
-                while self.ids[slot] < len(pieces):
+                code = code * _P + _CODES[rows[:, j]]
+            for k, key, slot in zip(own, code, self._slot(code).tolist(), strict=True):
+                probe = 1
+                while self.ids[slot] >= 0:
                     slot, probe = (slot + 1) % (1 << self.bits), probe + 1
                 self.keys[slot], self.ids[slot], self.probes = key, k, max(self.probes, probe)
 
-    def lookup(self, code: np.ndarray) -> np.ndarray:
-        """Pieces' numbers; one past the last where there is none."""
-        key = mix(code)
-        slot = (key >> np.uint64(64 - self.bits)).astype(np.int64)
-        found = np.where(self.keys[slot] == key, self.ids[slot], len(self.logs) - 1)
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def lookup(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which codes are pieces', and the pieces' numbers."""
+        slot = self._slot(code)
+        piece = np.where(self.keys[slot] == code, self.ids[slot], -1)
+        rest = np.flatnonzero((piece < 0) & (self.ids[slot] >= 0))
         for _ in range(self.probes - 1):
-            miss = found == len(self.logs) - 1
-            slot = (slot + 1) & ((1 << self.bits) - 1)
-            found = np.where(miss & (self.keys[slot] == key), self.ids[slot], found)
-        return found
+            if not len(rest):
+                break
+            slot[rest] = (slot[rest] + 1) & ((1 << self.bits) - 1)
+            here = slot[rest]
+            same = self.keys[here] == code[rest]
+            piece[rest[same]] = self.ids[here[same]]
+            rest = rest[~same & (self.ids[here] >= 0)]
+        found = np.flatnonzero(piece >= 0)
+        return found, piece[found]
 
     def _grouped(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Words of one length, as rows of bytes after a space, and where they stand."""
@@ -96,31 +104,31 @@ class Lattice:
         cuts = np.flatnonzero(np.diff(lengths[order])) + 1
         for group in np.split(order, cuts):
             length = int(lengths[group[0]]) + 1 if len(group) else 0
-            size = max(1, (1 << 22) // (length * min(length, self.longest) or 1))
+            size = max(1, min(1 << 14, (1 << 21) // (length * min(length, self.longest) or 1)))
             for i in range(0, len(group), size):
                 at = group[i : i + size]
                 yield at, np.frombuffer(b"".join([b" " + words[k] for k in at]), np.uint8).reshape(len(at), length)
 
-    def _edges(self, rows: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-        edges, length = {}, rows.shape[1]
-        steps = rows.astype(np.uint64) + np.uint64(1)
+    def _edges(self, rows: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(start, end, rows, pieces, logs) of the pieces in the words, by start and end."""
+        edges, length = [], rows.shape[1]
+        steps = _CODES[rows.T]
         for i in range(length):
             code = np.zeros(len(rows), np.uint64)
             for j in range(i + 1, min(length, i + self.longest) + 1):
-                code = code * _P + steps[:, j - 1]
-                piece = self.lookup(code)
-                if (piece < len(self.logs) - 1).any():
-                    edges[i, j] = piece, self.logs[piece]
+                code = code * _P + steps[j - 1]
+                found, piece = self.lookup(code)
+                if len(found):
+                    edges.append((i, j, found, piece, self.logs[piece]))
         return edges
 
     @staticmethod
-    def _forward(edges: dict, length: int, n: int) -> np.ndarray:
+    def _forward(edges: list, length: int, n: int) -> np.ndarray:
+        """Logs of the probabilities of all segmentations up to each place: edges come by start, so a start's is complete."""
         alpha = np.full((length + 1, n), -np.inf)
         alpha[0] = 0.0
-        for j in range(1, length + 1):
-            for i in range(j):
-                if (i, j) in edges:
-                    alpha[j] = np.logaddexp(alpha[j], alpha[i] + edges[i, j][1])
+        for i, j, at, _, log in edges:
+            alpha[j, at] = np.logaddexp(alpha[j, at], alpha[i, at] + log)
         return alpha
 
     def score(self, words: list[bytes]) -> np.ndarray:
@@ -138,13 +146,14 @@ class Lattice:
             alpha = self._forward(edges, length, len(rows))
             beta = np.full((length + 1, len(rows)), -np.inf)
             beta[length] = 0.0
-            for i in range(length - 1, -1, -1):
-                for j in range(i + 1, min(length, i + self.longest) + 1):
-                    if (i, j) in edges:
-                        beta[i] = np.logaddexp(beta[i], edges[i, j][1] + beta[j])
-            for (i, j), (piece, log) in edges.items():
-                total += np.bincount(piece, np.exp(alpha[i] + log + beta[j] - alpha[length]) * counts[at], len(total))
-        return total[:-1]
+            pieces, shares = [], []
+            for i, j, own, piece, log in reversed(edges):
+                ahead = log + beta[j, own]
+                beta[i, own] = np.logaddexp(beta[i, own], ahead)
+                pieces.append(piece)
+                shares.append(np.exp(alpha[i, own] + ahead - alpha[length, own]) * counts[at[own]])
+            total += np.bincount(np.concatenate(pieces), np.concatenate(shares), len(total))
+        return total
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bool, list[bytes]]]:
@@ -179,6 +188,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([ends], pa.int64())], ["word", "c"])
 
 
+def _many(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Words and counts of several batches together: longer arrays are cheaper."""
+    words: list[bytes] = []
+    counts: list[np.ndarray] = []
+    for batch in batches:
+        words += batch.column("word").to_pylist()
+        counts.append(batch.column("c").to_numpy())
+        if len(words) >= rows:
+            yield words, np.concatenate(counts)
+            words, counts = [], []
+    if words:
+        yield words, np.concatenate(counts)
+
+
 def train(words: DataFrame, ends: int, first: dict[bytes, float], rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarray, float]:
     """Pieces, their probabilities, and the end's. A row for each piece and task is summed, one for each piece comes to the driver."""
     pieces = list(first)
@@ -188,8 +211,8 @@ def train(words: DataFrame, ends: int, first: dict[bytes, float], rounds: int =
 
         def expect(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
             lattice, total = Lattice(pieces, now), np.zeros(len(pieces))
-            for batch in batches:
-                total += lattice.expect(batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(float))
+            for words, counts in _many(batches):
+                total += lattice.expect(words, counts.astype(float))
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "n"])
 
@@ -217,11 +240,13 @@ def scored(docs: DataFrame, model_file: str) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, probabilities)
-        for batch in batches:
-            made = lattice.score(batch.column("word").to_pylist()) / math.log(10)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(made)], ["word", "c", "log"])
+        for own, counts in _many(batches):
+            codes = Slice(own).word_hashes().view(np.int64)
+            made = lattice.score(own) / math.log(10)
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts), pa.array(made)], ["code", "c", "log"])
 
-    words = keep(words.mapInArrow(score, "word binary, c long, log double"), "words")
+    # From here on a word is its 64-bit hash.
+    words = keep(words.mapInArrow(score, "code long, c long, log double"), "words")
     step = F.floor(F.log2(F.col("c") + 1) * 8)
     steps = sorted(((r[0], r[1]) for r in words.where("c > 0").groupBy(step.alias("s")).agg(F.count(F.lit(1))).collect()), reverse=True)
     least, size = math.inf, 0
@@ -230,41 +255,45 @@ def scored(docs: DataFrame, model_file: str) -> DataFrame:
         if size > HEAD_WORDS:
             break
         least = s
-    head = {bytes(r.word): (r.c, r.log) for r in words.where(step >= least).collect()} if least < math.inf else {}
+    head = sorted((r.code, r.c, r.log) for r in words.where(step >= least).collect()) if least < math.inf else []
     down = math.log10(n + v + 1)
-    head = {w: (math.log10(c + 1) - down, log) for w, (c, log) in head.items()}
+    codes = np.array([x[0] for x in head], np.int64)
+    bases, logs = np.log10(np.array([x[1] for x in head], float) + 1) - down, np.array([x[2] for x in head], float)
     of_end = math.log10(ends + 1) - down, math.log10(end), int(ends > 0)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document with its frequent words and end, and one for each of its other words."""
-        key = TaskContext.get().partitionId() << 40
-        names = ["key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "n"]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
-        rows: list[tuple] = []
-        for doc, held_out, own in _rows(batches):
-            base, log, seen = [of_end[0]], [of_end[1]], of_end[2]
-            for w, k in Counter(own).items():
-                if (found := head.get(w)) is not None:
-                    base.append(k * found[0])
-                    log.append(k * found[1])
-                    seen += k
-                else:
-                    rows.append((key, None, None, None, None, None, None, w, k))
-            rows.append((key, doc, held_out, len(own) + 1, seen, math.fsum(base), math.fsum(log), None, None))
-            key += 1
-            if len(rows) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    made = keep(texts.mapInArrow(parts, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, n long"), "parts")
-    rare = made.where("word is not null").select(F.col("key").alias("k"), F.col("word").alias("w"), "n").join(words, F.col("w") == F.col("word"))
+        """A row for each document, with what its frequent words and end give and the list of its other words."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = [(x or b"").lower() for x in part.column("text").cast(pa.large_binary()).to_pylist()]
+                ids = part.column("doc_id").to_pylist()
+                for i, j in slices(texts):
+                    own = Slice(texts[i:j])
+                    found = own.word_hashes().view(np.int64)
+                    place = np.minimum(np.searchsorted(codes, found), max(len(codes) - 1, 0))
+                    known = codes[place] == found if len(codes) else np.zeros(len(found), bool)
+                    some = np.flatnonzero(own.n_words)
+                    sums = np.zeros((3, own.n))
+                    if len(some):
+                        for k, values in enumerate((bases, logs, np.ones(len(codes)))):
+                            sums[k, some] = np.add.reduceat(np.where(known, values[place] if len(codes) else 0.0, 0.0), own.first[some])
+                    rare = found[~known]
+                    offsets = np.concatenate([[0], np.cumsum(~known)])[own.first]
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rare))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[i:j], pa.int64()), pa.array([d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d in ids[i:j]]), pa.array(own.n_words + 1), pa.array(sums[2].astype(np.int64) + of_end[2]), pa.array(sums[0] + of_end[0]), pa.array(sums[1] + of_end[1]), lists],
+                        ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
+                    )
+
+    made = texts.mapInArrow(parts, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>")
+    made = keep(made.withColumn("key", F.monotonically_increasing_id()), "parts")
+    rare = made.select(F.col("key").alias("k"), F.explode("rare").alias("w")).join(words, F.col("w") == F.col("code"))
     rare = rare.groupBy("k").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"),
-        F.sum(F.col("n") * (F.log10(F.col("c") + 1.0) - F.lit(down))).alias("base2"),
-        F.sum(F.col("n") * F.col("log")).alias("score2"),
+        F.sum((F.col("c") > 0).cast("long")).alias("more"),
+        F.sum(F.log10(F.col("c") + 1.0) - F.lit(down)).alias("base2"),
+        F.sum("log").alias("score2"),
     )
-    out = made.where("word is null").drop("word", "n").join(rare, F.col("key") == F.col("k"), "left")
+    out = made.drop("rare").join(rare, F.col("key") == F.col("k"), "left")
     add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", add("n_known", "more").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), add("base", "base2").alias("base_score"), add("score", "score2").alias("score"))
