@@ -123,7 +123,8 @@ def kernel(v: np.ndarray, start: np.ndarray, perplexity: float = 30.0, rounds: i
         way = y[:, None] - y[None]
         q = 1 / (1 + (way**2).sum(axis=2))
         np.fill_diagonal(q, 0)
-        g = (4 * ((12.0 if k < rounds // 4 else 1.0) * p - q / q.sum()) * q)[..., None] * way
+        pull = 12.0 if k < rounds // 4 else 1.0
+        g = (4 * (pull * p - q / q.sum()) * q)[..., None] * way
         g = g.sum(axis=1)
         gains = np.maximum(np.where(step * g < 0, gains + 0.2, gains * 0.8), 0.01)
         step = (0.5 if k < rounds // 4 else 0.8) * step - max(n / 12.0, 50.0) * gains * g

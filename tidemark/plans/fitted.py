@@ -1 +1,115 @@
-"""To come."""
+"""Fits and generated streams: rows that SQL can't express, held against brute force or invariants in the tests."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from ..operators import incremental as I
+from ..operators import prepare as P
+from ..sources import synthetic as G
+from .registry import query
+from .tables import TRAINED, models_idx, points, read, vectors
+
+
+@query()
+def gen_synthetic(spark, sf_dir):
+    return G.synthetic(spark)
+
+
+@query()
+def gen_case1(spark, sf_dir):
+    return G.case1(spark)
+
+
+@query()
+def gen_case2(spark, sf_dir):
+    return G.case2(spark)
+
+
+@query()
+def gen_case3(spark, sf_dir):
+    return G.case3(spark)
+
+
+@query()
+def jitter(spark, sf_dir):
+    """The stream with noise of a ten-thousandth on its values."""
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("t"), (F.col("value") + F.randn(2020) * 1e-4).alias("x"))
+
+
+@query()
+def gmm_bic(spark, sf_dir):
+    """(key, component, weight, m1, m2): mixtures of the points' classes, each of as many components as its rows ask for."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        comps = I.best_by_bic(rows[["x", "y"]].to_numpy(), 4)
+        return pd.DataFrame([(int(rows["label"].iloc[0]), k, c["sp"] / c["n"], *c["mu"]) for k, c in enumerate(comps)], columns=["label", "component", "weight", "m1", "m2"])
+
+    return points(spark, sf_dir).groupBy("label").applyInPandas(run, "label int, component int, weight double, m1 double, m2 double")
+
+
+@query()
+def gmm_follow(spark, sf_dir):
+    """(label, t, component, uncertain): each event type's rows taken one by one after its first hundred."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        x = rows[["x", "hour"]].to_numpy(float)
+        follower = I.Follower(I.best_by_bic(x[:100], 3), x[:100])
+        out = [follower.add(r) for r in x[100:]]
+        return pd.DataFrame({"label": rows["label"].iloc[100:], "t": rows["t"].iloc[100:], "component": [k for k, _ in out], "uncertain": [u for _, u in out]})
+
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("t"), F.col("value").alias("x"), F.hour("ts").cast("double").alias("hour"), F.col("event_type").alias("label"))
+    return rows.groupBy("label").applyInPandas(run, "label string, t long, component int, uncertain boolean")
+
+
+@query()
+def fit_ensemble(spark, sf_dir):
+    """(t, model_id, proba): two logistic models of stretches of the stream, each predicting every row."""
+    events = read(spark, sf_dir, "events").select(F.col("event_id").alias("t"), F.col("value").alias("x"), F.hour("ts").cast("double").alias("hour"), (F.col("event_type") == "click").cast("double").alias("label"))
+    assemble = VectorAssembler(inputCols=["x", "hour"], outputCol="features")
+    rows = assemble.transform(events)
+    found = None
+    for model_id in (0, 1):
+        own = rows.where((F.col("t") < TRAINED) & (models_idx() == model_id))
+        model = LogisticRegression(maxIter=20, regParam=0.01).fit(own)
+        one = model.transform(rows).select("t", F.lit(model_id).alias("model_id"), vector_to_array("probability")[1].alias("proba"))
+        found = one if found is None else found.union(one)
+    return found
+
+
+@query()
+def pca_layout(spark, sf_dir):
+    """(t, x, y): the vectors on their two main axes, from one pass of sums over all rows."""
+    rows = vectors(spark, sf_dir)
+    d = 64
+
+    def sums(batches):
+        total, outer, n = np.zeros(d), np.zeros((d, d)), 0
+        for b in batches:
+            v = np.stack(b["v"]) if len(b) else np.zeros((0, d))
+            total, outer, n = total + v.sum(axis=0), outer + v.T @ v, n + len(v)
+        yield pd.DataFrame({"n": [n], "total": [total.tolist()], "outer": [outer.ravel().tolist()]})
+
+    parts = rows.select("v").mapInPandas(sums, "n long, total array<double>, outer array<double>").toPandas()
+    n = parts["n"].sum()
+    mean = np.sum(np.stack(parts["total"]), axis=0) / n
+    cov = np.sum(np.stack(parts["outer"]), axis=0).reshape(d, d) / n - np.outer(mean, mean)
+    axes = np.linalg.eigh(cov)[1][:, ::-1][:, :2]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(2)])
+    along = lambda k: F.aggregate(F.zip_with("v", F.array(*[F.lit(float(a)) for a in axes[:, k]]), lambda x, a: x * a), F.lit(-float(mean @ axes[:, k])), lambda s, x: s + x)
+    return rows.select("t", along(0).alias("x"), along(1).alias("y"))
+
+
+@query()
+def anchor_sample(spark, sf_dir):
+    """Rows that hold a later layout in place: of the last 1500 half, 500 at most, by a hash."""
+    last = P.last_rows(vectors(spark, sf_dir).select("t", "label"), 1500)
+    n = last.count()
+    return last.orderBy(F.xxhash64(F.lit(42), "t"), "t").limit(min(n // 2, 500))
