@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontam, mixing, near_dup, quality, token_files
 from tidemark.llm.queries import table, tokenizer_file
-from tidemark.llm.store import keep, new_path
+from tidemark.llm.store import keep, new_path, small_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (85 % of five-word shingles) stays."""
+    small_batches(spark)
     return near_dup.one_of_each(docs, percent=85)
 
 
@@ -38,6 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The index of the token files; copies of a document follow each other."""
+    small_batches(spark)
     path = new_path(spark, "tokens")
     token_files.write_tokens(docs, path, tokenizer_file(), end_id=1)
     return token_files.token_index(spark, path)

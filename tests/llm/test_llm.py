@@ -515,7 +515,7 @@ def test_near_duplicates_of_large_families(spark):
         texts.append(" ".join(chain))
     made = list(enumerate(texts))
     docs = spark.createDataFrame(made, "doc_id long, text string")
-    found = _with(near_dup, "BLOCK", 8, lambda: near_dup.near_duplicates(docs, 85).collect())
+    found = _with(near_dup, "BLOCK", 8, lambda: _with(store, "HOT", 12, lambda: near_dup.near_duplicates(docs, 85).collect()))
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(made, 85)
 
 
