@@ -6,6 +6,7 @@ Mahalanobis distance plus log-determinant less the log of its weight, so less is
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -149,3 +150,16 @@ class Follower:
             p = posteriors(x, self.comps)
             self.comps = [updated(c, x, q) for c, q in zip(self.comps, p, strict=True)]
         return k, False
+
+    def dump(self) -> str:
+        """The whole state as JSON."""
+        comps = [{"mu": c["mu"].tolist(), "s": c["s"].tolist(), "sp": c["sp"], "n": c["n"]} for c in self.comps]
+        return json.dumps({"comps": comps, "limits": self.limits, "uncertain": self.uncertain, "trigger": self.trigger, "n": self.n})
+
+    @classmethod
+    def loaded(cls, text: str) -> Follower:
+        state = json.loads(text)
+        made = cls.__new__(cls)
+        made.comps = [component(np.array(c["mu"]), np.array(c["s"]), c["sp"], c["n"]) for c in state["comps"]]
+        made.limits, made.uncertain, made.trigger, made.n = [tuple(x) for x in state["limits"]], state["uncertain"], state["trigger"], state["n"]
+        return made

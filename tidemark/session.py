@@ -188,8 +188,8 @@ class Session:
         """(t or chunk_id, attribute, drift): of each attribute, and of the worst under ED."""
         key, found = ("t" if sliding else "chunk_id"), None
         for name in self.config.attributes:
-            rows = self._labelled(name)
-            trained = rows.join(self.trained_idx(), "t", "left_semi")
+            rows = self._labelled(name).persist()  # looked at many times below
+            trained = rows.join(self.trained_idx(), "t", "left_semi").persist()
             one = D.sliding(rows, trained, self.window, self.config.neighbours) if sliding else D.of_chunks(rows.join(self.chunks(), "t"), trained, self.config.neighbours)
             one = one.withColumn("attribute", F.lit(name))
             found = one if found is None else found.union(one)

@@ -5,7 +5,7 @@ A batch is a folder's file; Structured Streaming takes one file a trigger, in th
 
 from __future__ import annotations
 
-import pickle  # noqa: S403 - state that this module wrote itself, kept in Spark's own state store
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -43,21 +43,22 @@ def follow_mixture(stream: DataFrame, attributes: Sequence[str], initial: int, t
     names = list(attributes)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        follower, waiting = pickle.loads(state.get[0]) if state.exists else (None, [])  # noqa: S301
+        kept, waiting = (state.get[0], json.loads(state.get[1])) if state.exists else (None, [])
+        follower = I.Follower.loaded(kept) if kept else None
         rows = pd.concat(list(batches)).sort_values(t)
         out = []
         for number, x in zip(rows[t].tolist(), rows[names].to_numpy(float), strict=True):
             if follower is None:
-                waiting.append((number, x))
+                waiting.append([number, x.tolist()])
                 if len(waiting) == initial:
-                    first = np.stack([r for _, r in waiting])
+                    first = np.array([r for _, r in waiting])
                     follower = I.Follower(I.best_by_bic(first), first, trigger)
-                    out += [(n, int(np.argmin([I.score(r, c) for c in follower.comps])), False) for n, r in waiting]
+                    out += [(n, int(np.argmin([I.score(r, c) for c in follower.comps])), False) for (n, _), r in zip(waiting, first, strict=True)]
                     waiting = []
             else:
                 out.append((number, *follower.add(x)))
-        state.update((pickle.dumps((follower, waiting)),))
+        state.update((follower.dump() if follower else None, json.dumps(waiting)))
         yield pd.DataFrame({key: [k[0]] * len(out), t: [r[0] for r in out], "component": [r[1] for r in out], "uncertain": [r[2] for r in out]})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {t} long, component int, uncertain boolean", "follower binary", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {t} long, component int, uncertain boolean", "follower string, waiting string", "append", GroupStateTimeout.NoTimeout)
