@@ -10,7 +10,7 @@ from ..operators import layout as L
 from ..operators import pairs as J
 from .pairs import DIST_SQL, ranked, sides
 from .registry import query
-from .tables import points, r6, vectors
+from .tables import POINTS_SQL, points, r6, vectors
 
 NEAR = 10
 P_SQL = f"""{DIST_SQL}, near AS ({ranked(extra='WHERE i <> j', k=NEAR)}), c AS (SELECT i, j, exp(-2 * d) / sum(exp(-2 * d)) OVER (PARTITION BY i) AS p FROM near),
@@ -87,9 +87,17 @@ def layout_extent(spark, sf_dir):
     return ends.select(*[r6(F.col(f"{c}{k}") + sign * wide(c, part)).alias(f"{c}{k}") for c, part in (("x", 20), ("y", 10)) for k, sign in ((0, -1), (1, 1))])
 
 
-@query()
+def kmeans_sql(k: int, rounds: int) -> str:
+    parts = [f"{POINTS_SQL}, a0 AS (SELECT t, x, y, (t - (SELECT min(t) FROM points)) * {k} // (SELECT count(*) FROM points) AS cluster FROM points)"]
+    for r in range(rounds):
+        parts.append(f"m{r} AS (SELECT cluster, avg(x) AS cx, avg(y) AS cy FROM a{r} GROUP BY 1)")
+        parts.append(f"a{r + 1} AS (SELECT t, x, y, cluster FROM (SELECT t, x, y, cluster, row_number() OVER (PARTITION BY t ORDER BY (x - cx) ** 2 + (y - cy) ** 2, cluster) AS r FROM points, m{r}) WHERE r = 1)")
+    return f"WITH {', '.join(parts)} SELECT t, cluster::INT AS cluster FROM a{rounds}"
+
+
+@query(kmeans_sql(5, 2))
 def kmeans_local(spark, sf_dir):
-    """Two rounds from stretches of rows; an iteration, held against numpy in the tests."""
+    """Two rounds from stretches of rows."""
     return L.kmeans(points(spark, sf_dir), 5, 2)
 
 
