@@ -61,6 +61,13 @@ def test_chunk_drift_against_brute_force(rows):
         assert drift == pytest.approx(brute_window(local, local[k * 25 : k * 25 + 25], local[:40], 5, False), abs=1e-9)
 
 
+def test_nearest_of_label_by_arrays_equals_the_join(rows):
+    trained = rows.where("t < 50")
+    for k in (1, 4, 100):
+        by_arrays, by_join = (sorted(J.nearest_of_label(rows, trained, k, most=m).collect()) for m in (1000, 3))
+        assert by_arrays == by_join and by_arrays
+
+
 def test_drift_of_the_training_rows_is_nothing_and_of_none_is_all(rows):
     same = D.of_chunks(rows.withColumn("chunk_id", F.lit(1)), rows, 1).first()
     none = D.of_chunks(rows.withColumn("chunk_id", F.lit(1)), rows.limit(0), 5).first()

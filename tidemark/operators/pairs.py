@@ -7,13 +7,15 @@ the line, so no join is without a key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block.
-BLOCK_ROWS = 2000
+#: Training rows that all tasks may hold.
+MOST_TRAINED = 20_000
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -72,14 +74,48 @@ def nearest(left: DataFrame, right: DataFrame, k: int, n_blocks: int = 4, itself
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
 
 
-def nearest_of_label(rows: DataFrame, trained: DataFrame, k: int) -> DataFrame:
+def nearest_of_label(rows: DataFrame, trained: DataFrame, k: int, most: int | None = None) -> DataFrame:
     """(i, label, j, d): for each row of ``rows(t, x, label)`` the k nearest of ``trained(t, x, label)`` of its label, ties by t.
 
-    A row of ``trained`` is its own nearest. All are taken where a label has k or fewer.
+    A row of ``trained`` is its own nearest. All are taken where a label has k or fewer. Up to ``most``
+    training rows go to all tasks, which compare them by arrays without a shuffle; more are joined by label.
     """
-    own = trained.select(F.col("t").alias("j"), F.col("x").alias("xj"), F.col("label"))
-    pairs = rows.select(F.col("t").alias("i"), "x", "label").join(own, "label").withColumn("d", F.abs(F.col("x") - F.col("xj")))
-    return pairs.withColumn("_rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("_rank") <= k).select("i", "label", "j", "d")
+    most = MOST_TRAINED if most is None else most
+    few = trained.select("t", "x", "label").limit(most + 1).collect()
+    if len(few) > most:
+        own = trained.select(F.col("t").alias("j"), F.col("x").alias("xj"), F.col("label"))
+        pairs = rows.select(F.col("t").alias("i"), "x", "label").join(own, "label").withColumn("d", F.abs(F.col("x") - F.col("xj")))
+        return pairs.withColumn("_rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("_rank") <= k).select("i", "label", "j", "d")
+    by_label: dict = {}
+    for r in sorted(few):
+        by_label.setdefault(r.label, []).append((r.t, r.x))
+    known = {label: (np.array([t for t, _ in x], np.int64), np.array([v for _, v in x], float)) for label, x in by_label.items()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for label, part in batch.groupby("label", sort=False):
+                if label in known:
+                    ids, xs = known[label]
+                    step = max(1, (1 << 21) // len(ids))
+                    for at in range(0, len(part), step):
+                        some = part.iloc[at : at + step]
+                        d = np.abs(some["x"].to_numpy()[:, None] - xs[None])
+                        row, column = _least(d, k)
+                        yield pd.DataFrame({"i": some["t"].to_numpy()[row], "label": label, "j": ids[column], "d": d[row, column]})
+
+    kind = rows.schema["label"].dataType.simpleString()
+    return rows.select("t", "x", "label").mapInPandas(run, f"i long, label {kind}, j long, d double")
+
+
+def _least(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k least values of each row; of equal ones the first."""
+    if d.shape[1] <= k:
+        return np.repeat(np.arange(len(d)), d.shape[1]), np.tile(np.arange(d.shape[1]), len(d))
+    chosen = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    for r in np.flatnonzero(chosen.sum(axis=1) > k):
+        chosen[r] = False
+        chosen[r, np.argsort(d[r], kind="stable")[:k]] = True
+    return np.nonzero(chosen)
 
 
 def merged_intervals(starts: DataFrame, width: int, key: str = "j") -> DataFrame:
