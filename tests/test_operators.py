@@ -45,10 +45,11 @@ def brute_window(rows, window, trained, k, raw_guard):
     return total / len(window)
 
 
-def test_sliding_drift_against_brute_force(rows):
+@pytest.mark.parametrize("most", [1000, 3])
+def test_sliding_drift_against_brute_force(rows, most):
     local = sorted(rows.collect())
     trained = [r for r in local if r.t < 40 and r.label != "l2"]
-    found = {r.t: r.drift for r in D.sliding(rows, rows.where("t < 40 and label != 'l2'"), 15, 3).collect()}
+    found = {r.t: r.drift for r in D.sliding(rows, rows.where("t < 40 and label != 'l2'"), 15, 3, most).collect()}
     assert sorted(found) == list(range(14, 120))
     for t in found:
         assert found[t] == pytest.approx(brute_window(local, local[t - 14 : t + 1], trained, 3, True), abs=1e-9)

@@ -7,11 +7,13 @@ where T is empty, 0 where A is below a guard. The window's drift is the labels'
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import running_sums
-from .pairs import energy, merged_intervals, nearest_of_label, overlaps
+from .ordered import in_blocks, running_sums
+from .pairs import energy, in_memory, least_places, merged_intervals, nearest_of_label, overlaps
 
 GUARD = 1e-4
 
@@ -48,10 +50,74 @@ def of_chunks(chunks: DataFrame, trained: DataFrame, k: int) -> DataFrame:
     return joined.select("chunk_id", "w", score.alias("d")).groupBy("chunk_id").agg((F.sum("d") / F.sum("w")).alias("drift"))
 
 
-def sliding(rows: DataFrame, trained: DataFrame, width: int, k: int) -> DataFrame:
+#: Training rows with which windows are scored by arrays.
+MOST_BY_ARRAYS = 5000
+
+
+def sliding(rows: DataFrame, trained: DataFrame, width: int, k: int, most: int | None = None) -> DataFrame:
     """(t, drift) of the window of ``width`` rows that ends at t, from the first whole one on.
 
-    A row is in the windows that end from its place to ``width`` - 1 after it; a training row is in those
+    Up to ``most`` training rows go to all tasks: then blocks of the order are scored by arrays of rows by
+    training rows. More are scored by intervals.
+    """
+    known = in_memory(trained, MOST_BY_ARRAYS if most is None else most)
+    return _sliding_by_intervals(rows, trained, width, k) if known is None else _sliding_by_arrays(rows, known, width, k)
+
+
+def _sums_over(values: np.ndarray, width: int) -> np.ndarray:
+    """Of each row and the ``width`` - 1 before it."""
+    total = np.cumsum(values, axis=0, dtype=float)
+    out = total.copy()
+    out[width:] -= total[:-width]
+    return out
+
+
+def _scores(x: np.ndarray, here: np.ndarray, xs: np.ndarray, width: int, k: int) -> np.ndarray:
+    """Of each window, its drift of one label: ``here`` marks the label's rows, ``xs`` are its training rows' values."""
+    w = np.round(_sums_over(here.astype(float), width))
+    if not len(xs):
+        return w
+    d = np.abs(x[:, None] - xs[None]) * here[:, None]
+    near, own = np.zeros(d.shape, bool), np.flatnonzero(here)
+    row, column = least_places(d[own], k)
+    near[own[row], column] = True
+    active = np.round(_sums_over(near, width)) > 0
+    t = active.sum(axis=1)
+    a = (_sums_over(d, width) * active).sum(axis=1)
+    c = ((active.astype(float) @ np.abs(xs[:, None] - xs[None])) * active).sum(axis=1)
+    b = np.zeros(len(x))
+    for lag in range(1, min(width, len(x))):
+        both = np.zeros(len(x))
+        both[lag:] = np.abs(x[lag:] - x[:-lag]) * (here[lag:] & here[:-lag])
+        b += 2 * _sums_over(both, width - lag)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = w * (1 - (b / (w * w) + c / (t * t)) / (2 * a / (w * t)))
+    return np.where((w == 0) | (t == 0), w, np.where(a < GUARD, 0.0, score))
+
+
+def _sliding_by_arrays(rows: DataFrame, known: dict, width: int, k: int) -> DataFrame:
+    size = max(width, min(4096, (1 << 22) // max([1, *(len(xs) for _, xs in known.values())])))
+    first = rows.agg(F.min("t").alias("_first"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        low = int(part["t"].min())
+        n = int(part["t"].max()) - low + 1
+        at = part["t"].to_numpy() - low
+        x, total = np.zeros(n), np.zeros(n)
+        x[at] = part["x"]
+        for label in part["label"].unique():
+            here = np.zeros(n, bool)
+            here[at] = (part["label"] == label).to_numpy()
+            total += _scores(x, here, known[label][1] if label in known else np.zeros(0), width, k)
+        own = part["_own"].to_numpy() & (part["t"] >= part["_first"] + width - 1).to_numpy()
+        return pd.DataFrame({"t": part["t"][own], "drift": total[at[own]] / width})
+
+    blocks = in_blocks(rows.select("t", "x", "label"), width - 1, 0, size=size).join(F.broadcast(first))
+    return blocks.groupBy("_block").applyInPandas(run, "t long, drift double")
+
+
+def _sliding_by_intervals(rows: DataFrame, trained: DataFrame, width: int, k: int) -> DataFrame:
+    """A row is in the windows that end from its place to ``width`` - 1 after it; a training row is in those
     of the union over its neighbours. Each pair of overlapping stays adds its distance where the later one begins and
     takes it away after the earlier one ends, so running sums give A, B, C and the counts of all windows.
     The guard is on the sum A.

@@ -81,16 +81,11 @@ def nearest_of_label(rows: DataFrame, trained: DataFrame, k: int, most: int | No
     training rows go to all tasks, which compare them by arrays without a shuffle; more are joined by label.
     """
     most = MOST_TRAINED if most is None else most
-    few = trained.select("t", "x", "label").limit(most + 1).collect()
-    if len(few) > most:
+    known = in_memory(trained, most)
+    if known is None:
         own = trained.select(F.col("t").alias("j"), F.col("x").alias("xj"), F.col("label"))
         pairs = rows.select(F.col("t").alias("i"), "x", "label").join(own, "label").withColumn("d", F.abs(F.col("x") - F.col("xj")))
         return pairs.withColumn("_rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("_rank") <= k).select("i", "label", "j", "d")
-    by_label: dict = {}
-    for r in sorted(few):
-        by_label.setdefault(r.label, []).append((r.t, r.x))
-    known = {label: (np.array([t for t, _ in x], np.int64), np.array([v for _, v in x], float)) for label, x in by_label.items()}
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for label, part in batch.groupby("label", sort=False):
@@ -100,14 +95,25 @@ def nearest_of_label(rows: DataFrame, trained: DataFrame, k: int, most: int | No
                     for at in range(0, len(part), step):
                         some = part.iloc[at : at + step]
                         d = np.abs(some["x"].to_numpy()[:, None] - xs[None])
-                        row, column = _least(d, k)
+                        row, column = least_places(d, k)
                         yield pd.DataFrame({"i": some["t"].to_numpy()[row], "label": label, "j": ids[column], "d": d[row, column]})
 
     kind = rows.schema["label"].dataType.simpleString()
     return rows.select("t", "x", "label").mapInPandas(run, f"i long, label {kind}, j long, d double")
 
 
-def _least(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def in_memory(trained: DataFrame, most: int) -> dict | None:
+    """By label, the numbers and values of the training rows in order; None if there are more than ``most``."""
+    few = trained.select("t", "x", "label").limit(most + 1).collect()
+    if len(few) > most:
+        return None
+    by_label: dict = {}
+    for r in sorted(few):
+        by_label.setdefault(r.label, []).append((r.t, r.x))
+    return {label: (np.array([t for t, _ in x], np.int64), np.array([v for _, v in x], float)) for label, x in by_label.items()}
+
+
+def least_places(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the k least values of each row; of equal ones the first."""
     if d.shape[1] <= k:
         return np.repeat(np.arange(len(d)), d.shape[1]), np.tile(np.arange(d.shape[1]), len(d))
