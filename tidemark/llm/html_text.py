@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import keep
+
 CONTENT, NOISE, LEAST, SMALL = 0.9, 0.1, 0.3, 5.0
 #: Removed branches that executors hold in memory.
 HELD_BRANCHES = 100_000
@@ -242,7 +244,8 @@ def extract(pages: DataFrame) -> DataFrame:
         return pages.mapInArrow(run, schema)
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "(?s)^.*?://([^/?#]*)", 1))
-    lists = removed.groupBy(F.col("host").alias("h")).agg(F.collect_list("node").alias("low"))
+    # Written, so that both sides of the join are exchanges and a large host's pages can be split.
+    lists = keep(removed.groupBy(F.col("host").alias("h")).agg(F.collect_list("node").alias("low")), "branches")
     joined = pages.join(lists, host == F.col("h"), "left").select("page_id", "url", "html", "low")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,10 +13,13 @@ a short list and become one expression.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from .store import keep
+
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: A node with more children than this, or with MANY_SHARE of its urls as children, has variable ones.
@@ -28,34 +31,46 @@ def _quote(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "''") + "'"
 
 
-def sql(rules: Sequence[tuple[str, str, str]] = RULES, purity: float = PURITY, most_children: int = MOST_CHILDREN, pages: str = "pages") -> str:
-    """The same text runs on Spark and as plain SQL elsewhere."""
+def parts(rules: Sequence[tuple[str, str, str]] = RULES, purity: float = PURITY, most_children: int = MOST_CHILDREN) -> dict[str, str]:
+    """Named queries, each over ``pages`` and earlier ones; the last gives the result. The text is SQL that others read, too."""
     by_length = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r))
     fits = lambda host, path: f"(host = {_quote(host)} OR right(host, {len(host) + 1}) = {_quote('.' + host)}) AND left(path, {len(path)}) = {_quote(path)}"
     rule = " ".join(f"WHEN {fits(h, p)} THEN {_quote(h + p)}" for _, h, p in by_length)
     verdict = " ".join(f"WHEN {_quote(h + p)} THEN {_quote(v)}" for v, h, p in by_length)
     form = lambda s: f"CASE WHEN length({s}) >= 16 AND regexp_extract({s}, '^[0-9a-fA-F]+$', 0) = {s} THEN 'f' ELSE regexp_replace({s}, '^[0-9]+', '9') END"
+    segment = lambda k: f"CASE WHEN r{k} = '' THEN '' ELSE concat('/', {form(f'substring(r{k}, 2)')}) END AS s{k}"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    level = lambda k, before: f"""
-n{k} AS (SELECT host AS h{k}, {before} AS b{k}, count(DISTINCT s{k}) AS kids{k}, sum(n) AS urls{k} FROM l{k - 1} GROUP BY host, {before}),
-l{k} AS (SELECT l.*, CASE WHEN s{k} IN ('', '/') THEN s{k} WHEN kids{k} > {most_children} OR (urls{k} >= 10 AND kids{k} * 10 >= urls{k} * 9) THEN '/*' ELSE s{k} END AS t{k}
-  FROM l{k - 1} l JOIN n{k} ON host = h{k} AND {before} = b{k})"""
-    return f"""
-WITH u AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce(url, '') AS url FROM {pages})),
-r AS (SELECT page_id, host, path, CASE {rule} END AS rule FROM u),
-d AS (SELECT host, path, CASE rule {verdict} END AS label, count(*) AS n FROM r GROUP BY host, path, CASE rule {verdict} END),
-s AS (SELECT *, regexp_extract(path, '^(/[^/]*)', 1) AS r1, regexp_extract(path, '^/[^/]*(/[^/]*)', 1) AS r2, regexp_extract(path, '^/[^/]*/[^/]*(/[^/]*)', 1) AS r3, CASE WHEN regexp_extract(path, '^/[^/]*/[^/]*/[^/]*(/)', 1) = '/' THEN '/**' ELSE '' END AS rest FROM d),
-l0 AS (SELECT host, path, label, n, rest, {", ".join(f"CASE WHEN r{k} = '' THEN '' ELSE concat('/', {form(f'substring(r{k}, 2)')}) END AS s{k}" for k in (1, 2, 3))} FROM s),{level(1, "''")},{level(2, "t1")},{level(3, "concat(t1, t2)")},
-t AS (SELECT host, path, label, n, t1, concat(t2, t3, rest) AS shape FROM l3),
-p AS (SELECT host, t1, shape, sum(CASE WHEN label IS NULL THEN 0 ELSE n END) AS labels, sum(CASE WHEN label = 'block' THEN n ELSE 0 END) AS blocks FROM t GROUP BY host, t1, shape),
-c AS (SELECT *, CASE WHEN labels = 0 THEN -1 ELSE floor(blocks * 10 / labels) END AS alike FROM p),
-m AS (SELECT host AS mh, shape AS ms, alike AS ma, (sum(blocks) + 1) / (sum(labels) + 2.0) >= {purity} AS rejected FROM c GROUP BY host, shape, alike),
-v AS (SELECT host AS vh, t1 AS vt, shape AS vs, rejected FROM c JOIN m ON host = mh AND shape = ms AND alike = ma),
-j AS (SELECT DISTINCT host AS jh, path AS jp, t1, shape FROM t),
-w AS (SELECT jh, jp, rejected FROM j JOIN v ON jh = vh AND t1 = vt AND shape = vs)
-SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE rule {verdict} END WHEN rejected THEN 'block' ELSE 'allow' END AS verdict
-FROM r JOIN w ON host = jh AND path = jp
-"""
+    out = {
+        "u": f"SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce(url, '') AS url FROM pages)",
+        "r": f"SELECT page_id, host, path, CASE {rule} END AS rule FROM u",
+        "d": f"SELECT host, path, CASE rule {verdict} END AS label, count(*) AS n FROM r GROUP BY host, path, CASE rule {verdict} END",
+        "s": "SELECT *, regexp_extract(path, '^(/[^/]*)', 1) AS r1, regexp_extract(path, '^/[^/]*(/[^/]*)', 1) AS r2, regexp_extract(path, '^/[^/]*/[^/]*(/[^/]*)', 1) AS r3, CASE WHEN regexp_extract(path, '^/[^/]*/[^/]*/[^/]*(/)', 1) = '/' THEN '/**' ELSE '' END AS rest FROM d",
+        "l0": f"SELECT host, path, label, n, rest, {segment(1)}, {segment(2)}, {segment(3)} FROM s",
+    }
+    for k, before in ((1, "''"), (2, "t1"), (3, "concat(t1, t2)")):
+        out[f"n{k}"] = f"SELECT host AS h{k}, {before} AS b{k}, count(DISTINCT s{k}) AS kids{k}, sum(n) AS urls{k} FROM l{k - 1} GROUP BY host, {before}"
+        variable = f"kids{k} > {most_children} OR (urls{k} >= 10 AND kids{k} * 10 >= urls{k} * 9)"
+        out[f"l{k}"] = f"SELECT x.*, CASE WHEN s{k} IN ('', '/') THEN s{k} WHEN {variable} THEN '/*' ELSE s{k} END AS t{k} FROM l{k - 1} x JOIN n{k} ON host = h{k} AND {before} = b{k}"
+    return out | {
+        "t": "SELECT host, path, label, n, t1, concat(t2, t3, rest) AS shape FROM l3",
+        "p": "SELECT host, t1, shape, sum(CASE WHEN label IS NULL THEN 0 ELSE n END) AS labels, sum(CASE WHEN label = 'block' THEN n ELSE 0 END) AS blocks FROM t GROUP BY host, t1, shape",
+        "c": "SELECT *, CASE WHEN labels = 0 THEN -1 ELSE floor(blocks * 10 / labels) END AS alike FROM p",
+        "m": f"SELECT host AS mh, shape AS ms, alike AS ma, (sum(blocks) + 1) / (sum(labels) + 2.0) >= {purity} AS rejected FROM c GROUP BY host, shape, alike",
+        "v": "SELECT host AS vh, t1 AS vt, shape AS vs, rejected FROM c JOIN m ON host = mh AND shape = ms AND alike = ma",
+        "j": "SELECT DISTINCT host AS jh, path AS jp, t1, shape FROM t",
+        "w": "SELECT jh, jp, rejected FROM j JOIN v ON jh = vh AND t1 = vt AND shape = vs",
+        "result": f"SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE rule {verdict} END WHEN rejected THEN 'block' ELSE 'allow' END AS verdict FROM r JOIN w ON host = jh AND path = jp",
+    }
+
+
+def sql(rules: Sequence[tuple[str, str, str]] = RULES, purity: float = PURITY, most_children: int = MOST_CHILDREN) -> str:
+    """All parts as one query over ``pages``."""
+    *named, (_, last) = parts(rules, purity, most_children).items()
+    return f"WITH {', '.join(f'{name} AS ({text})' for name, text in named)} {last}"
+
+
+#: Parts that are written: groups' rows, so that a large host's join can be split, and what several parts read.
+WRITTEN = frozenset(["d", "n1", "n2", "n3", "t", "v", "w"])
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, purity: float = PURITY, most_children: int = MOST_CHILDREN) -> DataFrame:
@@ -63,5 +78,11 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, purit
 
     A null url, or one without ://, has an empty host and path. Repeated rows are each returned.
     """
-    spark = pages.sparkSession
-    return spark.sql(sql(rules, purity, most_children, "{pages}"), pages=pages.select("page_id", "url"))
+    spark, made = pages.sparkSession, {"pages": pages.select("page_id", "url")}
+    for name, text in parts(rules, purity, most_children).items():
+        used = {x for x in re.findall(r"(?:FROM|JOIN) (\w+)", text) if x in made}
+        for x in used:
+            text = re.sub(rf"\b(FROM|JOIN) {x}\b", rf"\1 {{{x}}}", text)
+        df = spark.sql(text, **{x: made[x] for x in used})
+        made[name] = keep(df, name) if name in WRITTEN else df
+    return made["result"]
