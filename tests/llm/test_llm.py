@@ -515,7 +515,7 @@ def test_near_duplicates_of_large_families(spark):
         texts.append(" ".join(chain))
     made = list(enumerate(texts))
     docs = spark.createDataFrame(made, "doc_id long, text string")
-    found = _with(near_dup, "BLOCK", 8, lambda: _with(store, "HOT", 12, lambda: near_dup.near_duplicates(docs, 85).collect()))
+    found = _with(near_dup, "BLOCK", 8, lambda: near_dup.near_duplicates(docs, 85).collect())
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(made, 85)
 
 
@@ -528,7 +528,9 @@ def test_one_of_each_keeps_columns_and_one_row(spark):
     assert near_dup.near_duplicates(docs.limit(0), 85).count() == 0
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("many", [0, 10**6])
+def test_components_of_a_path_and_a_star(spark, many, monkeypatch):
+    monkeypatch.setattr(components, "MANY_EDGES", many)
     edges = [(k, k + 1) for k in range(100, 160)] + [(5, k) for k in range(200, 260)] + [(9, 9)]
     found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {**{k: 100 for k in range(100, 161)}, **{k: 5 for k in range(200, 260)}, 5: 5}

@@ -15,7 +15,8 @@ Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of wor
    component. A block emits the links that join its components, fewer than it has members.
 4. Components of all verified links.
 
-Large groups are split by a hash of the member, so no task holds more than two chunks of a family.
+Large groups are split by a hash of the member, so no task holds more than two chunks of a family; joins
+of members with their group are such that adaptive execution can split them.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scan import mix, shingle_sets
-from .store import keep, partitions
+from .store import join_groups, keep, partitions
 
 WIDTH = 5
 BANDS, ROWS = 32, 7
@@ -161,10 +162,10 @@ def links(profiles: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Verified links between classes, enough to make their components. ``profiles``: one row per class."""
     keys = profiles.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     least = keys.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = keep(keys.join(least, F.col("key") == F.col("k")).where("id != hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct(), "pairs")
+    pairs = keep(join_groups(keys, least, F.col("key") == F.col("k")).where("id != hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct(), "pairs")
     families = keep(components(pairs), "families")
     sizes = families.groupBy(F.col("root").alias("family")).agg(F.count(F.lit(1)).alias("n"))
-    members = families.join(sizes, F.col("root") == F.col("family")).select(F.col("node").alias("id"), "family", "n")
+    members = join_groups(families, sizes, F.col("root") == F.col("family")).select(F.col("node").alias("id"), "family", "n")
     small = members.where(F.col("n") <= BLOCK).select(F.xxhash64("family").alias("block"), F.lit(0).alias("side"), "id", F.col("id").alias("comp"))
     found = keep(_verified(small, profiles, docs, percent), "links")
     large = members.where(F.col("n") > BLOCK)
@@ -175,7 +176,7 @@ def links(profiles: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     large = keep(large, "large")
     spokes = pairs.join(large.select(F.col("id").alias("i"), "family"), F.col("u") == F.col("i")).select("u", "v")
     by_hub = spokes.groupBy(F.col("v").alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    dealt = spokes.join(by_hub, F.col("v") == F.col("h"))
+    dealt = join_groups(spokes, by_hub, F.col("v") == F.col("h"))
     chunk, _ = _chunks(F.col("n"), F.col("u"))
     dealt = dealt.select("u", F.col("v").alias("hub"), F.xxhash64("v", chunk).alias("block"))
     first = dealt.select("block", F.lit(1).alias("side"), F.col("u").alias("id"), F.col("u").alias("comp")).union(dealt.select("block", F.lit(0), F.col("hub"), F.col("hub")).distinct())
@@ -186,11 +187,13 @@ def links(profiles: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     parts = components(spoken).select(F.col("node"), F.col("root").alias("comp"))
     apart = large.join(parts, F.col("id") == F.col("node"), "left").select("id", "family", F.coalesce("comp", "id").alias("comp"))
     counts = apart.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("c"))
-    counts = counts.withColumn("main", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("c"), "comp")) == 1)
-    totals = counts.groupBy(F.col("family").alias("f"), F.col("main").alias("m")).agg(F.sum("c").alias("n"))
-    open_families = totals.where("not m").select(F.col("f").alias("o"))
-    marked = apart.join(counts.select(F.col("family").alias("cf"), F.col("comp").alias("cc"), "main"), (F.col("family") == F.col("cf")) & (F.col("comp") == F.col("cc"))).drop("cf", "cc")
-    marked = marked.join(open_families, F.col("family") == F.col("o"), "left_semi").join(totals, (F.col("family") == F.col("f")) & (F.col("main") == F.col("m"))).drop("f", "m")
+    best = F.min(F.struct((-F.col("c")).alias("c"), "comp"))
+    of_family = counts.groupBy(F.col("family").alias("f")).agg(best.alias("best"), F.sum("c").alias("all"))
+    rest = F.col("all") + F.col("best")["c"]
+    counts = join_groups(counts, of_family, F.col("family") == F.col("f")).where(rest > 0)
+    main = F.col("comp") == F.col("best")["comp"]
+    of_part = counts.select(F.col("family").alias("cf"), F.col("comp").alias("cc"), main.alias("main"), F.when(main, F.col("c")).otherwise(rest).alias("n"))
+    marked = join_groups(apart, of_part, (F.col("family") == F.col("cf")) & (F.col("comp") == F.col("cc"))).select("id", "family", "comp", "main", "n")
     chunk, _ = _chunks(F.col("n"), F.col("id"))
     marked = keep(marked.select("id", "family", "comp", "main", chunk.alias("chunk")), "chunks")
     kinds = marked.select("family", "main", "chunk").distinct()
@@ -215,7 +218,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     profiles = keep(docs.mapInArrow(_profile, "doc_id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"), "profiles")
     usable = profiles.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy(F.col("set_a").alias("a"), F.col("set_b").alias("b")).agg(F.min("doc_id").alias("class"))
-    members = keep(usable.select("doc_id", "set_a", "set_b").join(classes, (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b"))).select("doc_id", "class").distinct(), "members")
+    members = keep(join_groups(usable.select("doc_id", "set_a", "set_b"), classes, (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b"))).select("doc_id", "class").distinct(), "members")
     firsts = usable.join(members.select(F.col("class").alias("c")).distinct(), F.col("doc_id") == F.col("c"), "left_semi")
     # A doc_id with several sets ties their classes together.
     ties = members.where("doc_id != class").select(F.col("doc_id").alias("u"), F.col("class").alias("v"))

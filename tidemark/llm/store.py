@@ -8,7 +8,7 @@ import types
 import uuid
 from collections.abc import Callable, Hashable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,3 +51,12 @@ def of_worker(key: Hashable, make: Callable):
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: Column) -> DataFrame:
+    """``rows`` with their group's row, of counts or least values by key.
+
+    A group may hold a large part of all rows. The groups are written first: then both sides of the join are
+    plain exchanges, of which adaptive execution splits the large partitions.
+    """
+    return rows.join(keep(groups, "groups"), on)
