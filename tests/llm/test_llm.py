@@ -528,6 +528,13 @@ def test_one_of_each_keeps_columns_and_one_row(spark):
     assert near_dup.near_duplicates(docs.limit(0), 85).count() == 0
 
 
+def test_a_row_repeated_many_times(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty " * 2
+    docs = spark.createDataFrame([(5, text)] * 3000 + [(3, text + "more"), (9, "something else that is not like it")], "doc_id long, text string")
+    found = near_dup.near_duplicates(docs, 85).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(tuple(r) for r in found) == [(3, 3, 1), (5, 3, 3000), (9, 9, 1)]
+
+
 @pytest.mark.parametrize("many", [0, 10**6])
 def test_components_of_a_path_and_a_star(spark, many, monkeypatch):
     monkeypatch.setattr(components, "MANY_EDGES", many)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scan import mix, shingle_sets
-from .store import join_groups, keep, partitions
+from .store import join_groups, keep, partitions, release
 
 WIDTH = 5
 BANDS, ROWS = 32, 7
@@ -65,6 +65,7 @@ def _fingerprint(codes: np.ndarray) -> tuple[int, int]:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
@@ -81,6 +82,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array(signature, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "set_a", "set_b", "signature", "bands"],
             )
+    release()
 
 
 class _Joined:
@@ -133,6 +135,7 @@ def _verified(blocks: DataFrame, profiles: DataFrame, docs: DataFrame, percent:
     rows = blocks.join(marks, F.col("id") == F.col("s")).join(texts, F.col("id") == F.col("t")).select("block", "side", "id", "comp", "signature", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -148,6 +151,7 @@ def _verified(blocks: DataFrame, profiles: DataFrame, docs: DataFrame, percent:
                     yield flush()
                 held.append(row)
         yield flush()
+        release()
 
     return rows.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block").mapInArrow(run, "u long, v long")
 
@@ -158,14 +162,14 @@ def _chunks(n, member):
     return F.pmod(F.xxhash64(member), count), count
 
 
-def links(profiles: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Verified links between classes, enough to make their components. ``profiles``: one row per class."""
-    keys = profiles.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+def links(firsts: DataFrame, profiles: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Verified links between classes, enough to make their components. ``firsts``: the classes' rows of ``profiles``."""
+    keys = firsts.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     least = keys.groupBy(F.col("key").alias("k")).agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     pairs = keep(join_groups(keys, least, F.col("key") == F.col("k")).where("id != hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct(), "pairs")
     families = keep(components(pairs), "families")
     sizes = families.groupBy(F.col("root").alias("family")).agg(F.count(F.lit(1)).alias("n"))
-    members = join_groups(families, sizes, F.col("root") == F.col("family")).select(F.col("node").alias("id"), "family", "n")
+    members = keep(join_groups(families, sizes, F.col("root") == F.col("family")).select(F.col("node").alias("id"), "family", "n"), "sized")
     small = members.where(F.col("n") <= BLOCK).select(F.xxhash64("family").alias("block"), F.lit(0).alias("side"), "id", F.col("id").alias("comp"))
     found = keep(_verified(small, profiles, docs, percent), "links")
     large = members.where(F.col("n") > BLOCK)
@@ -173,7 +177,6 @@ def links(profiles: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         return found
 
     # Members against the least members of their buckets, so many at a time.
-    large = keep(large, "large")
     spokes = pairs.join(large.select(F.col("id").alias("i"), "family"), F.col("u") == F.col("i")).select("u", "v")
     by_hub = spokes.groupBy(F.col("v").alias("h")).agg(F.count(F.lit(1)).alias("n"))
     dealt = join_groups(spokes, by_hub, F.col("v") == F.col("h"))
@@ -217,12 +220,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profiles = keep(docs.mapInArrow(_profile, "doc_id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"), "profiles")
     usable = profiles.where("n_shingles > 0 and doc_id is not null")
+    if not usable.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows would meet each other in joins by id
+        usable, docs = usable.dropDuplicates(["doc_id", "set_a", "set_b"]), docs.distinct()
     classes = usable.groupBy(F.col("set_a").alias("a"), F.col("set_b").alias("b")).agg(F.min("doc_id").alias("class"))
     members = keep(join_groups(usable.select("doc_id", "set_a", "set_b"), classes, (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b"))).select("doc_id", "class").distinct(), "members")
     firsts = usable.join(members.select(F.col("class").alias("c")).distinct(), F.col("doc_id") == F.col("c"), "left_semi")
     # A doc_id with several sets ties their classes together.
     ties = members.where("doc_id != class").select(F.col("doc_id").alias("u"), F.col("class").alias("v"))
-    roots = components(links(firsts, docs.where("doc_id is not null"), percent).union(ties))
+    roots = components(links(firsts, usable, docs.where("doc_id is not null"), percent).union(ties))
     roots = roots.select(F.col("node"), F.col("root"))
     out = profiles.select("doc_id", "n_shingles").join(roots, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("root", "doc_id")
