@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import release
+
 RATE = 0.05
 MIN_PIECE = 12
 #: Characters of items in one automaton; more items are searched for in several blocks.
@@ -131,9 +133,11 @@ def occurrences(docs: DataFrame, items: DataFrame, rate: float = RATE, min_piece
 def _holds(block: list[tuple[int, str]], rate: float, min_piece: int):
     @F.pandas_udf("boolean")
     def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         search = Items(block, rate, min_piece).search
         for texts in batches:
             yield pd.Series([bool(search(t)) for t in texts], dtype=bool)
+        release()
 
     return holds
 

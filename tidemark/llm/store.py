@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -60,3 +61,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: Column) -> DataFrame:
     plain exchanges, of which adaptive execution splits the large partitions.
     """
     return rows.join(keep(groups, "groups"), on)
+
+
+def release(keep_made: bool = False) -> None:
+    """Give back what earlier tasks left in this worker's process: things made by ``of_worker``, and freed memory."""
+    kept = sys.modules.get("_tidemark_worker")
+    if kept is not None and not keep_made:
+        kept.__dict__.clear()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library

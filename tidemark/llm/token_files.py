@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scan import Slice, slices
-from .store import of_worker, partitions
+from .store import of_worker, partitions, release
 
 #: Words of a worker's table, of some 60 bytes each; beyond that it starts anew.
 MEMO_WORDS = 1_000_000
@@ -165,6 +165,7 @@ def _encoder(tokenizer_file: str, end_id: int):
                     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
                     some = part.slice(i, j - i)
                     yield pa.RecordBatch.from_arrays([some.column("row"), some.column("doc_id"), pa.array(counts + 1), lists], ["row", "doc_id", "n_tokens", "ids"])
+        release(keep_made=True)
 
     return encode
 
