@@ -424,6 +424,16 @@ def test_urls_learn_from_labelled_templates(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sections", [40, 60])
+def test_urls_verdicts_do_not_switch_with_the_number_of_sections(spark, sections):
+    made = [f"http://h.com/s{chr(97 + k // 26)}{chr(97 + k % 26)}/{p}" for k in range(sections) for p in range(4)] + [f"http://h.com/de/{p}" for p in range(3)]
+    pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    found = {r.page_id: r.verdict for r in urls.judge(pages, [("block", "h.com", "/de/")]).collect()}
+    assert [found[k] for k in range(len(made))] == ["allow"] * (4 * sections) + ["block"] * 3
+    single = [("block", "h.com", f"/s{x}/") for x in ("aa", "ab")]  # too few labels for so many urls
+    assert sum(r.verdict == "block" for r in urls.judge(pages, single).collect()) == 8
+
+
 # 9 Decontamination
 
 

@@ -2,10 +2,15 @@
 
 Per host, paths make a tree of segments. Level by level a segment becomes a wildcard: first by its form
 (digits with or without an ending, long hexadecimal strings), then where a node has many children or
-nearly as many as urls. What is below LEVELS segments is one wildcard. Of the templates of a host that differ
+nearly as many as urls and the child itself is rare: it has fewer than RARE paths, and too few labels for
+a verdict of its own. What is below three segments is one wildcard. Of the templates of a host that differ
 in their first segment only, those alike in labelled share (within a tenth, or all unlabelled) are merged.
 A template is rejected where its smoothed share of labelled blocks, (blocks + 1) / (labels + 2), is
-``purity`` at least, so it takes some labels, nearly all of them blocks.
+``purity`` at least and SUPPORT of its urls have labels, so it takes labels for a good part of it, nearly
+all of them blocks.
+
+``sql`` is the registered SQL, kept as it was: it makes wildcards of all children of a node, without regard to
+RARE and SUPPORT. It has the same verdicts while no node with a wildcard has such children or labels.
 
 Labels are the verdicts of the rules on the urls that they fit; the method judges the others. Rules are
 a short list and become one expression.
@@ -13,6 +18,7 @@ a short list and become one expression.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
@@ -25,6 +31,10 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: A node with more children than this, or with MANY_SHARE of its urls as children, has variable ones.
 MOST_CHILDREN = 50
 PURITY = 0.8
+#: A child with so many paths is no wildcard.
+RARE = 10
+#: The least share of a rejected template's urls that have labels.
+SUPPORT = 0.1
 
 
 def _quote(x: str) -> str:
@@ -69,8 +79,32 @@ def sql(rules: Sequence[tuple[str, str, str]] = RULES, purity: float = PURITY, m
     return f"WITH {', '.join(f'{name} AS ({text})' for name, text in named)} {last}"
 
 
+def judged_parts(rules: Sequence[tuple[str, str, str]] = RULES, purity: float = PURITY, most_children: int = MOST_CHILDREN) -> dict[str, str]:
+    """``parts`` with wildcards for rare children only, and with support."""
+    enough = math.ceil(round((2 * purity - 1) / (1 - purity), 9)) if purity < 1 else math.inf
+    unsure = "" if enough == math.inf else f" AND labels < {max(enough, 1)}"
+    out = {}
+    for name, text in parts(rules, purity, most_children).items():
+        if name in ("n1", "n2", "n3"):
+            k, before = name[1], ("''", "t1", "concat(t1, t2)")[int(name[1]) - 1]
+            out[f"g{k}"] = f"SELECT host AS gh, {before} AS gb, s{k} AS gs, count(*) AS paths, sum(n) AS rows, sum(CASE WHEN label IS NULL THEN 0 ELSE n END) AS labels FROM l{int(k) - 1} GROUP BY host, {before}, s{k}"
+            text = f"SELECT gh AS h{k}, gb AS b{k}, count(*) AS kids{k}, sum(rows) AS urls{k} FROM g{k} GROUP BY gh, gb"
+        elif name in ("l1", "l2", "l3"):
+            k, before = name[1], ("''", "t1", "concat(t1, t2)")[int(name[1]) - 1]
+            variable = f"(kids{k} > {most_children} OR (urls{k} >= 10 AND kids{k} * 10 >= urls{k} * 9)) AND paths < {RARE}{unsure}"
+            out[f"e{k}"] = f"SELECT gh, gb, gs, CASE WHEN gs IN ('', '/') THEN gs WHEN {variable} THEN '/*' ELSE gs END AS t{k} FROM g{k} JOIN n{k} ON gh = h{k} AND gb = b{k}"
+            earlier = "".join(f", t{i}" for i in range(1, int(k)))
+            text = f"SELECT host, path, label, n, rest, s1, s2, s3{earlier}, t{k} FROM (SELECT *, {before} AS before FROM l{int(k) - 1}) JOIN e{k} ON host = gh AND before = gb AND s{k} = gs"
+        elif name == "p":
+            text = text.replace("sum(CASE WHEN label IS NULL", "sum(n) AS urls, sum(CASE WHEN label IS NULL", 1)
+        elif name == "m":
+            text = text.replace(" AS rejected", f" AND sum(labels) >= {SUPPORT} * sum(urls) AS rejected")
+        out[name] = text
+    return out
+
+
 #: Parts that are written: groups' rows, so that a large host's join can be split, and what several parts read.
-WRITTEN = frozenset(["d", "n1", "n2", "n3", "t", "v", "w"])
+WRITTEN = frozenset(["d", "g1", "g2", "g3", "n1", "n2", "n3", "e1", "e2", "e3", "t", "v", "w"])
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, purity: float = PURITY, most_children: int = MOST_CHILDREN) -> DataFrame:
@@ -79,7 +113,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, purit
     A null url, or one without ://, has an empty host and path. Repeated rows are each returned.
     """
     spark, made = pages.sparkSession, {"pages": pages.select("page_id", "url")}
-    for name, text in parts(rules, purity, most_children).items():
+    for name, text in judged_parts(rules, purity, most_children).items():
         used = {x for x in re.findall(r"(?:FROM|JOIN) (\w+)", text) if x in made}
         for x in used:
             text = re.sub(rf"\b(FROM|JOIN) {x}\b", rf"\1 {{{x}}}", text)
