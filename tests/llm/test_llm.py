@@ -149,6 +149,12 @@ def test_secrets_are_told_from_numbers(spark):
     assert all(r.kept != truth[r.doc_id, r.candidate] for r in turned)
 
 
+def test_secrets_of_any_length_and_characters_are_candidates(spark):
+    made = ['the password = "hunter2!x" is', "api_key: abc.def~1", "DB_PASSWD=s3cr$t", 'say "q!z7" now', "pwd => ab", "auth_token ='x9 y'", "don't l'eau d'or password is"]
+    found = secrets.candidates(spark.createDataFrame([(k, t, "s") for k, t in enumerate(made)], "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id, r.candidate) for r in found) == [(0, "hunter2!x"), (1, "abc.def~1"), (2, "s3cr$t"), (3, "q!z7"), (4, "ab"), (5, "x9")]
+
+
 def test_secrets_without_findings(spark, no_docs):
     assert secrets.scan(no_docs).count() == 0
 

@@ -1,7 +1,7 @@
 """Secret scan: a random forest that tells findings from false positives, with DataFrame functions only.
 
-Candidates are runs of 16 or more letters, digits and ``_+/=-`` with a digit, in a word of the whole text.
-The forest sees a candidate's length, its transitions between letters and digits, its shares of digits,
+Candidates are, in the words of the whole text, runs of 16 or more letters, digits and ``_+/=-`` with a digit;
+whatever stands between quotes; and, of any length and characters, the value assigned to a keyword. The forest sees a candidate's length, its transitions between letters and digits, its shares of digits,
 capitals, hexadecimal and distinct characters, the share of it that is dictionary words, the path (source) and
 the neighbouring words. It is trained on labelled findings, LABELLED at most.
 
@@ -20,6 +20,15 @@ from .store import keep
 
 CANDIDATE = "(?<![A-Za-z0-9_+/=\\-])(?=[A-Za-z_+/=\\-]*[0-9])[A-Za-z0-9_+/=\\-]{16,}"
 KEYWORD = "(?i)^[\"'`({\\[]*[a-z0-9_.-]*(token|secret|passw|pwd|api_?key|credential|auth|private)[a-z0-9_.-]*[\"'`]*[=:]*$"
+_KEY = "[a-z0-9_.-]*(?:token|secret|passw|pwd|api_?key|credential|auth|private)[a-z0-9_.-]*[\"'`]*"
+#: A keyword and what is assigned to it in one word; a word that only assigns; quoted parts of a word (the second group).
+INLINE = f"(?i)(?:^|[^a-z0-9_.-]){_KEY}(?:=>|:=|[=:]+)(.+)$"
+KEY_ENDS = f"(?i)(?:^|[^a-z0-9_.-]){_KEY}(?:=>|:=|[=:]+)$"
+ASSIGNS = "^(?:=>|:=|[=:]+)$"
+STARTS = "^(?:=>|:=|[=:]+)(.+)$"
+QUOTED = r"""(?<![\p{L}\p{N}])(["'`])((?:(?!\1).)+)\1(?![\p{L}\p{N}])"""
+#: Texts that may hold candidates of the latter kinds.
+MAYBE = f"(?i){_KEY}[\\x20\\x09-\\x0D]*[=:]|[\"'`]\\S+[\"'`]"
 LABELLED = 20_000
 DICTIONARY_DOCS = 3
 FEATURES = ["length", "transitions", "digits", "capitals", "hexadecimal", "distinct", "dictionary", "path", "before", "before2", "after", "keyword", "assigned", "quoted"]
@@ -27,12 +36,19 @@ FEATURES = ["length", "transitions", "digits", "capitals", "hexadecimal", "disti
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, path, place, candidate, word, before2, before, after): every candidate with its neighbours; ``place`` counts words from 0."""
-    some = docs.where(F.col("text").rlike(CANDIDATE)).select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), F.split(F.col("text"), "[\\x20\\x09-\\x0D]+").alias("w"))
-    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get(F.col("w"), i).rlike(CANDIDATE))
+    some = docs.where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(MAYBE)).select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), F.split(F.col("text"), "[\\x20\\x09-\\x0D]+").alias("w"))
+    of = lambda i: F.coalesce(F.get(F.col("w"), i), F.lit(""))
+    after_key = lambda i: of(i - 1).rlike(KEY_ENDS) | (of(i - 2).rlike(KEYWORD) & of(i - 1).rlike(ASSIGNS)) | (of(i - 1).rlike(KEYWORD) & of(i).rlike(STARTS))
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: of(i).rlike(CANDIDATE) | of(i).rlike(QUOTED) | of(i).rlike(INLINE) | (after_key(i) & ~of(i).rlike(ASSIGNS)))
     found = some.select("doc_id", "path", "w", F.explode(at).alias("place"))
     near = lambda k: F.coalesce(F.get(F.col("w"), F.col("place") + k), F.lit(""))
-    found = found.select("doc_id", "path", F.col("place").cast("long").alias("place"), near(0).alias("word"), near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"))
-    return found.withColumn("candidate", F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))))
+    found = found.select("doc_id", "path", F.col("place").cast("long").alias("place"), near(0).alias("word"), near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"), after_key(F.col("place")).alias("follows"))
+    inline = F.regexp_extract("word", INLINE, 1)
+    value = F.when(F.length(inline) > 0, inline).when(F.col("follows"), F.regexp_replace("word", "^(?:=>|:=|[=:]+)", "")).otherwise("")
+    closed = F.regexp_extract(value, "^([\"'`])(.+)\\1", 2)
+    value = F.when(F.length(closed) > 0, closed).otherwise(F.regexp_replace(value, "^[\"'`]+|[\"'`]*[,;]*$", ""))
+    all_of = F.array_distinct(F.concat(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)), F.regexp_extract_all("word", F.lit(QUOTED), F.lit(2)), F.array(value)))
+    return found.withColumn("candidate", F.explode(F.filter(all_of, lambda x: F.length(x) > 0))).drop("follows")
 
 
 def _share(of: str) -> Column:
@@ -63,8 +79,8 @@ def described(docs: DataFrame) -> DataFrame:
         (F.coalesce("covered", F.lit(0)) / F.length("candidate")).alias("dictionary"),
         (F.crc32(F.col("path").cast("binary")) % 64).cast("double").alias("path"),
         bucket(F.col("before")).alias("before"), bucket(F.col("before2")).alias("before2"), bucket(F.col("after")).alias("after"),
-        (F.col("before").rlike(KEYWORD) | F.col("before2").rlike(KEYWORD) | F.regexp_extract("word", "^(.*?[=:])", 1).rlike(KEYWORD)).cast("double").alias("keyword"),
-        (F.col("before").rlike("[=:]$") | F.regexp_extract("word", "^([^=:]*[=:])", 1).rlike("^[A-Za-z_.\"'-]+[=:]$")).cast("double").alias("assigned"),
+        (F.col("before").rlike(KEYWORD) | F.col("before2").rlike(KEYWORD) | F.col("before").rlike(KEY_ENDS) | F.regexp_extract("word", "^(.*?[=:])", 1).rlike(KEYWORD) | F.col("word").rlike(INLINE)).cast("double").alias("keyword"),
+        (F.col("before").rlike("[=:]$|=>$") | F.col("word").rlike(STARTS) | F.col("word").rlike(INLINE) | F.regexp_extract("word", "^([^=:]*[=:])", 1).rlike("^[A-Za-z_.\"'-]+[=:]$")).cast("double").alias("assigned"),
         F.col("word").rlike("[\"'`]").cast("double").alias("quoted"),
     )
 
