@@ -155,6 +155,24 @@ def test_secrets_of_any_length_and_characters_are_candidates(spark):
     assert sorted((r.doc_id, r.candidate) for r in found) == [(0, "hunter2!x"), (1, "abc.def~1"), (2, "s3cr$t"), (3, "q!z7"), (4, "ab"), (5, "x9")]
 
 
+def test_bare_keys_are_kept_and_words_are_not(spark):
+    rng = random.Random(7)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    moves = lambda x: len(re.findall("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])", x)) / len(x)
+    keys = []
+    while len(keys) < 40:  # few transitions between letters and digits
+        key = "".join(rng.choice(base62) for _ in range(rng.choice([20, 36, 40])))
+        if moves(key) < 0.2 and re.search("[0-9]", key):
+            keys.append(key)
+    made = [(k, f'{prose(rng, 5)} {key} {prose(rng, 5)} {4000000000000000 + k} password = "hunter{k}!x" said "wonderful"', "s") for k, key in enumerate(keys)]
+    made += [(100, "wonderful", "s"), (101, "wonderful", "s"), (102, "wonderful", "s")]
+    found = secrets.scan(spark.createDataFrame(made, "doc_id long, text string, source string")).collect()
+    by = {(r.doc_id, r.candidate): r.kept for r in found}
+    assert sum(by[k, key] for k, key in enumerate(keys)) >= 36
+    assert all(by[k, f"hunter{k}!x"] for k in range(40))
+    assert not any(by[k, "wonderful"] or by[k, str(4000000000000000 + k)] for k in range(40))
+
+
 def test_secrets_without_findings(spark, no_docs):
     assert secrets.scan(no_docs).count() == 0
 

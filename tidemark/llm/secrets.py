@@ -1,7 +1,7 @@
 """Secret scan: a random forest that tells findings from false positives, with DataFrame functions only.
 
 Candidates are, in the words of the whole text, runs of 16 or more letters, digits and ``_+/=-`` with a digit;
-whatever stands between quotes; and, of any length and characters, the value assigned to a keyword. The forest sees a candidate's length, its transitions between letters and digits, its shares of digits,
+whatever stands between quotes; and, of any length and characters, the value assigned to a keyword. The forest sees a candidate's length, its transitions between letters and digits and switches between small and capital letters and digits, its shares of digits,
 capitals, hexadecimal and distinct characters, the share of it that is dictionary words, the path (source) and
 the neighbouring words. It is trained on labelled findings, LABELLED at most.
 
@@ -31,7 +31,9 @@ QUOTED = r"""(?<![\p{L}\p{N}])(["'`])((?:(?!\1).)+)\1(?![\p{L}\p{N}])"""
 MAYBE = f"(?i){_KEY}[\\x20\\x09-\\x0D]*[=:]|[\"'`]\\S+[\"'`]"
 LABELLED = 20_000
 DICTIONARY_DOCS = 3
-FEATURES = ["length", "transitions", "digits", "capitals", "hexadecimal", "distinct", "dictionary", "path", "before", "before2", "after", "keyword", "assigned", "quoted"]
+#: Forms that issuers give their keys.
+KNOWN = "^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{8,}\\.eyJ.*)$"
+FEATURES = ["length", "transitions", "switches", "digits", "capitals", "hexadecimal", "distinct", "dictionary", "path", "before", "before2", "after", "keyword", "assigned", "quoted"]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -74,6 +76,7 @@ def described(docs: DataFrame) -> DataFrame:
         "doc_id", "place", "candidate",
         F.length("candidate").cast("double").alias("length"),
         (F.regexp_count("candidate", F.lit("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")) / F.length("candidate")).alias("transitions"),
+        (F.regexp_count("candidate", F.lit("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[0-9a-z])|(?<=[a-z])(?=[0-9A-Z])")) / F.length("candidate")).alias("switches"),
         _share("[0-9]").alias("digits"), _share("[A-Z]").alias("capitals"), _share("[0-9a-fA-F]").alias("hexadecimal"),
         (F.size(F.array_distinct(F.split("candidate", ""))) / F.length("candidate")).alias("distinct"),
         (F.coalesce("covered", F.lit(0)) / F.length("candidate")).alias("dictionary"),
@@ -86,9 +89,17 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def rule_labels(found: DataFrame) -> DataFrame:
-    """Labels of findings whose form leaves no doubt: 1 for a quoted value of mixed letters and digits after a keyword, 0 for plain numbers and plain words."""
-    sure = (F.col("keyword") == 1) & (F.col("quoted") == 1) & (F.col("digits") > 0) & (F.col("digits") < 1) & (F.col("length") >= 20)
-    plain = (F.col("digits") == 1) | ((F.col("keyword") == 0) & (F.col("quoted") == 0) & (F.col("transitions") < 0.2))
+    """Labels of findings whose form leaves no doubt.
+
+    1 for a quoted value of mixed letters and digits after a keyword, a known form of key, and a bare value that
+    switches between small and capital letters and digits as random ones do; 0 for numbers and for candidates
+    mostly of dictionary words.
+    """
+    plain = (F.col("digits") == 1) | (F.col("dictionary") > 0.5)
+    mixed = (F.col("digits") > 0) & (F.col("digits") < 1) & ~plain
+    valued = (F.col("keyword") == 1) & (F.col("quoted") == 1) & ((F.col("length") >= 20) | (F.col("assigned") == 1) & (F.col("length") >= 8))
+    random = (F.col("length") >= 20) & (F.col("switches") >= 0.4) & (F.col("capitals") >= 0.15) & (F.col("capitals") + F.col("digits") <= 0.85) & (F.col("distinct") >= 0.4) & F.col("candidate").rlike("^[A-Za-z0-9]+$")
+    sure = F.col("candidate").rlike(KNOWN) | (mixed & (valued | random))
     return found.where(sure | plain).withColumn("label", sure.cast("double"))
 
 
@@ -96,7 +107,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, labels: int = LABEL
     """(doc_id, place, candidate, probability, kept) of every candidate of ``docs(doc_id, text, source)``.
 
     ``labelled(doc_id, place, candidate, label)`` are findings known to be secrets (1) or not (0); without
-    them, those of ``rule_labels``. Of more than ``labels`` those of the least hashes are used. Without
+    them, those of ``rule_labels``, half of them of each kind at most. Of more than ``labels`` those of the least hashes are used. Without
     findings of both kinds nothing is removed: each is kept with probability 1. Null texts hold none.
     """
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("source"))
@@ -106,7 +117,10 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, labels: int = LABEL
     else:
         given = labelled.select(F.col("doc_id").alias("d"), F.col("place").alias("p"), F.col("candidate").alias("c"), F.col("label").cast("double").alias("label")).distinct()
         known = found.join(given, (F.col("doc_id") == F.col("d")) & (F.col("place") == F.col("p")) & (F.col("candidate") == F.col("c")))
-    known = keep(known.select(*FEATURES, "label", F.xxhash64("candidate", "doc_id", "place").alias("h")).orderBy("h").limit(labels).drop("h"), "labelled")
+    known = known.select(*FEATURES, "label", F.xxhash64("candidate", "doc_id", "place").alias("h"))
+    least = lambda some, n: some.orderBy("h").limit(n).drop("h")
+    # By kind, as plain quoted words would leave no room for the few secrets.
+    known = keep(least(known.where("label = 1"), labels // 2).union(least(known.where("label = 0"), labels // 2)) if labelled is None else least(known, labels), "labelled")
     kinds = known.groupBy("label").count().count()
     if kinds < 2:
         return found.select("doc_id", "place", "candidate", F.lit(1.0).alias("probability"), F.lit(True).alias("kept"))
