@@ -412,6 +412,11 @@ def _with(module, name, value, run):
         setattr(module, name, old)
 
 
+@pytest.mark.parametrize("attributes, shown", [("style='overflow:hidden'", True), ('style="overflow-x: hidden"', True), ("class='md:hidden'", True), ('title="Hidden gems"', True), ("data-x='display:none'", True), ("class=a title=hidden", True), ("hidden", False), ("hidden=''", False), ("id=a hidden class=b", False), ("style='color:red; Display : none'", False)])
+def test_html_hidden_is_an_attribute_or_a_style(attributes, shown):
+    assert html_text.main_text(f"<article><div {attributes}><p>Body</p></div></article>", ()) == ("Body" if shown else "")
+
+
 def test_html_decodes_like_the_standard_library():
     text = "a &amp; b &copy &#233; &#x41; &notit; &bogus;"
     assert html_text.main_text(f"<article><p>{text}</p></article>", ()) == " ".join(html.unescape(text).split())

@@ -49,10 +49,20 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 _NAME = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 
 
+def hidden(attributes: str) -> bool:
+    """Whether an element has the attribute hidden itself, or display:none in its style."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        name = m[1].lower()
+        if name == "hidden" or (name == "style" and m[2] and _NOT_SHOWN.search(html.unescape(m[2].strip("\"'")))):
+            return True
+    return False
+
+
 class Node:
     __slots__ = ("tag", "name", "noise", "main", "children")
 
@@ -62,7 +72,7 @@ class Node:
         self.tag, self.name = tag, tag + ("." + classes[0] if classes else "")
         words = set(_WORD.findall(" ".join(names)))
         self.main = tag in MAIN_TAGS
-        self.noise = not self.main and tag not in ("html", "body") and (tag in NOISE_TAGS or bool(words & NOISE_WORDS) or bool(attributes and _HIDDEN.search(attributes)))
+        self.noise = not self.main and tag not in ("html", "body") and (tag in NOISE_TAGS or bool(words & NOISE_WORDS) or bool(attributes and hidden(attributes)))
         self.children: list[str] = []
 
 
