@@ -412,6 +412,19 @@ def _with(module, name, value, run):
         setattr(module, name, old)
 
 
+def test_html_tree_judges_articles_and_what_is_beside_them(spark):
+    rng = random.Random(4)
+    texts = [prose(rng, 30) for _ in range(60)]
+    made = [(k, f"http://a/{k}", f"<body><div class=text><p>{t}</p></div><article><p>Card {k}</p></article></body>") for k, t in enumerate(texts[:20])]
+    made += [(20 + k, f"http://b/{k}", f"<body><form><nav>Home</nav><div class=x><p>{t}</p></div></form></body>") for k, t in enumerate(texts[:20])]
+    made += [(40 + k, f"http://c/{k}", f"<body><article><p>{t}</p><p>All rights are reserved here</p></article></body>") for k, t in enumerate(texts)]
+    pages = spark.createDataFrame(made, "page_id long, url string, html string")
+    expected = [f"{t}\nCard {k}" for k, t in enumerate(texts[:20])] + texts[:20] + texts
+    for held in (html_text.HELD_BRANCHES, 0):
+        found = {r.page_id: r.text for r in _with(html_text, "HELD_BRANCHES", held, lambda: html_text.extract(pages).collect())}
+        assert [found[k] for k in range(100)] == expected
+
+
 @pytest.mark.parametrize("attributes, shown", [("style='overflow:hidden'", True), ('style="overflow-x: hidden"', True), ("class='md:hidden'", True), ('title="Hidden gems"', True), ("data-x='display:none'", True), ("class=a title=hidden", True), ("hidden", False), ("hidden=''", False), ("id=a hidden class=b", False), ("style='color:red; Display : none'", False)])
 def test_html_hidden_is_an_attribute_or_a_style(attributes, shown):
     assert html_text.main_text(f"<article><div {attributes}><p>Body</p></div></article>", ()) == ("Body" if shown else "")

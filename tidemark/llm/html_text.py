@@ -8,11 +8,12 @@ elements (tag and class). Over the m pages that have a node,
 * its presentation importance is the entropy of its forms (sequences of children) over pages;
 * its importance is both together, CONTENT parts of the former, drawn to 1 where m is small.
 
-That is multiplied by a prior of the element's name: NOISE for menus, adverts, comments and the like, 1
-for others. An article or main element and the blocks right in it always count. Branches below LEAST
-are removed from each page. If a page has an article or main element, the rest of it is left out.
+That is multiplied by a prior of the element's name: NOISE for menus, adverts, comments and the like, MAIN
+in an article or main element, 1 for others. A name that tells noise doesn't count for an element that has
+WRAPS of the page's text. What is below LEAST is removed from each page. A single text is judged as a node
+is, by the pages of its node that have it, so a notice goes that all pages have among other paragraphs.
 
-The tree holds one row a node; only removed branches that no name tells are passed on, in memory where
+The tree holds one row a node; only removed branches and texts are passed on, in memory where
 they are few and else by a join on the host.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .store import keep
 
-CONTENT, NOISE, LEAST, SMALL = 0.9, 0.1, 0.3, 5.0
+CONTENT, NOISE, MAIN, LEAST, SMALL = 0.9, 0.1, 2.0, 0.3, 5.0
+#: The share of a page's text that a menu, advert or the like doesn't have.
+WRAPS = 0.8
 #: Removed branches that executors hold in memory.
 HELD_BRANCHES = 100_000
 
@@ -64,7 +67,7 @@ def hidden(attributes: str) -> bool:
 
 
 class Node:
-    __slots__ = ("tag", "name", "noise", "main", "children")
+    __slots__ = ("tag", "name", "noise", "hidden", "main", "size", "children")
 
     def __init__(self, tag: str, attributes: str):
         names = [m[2].strip("\"'").lower() for m in _NAME.finditer(attributes)] if attributes else []
@@ -72,7 +75,9 @@ class Node:
         self.tag, self.name = tag, tag + ("." + classes[0] if classes else "")
         words = set(_WORD.findall(" ".join(names)))
         self.main = tag in MAIN_TAGS
-        self.noise = not self.main and tag not in ("html", "body") and (tag in NOISE_TAGS or bool(words & NOISE_WORDS) or bool(attributes and hidden(attributes)))
+        self.noise = not self.main and tag not in ("html", "body") and (tag in NOISE_TAGS or bool(words & NOISE_WORDS))
+        self.hidden = not self.main and tag not in ("html", "body") and bool(attributes and hidden(attributes))
+        self.size = 0
         self.children: list[str] = []
 
 
@@ -166,11 +171,8 @@ def features(url: str | None, page: str) -> set[tuple[str, str, str]]:
     return found
 
 
-def style_trees(pages: DataFrame) -> DataFrame:
-    """(host, node, m, importance) of every node of every host's tree.
-
-    Sums are made in two steps, by text first, so no task holds a large host.
-    """
+def feature_counts(pages: DataFrame) -> DataFrame:
+    """(host, node, kind, feature, k): the pages of a host with a node's feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +188,16 @@ def style_trees(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.string()), pa.array(kinds, pa.string()), pa.array(_codes(values))], ["host", "node", "kind", "feature"])
 
     rows = pages.select("url", "html").mapInArrow(run, "host string, node string, kind string, feature long")
-    counts = rows.groupBy("host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("k"))
+    return rows.groupBy("host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("k"))
+
+
+def style_trees(pages: DataFrame) -> DataFrame:
+    """(host, node, m, importance) of every node of every host's tree."""
+    return _trees(feature_counts(pages))
+
+
+def _trees(counts: DataFrame) -> DataFrame:
+    """Sums are made in two steps, by text first, so no task holds a large host."""
     form, text = F.col("kind") == "f", F.col("kind") == "t"
     sums = counts.groupBy("host", "node").agg(
         F.sum(F.when(form, F.col("k"))).alias("m"),  # each page with the node has one form of it, or several
@@ -200,28 +211,52 @@ def style_trees(pages: DataFrame) -> DataFrame:
     return sums.where("m > 0").select("host", "node", "m", ((F.col("m") * importance + SMALL) / (F.col("m") + SMALL)).alias("importance"))
 
 
-def main_text(page: str | None, low: frozenset[str] | set[str]) -> str:
-    """The page's blocks outside removed branches, one a line. ``low``: nodes of its host that are removed."""
-    inside, outside, has_main = [], [], False
+def removed_parts(pages: DataFrame) -> DataFrame:
+    """(host, node, feature, importance) of nodes, and of texts of nodes (feature), with an importance below LEAST."""
+    counts = keep(feature_counts(pages), "features")
+    trees = keep(_trees(counts), "trees")
+    often = counts.where((F.col("kind") == "t") & (F.col("k") > SMALL)).select(F.col("host").alias("h"), F.col("node").alias("n"), "feature", "k")
+    texts = often.join(trees, (F.col("h") == F.col("host")) & (F.col("n") == F.col("node")))
+    alone = F.greatest(F.lit(0.0), 1 - F.log("k") / F.log("m"))
+    texts = texts.select("host", "node", "feature", ((F.col("m") * alone + SMALL) / (F.col("m") + SMALL)).alias("importance"))
+    return trees.select("host", "node", F.lit(None).cast("long").alias("feature"), "importance").union(texts).where(F.col("importance") < LEAST)
+
+
+def by_part(rows: Iterable) -> dict:
+    """Importance by node, or by node and text."""
+    return {r["node"] if r["feature"] is None else (r["node"], r["feature"]): r["importance"] for r in rows}
+
+
+def main_text(page: str | None, low: dict) -> str:
+    """The page's blocks outside removed branches, one a line. ``low``: importance of its host's parts by ``by_part``."""
+    low = low or {}
+    blocks, total = [], 0
     for stack, text in walk(page or ""):
-        main = any(x.main for x in stack)
-        has_main |= main
-        if text is None or any(x.noise for x in stack) or any(x.tag == "head" for x in stack):
+        if text is None or any(x.hidden or x.tag == "head" for x in stack):
             continue
-        if low:
-            path, cut = "", False
-            for k, x in enumerate(stack):
-                if x.tag in ("html", "body"):
-                    continue
-                path = f"{path}>{x.name}" if path else x.name
-                direct = x.main or (k and stack[k - 1].main and x.tag not in ("div", "section", "ul", "ol", "table", "dl", "figure"))
-                if path in low and not direct:
-                    cut = True
-                    break
-            if cut:
+        blocks.append((list(stack), text))
+        total += len(text)
+        for x in stack:
+            x.size += len(text)
+    repeats = any(isinstance(x, tuple) for x in low)
+    found = []
+    for stack, text in blocks:
+        path, prior, cut = "", 1.0, False
+        for x in stack:
+            if x.tag in ("html", "body"):
                 continue
-        (inside if main else outside).append(text)
-    return "\n".join(inside if has_main else outside)
+            path = f"{path}>{x.name}" if path else x.name
+            prior = MAIN if x.main else prior
+            named = NOISE if x.noise and x.size < WRAPS * total else 1.0
+            # What is not in ``low`` has LEAST or more; 1 is the most.
+            if low.get(path, 1.0) * (prior if named == 1 else named) < LEAST:
+                cut = True
+                break
+        if not cut and repeats and path:
+            cut = low.get((path, int(_codes([text])[0])), 1.0) * prior < LEAST
+        if not cut:
+            found.append(text)
+    return "\n".join(found)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -231,9 +266,7 @@ def extract(pages: DataFrame) -> DataFrame:
     one by one, repeated ones alike.
     """
     pages = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    # A node that its name removes anyway needs no row.
-    noisy = F.exists(F.split("node", ">"), lambda x: F.regexp_extract(x, "^[^.]*", 0).isin(*NOISE_TAGS) | F.exists(F.split(x, "[^a-z0-9]+"), lambda w: w.isin(*NOISE_WORDS)))
-    removed = style_trees(pages).where((F.col("importance") < LEAST) & ~noisy).select("host", "node")
+    removed = removed_parts(pages)
     few = removed.limit(HELD_BRANCHES + 1).collect()
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
 
@@ -241,27 +274,28 @@ def extract(pages: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     if len(few) <= HELD_BRANCHES:
-        by_host: dict[str, set[str]] = {}
+        of_host: dict[str, list] = {}
         for r in few:
-            by_host.setdefault(r.host, set()).add(r.node)
+            of_host.setdefault(r.host, []).append(r.asDict())
+        by_host = {h: by_part(x) for h, x in of_host.items()}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i in range(0, batch.num_rows, 128):
                     part = batch.slice(i, 128)
-                    yield rows(part, [main_text(h, by_host.get(host_of(u), ())) for u, h in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True)])
+                    yield rows(part, [main_text(h, by_host.get(host_of(u), {})) for u, h in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True)])
 
         return pages.mapInArrow(run, schema)
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "(?s)^.*?://([^/?#]*)", 1))
     # Written, so that both sides of the join are exchanges and a large host's pages can be split.
-    lists = keep(removed.groupBy(F.col("host").alias("h")).agg(F.collect_list("node").alias("low")), "branches")
+    lists = keep(removed.groupBy(F.col("host").alias("h")).agg(F.collect_list(F.struct("node", "feature", "importance")).alias("low")), "branches")
     joined = pages.join(lists, host == F.col("h"), "left").select("page_id", "url", "html", "low")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
-                yield rows(part, [main_text(h, set(low or ())) for h, low in zip(part.column("html").to_pylist(), part.column("low").to_pylist(), strict=True)])
+                yield rows(part, [main_text(h, by_part(low or ())) for h, low in zip(part.column("html").to_pylist(), part.column("low").to_pylist(), strict=True)])
 
     return joined.mapInArrow(run_joined, schema)
