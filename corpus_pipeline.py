@@ -22,9 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (85 % of five-word shingles) stays."""
+    """One document of each group of near copies (80 % of five-word shingles) stays."""
     small_batches(spark)
-    return near_dup.one_of_each(docs, percent=85)
+    return near_dup.one_of_each(docs, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -598,6 +598,16 @@ def test_components_of_a_path_and_a_star(spark, many, monkeypatch):
 # The pipeline
 
 
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    base = [f"word{k}" for k in range(100)]
+    one, two = base.copy(), [f"other{k}" for k in range(100)]
+    one[30], one[60] = "changed1", "changed2"  # 86 of 106 shingles
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(one)), (3, " ".join(two))], "doc_id long, text string")
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").collect()} == {1, 3}
+    assert near_dup.banding(85) == (32, 7) and near_dup.banding(80) == (37, 6)
+
+
 def test_pipeline_stages_and_contents(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(12)

@@ -2,12 +2,12 @@
 
 Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of word shingles.
 
-1. One pass over the texts makes each set's 128-bit fingerprint, its signature of BANDS * ROWS minima of
+1. One pass over the texts makes each set's 128-bit fingerprint, its signature of MINIMA minima of
    universal hashes (low bytes kept) and its band keys. Copies with equal sets form a class; from here on
    only the class's least doc_id takes part.
 2. Within a bucket (band key) each member is paired with the least member only; components of those
-   pairs are families. A link between two sets lies in one family unless no band agrees, which for 85 %
-   has a chance of 4e-6.
+   pairs are families. A link between two sets lies in one family unless no band agrees, which has a
+   chance of MISSED at most (4e-6 for 85 %, 1.3e-5 for 80 %).
 3. Families of up to BLOCK members are each verified in memory: signatures first, then full sets.
    Larger ones are dealt into blocks: first every member against its buckets' least members, by which copies of
    one original come together; then, of what is still apart, chunk against chunk, all pairs of members
@@ -33,16 +33,18 @@ from .scan import mix, shingle_sets
 from .store import join_groups, keep, partitions, release
 
 WIDTH = 5
-BANDS, ROWS = 32, 7
+MINIMA = 224
+#: The chance at most that a pair at exactly the limit shares no band.
+MISSED = 2e-5
 #: Members of a chunk.
 BLOCK = 128
 #: How far below the limit an estimate from signatures may be, at 224 minima over 6 standard deviations.
 MARGIN = 0.15
 
 _rng = np.random.Generator(np.random.PCG64(85))
-_A = (_rng.integers(0, 2**31, BANDS * ROWS, dtype=np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
-_B = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.int64).astype(np.uint32)
-_KEY = (_rng.integers(1, 2**62, ROWS, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+_A = (_rng.integers(0, 2**31, MINIMA, dtype=np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
+_B = _rng.integers(0, 2**32, MINIMA, dtype=np.int64).astype(np.uint32)
+_KEY = (_rng.integers(1, 2**62, 7, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
@@ -53,9 +55,18 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.minimum.reduceat(x * a + b, starts) for a, b in zip(_A, _B, strict=True)], axis=1)
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    words = found.reshape(len(found), BANDS, ROWS).astype(np.uint64)
-    return mix((words * _KEY).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows: as many rows as MISSED allows, 7 at most."""
+    for rows in range(len(_KEY), 1, -1):
+        bands = MINIMA // rows
+        if (1 - (percent / 100) ** rows) ** bands <= MISSED:
+            return bands, rows
+    return MINIMA, 1
+
+
+def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    words = found[:, : bands * rows].reshape(len(found), bands, rows).astype(np.uint64)
+    return mix((words * _KEY[:rows]).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def _fingerprint(codes: np.ndarray) -> tuple[int, int]:
@@ -64,7 +75,7 @@ def _fingerprint(codes: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _profile(batches: Iterator[pa.RecordBatch], shape: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     release()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -74,7 +85,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signature, bands = [None] * len(sets), [None] * len(sets)
             if some:
                 found = minima([sets[k] for k in some])
-                low, keys = found.astype(np.uint8), band_keys(found)
+                low, keys = found.astype(np.uint8), band_keys(found, *shape)
                 for i, k in enumerate(some):
                     signature[k], bands[k] = low[i].tobytes(), keys[i]
             prints = [_fingerprint(x) for x in sets]
@@ -218,7 +229,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     doc_id is linked with nothing, has no component_id and is kept.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profiles = keep(docs.mapInArrow(_profile, "doc_id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"), "profiles")
+    shape = banding(percent)
+    profiles = keep(docs.mapInArrow(lambda batches: _profile(batches, shape), "doc_id long, n_shingles long, set_a long, set_b long, signature binary, bands array<long>"), "profiles")
     usable = profiles.where("n_shingles > 0 and doc_id is not null")
     if not usable.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows would meet each other in joins by id
         usable, docs = usable.dropDuplicates(["doc_id", "set_a", "set_b"]), docs.distinct()
