@@ -284,15 +284,15 @@ def test_quality_without_rows_or_trust(spark, no_docs, docs):
 def test_language_gradients_by_differences():
     network = language.Network(["a", "b", "c"], hidden=3)
     network.w = {k: v.astype(float) for k, v in network.w.items()}
-    rows, lengths = language.padded([b"abc", b"zq", b"hello", b"e"])
-    labels = np.array([0, 1, 2, 1])
-    _, grads = network.gradients(rows, lengths, labels)
+    rows, _ = language.stretches([b"abc", b"zq", b"hello", b"e"], 6, 2)
+    labels, own = np.array([0, 1, 2, 1]), slice(2, 8)
+    _, grads = network.gradients(rows, labels, own)
     for name, g in grads.items():
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
         network.w[name][at] += 1e-3
-        up = network.gradients(rows, lengths, labels)[0]
+        up = network.gradients(rows, labels, own)[0]
         network.w[name][at] -= 2e-3
-        down = network.gradients(rows, lengths, labels)[0]
+        down = network.gradients(rows, labels, own)[0]
         network.w[name][at] += 1e-3
         assert g[at] == pytest.approx((up - down) / 2e-3, rel=1e-2, abs=1e-5)
 
@@ -320,6 +320,51 @@ def test_language_sums_each_byte_of_a_long_word_once():
     assert out[0, -1] == 72 and out[1, -1] == 0 and out[0, :2].sum() == pytest.approx(72, rel=1e-5)
 
 
+def brute_states(network, text):
+    """Both directions' states at every byte of a text within its stretch, one byte at a time."""
+    k, out = network.hidden, []
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for d, order in ((0, text), (1, text[::-1])):
+        h, states = np.zeros(k), []
+        for b in order:
+            x, g = network.w["x"][d, b] + network.w["v"][d, 0], h @ network.w["u"][d]
+            z, r = sigmoid(x[:k] + g[:k]), sigmoid(x[k : 2 * k] + g[k : 2 * k])
+            new = np.tanh(x[2 * k :] + r * g[2 * k :])
+            h = new + z * (h - new)
+            states.append(h)
+        out.append(states if d == 0 else states[::-1])
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def test_language_labels_every_byte_with_the_text_around_it():
+    rng = random.Random(3)
+    network = language.Network(["a", "b", "c"], hidden=4)
+    texts = [prose(rng, n).encode() for n in (1, 40, 90)] + [b"", "\u00fc\u00e9 1".encode()]
+    found = network.sums(texts)
+    for text, sums in zip(texts, found, strict=True):
+        padded, expected = bytes(language.CONTEXT) + text + bytes(language.OWN + language.CONTEXT), np.zeros(4)
+        for i in range(0, len(text), language.OWN):
+            window = padded[i : i + language.OWN + 2 * language.CONTEXT]
+            states = brute_states(network, window)
+            for at in range(language.CONTEXT, language.CONTEXT + language.OWN):
+                b = window[at]
+                if b >= 128 or chr(b).isalpha():
+                    e = np.exp(states[at] @ network.w["o"] + network.w["c"])
+                    expected += [*(e / e.sum()), 1]
+        assert sums == pytest.approx(expected, rel=1e-4, abs=1e-4)
+
+
+def test_language_of_long_texts_repeated_rows_and_clashing_columns(spark):
+    rng = random.Random(2)
+    network = language.Network(["a", "b"])
+    long = prose(rng, 60_000)
+    docs = spark.createDataFrame([(1, long), (1, long), (2, "word"), (None, None)], "doc_id long, text string").withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(1))
+    found = language.identify(docs, network).collect()
+    assert found == language.identify(docs, network).collect() and sorted(map(str, (r.doc_id for r in found))) == ["1", "1", "2", "None"]
+    one, two = (r for r in found if r.doc_id == 1)
+    assert one == two and one.score == pytest.approx(network.sums([long.encode()])[0, :2].max() / network.sums([long.encode()])[0, 2])
+
+
 def test_language_without_labels(spark, no_docs):
     assert language.sample(no_docs) == [] and language.train([]) is None
     assert language.identify(no_docs, None).count() == 0

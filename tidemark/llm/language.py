@@ -1,12 +1,13 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
-The network reads a word at a time (runs longer than SPAN bytes in stretches of SPAN), in both
-directions, and labels every byte; it is trained by backpropagation through time. A document's
-probabilities are the mean of those at all its letters' bytes, over its whole text. As the state starts anew with
-each word, a word's sum is the same wherever it stands, so each worker computes it once.
-
-The network is fitted on a bounded sample of labelled documents: WORDS words each of DOCS documents
-a language, both chosen by hashes.
+The network reads the bytes of the whole text, over words and lines, in both directions and labels every
+byte; it is trained by backpropagation through time. A document's probabilities are the mean of those at all
+its letters' bytes. Long texts are read in stretches of OWN bytes side by side; each direction begins CONTEXT
+bytes outside its stretch, so every byte is labelled with at least that much text before and after it.
+
+Stretches fill blocks of one fixed shape, so a stretch's sums don't depend on what else is in its batch, and
+a document's score not on how rows are partitioned. The network is fitted on a bounded sample of labelled
+documents: STRETCHES of each of DOCS documents a language, both chosen by hashes.
 """
 
 from __future__ import annotations
@@ -18,149 +19,159 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import Slice, slices
+from .scan import slices
 
-SPAN = 24
 HIDDEN = 16
-DOCS, WORDS = 300, 40
-EPOCHS, BATCH, RATE = 8, 256, 0.01
-#: Words whose sums a worker keeps; beyond that it starts anew.
-MEMO_WORDS = 300_000
+#: Bytes of a stretch that are labelled, and bytes read before and after it: of texts, and in training.
+OWN, CONTEXT = 128, 32
+TRAIN_OWN, TRAIN_CONTEXT = 48, 16
+#: Stretches computed together.
+ROWS = 1024
+DOCS, STRETCHES = 300, 4
+#: Characters of a sampled document from which its stretches are chosen: the driver holds no more of it.
+SAMPLE_CHARS = 20_000
+EPOCHS, BATCH, RATE = 6, 64, 0.01
 
 _LETTER = np.zeros(256, np.float32)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1.0
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes in rows, from the left, and lengths; words of 1 to SPAN bytes."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    rows = np.zeros((len(words), int(lengths.max())), np.uint8)
-    rows[np.arange(rows.shape[1]) < lengths[:, None]] = np.frombuffer(b"".join(words), np.uint8)
-    return rows, lengths
+def stretches(texts: list[bytes], own: int = OWN, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of context, own and context bytes that cover all texts, with zeros outside of a text, and whose text each is."""
+    counts = np.array([-(-len(t) // own) for t in texts], np.int64)
+    gap = own + 2 * context
+    joined = np.frombuffer(bytes(context) + b"".join(t + bytes(gap - len(t) % own) for t in texts) + bytes(gap), np.uint8)
+    sizes = np.array([len(t) + gap - len(t) % own for t in texts], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(texts)), counts)
+    at = starts[owner] + own * (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts))
+    return np.lib.stride_tricks.sliding_window_view(joined, gap)[at], owner
 
 
-def reversed_rows(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Positions of each row in reverse; what is past its end stays."""
-    at = np.arange(rows.shape[1])
-    return np.where(at < lengths[:, None], lengths[:, None] - 1 - at, at)
+def _tanh_sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 class Network:
-    """For each direction: tables of inputs by byte, recurrent weights and biases; then one linear layer."""
+    """For each direction: a table of inputs by byte, recurrent weights and biases; then one linear layer.
+
+    Both directions are computed side by side, as the first axis of the weights; the second reads the
+    rows from their ends.
+    """
 
     def __init__(self, labels: list[str], hidden: int = HIDDEN, seed: int = 7):
         rng = np.random.Generator(np.random.PCG64(seed))
         draw = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
         self.labels, self.hidden = labels, hidden
-        self.w = {}
-        for d in "fb":
-            self.w |= {f"x{d}": draw(256, 3 * hidden, scale=0.3), f"u{d}": draw(hidden, 3 * hidden, scale=hidden**-0.5), f"v{d}": np.zeros(3 * hidden, np.float32)}
-        self.w |= {"o": draw(2 * hidden, len(labels), scale=0.3), "c": np.zeros(len(labels), np.float32)}
-
-    def _direction(self, d: str, rows: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each byte: time, row, unit."""
-        hidden, u, v = self.hidden, self.w[f"u{d}"], self.w[f"v{d}"]
-        h = np.zeros((len(rows), hidden), np.float32)
-        out = np.empty((rows.shape[1], len(rows), hidden), np.float32)
-        for t in range(rows.shape[1]):
-            x, g = self.w[f"x{d}"][rows[:, t]], h @ u + v
-            zr = _sigmoid(x[:, : 2 * hidden] + g[:, : 2 * hidden])
-            z, r = zr[:, :hidden], zr[:, hidden:]
-            n = np.tanh(x[:, 2 * hidden :] + r * g[:, 2 * hidden :])
+        self.w = {
+            "x": draw(2, 256, 3 * hidden, scale=0.3),
+            "u": draw(2, hidden, 3 * hidden, scale=hidden**-0.5),
+            "v": np.zeros((2, 1, 3 * hidden), np.float32),
+            "o": draw(2 * hidden, len(labels), scale=0.3),
+            "c": np.zeros(len(labels), np.float32),
+        }
+
+    def _states(self, rows: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """States at each byte, of both directions: time, row, unit."""
+        k, u, v = self.hidden, self.w["u"], self.w["v"]
+        table = (self.w["x"] + v).reshape(512, 3 * k)  # the bias of the inner part is added with the input, outside of the reset gate
+        n, length = rows.shape
+        codes = np.stack([rows.T, rows.T[::-1] + np.int64(256)], axis=1)  # time, direction, row
+        h = np.zeros((2, n, k), table.dtype)
+        out = np.empty((length, n, 2 * k), table.dtype)
+        for t in range(length):
+            x, g = table[codes[t]], np.matmul(h, u)
+            zr = _tanh_sigmoid(x[..., : 2 * k] + g[..., : 2 * k])
+            z, r = zr[..., :k], zr[..., k:]
+            inner = g[..., 2 * k :]
+            new = np.tanh(x[..., 2 * k :] + r * inner)
             if keep is not None:
-                keep.append((h, z, r, n, g[:, 2 * hidden :]))
-            h = n + z * (h - n)
-            out[t] = h
+                keep.append((h, z, r, new, inner))
+            h = new + z * (h - new)
+            out[t, :, :k] = h[0]
+            out[length - 1 - t, :, k:] = h[1]
         return out
 
-    def _states(self, rows: np.ndarray, lengths: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-        turn = reversed_rows(rows, lengths)
-        ahead = self._direction("f", rows, None if keep is None else keep.setdefault("f", []))
-        back = self._direction("b", np.take_along_axis(rows, turn, 1), None if keep is None else keep.setdefault("b", []))
-        back = back[turn.T, np.arange(len(rows))[None, :]]
-        return np.concatenate([ahead, back], axis=2), turn
-
-    def probabilities(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Of each label at each byte: time, row, label."""
-        logits = self._states(rows, lengths)[0] @ self.w["o"] + self.w["c"]
-        e = np.exp(logits - logits.max(axis=2, keepdims=True))
-        return e / e.sum(axis=2, keepdims=True)
-
-    def gradients(self, rows: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """The mean cross-entropy over letters' bytes and its gradients, by backpropagation through time."""
-        kept: dict = {}
-        states, turn = self._states(rows, lengths, kept)
+    def _probabilities(self, states: np.ndarray) -> np.ndarray:
         logits = states @ self.w["o"] + self.w["c"]
-        e = np.exp(logits - logits.max(axis=2, keepdims=True))
-        p = e / e.sum(axis=2, keepdims=True)
-        weight = (_LETTER[rows] * (np.arange(rows.shape[1]) < lengths[:, None])).T
-        total = max(float(weight.sum()), 1.0)
-        who = np.arange(len(rows))
+        logits -= logits.max(axis=-1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(axis=-1, keepdims=True)
+        return logits
+
+    def gradients(self, rows: np.ndarray, labels: np.ndarray, own: slice = slice(None)) -> tuple[float, dict[str, np.ndarray]]:
+        """The mean cross-entropy over the letters' bytes within ``own`` and its gradients, by backpropagation through time."""
+        kept: list = []
+        states = self._states(rows, kept)
+        p = self._probabilities(states)
+        weight = np.zeros(rows.T.shape, np.float32)
+        weight[own] = _LETTER[rows.T[own]]
+        total, who, k = max(float(weight.sum()), 1.0), np.arange(len(rows)), self.hidden
         loss = float(-(np.log(p[:, who, labels] + 1e-30) * weight).sum() / total)
         dlogits = p * weight[..., None] / total
         dlogits[:, who, labels] -= weight / total
         grads = {"o": np.einsum("tni,tnk->ik", states, dlogits), "c": dlogits.sum(axis=(0, 1))}
-        dstates, hidden = dlogits @ self.w["o"].T, self.hidden
-        for d in "fb":
-            out = dstates[..., :hidden] if d == "f" else dstates[..., hidden:][turn.T, who[None, :]]
-            own = rows if d == "f" else np.take_along_axis(rows, turn, 1)
-            u, dh = self.w[f"u{d}"], np.zeros((len(rows), hidden), np.float32)
-            dx, du, dv = np.zeros_like(self.w[f"x{d}"]), np.zeros_like(u), np.zeros(3 * hidden, np.float32)
-            for t in range(rows.shape[1] - 1, -1, -1):
-                h, z, r, n, gn = kept[d][t]
-                dh = dh + out[t]
-                dn = dh * (1 - z) * (1 - n * n)
-                da = np.concatenate([dh * (h - n) * z * (1 - z), dn * gn * r * (1 - r), dn], axis=1)
-                np.add.at(dx, own[:, t], da)
-                da[:, 2 * hidden :] *= r
-                du += h.T @ da
-                dv += da.sum(axis=0)
-                dh = dh * z + da @ u.T
-            grads |= {f"x{d}": dx, f"u{d}": du, f"v{d}": dv}
-        return loss, grads
-
-    def fit(self, words: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> list[float]:
-        """Adam over batches of words of like length; returns each epoch's mean loss."""
+        dstates = dlogits @ self.w["o"].T
+        out = np.stack([dstates[..., :k], dstates[::-1, :, k:]], axis=1)  # time, direction, row, unit
+        u, dh = self.w["u"], np.zeros(out.shape[1:], out.dtype)
+        du, inputs = np.zeros_like(u), np.empty((len(kept), 2, len(rows), 3 * k), out.dtype)
+        for t in range(len(kept) - 1, -1, -1):
+            h, z, r, new, inner = kept[t]
+            dh = dh + out[t]
+            dn = dh * (1 - z) * (1 - new * new)
+            da = inputs[t]
+            da[..., :k] = dh * (h - new) * z * (1 - z)
+            da[..., k : 2 * k] = dn * inner * r * (1 - r)
+            da[..., 2 * k :] = dn
+            dg = da.copy()
+            dg[..., 2 * k :] *= r
+            du += np.matmul(h.transpose(0, 2, 1), dg)
+            dh = dh * z + np.matmul(dg, u.transpose(0, 2, 1))
+        codes = np.stack([rows.T, rows.T[::-1] + np.int64(256)], axis=1).ravel()
+        order = np.argsort(codes, kind="stable")
+        there, first = np.unique(codes[order], return_index=True)
+        dx = np.zeros((512, 3 * k), out.dtype)
+        dx[there] = np.add.reduceat(inputs.reshape(-1, 3 * k)[order], first, axis=0)
+        dx = dx.reshape(2, 256, 3 * k)
+        return loss, grads | {"x": dx, "u": du, "v": dx.sum(axis=1, keepdims=True)}
+
+    def fit(self, rows: np.ndarray, labels: np.ndarray, own: slice, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> list[float]:
+        """Adam over batches of rows in random order; returns each epoch's mean loss."""
         rng = np.random.Generator(np.random.PCG64(seed))
-        lengths, losses, step = np.fromiter(map(len, words), np.int64, len(words)), [], 0
+        losses, step = [], 0
         m, s = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
         for epoch in range(epochs):
-            order = np.lexsort([rng.random(len(words)), lengths])
-            parts = [order[i : i + batch] for i in range(0, len(order), batch)]
-            total = 0.0
-            for k in rng.permutation(len(parts)):
-                loss, grads = self.gradients(*padded([words[i] for i in parts[k]]), labels[parts[k]])
+            parts = np.array_split(rng.permutation(len(rows)), max(1, len(rows) // batch))
+            total, now = 0.0, rate * (1 - epoch / epochs)
+            for at in parts:
+                loss, grads = self.gradients(rows[at], labels[at], own)
                 total += loss
                 step += 1
-                now = rate * (1 - epoch / epochs)
                 for name, g in grads.items():
                     m[name] = 0.9 * m[name] + 0.1 * g
                     s[name] = 0.99 * s[name] + 0.01 * g * g
                     self.w[name] = (self.w[name] - now * (m[name] / (1 - 0.9**step)) / (np.sqrt(s[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-            losses.append(total / max(len(parts), 1))
+            losses.append(total / len(parts))
         return losses
 
-    def sums(self, words: list[bytes]) -> np.ndarray:
-        """By word, the sums over its letters' bytes of each label's probability, and their number."""
-        out = np.zeros((len(words), len(self.labels) + 1), np.float32)
-        pieces, owner = [], []
-        for i, w in enumerate(words):
-            for k in range(0, len(w), SPAN):
-                pieces.append(w[k : k + SPAN])
-                owner.append(i)
-        owner = np.array(owner, np.int64)
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        order = np.argsort(lengths, kind="stable")
-        for k in range(0, len(order), 2048):
-            at = order[k : k + 2048]
-            rows, n = padded([pieces[i] for i in at])
-            weight = (_LETTER[rows] * (np.arange(rows.shape[1]) < n[:, None])).T
-            found = np.einsum("tnk,tn->nk", self.probabilities(rows, n), weight)
-            np.add.at(out, owner[at], np.concatenate([found, weight.sum(axis=0)[:, None]], axis=1))
+    def sums(self, texts: list[bytes]) -> np.ndarray:
+        """By text, the sums over its letters' bytes of each label's probability, and their number."""
+        out = np.zeros((len(texts), len(self.labels) + 1))
+        rows, owner = stretches(texts)
+        own = slice(CONTEXT, CONTEXT + OWN)
+        for i in range(0, len(rows), ROWS):
+            block = np.zeros((ROWS, rows.shape[1]), np.uint8)
+            n = len(rows[i : i + ROWS])
+            block[:n] = rows[i : i + ROWS]
+            p = self._probabilities(self._states(block)[own])
+            weight = _LETTER[block.T[own]]
+            found = np.concatenate([(p * weight[..., None]).sum(axis=0), weight.sum(axis=0)[:, None]], axis=1)[:n]
+            np.add.at(out, owner[i : i + n], found.astype(np.float64))
         return out
 
 
@@ -184,74 +195,56 @@ def sample(docs: DataFrame, most: int = DOCS) -> list[tuple[str, str]]:
         seen[lang] += 1
         if seen[lang] <= most:
             chosen.append(doc)
-    rows = docs.where(F.col("doc_id").isin(chosen) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").collect()
-    return sorted((r.lang, r.text) for r in rows)
+    rows = docs.where(F.col("doc_id").isin(chosen) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # Of each only SAMPLE_CHARS characters come to the driver, and of a repeated id one row: what a fit takes is a few stretches.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))).alias("r"))
+    return sorted((r.lang, r.text) for r in rows.select("r.lang", "r.text").collect())
 
 
-def train(rows: list[tuple[str, str]], words: int = WORDS, seed: int = 5) -> Network | None:
+def train(rows: list[tuple[str, str]], stretches_each: int = STRETCHES, seed: int = 5) -> Network | None:
     """A network from (lang, text); None if there is nothing to learn from."""
     rng = np.random.Generator(np.random.PCG64(seed))
     labels = sorted({lang for lang, _ in rows})
-    xs: list[bytes] = []
-    ys: list[int] = []
+    found, ys = [], []
     for lang, text in rows:
-        own = [w for w in text.encode().split() if _LETTER[np.frombuffer(w, np.uint8)].any()]
-        for k in rng.permutation(len(own))[:words]:
-            xs.append(own[k][:SPAN])
-            ys.append(labels.index(lang))
-    if not xs:
+        own = stretches([text.encode()], TRAIN_OWN, TRAIN_CONTEXT)[0]
+        own = own[_LETTER[own[:, TRAIN_CONTEXT : TRAIN_CONTEXT + TRAIN_OWN]].any(axis=1)]
+        chosen = own[rng.permutation(len(own))[:stretches_each]]
+        found.append(chosen)
+        ys += [labels.index(lang)] * len(chosen)
+    if not ys:
         return None
     network = Network(labels)
-    network.fit(xs, np.array(ys))
+    network.fit(np.concatenate(found), np.array(ys), slice(TRAIN_CONTEXT, TRAIN_CONTEXT + TRAIN_OWN))
     return network
 
 
-def predict(texts: list[bytes], network: Network, memo: dict[int, int], table: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's best label and its probability; -1 where no byte is a letter's. memo and table: words known so far."""
-    best, score = [], []
-    for i, j in slices(texts):
-        part = Slice(texts[i:j])
-        hashes, first, which = np.unique(part.word_hashes(), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-            table[0] = table[0][:0]
-        new = [k for k, h in enumerate(keys) if h not in memo]
-        if new:
-            raw = part.buf.tobytes()
-            made = network.sums([raw[part.starts[first[k]] : part.ends[first[k]]] for k in new])
-            memo.update((keys[k], len(table[0]) + n) for n, k in enumerate(new))
-            table[0] = np.concatenate([table[0], made])
-        rows = table[0][np.fromiter((memo[h] for h in keys), np.int64, len(keys))].astype(np.float64)[which]
-        total = np.zeros((part.n, len(network.labels) + 1))
-        some = np.flatnonzero(part.n_words)
-        if len(some):
-            total[some] = np.add.reduceat(rows, part.first[some], axis=0)
-        mean = total[:, :-1] / np.maximum(total[:, -1:], 1)
-        top = mean.argmax(axis=1)
-        best.append(np.where(total[:, -1] > 0, top, -1))
-        score.append(np.minimum(mean[np.arange(part.n), top], 1.0))
-    return (np.concatenate(best), np.concatenate(score)) if best else (np.zeros(0, np.int64), np.zeros(0))
+#: Bytes of texts whose stretches are laid out at a time, unless one text is longer.
+_TOGETHER = 1 << 20
 
 
 def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of ``docs(doc_id, text)``, from its whole text alone.
 
-    ``und`` with score 0 if the text is null or has no letter, or if nothing was learned.
+    ``und`` with score 0 if the text is null or has no letter, or if nothing was learned. Repeated rows are each
+    judged alike; other columns are not looked at. Of equal probabilities the label first in order is taken.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if network is None:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[int, int] = {}
-        table = [np.zeros((0, len(network.labels) + 1), np.float32)]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = part.column("text").to_pylist()
-                best, score = predict([(x or "").encode() for x in texts], network, memo, table)
-                found = [network.labels[b] if b >= 0 and any(map(str.isalpha, x)) else "und" for b, x in zip(best, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.string()), pa.array([0.0 if f == "und" else float(s) for f, s in zip(found, score, strict=True)])], ["doc_id", "lang_pred", "score"])
+                texts = [x or "" for x in part.column("text").to_pylist()]
+                raw = [x.encode() for x in texts]
+                total = np.concatenate([network.sums(raw[i:j]) for i, j in slices(raw, _TOGETHER)])
+                mean = np.minimum(total[:, :-1] / np.maximum(total[:, -1:], 1), 1.0)
+                best = mean.argmax(axis=1)
+                known = [bool(n) and any(map(str.isalpha, x)) for n, x in zip(total[:, -1], texts, strict=True)]
+                found = [network.labels[b] if k else "und" for b, k in zip(best, known, strict=True)]
+                score = np.where(known, mean[np.arange(len(best)), best], 0.0)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.mapInArrow(run, "doc_id long, lang_pred string, score double")
