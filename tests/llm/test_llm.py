@@ -571,6 +571,17 @@ def test_items_are_found_within_their_edits(spark):
     assert decontam.occurrences(docs, bench.limit(0)).count() == 0 and decontam.occurrences(docs.limit(0), bench).count() == 0
 
 
+def test_items_with_one_id_and_several_texts_are_found_by_any(spark):
+    rng = random.Random(9)
+    one, two = prose(rng, 30), prose(rng, 30)
+    long = prose(rng, 40_000)
+    bench = spark.createDataFrame([(1, one), (1, two), (1, one), (2, two), (3, "  "), (None, one)], "item_id long, text string").withColumn("doc_id", F.lit("x"))
+    docs = spark.createDataFrame([(1, "a " + one), (2, "b " + two), (3, long + " " + one + " " + long), (3, long + " " + one + " " + long), (4, long)], "doc_id long, text string").withColumn("distance", F.lit("clash"))
+    found = sorted(tuple(r)[:3] for r in decontam.occurrences(docs, bench).collect())
+    assert found == [(1, 1, 0), (2, 1, 0), (2, 2, 0), (3, 1, 0), (3, 1, 0)]
+    assert sorted(tuple(r)[:3] for r in _with(decontam, "BLOCK_CHARS", 100, lambda: decontam.occurrences(docs, bench).collect())) == found
+
+
 # 10 Near duplicates
 
 

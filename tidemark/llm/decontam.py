@@ -2,9 +2,17 @@
 
 Texts and items are compared in lower case with runs of white space as one space. An item of n
 characters may differ by k = n * rate edits. Cut into k + 1 pieces, it has one piece free of edits
-wherever it occurs within k edits, so every occurrence shows as an exact piece hit (Aho-Corasick). The
-stretch around a hit is verified by Myers' bit-parallel distance. k is lowered where pieces would be
-shorter than MIN_PIECE.
+wherever it occurs within k edits, so every occurrence shows as an exact piece hit. The stretch around a hit
+is verified by Myers' bit-parallel distance. k is lowered where pieces would be shorter than MIN_PIECE.
+
+Pieces are found by the hashes of their first MIN_PIECE characters (of the whole piece where an item is
+shorter), rolled over a text's characters with numpy and looked up in a sorted array; a hit is compared
+character by character. Items go to the executors as a broadcast, so one pass over the texts finds all of them. A worker needs some 12 bytes a character of the items; beyond BLOCK_CHARS
+characters, a counted size, they are searched for in several passes.
+
+Items are told apart by item_id and text: an item_id with several texts is found by any of them. Null and
+empty items are in nothing, null and empty texts hold nothing, repeated documents give repeated results.
+Columns other than doc_id, item_id and text are not looked at. Of equal distances the first end is taken.
 """
 
 from __future__ import annotations
@@ -12,23 +20,41 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import mix
 from .store import release
 
 RATE = 0.05
 MIN_PIECE = 12
-#: Characters of items in one automaton; more items are searched for in several blocks.
-BLOCK_CHARS = 4_000_000
+#: Characters of items in one pass.
+BLOCK_CHARS = 64_000_000
 
 
 def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _windows(points: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of the windows of ``width`` characters."""
+    n = len(points) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    code = np.zeros(n, np.uint64)
+    for k in range(width):
+        code *= np.uint64(0x9DDFEA08EB382D69)
+        code += points[k : k + n]
+    return mix(code)
+
+
 def myers(pattern: str, text: str) -> tuple[int, int]:
     """The least edit distance of the whole pattern to a stretch of the text, and where the first such ends."""
     m = len(pattern)
@@ -54,87 +80,124 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 
 
 class Items:
-    """The pieces of some items, as an automaton."""
+    """The pieces of some items, by the hashes of their beginnings."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, min_piece: int = MIN_PIECE):
-        import ahocorasick
+    #: Bits of the filter that most windows fail.
+    FILTER = 22
 
-        self.texts, self.pieces, found = {}, ahocorasick.Automaton(), {}
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, min_piece: int = MIN_PIECE):
+        self.ids, self.texts, self.budgets = [], [], []
+        owners, ends, pieces, by_width = [], [], [], {}
         for item, raw in items:
             text = normal(raw)
             if text:
                 k = max(0, min(int(len(text) * rate), len(text) // min_piece - 1))
-                self.texts[item] = (text, k)
                 for p in range(k + 1):
                     a, b = len(text) * p // (k + 1), len(text) * (p + 1) // (k + 1)
-                    found.setdefault(text[a:b], []).append((item, b))
-        for piece, where in found.items():
-            self.pieces.add_word(piece, where)
-        if found:
-            self.pieces.make_automaton()
+                    by_width.setdefault(min(b - a, min_piece), []).append(len(pieces))
+                    owners.append(len(self.ids))
+                    ends.append(b)
+                    pieces.append((a, b))
+                self.ids.append(item)
+                self.texts.append(text)
+                self.budgets.append(k)
+        self.owners, self.pieces = owners, pieces
+        self.tables = []
+        for width, some in sorted(by_width.items()):
+            own = np.array(some, np.int64)
+            codes = np.concatenate([_windows(_points(self.texts[owners[p]][pieces[p][0] : pieces[p][0] + width]), width) for p in some])
+            order = np.argsort(codes, kind="stable")
+            likely = np.zeros(1 << self.FILTER, bool)
+            likely[(codes >> np.uint64(64 - self.FILTER)).astype(np.int64)] = True
+            self.tables.append((width, codes[order], own[order], likely))
+
+    def _hits(self, text: str) -> Iterator[tuple[int, int]]:
+        """(place, piece) of every exact hit, by place."""
+        points = _points(text)
+        for width, codes, owners, likely in self.tables:
+            found = _windows(points, width)
+            places = np.flatnonzero(likely[(found >> np.uint64(64 - self.FILTER)).astype(np.int64)])
+            low, high = (np.searchsorted(codes, found[places], side) for side in ("left", "right"))
+            for k in np.flatnonzero(high > low).tolist():
+                at = int(places[k])
+                for p in owners[low[k] : high[k]].tolist():
+                    a, b = self.pieces[p]
+                    if text.startswith(self.texts[self.owners[p]][a:b], at):
+                        yield at, p
 
     def search(self, raw: str | None) -> dict[int, tuple[int, int]]:
-        """By item found, its least distance and where that ends in the normal text."""
+        """By item_id found, its least distance and where that ends in the normal text."""
         best: dict[int, tuple[int, int]] = {}
         if not self.texts or not raw:
             return best
         text = normal(raw)
-        seen: dict[int, list[tuple[int, int]]] = {}
-        for end, where in self.pieces.iter(text):
-            for item, b in where:
-                k = self.texts[item][1]
-                start = end + 1 - b - k
-                spans = seen.setdefault(item, [])
-                if spans and start <= spans[-1][1]:
-                    spans[-1] = (min(spans[-1][0], start), max(spans[-1][1], start + 2 * k))
-                else:
-                    spans.append((start, start + 2 * k))
+        seen: dict[int, list[list[int]]] = {}
+        for at, p in self._hits(text):
+            item = self.owners[p]
+            k = self.budgets[item]
+            start = at - self.pieces[p][0] - k
+            spans = seen.setdefault(item, [])
+            if spans and spans[-1][0] <= start <= spans[-1][1]:
+                spans[-1][1] = start + 2 * k
+            else:
+                spans.append([start, start + 2 * k])
         for item, spans in seen.items():
-            pattern, k = self.texts[item]
-            for first, last in spans:
+            pattern, k = self.texts[item], self.budgets[item]
+            for first, last in sorted(spans):
                 start = max(0, first)
                 d, at = myers(pattern, text[start : last + len(pattern) + k])
-                if d <= k and (item not in best or d < best[item][0]):
-                    best[item] = (d, start + at)
+                key = self.ids[item]
+                if d <= k and (key not in best or (d, start + at) < best[key]):
+                    best[key] = (d, start + at)
         return best
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items, so many characters at a time."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+def _blocks(items: DataFrame) -> Iterator[Column]:
+    """Conditions that deal the item_ids into parts of some BLOCK_CHARS characters, as a rule one."""
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(chars / BLOCK_CHARS))
     for b in range(n):
-        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]
+        yield F.pmod(F.xxhash64("item_id"), F.lit(n)) == b if n > 1 else F.lit(True)
+
+
+def _distinct(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+
+
+def _searchers(items: DataFrame, rate: float, min_piece: int) -> Iterator:
+    """For each part of the items a function that gives their ``Items`` in a task: sent as a broadcast of known size."""
+    spark, items = items.sparkSession, _distinct(items)
+    for where in _blocks(items):
+        sent = spark.sparkContext.broadcast(sorted((r.item_id, r.text) for r in items.where(where).collect()))
+        yield lambda sent=sent: Items(sent.value, rate, min_piece)
 
 
 def occurrences(docs: DataFrame, items: DataFrame, rate: float = RATE, min_piece: int = MIN_PIECE) -> DataFrame:
     """(doc_id, item_id, distance, match_end) for each document and item found in it, at its least distance.
 
-    ``match_end`` counts characters of the normal text. Null and empty texts hold nothing, null and empty
-    items are in nothing. Repeated rows give repeated results. No shuffle: each task searches its own texts.
+    ``match_end`` counts characters of the normal text. No shuffle: each task searches its own texts.
     """
     out = None
-    for block in _blocks(items):
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    for made in _searchers(items, rate, min_piece):
 
-        def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
-            search = Items(block, rate, min_piece).search
+        def run(batches: Iterator[pa.RecordBatch], made=made) -> Iterator[pa.RecordBatch]:
+            search = made().search
             for batch in batches:
                 rows = [(d.as_py(), i, *x) for d, t in zip(batch.column("doc_id"), batch.column("text"), strict=True) for i, x in sorted(search(t.as_py()).items())]
                 columns = list(zip(*rows, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["doc_id", "item_id", "distance", "match_end"])
 
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         found = texts.mapInArrow(run, "doc_id long, item_id long, distance long, match_end long")
         out = found if out is None else out.union(found)
     return out
 
 
-def _holds(block: list[tuple[int, str]], rate: float, min_piece: int):
+def _holds(made):
     @F.pandas_udf("boolean")
     def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         release()
-        search = Items(block, rate, min_piece).search
+        search = made().search
         for texts in batches:
             yield pd.Series([bool(search(t)) for t in texts], dtype=bool)
         release()
@@ -145,6 +208,6 @@ def _holds(block: list[tuple[int, str]], rate: float, min_piece: int):
 def contaminated(text: Column, items: DataFrame, rate: float = RATE, min_piece: int = MIN_PIECE) -> Column:
     """Whether the text holds any item."""
     any_of = F.lit(False)
-    for block in _blocks(items):
-        any_of = any_of | _holds(block, rate, min_piece)(text)
+    for made in _searchers(items, rate, min_piece):
+        any_of = any_of | _holds(made)(text)
     return any_of
