@@ -3,6 +3,7 @@
 import collections
 import html
 import math
+import os
 import random
 import re
 import zlib
@@ -123,6 +124,17 @@ def test_token_files_of_nothing_and_of_null_ids(spark, no_docs):
     assert [r.doc_id for r in found] == [None, 1, 1, 1] and found[0].start == 0 and found[-1].start + found[-1].n_tokens == sum(r.n_tokens for r in found)
 
 
+def test_token_files_of_one_id_fill_several_files(spark):
+    path = store.new_path(spark, "tokens")
+    same = spark.range(0, 8000, 1, 8).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same words here").alias("text"))
+    token_files.write_tokens(same, path, str(public_tokenizers.path("word_bpe_49k.json")), 1)
+    files = token_files.read_tokens(spark, path, ids=False).groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 4 and max(r["count"] for r in files) < 4000
+    found = token_files.token_index(spark, path).orderBy("start").collect()
+    n = len(plain_ids("same words here"))
+    assert [r.start for r in found] == [n * k for k in range(8000)]
+
+
 def test_word_memo_starts_anew_when_full(rows):
     memo = token_files.WordMemo(str(public_tokenizers.path("word_bpe_49k.json")), most=40)
     for _, text, *_ in rows:
@@ -197,7 +209,7 @@ def brute_targets(sizes, weights=(5.0, 2.0, 1.0), most=3.0):
 
 def test_mixing_targets_copies_and_repeats(spark, docs, rows):
     sized = mixing.prepared(docs)
-    found = mixing.with_copies(sized, sized).collect()
+    found = mixing.with_copies(sized).collect()
     sizes = collections.Counter()
     for r in rows:
         sizes[r[3]] += len(words(r[1]))
@@ -208,7 +220,7 @@ def test_mixing_targets_copies_and_repeats(spark, docs, rows):
         assert 0 <= r._copies <= 3 and abs(r._copies - expected[r._source] / sizes[r._source]) < 1.0001
         taken[r._source] += r._copies * r._size
     assert sum(taken.values()) == pytest.approx(sum(sizes.values()), rel=0.35)
-    assert sorted(mixing.with_copies(sized, sized).collect()) == sorted(found)
+    assert sorted(mixing.with_copies(sized).collect()) == sorted(found)
     mixed = mixing.mix(docs.withColumn("_size", F.lit("clash")))
     assert mixed.columns == [*docs.columns, "_size"] and mixed.count() == sum(r._copies for r in found)
 
@@ -217,11 +229,30 @@ def test_mixing_caps_small_sources_and_takes_nothing_of_empty_ones(spark, no_doc
     assert mixing.mix(no_docs).count() == 0
     made = [(1, "a b", "a"), (2, "c " * 100, "b"), (3, None, "c"), (4, "", "c"), (None, "d", "a")]
     sized = mixing.prepared(spark.createDataFrame(made, "doc_id long, text string, source string"))
-    found = {r._id: r for r in mixing.with_copies(sized, sized).collect()}
+    found = {r._id: r for r in mixing.with_copies(sized).collect()}
     assert found[1]._target == 9.0 and found[1]._copies == 3 and found[None]._copies == 3 and found[3]._target == 0 and found[3]._copies == 0
     assert found[2]._target == pytest.approx(94.0)
 
 
+def test_mixing_of_many_equal_and_long_rows(spark):
+    long = "w " * 200_000
+    rows = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("x").alias("source"))
+    rows = rows.union(spark.range(20_000).selectExpr("cast(null as long)", "cast(null as string)", "cast(null as string)")).union(spark.createDataFrame([(1, long, "y")], rows.schema))
+    sized = mixing.prepared(rows).repartition(8)
+    found = mixing.with_copies(sized)
+    by = {r._source: r for r in found.groupBy("_source").agg(F.count("*").alias("n"), F.sum(F.col("_copies") * F.col("_size")).alias("taken"), F.first("_target").alias("target")).collect()}
+    assert (by["x"].n, by[None].n, by["y"].n) == (20_000, 20_000, 1) and by[None].taken == 0
+    assert abs(by["x"].taken - by["x"].target) <= 3
+    # Equal rows fill several files, none of them much more than its share.
+    import glob
+
+    import pyarrow.parquet as pq
+
+    folder = max(glob.glob(store.shared_dir(spark).removeprefix("file://") + "/mixed-*"), key=os.path.getmtime)
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in glob.glob(folder + "/*.parquet")]
+    assert sum(sizes) == 40_001 and max(sizes) < 25_000
+
+
 # 4 Quality
 
 

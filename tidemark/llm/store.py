@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of this machine only where that is unset, as in tests."""
+    """spark.checkpoint.dir; a folder of this machine only where that is unset and the master is local, as in tests."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        folder = context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -34,6 +36,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Delete what ``keep`` wrote, once nothing will read it any more."""
+    files = table.inputFiles()
+    if files:
+        spark = table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send texts to Python in batches of ``rows`` at most: thousands of whole texts at once take much memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from .scan import Slice, slices
 from .store import of_worker, partitions, release
 
-#: Words of a worker's table, of some 60 bytes each; beyond that it starts anew.
-MEMO_WORDS = 1_000_000
+#: Words of a worker's table, and their ids for each of these; beyond either it starts anew.
+MEMO_WORDS, MEMO_IDS = 1_000_000, 8
 #: Longer words are encoded one by one.
 MEMO_BYTES = 64
+#: Bytes of texts for a file, at least; there are no fewer files than shuffle partitions while each has some text.
+FILE_BYTES = 256 << 20
 
 
 class HashTable:
@@ -96,7 +98,12 @@ class WordMemo:
 
     def _clear(self) -> None:
         self.table = HashTable(self.most)
-        self.starts, self.lengths, self.ids = (np.zeros(0, t) for t in (np.int64, np.int32, np.uint32))
+        #: Ids of all words end to end, and where each word's begin: arrays with room to grow.
+        self.starts, self.lengths, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.uint32), 0
+
+    @staticmethod
+    def _with_room(array: np.ndarray, size: int) -> np.ndarray:
+        return array if size <= len(array) else np.concatenate([array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)])
 
     def _plain(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
@@ -121,7 +128,7 @@ class WordMemo:
         hashes = part.word_hashes()
         number = self.table.find(hashes)
         new, first = np.unique(hashes[number < 0], return_index=True)
-        if self.table.size + len(new) > self.most:
+        if self.table.size + len(new) > self.most or self.used > MEMO_IDS * self.most:
             self._clear()
             number[:] = -1
             new, first = np.unique(hashes, return_index=True)
@@ -131,11 +138,14 @@ class WordMemo:
         if len(new):
             raw, at = part.buf.tobytes(), np.flatnonzero(number < 0)[first]
             found = self._words([raw[a:b] for a, b in zip(part.starts[at].tolist(), part.ends[at].tolist(), strict=True)])
-            self.table.add(new)
             lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])
-            self.ids = np.concatenate([self.ids, *found])
+            size, ids = self.table.size, self.used + int(lengths.sum())
+            self.starts, self.lengths, self.ids = (self._with_room(a, n) for a, n in ((self.starts, size + len(new)), (self.lengths, size + len(new)), (self.ids, ids)))
+            self.starts[size : size + len(new)] = self.used + np.cumsum(lengths) - lengths
+            self.lengths[size : size + len(new)] = lengths
+            self.ids[self.used : ids] = np.concatenate(found)
+            self.used = ids
+            self.table.add(new)
             number = self.table.find(hashes)
         lengths = self.lengths[number].astype(np.int64)
         ends = np.cumsum(lengths)
@@ -173,13 +183,16 @@ def _encoder(tokenizer_file: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, *, dictionary: bool = True, row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10, page_rows: int = 1000) -> None:
     """Encode every whole text of ``docs(doc_id, text)`` and write the files; a null text is an empty one.
 
-    The one shuffle deals texts, which are smaller than their ids, into ranges of ``doc_id``. Other
-    columns of ``docs`` are not looked at; an empty table gives empty files.
+    The one shuffle deals texts, which are smaller than their ids, into ranges of ``doc_id``; rows that share
+    one (or have none) are dealt on by their texts and then by where they come from, so many of them fill many
+    files. The number of files follows the bytes of the texts. Other columns of ``docs`` are not looked at; an
+    empty table gives empty files.
     """
     spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(partitions(spark), "doc_id")
+        docs.repartitionByRange(max(partitions(spark), -(-size // FILE_BYTES)), "doc_id", F.xxhash64("text"), F.monotonically_increasing_id())
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
         .select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     )
