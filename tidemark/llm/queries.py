@@ -33,8 +33,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = keep(mixing.prepared(table(spark, sf_dir, "documents")), "sizes")
-    mixed = mixing.with_copies(sized, sized)
+    mixed = mixing.with_copies(keep(mixing.prepared(table(spark, sf_dir, "documents")), "sizes"))
     return mixed.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
