@@ -5,30 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import join_groups, keep
+from .store import drop, join_groups, keep
 
 
-#: Edges from which a hub's rows must not meet in one task.
-MANY_EDGES = 1_000_000
-
-
-def _with_least(pairs: DataFrame, many: bool) -> DataFrame:
-    """(u, v) with m, the least of u and all its v. Sums by key first; of many pairs a hub's can be split."""
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """(u, v) with m, the least of u and all its v. Sums by key first; a hub's rows can be split over tasks."""
     least = pairs.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    by_hub = F.col("u") == F.col("k")
-    return (join_groups(pairs, least, by_hub) if many else pairs.join(least, by_hub)).select("u", "v", "m")
+    return join_groups(pairs, least, F.col("u") == F.col("k")).select("u", "v", "m")
 
 
-def large_star(edges: DataFrame, many: bool = True) -> DataFrame:
+def large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of u is linked to the least of u and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both, many).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def small_star(edges: DataFrame, many: bool = True) -> DataFrame:
+def small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours are linked to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    linked = _with_least(down, many)
+    linked = _with_least(down)
     return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(linked.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
@@ -42,13 +37,14 @@ def _is_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges(u long, v long)``; the root is the component's least node.
 
-    Each round is written to the shared folder. Rounds grow with the logarithm of the nodes.
+    Each round is written to the shared folder, and the one before is deleted. Rounds grow with the logarithm
+    of the nodes.
     """
-    many = edges.count() > MANY_EDGES
-    stars = keep(small_star(large_star(edges.where("u != v"), many), many), "stars")
+    stars = keep(small_star(large_star(edges.where("u != v"))), "stars")
     for _ in range(most_rounds):
         if _is_stars(stars):
             children = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return children.union(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        stars = keep(small_star(large_star(stars, many), many), "stars")
+        before, stars = stars, keep(small_star(large_star(stars)), "stars")
+        drop(before)
     raise RuntimeError("components: no end after the given rounds")

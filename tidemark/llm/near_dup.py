@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -139,11 +139,31 @@ def verify(ids: list[int], groups: list[int], sides: list[int], texts: list[byte
                 yield ids[i], ids[j]
 
 
-def _verified(blocks: DataFrame, profiles: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) of blocks(block, side, id, comp); each block's rows come together in one task."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("t"), F.col("text").cast("string").alias("text"))
-    marks = profiles.select(F.col("doc_id").alias("s"), "signature")
-    rows = blocks.join(marks, F.col("id") == F.col("s")).join(texts, F.col("id") == F.col("t")).select("block", "side", "id", "comp", "signature", "text")
+#: Bits of the filter that texts pass before they are shuffled: 2 MB, so it may be broadcast.
+FILTER_BITS = 1 << 24
+
+
+def _among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``rows`` whose key is among ``ids(id)``, and a few more: a filter of fixed size, so most others aren't shuffled."""
+    code = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bits = ids.select(code("id").alias("code")).groupBy(F.bitmap_bucket_number("code").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("code")).alias("_bits"))
+    place = F.bitmap_bit_position(code(key)).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    here = rows.withColumn("_here", F.bitmap_bucket_number(code(key)))
+    found = here.join(F.broadcast(bits), F.col("_here") == F.col("_bucket"))
+    return found.where(F.getbit(byte, place % 8) == 1).select(*rows.columns)
+
+
+def _members(ids: DataFrame, profiles: DataFrame, docs: DataFrame) -> DataFrame:
+    """(t, signature, text) of the documents of ``ids(id)``: whole texts are shuffled once, and read from here on."""
+    texts = _among(docs.select(F.col("doc_id").cast("long").alias("t"), F.col("text").cast("string").alias("text")), "t", ids)
+    marks = profiles.select(F.col("doc_id").alias("s"), "signature").join(ids, F.col("s") == F.col("id"), "left_semi")
+    return keep(marks.join(texts, F.col("s") == F.col("t")).select("t", "signature", "text"), "texts")
+
+
+def _verified(blocks: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) of blocks(block, side, id, comp), by ``_members``; each block's rows come together in one task."""
+    rows = blocks.join(texts, F.col("id") == F.col("t")).select("block", "side", "id", "comp", "signature", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -164,7 +184,7 @@ def _verified(blocks: DataFrame, profiles: DataFrame, docs: DataFrame, percent:
         yield flush()
         release()
 
-    return rows.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block").mapInArrow(run, "u long, v long")
+    return rows.repartition(partitions(blocks.sparkSession), "block").sortWithinPartitions("block").mapInArrow(run, "u long, v long")
 
 
 def _chunks(n, member):
@@ -181,8 +201,9 @@ def links(firsts: DataFrame, profiles: DataFrame, docs: DataFrame, percent: int)
     families = keep(components(pairs), "families")
     sizes = families.groupBy(F.col("root").alias("family")).agg(F.count(F.lit(1)).alias("n"))
     members = keep(join_groups(families, sizes, F.col("root") == F.col("family")).select(F.col("node").alias("id"), "family", "n"), "sized")
+    texts = _members(members.select("id"), profiles, docs)
     small = members.where(F.col("n") <= BLOCK).select(F.xxhash64("family").alias("block"), F.lit(0).alias("side"), "id", F.col("id").alias("comp"))
-    found = keep(_verified(small, profiles, docs, percent), "links")
+    found = keep(_verified(small, texts, percent), "links")
     large = members.where(F.col("n") > BLOCK)
     if large.isEmpty():
         return found
@@ -194,7 +215,7 @@ def links(firsts: DataFrame, profiles: DataFrame, docs: DataFrame, percent: int)
     chunk, _ = _chunks(F.col("n"), F.col("u"))
     dealt = dealt.select("u", F.col("v").alias("hub"), F.xxhash64("v", chunk).alias("block"))
     first = dealt.select("block", F.lit(1).alias("side"), F.col("u").alias("id"), F.col("u").alias("comp")).union(dealt.select("block", F.lit(0), F.col("hub"), F.col("hub")).distinct())
-    spoken = keep(_verified(first, profiles, docs, percent), "spokes")
+    spoken = keep(_verified(first, texts, percent), "spokes")
     found = found.union(spoken)
 
     # What is still apart: chunks of all but the family's main component against all chunks.
@@ -218,7 +239,7 @@ def links(firsts: DataFrame, profiles: DataFrame, docs: DataFrame, percent: int)
     sides = turns.select("block", "family", F.lit(False).alias("tm"), F.col("chunk").alias("tc"), F.lit(0).alias("side")).union(turns.where(~one_chunk).select("block", "family", "main2", "chunk2", F.lit(1)))
     sides = sides.withColumnRenamed("family", "tf")
     last = sides.join(marked, (F.col("tf") == F.col("family")) & (F.col("tm") == F.col("main")) & (F.col("tc") == F.col("chunk"))).select("block", "side", "id", "comp")
-    return found.union(keep(_verified(last, profiles, docs, percent), "last"))
+    return found.union(keep(_verified(last, texts, percent), "last"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -247,8 +268,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the least doc_id, and of repeated rows one."""
-    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    """The rows of ``docs`` that stay: of each component the one with the least doc_id, and of repeated rows one.
+
+    Rows are repeated if they agree in doc_id and text. Only rows whose doc_id occurs more than once, or is null, are
+    looked at for that.
+    """
+    gone = keep(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    once = Window.partitionBy(left["doc_id"], F.xxhash64(left["text"])).orderBy(F.lit(1))
-    return left.withColumn("_turn", F.row_number().over(once)).where("_turn = 1").drop("_turn")
+    again = keep(left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_again")), "again")
+    if again.isEmpty():
+        return left
+    same = left["doc_id"].eqNullSafe(F.col("_again"))
+    names = [F.col(c) for c in docs.columns]
+    digest = F.xxhash64("text", F.lit(1)), F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    # Rows of one doc_id and text are thinned out by each task before they are shuffled.
+    some = left.join(again, same, "left_semi").groupBy("doc_id", *digest).agg(F.first(F.struct(*names)).alias("_row"))
+    return left.join(again, same, "left_anti").union(some.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
