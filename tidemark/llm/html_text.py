@@ -1,20 +1,24 @@
 """Main text of pages by a site style tree (after Yi, Liu and Li, 2003).
 
-The pages of a host are merged into one tree of element nodes, each named by its path of structural
-elements (tag and class). Over the m pages that have a node,
-
-* its content importance is 1 minus the mean entropy (to the base m) of the texts below it over pages:
-  a text on one page has entropy 0, one on all pages 1;
-* its presentation importance is the entropy of its forms (sequences of children) over pages;
-* its importance is both together, CONTENT parts of the former, drawn to 1 where m is small.
-
-That is multiplied by a prior of the element's name: NOISE for menus, adverts, comments and the like, MAIN
-in an article or main element, 1 for others. A name that tells noise doesn't count for an element that has
-WRAPS of the page's text. What is below LEAST is removed from each page. A single text is judged as a node
-is, by the pages of its node that have it, so a notice goes that all pages have among other paragraphs.
-
-The tree holds one row a node; only removed branches and texts are passed on, in memory where
-they are few and else by a join on the host.
+The pages of a host are merged into one tree of element nodes, each known by its path of structural elements
+(tag and class). Over the m pages that have a node, three things are measured:
+
+* its content: 1 minus the mean entropy (to the base m) of the texts at and below it over pages: a text
+  on one page has entropy 0, one on all pages 1. A text whose pages are all copies of one page counts as on one;
+* its presentation: the entropy of its forms (sequences of children) over pages;
+* its volume: the mean share of a page's text that it holds, less most of that if its text is links.
+
+Content and presentation are drawn to 1 and 1/2 where m is small. The importance is CONTENT, STYLE and VOLUME parts
+of the three. It is multiplied by a prior of the element's name: NOISE for menus, adverts, comments and the like,
+MAIN in an article or main element, 1 for others; what is below LEAST is removed from each page. So a name
+alone removes nothing: a node named as noise stays if its text doesn't repeat, its form varies and it holds most of
+the text, and one without such a name goes if it repeats. A name that tells noise doesn't count for an element that
+has WRAPS of the page's own text. A single text is judged as a node is, by the pages of its node that have it,
+so a notice goes that all pages have among other paragraphs.
+
+Elements nested deeper than DEPTH become siblings there, as in browsers. The tree holds one row a node; only
+the importance of removed or named nodes and of removed texts is passed on, in memory where that is little and else by a join
+on the host.
 """
 
 from __future__ import annotations
@@ -25,15 +29,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep
+from .store import join_groups, keep
 
-CONTENT, NOISE, MAIN, LEAST, SMALL = 0.9, 0.1, 2.0, 0.3, 5.0
+CONTENT, STYLE, VOLUME = 0.6, 0.2, 0.2
+NOISE, MAIN, LEAST, SMALL = 0.33, 2.0, 0.3, 5.0
+#: How much of a node's importance goes if all its text is links.
+LINKED = 0.75
 #: The share of a page's text that a menu, advert or the like doesn't have.
 WRAPS = 0.8
-#: Removed branches that executors hold in memory.
+#: Levels of elements.
+DEPTH = 512
+#: Rows of importance that executors hold in memory.
 HELD_BRANCHES = 100_000
 
 # Names of HTML elements, and words of classes and roles.
@@ -44,9 +54,12 @@ BLOCK_TAGS = frozenset(
     "html body head address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 MAIN_TAGS = frozenset(["article", "main"])
+#: Words that tell noise as the last word of a class or role, words that do so anywhere in it, and words that say nothing.
 NOISE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising alert aside banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright dialog disqus footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted recommended related replies search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar widget".split()
+    "ad ads adv advert adverts advertisement advertisements advertising alert aside banner banners breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright dialog disqus footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted recommended related replies search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar widget".split()
 )
+NOISE_ANYWHERE = frozenset("advertisement breadcrumb breadcrumbs cookie cookies disqus gdpr newsletter popup promoted recommended related sidebar sponsored".split())
+PLAIN_WORDS = frozenset("area bar block body bottom box center container content inner item items left link links list outer right section slot text top unit wrap wrapper".split())
 #: What an opening block ends, if it is open within the nearest of the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"})}
 
@@ -66,194 +79,276 @@ def hidden(attributes: str) -> bool:
     return False
 
 
-class Node:
-    __slots__ = ("tag", "name", "noise", "hidden", "main", "size", "children")
+def tells_noise(name: str) -> bool:
+    """Whether a class, id or role is that of a menu, advert or the like: by its last word that says something."""
+    words = _WORD.findall(name)
+    told = [w for w in words if w not in PLAIN_WORDS and not w.isdigit()]
+    return bool(told) and (told[-1] in NOISE_WORDS or not NOISE_ANYWHERE.isdisjoint(told))
+
+
+def code_of(text: str, seed: int = 0) -> int:
+    """A 63-bit hash."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed) >> 1
+
 
-    def __init__(self, tag: str, attributes: str):
-        names = [m[2].strip("\"'").lower() for m in _NAME.finditer(attributes)] if attributes else []
-        classes = names[0].split() if names else []
-        self.tag, self.name = tag, tag + ("." + classes[0] if classes else "")
-        words = set(_WORD.findall(" ".join(names)))
+class Node:
+    __slots__ = ("tag", "name", "code", "parent", "noise", "hidden", "main", "size", "links", "children")
+
+    def __init__(self, tag: str, attributes: str, parent: Node | None):
+        names = [(m[1].lower(), m[2].strip("\"'").lower()) for m in _NAME.finditer(attributes)] if attributes else []
+        classes = [c for kind, value in names if kind == "class" for c in value.split()]
+        self.tag, self.name, self.parent = tag, tag + ("." + classes[0] if classes else ""), parent
+        root = tag in ("html", "body")
+        above = parent.code if parent else 0
+        #: Of the path; 0 outside of all elements but html and body.
+        self.code = above if root else code_of(self.name, above)
         self.main = tag in MAIN_TAGS
-        self.noise = not self.main and tag not in ("html", "body") and (tag in NOISE_TAGS or bool(words & NOISE_WORDS))
-        self.hidden = not self.main and tag not in ("html", "body") and bool(attributes and hidden(attributes))
-        self.size = 0
+        plain = not self.main and not root
+        self.noise = plain and (tag in NOISE_TAGS or any(tells_noise(x) for _, value in names for x in value.split()))
+        self.hidden = bool(parent and parent.hidden) or tag == "head" or (plain and bool(attributes and hidden(attributes)))
+        self.size = self.links = 0
         self.children: list[str] = []
 
 
-def walk(page: str) -> Iterator[tuple[list[Node], str | None]]:
-    """Blocks of text with the open structural elements, and (elements, None) when an element ends."""
-    stack: list[Node] = []
-    held: list[str] = []
-    at = 0
-
-    def flush() -> Iterator[tuple[list[Node], str | None]]:
-        text = " ".join(html.unescape("".join(held)).split())
-        held.clear()
-        if text:
-            yield stack, text
-
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        if m is None:
-            held.append(page[at:])
-            break
-        if m.start() > at:
-            held.append(page[at : m.start()])
-        at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            continue
-        tag = tag.lower()
-        if not closing and tag in RAW_TAGS:
-            end = re.compile(f"</{re.escape(tag)}(?![^\\s/>])", re.I).search(page, at)
-            at = len(page) if end is None else (page.find(">", end.end()) + 1 or len(page))
-            continue
-        if tag == "br":
-            held.append(" ")
-        if tag not in BLOCK_TAGS or tag in VOID_TAGS:
-            if tag == "hr":
-                yield from flush()
-            continue
-        yield from flush()
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    while len(stack) > k:
-                        yield stack, None
-                        stack.pop()
-                    break
-            continue
-        if stack and stack[-1].tag == "p":
-            yield stack, None
-            stack.pop()
-        ends, within = CLOSES.get(tag, ((), ()))
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k].tag in within:
-                break
-            if stack[k].tag in ends:
-                while len(stack) > k:
-                    yield stack, None
-                    stack.pop()
+class Page:
+    """The shown blocks of text of a page in order, each as (node, text), and its nodes in the order of their beginnings."""
+
+    def __init__(self, page: str):
+        self.nodes: list[Node] = []
+        self.blocks: list[tuple[Node | None, str]] = []
+        self.size = 0
+        self._read(page)
+        for node in reversed(self.nodes):
+            if node.parent:
+                node.parent.size += node.size
+                node.parent.links += node.links
+
+    def _read(self, page: str) -> None:
+        stack: list[Node] = []
+        held: list[str] = []
+        at = linked = mains = 0
+        link: int | None = None  # the depth at which a link began
+
+        def flush() -> None:
+            nonlocal linked
+            text = " ".join(html.unescape("".join(held)).split())
+            node = stack[-1] if stack else None
+            if text and not (node and node.hidden):
+                self.blocks.append((node, text))
+                self.size += len(text)
+                if node:
+                    node.size += len(text)
+                    node.links += min(linked, len(text))
+            held.clear()
+            linked = 0
+
+        def cut(k: int) -> None:
+            nonlocal mains, link
+            mains -= sum(x.main for x in stack[k:])
+            del stack[k:]
+            if link is not None and link > k:
+                link = None
+
+        def hold(text: str) -> None:
+            nonlocal linked
+            held.append(text)
+            if link is not None:
+                linked += len(text)
+
+        while at < len(page):
+            m = _TOKEN.search(page, at)
+            if m is None:
+                hold(page[at:])
                 break
-        node = Node(tag, attributes)
-        if tag == "header" and not any(x.main for x in stack):
-            node.noise = True
-        if stack:
-            stack[-1].children.append(node.name)
-        stack.append(node)
-    yield from flush()
-    while stack:
-        yield stack, None
-        stack.pop()
+            if m.start() > at:
+                hold(page[at : m.start()])
+            at = m.end()
+            closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            if not tag:
+                continue
+            tag = tag.lower()
+            if not closing and tag in RAW_TAGS:
+                if not attributes.endswith("/"):
+                    at = self._after_raw(page, at, tag, stack)
+                continue
+            if tag == "a":
+                link = None if closing else len(stack)
+            if tag == "br":
+                held.append(" ")
+            if tag not in BLOCK_TAGS or tag in VOID_TAGS:
+                if tag == "hr":
+                    flush()
+                continue
+            flush()
+            if closing:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k].tag == tag:
+                        cut(k)
+                        break
+                continue
+            if stack and stack[-1].tag == "p":
+                cut(len(stack) - 1)
+            if tag in CLOSES:
+                ends, within = CLOSES[tag]
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k].tag in within:
+                        break
+                    if stack[k].tag in ends:
+                        cut(k)
+                        break
+            if len(stack) >= DEPTH:
+                cut(DEPTH - 1)
+            node = Node(tag, attributes, stack[-1] if stack else None)
+            if tag == "header" and not mains:
+                node.noise = True
+            if stack:
+                stack[-1].children.append(node.name)
+            mains += node.main
+            stack.append(node)
+            self.nodes.append(node)
+        flush()
+
+    @staticmethod
+    def _after_raw(page: str, at: int, tag: str, stack: list[Node]) -> int:
+        """Where an element of raw text ends; one that is never closed ends with an element around it."""
+        end = re.compile(f"</{re.escape(tag)}(?![^\\s/>])", re.I).search(page, at)
+        if end is not None:
+            return page.find(">", end.end()) + 1 or len(page)
+        around = "|".join(sorted({re.escape(x.tag) for x in stack}))
+        end = re.compile(f"</(?:{around})(?![^\\s/>])", re.I).search(page, at) if around else None
+        return len(page) if end is None else end.start()
 
 
 def host_of(url: str | None) -> str:
     m = re.match(r"(?s).*?://([^/?#]*)", url or "")
-    return m[1].lower() if m else ""
+    return m[1].translate(_LOWER) if m else ""
 
 
-def _codes(values: list[str]) -> np.ndarray:
-    """63-bit hashes of strings."""
-    import xxhash
+#: Letters A-Z in lower case, here and in the join by hosts.
+_LOWER = {c: c + 32 for c in range(65, 91)}
 
-    return np.fromiter((xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass")) >> 1 for v in values), np.int64, len(values))
 
+def _form(names: list[str]) -> int:
+    """Of a sequence of children, in which a run of equal ones counts as one."""
+    return code_of(" ".join(x for k, x in enumerate(names) if not k or names[k - 1] != x))
 
-def features(url: str | None, page: str) -> set[tuple[str, str, str]]:
-    """(node, kind, feature) of a page: t for the texts below a node, f for its forms."""
-    found = set()
-    for stack, text in walk(page):
-        inner = [x for x in stack if x.tag not in ("html", "body")]
-        for k in range(1, len(inner) + 1) if text else ((len(inner),) if inner else ()):
-            path = ">".join(x.name for x in inner[:k])
-            found.add((path, "t", text) if text else (path, "f", " ".join(dict.fromkeys(inner[-1].children))))
-    return found
 
+def features(page: Page) -> tuple[set[tuple[int, int]], list[tuple]]:
+    """(node, text) of a page, and for each node (node, form, share of text, share of linked text, name, named, nodes above it and itself)."""
+    texts = {(node.code, code_of(text)) for node, text in page.blocks if node and node.code}
+    forms: dict[int, list] = {}
+    above: dict[int, list[int]] = {}
+    for node in page.nodes:
+        if node.code and node.tag not in ("html", "body") and not node.hidden:
+            code = node.code
+            if code not in above:
+                above[code] = [*above.get(node.parent.code if node.parent else 0, []), code]
+            of = forms.setdefault(code, [set(), 0, 0, node.name, False])
+            of[0].add(_form(node.children))
+            of[1] += node.size
+            of[2] += node.links
+            of[4] |= node.noise
+    total = max(page.size, 1)
+    return texts, [(code, code_of(" ".join(map(str, sorted(f)))), size / total, links / total, name, named, above[code]) for code, (f, size, links, name, named) in forms.items()]
 
-def feature_counts(pages: DataFrame) -> DataFrame:
-    """(host, node, kind, feature, k): the pages of a host with a node's feature."""
+
+_TEXTS = "host string, node long, feature long, copy long"
+_NODES = "host string, node long, form long, volume double, linked double, name string, named boolean, above array<long>"
+
+
+def _read(pages: DataFrame) -> DataFrame:
+    """Features of all pages in one pass: rows of a text (feature) and rows of a node (form)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("host", pa.string()), ("node", pa.int64()), ("feature", pa.int64()), ("copy", pa.int64()), ("form", pa.int64()), ("volume", pa.float64()), ("linked", pa.float64()), ("name", pa.string()), ("named", pa.bool_()), ("above", pa.list_(pa.int64()))])
         for batch in batches:
             urls, texts = batch.column("url"), batch.column("html")
             for i in range(0, batch.num_rows, 64):
-                hosts, nodes, kinds, values = [], [], [], []
-                for url, page in zip(urls.slice(i, 64).to_pylist(), texts.slice(i, 64).to_pylist(), strict=True):
-                    for node, kind, value in sorted(features(url, page or "")):
-                        hosts.append(host_of(url))
-                        nodes.append(node)
-                        kinds.append(kind)
-                        values.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.string()), pa.array(kinds, pa.string()), pa.array(_codes(values))], ["host", "node", "kind", "feature"])
+                rows: list[tuple] = []
+                for url, raw in zip(urls.slice(i, 64).to_pylist(), texts.slice(i, 64).to_pylist(), strict=True):
+                    host, copy = host_of(url), code_of(raw or "")
+                    found, nodes = features(Page(raw or ""))
+                    rows += [(host, node, text, copy, *[None] * 6) for node, text in sorted(found)]
+                    rows += [(host, node, None, None, *more) for node, *more in nodes]
+                columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    rows = pages.select("url", "html").mapInArrow(run, "host string, node string, kind string, feature long")
-    return rows.groupBy("host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("k"))
+    return pages.select("url", "html").mapInArrow(run, _TEXTS + _NODES.removeprefix("host string, node long"))
+
+
+def feature_counts(pages: DataFrame) -> DataFrame:
+    """(host, node, feature, form, k, volume, linked, name, named, above) by text of a node, and by form of a node; k counts pages."""
+    k = F.count(F.lit(1))
+    return _read(pages).groupBy("host", "node", "feature", "form").agg(
+        F.when(F.min("copy") == F.max("copy"), F.lit(1)).otherwise(k).cast("long").alias("k"),
+        F.sum("volume").alias("volume"), F.sum("linked").alias("linked"), F.min("name").alias("name"), F.max("named").alias("named"), F.first("above").alias("above"),
+    )
+
+
+def _drawn(value: Column, m: Column, to: float) -> Column:
+    """A measure over m pages, drawn to what is assumed where they are few."""
+    return ((m - 1) * value + SMALL * to) / (m - 1 + SMALL)
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
-    """(host, node, m, importance) of every node of every host's tree."""
-    return _trees(feature_counts(pages))
+    """(host, node, code, named, m, importance) of every node of every host's tree; node is its element, code its path."""
+    return _trees(keep(feature_counts(pages), "features"))
 
 
 def _trees(counts: DataFrame) -> DataFrame:
-    """Sums are made in two steps, by text first, so no task holds a large host."""
-    form, text = F.col("kind") == "f", F.col("kind") == "t"
-    sums = counts.groupBy("host", "node").agg(
-        F.sum(F.when(form, F.col("k"))).alias("m"),  # each page with the node has one form of it, or several
-        F.sum(F.when(form, F.col("k") * F.log("k"))).alias("form"),
-        F.avg(F.when(text, F.log("k"))).alias("text"),
-    )
-    base = F.log("m")
-    style = F.when(F.col("m") > 1, (base - F.col("form") / F.col("m")) / base).otherwise(1.0)
-    content = F.when(F.col("text").isNull(), style).when(F.col("m") > 1, F.greatest(F.lit(0.0), 1 - F.col("text") / base)).otherwise(1.0)
-    importance = CONTENT * content + (1 - CONTENT) * style
-    return sums.where("m > 0").select("host", "node", "m", ((F.col("m") * importance + SMALL) / (F.col("m") + SMALL)).alias("importance"))
-
-
-def removed_parts(pages: DataFrame) -> DataFrame:
-    """(host, node, feature, importance) of nodes, and of texts of nodes (feature), with an importance below LEAST."""
+    """Sums are made in two steps, by text and form first, so no task holds a large host."""
+    nodes = counts.where("form is not null").groupBy("host", "node").agg(
+        F.sum("k").alias("m"), F.sum(F.col("k") * F.log("k")).alias("forms"), F.sum("volume").alias("volume"), F.sum("linked").alias("linked"),
+        F.min("name").alias("name"), F.max("named").alias("named"), F.first("above").alias("above"),
+    )
+    own = counts.where("feature is not null").groupBy(F.col("host").alias("h"), F.col("node").alias("n")).agg(F.sum(F.log("k")).alias("logs"), F.count(F.lit(1)).alias("texts"))
+    nodes = keep(nodes.join(own, (F.col("host") == F.col("h")) & (F.col("node") == F.col("n")), "left").drop("h", "n"), "nodes")
+    below = nodes.where("texts > 0").select(F.col("host").alias("h"), F.explode("above").alias("n"), "logs", "texts")
+    below = below.groupBy("h", "n").agg(F.sum("logs").alias("all_logs"), F.sum("texts").alias("all_texts"))
+    wide = nodes.drop("logs", "texts").join(below, (F.col("host") == F.col("h")) & (F.col("node") == F.col("n")), "left")
+    m = F.col("m")
+    base = F.when(m > 1, F.log("m")).otherwise(1.0)
+    style = F.when(m > 1, (base - F.col("forms") / m) / base).otherwise(0.5)
+    content = F.when(F.col("all_texts").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("all_logs") / F.col("all_texts") / base))
+    links = F.when(F.col("volume") > 0, F.col("linked") / F.col("volume")).otherwise(0.0)
+    importance = CONTENT * _drawn(content, m, 1.0) + STYLE * _drawn(style, m, 0.5) + VOLUME * F.col("volume") / m
+    return wide.select("host", F.col("name").alias("node"), F.col("node").alias("code"), "named", "m", (importance * (1 - LINKED * links)).alias("importance"))
+
+
+def judged_parts(pages: DataFrame) -> DataFrame:
+    """(host, code, feature, importance) of nodes that are named as noise or below LEAST, and of texts (feature) below LEAST."""
     counts = keep(feature_counts(pages), "features")
     trees = keep(_trees(counts), "trees")
-    often = counts.where((F.col("kind") == "t") & (F.col("k") > SMALL)).select(F.col("host").alias("h"), F.col("node").alias("n"), "feature", "k")
-    texts = often.join(trees, (F.col("h") == F.col("host")) & (F.col("n") == F.col("node")))
+    often = counts.where((F.col("feature").isNotNull()) & (F.col("k") > SMALL)).select(F.col("host").alias("h"), F.col("node").alias("n"), "feature", "k")
+    texts = join_groups(often, trees, (F.col("h") == F.col("host")) & (F.col("n") == F.col("code")))
     alone = F.greatest(F.lit(0.0), 1 - F.log("k") / F.log("m"))
-    texts = texts.select("host", "node", "feature", ((F.col("m") * alone + SMALL) / (F.col("m") + SMALL)).alias("importance"))
-    return trees.select("host", "node", F.lit(None).cast("long").alias("feature"), "importance").union(texts).where(F.col("importance") < LEAST)
+    texts = texts.select("host", "code", "feature", _drawn(alone, F.col("m"), 1.0).alias("importance")).where(F.col("importance") < LEAST)
+    nodes = trees.where((F.col("importance") < LEAST) | F.col("named")).select("host", "code", F.lit(None).cast("long").alias("feature"), "importance")
+    return nodes.union(texts)
 
 
 def by_part(rows: Iterable) -> dict:
     """Importance by node, or by node and text."""
-    return {r["node"] if r["feature"] is None else (r["node"], r["feature"]): r["importance"] for r in rows}
-
-
-def main_text(page: str | None, low: dict) -> str:
-    """The page's blocks outside removed branches, one a line. ``low``: importance of its host's parts by ``by_part``."""
-    low = low or {}
-    blocks, total = [], 0
-    for stack, text in walk(page or ""):
-        if text is None or any(x.hidden or x.tag == "head" for x in stack):
-            continue
-        blocks.append((list(stack), text))
-        total += len(text)
-        for x in stack:
-            x.size += len(text)
-    repeats = any(isinstance(x, tuple) for x in low)
+    return {r["code"] if r["feature"] is None else (r["code"], r["feature"]): r["importance"] for r in rows}
+
+
+def main_text(raw: str | None, tree: dict) -> str:
+    """The page's blocks outside removed branches, one a line. ``tree``: importance of its host's parts by ``by_part``; others have 1."""
+    tree, page = tree or {}, Page(raw or "")
+    gone: dict[int, tuple[bool, float]] = {0: (False, 1.0)}  # by node: whether it is removed, and its prior
+    for node in page.nodes:
+        cut, prior = gone[id(node.parent) if node.parent else 0]
+        if not cut and node.tag not in ("html", "body"):
+            prior = MAIN if node.main else prior
+            named = node.noise and node.size < WRAPS * page.size
+            cut = tree.get(node.code, 1.0) * (NOISE if named else prior) < LEAST
+        gone[id(node)] = cut, prior
+    repeats = any(isinstance(x, tuple) for x in tree)
     found = []
-    for stack, text in blocks:
-        path, prior, cut = "", 1.0, False
-        for x in stack:
-            if x.tag in ("html", "body"):
-                continue
-            path = f"{path}>{x.name}" if path else x.name
-            prior = MAIN if x.main else prior
-            named = NOISE if x.noise and x.size < WRAPS * total else 1.0
-            # What is not in ``low`` has LEAST or more; 1 is the most.
-            if low.get(path, 1.0) * (prior if named == 1 else named) < LEAST:
-                cut = True
-                break
-        if not cut and repeats and path:
-            cut = low.get((path, int(_codes([text])[0])), 1.0) * prior < LEAST
+    for node, text in page.blocks:
+        cut, prior = gone[id(node) if node else 0]
+        if not cut and repeats and node:
+            cut = tree.get((node.code, code_of(text)), 1.0) * prior < LEAST
         if not cut:
             found.append(text)
     return "\n".join(found)
@@ -263,19 +358,18 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages(page_id, url, html)``.
 
     A null or empty html has an empty text. Pages without a host make a tree of their own. Rows are judged
-    one by one, repeated ones alike.
+    one by one, repeated ones alike; other columns are not looked at.
     """
     pages = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    removed = removed_parts(pages)
-    few = removed.limit(HELD_BRANCHES + 1).collect()
+    judged = keep(judged_parts(pages), "judged")
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
 
     def rows(batch: pa.RecordBatch, found: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    if len(few) <= HELD_BRANCHES:
+    if judged.count() <= HELD_BRANCHES:
         of_host: dict[str, list] = {}
-        for r in few:
+        for r in judged.collect():
             of_host.setdefault(r.host, []).append(r.asDict())
         by_host = {h: by_part(x) for h, x in of_host.items()}
 
@@ -287,15 +381,16 @@ def extract(pages: DataFrame) -> DataFrame:
 
         return pages.mapInArrow(run, schema)
 
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "(?s)^.*?://([^/?#]*)", 1))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), "(?s)^.*?://([^/?#]*)", 1), letters, letters.lower())
     # Written, so that both sides of the join are exchanges and a large host's pages can be split.
-    lists = keep(removed.groupBy(F.col("host").alias("h")).agg(F.collect_list(F.struct("node", "feature", "importance")).alias("low")), "branches")
-    joined = pages.join(lists, host == F.col("h"), "left").select("page_id", "url", "html", "low")
+    lists = keep(judged.groupBy(F.col("host").alias("h")).agg(F.collect_list(F.struct("code", "feature", "importance")).alias("tree")), "branches")
+    joined = pages.join(lists, host == F.col("h"), "left").select("page_id", "url", "html", "tree")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
-                yield rows(part, [main_text(h, by_part(low or ())) for h, low in zip(part.column("html").to_pylist(), part.column("low").to_pylist(), strict=True)])
+                yield rows(part, [main_text(h, by_part(tree or ())) for h, tree in zip(part.column("html").to_pylist(), part.column("tree").to_pylist(), strict=True)])
 
     return joined.mapInArrow(run_joined, schema)
