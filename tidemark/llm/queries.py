@@ -99,4 +99,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dup": op10_near_dup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op8_urls": urls.sql()}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op8_urls": urls.SQL}

@@ -1,122 +1,176 @@
-"""URL filter by a tree of path templates, in SQL.
-
-Per host, paths make a tree of segments. Level by level a segment becomes a wildcard: first by its form
-(digits with or without an ending, long hexadecimal strings), then where a node has many children or
-nearly as many as urls and the child itself is rare: it has fewer than RARE paths, and too few labels for
-a verdict of its own. What is below three segments is one wildcard. Of the templates of a host that differ
-in their first segment only, those alike in labelled share (within a tenth, or all unlabelled) are merged.
-A template is rejected where its smoothed share of labelled blocks, (blocks + 1) / (labels + 2), is
-``purity`` at least and SUPPORT of its urls have labels, so it takes labels for a good part of it, nearly
-all of them blocks.
-
-``sql`` is the registered SQL, kept as it was: it makes wildcards of all children of a node, without regard to
-RARE and SUPPORT. It has the same verdicts while no node with a wildcard has such children or labels.
-
-Labels are the verdicts of the rules on the urls that they fit; the method judges the others. Rules are
-a short list and become one expression.
+"""URL filter by a tree of path templates, with DataFrame functions only.
+
+Per host, paths make a tree of segments. First each segment is generalised by its form (leading digits, long
+hexadecimal strings). Then, level by level down to the last segment, the children of a node become a wildcard where
+the node has many of them or nearly as many as urls, and the child itself is rare: it has fewer than RARE paths,
+and too few labels for a verdict of its own. A node of fewer than SPLIT urls is not split further: what is
+below it is one wildcard. So there is no bound on the levels, and each has nodes enough to tell something.
+
+Branches that differ in one segment only are merged if they are statistically alike: the numbers of blocked,
+allowed and unlabelled urls of the branches pass a chi-square test of homogeneity at 5 %. Of the merged
+branches a template is in, that of most urls counts, and if there is none the template itself. It is rejected where
+its smoothed share of labelled blocks, (blocks + 1) / (labels + 2), is ``purity`` at least and SUPPORT of its
+urls have labels.
+
+In ``judge`` labels are the verdicts of the rules on the urls that they fit; the method judges the others.
+Rules are a short list and become one expression.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .store import keep
+from .store import join_groups, keep
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: A node with more children than this, or with MANY_SHARE of its urls as children, has variable ones.
-MOST_CHILDREN = 50
+MOST_CHILDREN, MANY_SHARE = 50, 0.9
 PURITY = 0.8
-#: A child with so many paths is no wildcard.
-RARE = 10
+#: A child with so many paths is no wildcard; a node with fewer urls has no children.
+RARE, SPLIT = 10, 10
 #: The least share of a rejected template's urls that have labels.
 SUPPORT = 0.1
-
-
-def _quote(x: str) -> str:
-    return "'" + x.replace("\\", "\\\\").replace("'", "''") + "'"
-
-
-def parts(rules: Sequence[tuple[str, str, str]] = RULES, purity: float = PURITY, most_children: int = MOST_CHILDREN) -> dict[str, str]:
-    """Named queries, each over ``pages`` and earlier ones; the last gives the result. The text is SQL that others read, too."""
-    by_length = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r))
-    fits = lambda host, path: f"(host = {_quote(host)} OR right(host, {len(host) + 1}) = {_quote('.' + host)}) AND left(path, {len(path)}) = {_quote(path)}"
-    rule = " ".join(f"WHEN {fits(h, p)} THEN {_quote(h + p)}" for _, h, p in by_length)
-    verdict = " ".join(f"WHEN {_quote(h + p)} THEN {_quote(v)}" for v, h, p in by_length)
-    form = lambda s: f"CASE WHEN length({s}) >= 16 AND regexp_extract({s}, '^[0-9a-fA-F]+$', 0) = {s} THEN 'f' ELSE regexp_replace({s}, '^[0-9]+', '9') END"
-    segment = lambda k: f"CASE WHEN r{k} = '' THEN '' ELSE concat('/', {form(f'substring(r{k}, 2)')}) END AS s{k}"
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    out = {
-        "u": f"SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, coalesce(url, '') AS url FROM pages)",
-        "r": f"SELECT page_id, host, path, CASE {rule} END AS rule FROM u",
-        "d": f"SELECT host, path, CASE rule {verdict} END AS label, count(*) AS n FROM r GROUP BY host, path, CASE rule {verdict} END",
-        "s": "SELECT *, regexp_extract(path, '^(/[^/]*)', 1) AS r1, regexp_extract(path, '^/[^/]*(/[^/]*)', 1) AS r2, regexp_extract(path, '^/[^/]*/[^/]*(/[^/]*)', 1) AS r3, CASE WHEN regexp_extract(path, '^/[^/]*/[^/]*/[^/]*(/)', 1) = '/' THEN '/**' ELSE '' END AS rest FROM d",
-        "l0": f"SELECT host, path, label, n, rest, {segment(1)}, {segment(2)}, {segment(3)} FROM s",
-    }
-    for k, before in ((1, "''"), (2, "t1"), (3, "concat(t1, t2)")):
-        out[f"n{k}"] = f"SELECT host AS h{k}, {before} AS b{k}, count(DISTINCT s{k}) AS kids{k}, sum(n) AS urls{k} FROM l{k - 1} GROUP BY host, {before}"
-        variable = f"kids{k} > {most_children} OR (urls{k} >= 10 AND kids{k} * 10 >= urls{k} * 9)"
-        out[f"l{k}"] = f"SELECT x.*, CASE WHEN s{k} IN ('', '/') THEN s{k} WHEN {variable} THEN '/*' ELSE s{k} END AS t{k} FROM l{k - 1} x JOIN n{k} ON host = h{k} AND {before} = b{k}"
-    return out | {
-        "t": "SELECT host, path, label, n, t1, concat(t2, t3, rest) AS shape FROM l3",
-        "p": "SELECT host, t1, shape, sum(CASE WHEN label IS NULL THEN 0 ELSE n END) AS labels, sum(CASE WHEN label = 'block' THEN n ELSE 0 END) AS blocks FROM t GROUP BY host, t1, shape",
-        "c": "SELECT *, CASE WHEN labels = 0 THEN -1 ELSE floor(blocks * 10 / labels) END AS alike FROM p",
-        "m": f"SELECT host AS mh, shape AS ms, alike AS ma, (sum(blocks) + 1) / (sum(labels) + 2.0) >= {purity} AS rejected FROM c GROUP BY host, shape, alike",
-        "v": "SELECT host AS vh, t1 AS vt, shape AS vs, rejected FROM c JOIN m ON host = mh AND shape = ms AND alike = ma",
-        "j": "SELECT DISTINCT host AS jh, path AS jp, t1, shape FROM t",
-        "w": "SELECT jh, jp, rejected FROM j JOIN v ON jh = vh AND t1 = vt AND shape = vs",
-        "result": f"SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE rule {verdict} END WHEN rejected THEN 'block' ELSE 'allow' END AS verdict FROM r JOIN w ON host = jh AND path = jp",
-    }
-
-
-def sql(rules: Sequence[tuple[str, str, str]] = RULES, purity: float = PURITY, most_children: int = MOST_CHILDREN) -> str:
-    """All parts as one query over ``pages``."""
-    *named, (_, last) = parts(rules, purity, most_children).items()
-    return f"WITH {', '.join(f'{name} AS ({text})' for name, text in named)} {last}"
-
-
-def judged_parts(rules: Sequence[tuple[str, str, str]] = RULES, purity: float = PURITY, most_children: int = MOST_CHILDREN) -> dict[str, str]:
-    """``parts`` with wildcards for rare children only, and with support."""
-    enough = math.ceil(round((2 * purity - 1) / (1 - purity), 9)) if purity < 1 else math.inf
-    unsure = "" if enough == math.inf else f" AND labels < {max(enough, 1)}"
-    out = {}
-    for name, text in parts(rules, purity, most_children).items():
-        if name in ("n1", "n2", "n3"):
-            k, before = name[1], ("''", "t1", "concat(t1, t2)")[int(name[1]) - 1]
-            out[f"g{k}"] = f"SELECT host AS gh, {before} AS gb, s{k} AS gs, count(*) AS paths, sum(n) AS rows, sum(CASE WHEN label IS NULL THEN 0 ELSE n END) AS labels FROM l{int(k) - 1} GROUP BY host, {before}, s{k}"
-            text = f"SELECT gh AS h{k}, gb AS b{k}, count(*) AS kids{k}, sum(rows) AS urls{k} FROM g{k} GROUP BY gh, gb"
-        elif name in ("l1", "l2", "l3"):
-            k, before = name[1], ("''", "t1", "concat(t1, t2)")[int(name[1]) - 1]
-            variable = f"(kids{k} > {most_children} OR (urls{k} >= 10 AND kids{k} * 10 >= urls{k} * 9)) AND paths < {RARE}{unsure}"
-            out[f"e{k}"] = f"SELECT gh, gb, gs, CASE WHEN gs IN ('', '/') THEN gs WHEN {variable} THEN '/*' ELSE gs END AS t{k} FROM g{k} JOIN n{k} ON gh = h{k} AND gb = b{k}"
-            earlier = "".join(f", t{i}" for i in range(1, int(k)))
-            text = f"SELECT host, path, label, n, rest, s1, s2, s3{earlier}, t{k} FROM (SELECT *, {before} AS before FROM l{int(k) - 1}) JOIN e{k} ON host = gh AND before = gb AND s{k} = gs"
-        elif name == "p":
-            text = text.replace("sum(CASE WHEN label IS NULL", "sum(n) AS urls, sum(CASE WHEN label IS NULL", 1)
-        elif name == "m":
-            text = text.replace(" AS rejected", f" AND sum(labels) >= {SUPPORT} * sum(urls) AS rejected")
-        out[name] = text
-    return out
-
-
-#: Parts that are written: groups' rows, so that a large host's join can be split, and what several parts read.
-WRITTEN = frozenset(["d", "g1", "g2", "g3", "n1", "n2", "n3", "e1", "e2", "e3", "t", "v", "w"])
+#: The normal quantile of the test of homogeneity.
+Z = 1.645
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def host_of(url: Column) -> Column:
+    return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://([^/?#]*)", 1), _UPPER, _LOWER)
+
+
+def path_of(url: Column) -> Column:
+    return F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://[^/?#]*([^?#]*)", 1)
+
+
+def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
+    """The longest rule that fits a url, and its verdict; of equally long ones the first in order."""
+    rule = verdict = F.lit(None).cast("string")
+    for v, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r), reverse=True):
+        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
+        rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, v).otherwise(verdict)
+    return rule, verdict
+
+
+def _form(segment: Column) -> Column:
+    """A segment as it is but for leading digits and long hexadecimal strings; what looks like a wildcard is marked."""
+    formed = F.when((F.length(segment) >= 16) & segment.rlike("^[0-9a-fA-F]+$"), F.lit("f")).otherwise(F.regexp_replace(segment, "^[0-9]+", "9"))
+    return F.when(formed.rlike("^[*=]"), F.concat(F.lit("="), formed)).otherwise(formed)
+
+
+def templates(urls: DataFrame, purity: float = PURITY, most_children: int = MOST_CHILDREN) -> DataFrame:
+    """(host, path, template, n, labels, blocks) of each distinct path of ``urls(host, path, label)``; label is block, allow or null."""
+    label = F.col("label")
+    counts = [F.count(F.lit(1)).alias("n"), F.count("label").alias("labels"), F.sum((label == "block").cast("long")).alias("blocks")]
+    paths = urls.groupBy("host", "path").agg(*counts).fillna(0, ["blocks"])
+    segments = F.transform(F.slice(F.split("path", "/"), 2, 1 << 30), _form)
+    now = keep(paths.withColumn("segments", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(segments)).withColumn("template", F.lit("")), "paths")
+    done, k = now.where(F.size("segments") == 0), 0
+    now = now.where(F.size("segments") > 0)
+    enough = max(1, math.ceil(round((2 * purity - 1) / (1 - purity), 9))) if purity < 1 else math.inf
+    while not now.isEmpty():
+        here = now.withColumn("segment", F.get("segments", F.lit(k)))
+        children = here.groupBy(F.col("host").alias("gh"), F.col("template").alias("gt"), F.col("segment").alias("gs")).agg(F.count(F.lit(1)).alias("paths"), F.sum("n").alias("urls"), F.sum("labels").alias("labels"))
+        children = keep(children, "children")
+        nodes = children.groupBy(F.col("gh").alias("nh"), F.col("gt").alias("nt")).agg(F.count(F.lit(1)).alias("kids"), F.sum("urls").alias("all_urls"))
+        children = join_groups(children, nodes, (F.col("gh") == F.col("nh")) & (F.col("gt") == F.col("nt")))
+        many = (F.col("kids") > most_children) | ((F.col("all_urls") >= 10) & (F.col("kids") >= MANY_SHARE * F.col("all_urls")))
+        rare = (F.col("paths") < RARE) & ((F.col("labels") < enough) if enough < math.inf else F.lit(True))
+        token = F.when(many & rare & (F.col("gs") != ""), "*").otherwise(F.col("gs"))
+        children = keep(children.select("gh", "gt", "gs", F.concat("gt", F.lit("/"), token).alias("next"), "urls"), "tokens")
+        sizes = children.groupBy(F.col("gh").alias("sh"), F.col("next").alias("sn")).agg(F.sum("urls").alias("size"))
+        children = join_groups(children, sizes, (F.col("gh") == F.col("sh")) & (F.col("next") == F.col("sn"))).select("gh", "gt", "gs", "next", "size")
+        moved = join_groups(here, children, (F.col("host") == F.col("gh")) & (F.col("template") == F.col("gt")) & (F.col("segment") == F.col("gs")))
+        more = F.size("segments") > k + 1
+        moved = moved.withColumn("open", more & (F.col("size") >= SPLIT)).withColumn("template", F.when(more & (F.col("size") < SPLIT), F.concat("next", F.lit("/**"))).otherwise(F.col("next")))
+        moved = keep(moved.select("host", "path", "n", "labels", "blocks", "segments", "template", "open"), "level")
+        done = done.union(moved.where("not open").drop("open"))
+        now, k = moved.where("open").drop("open"), k + 1
+    return done.select("host", "path", "template", "n", "labels", "blocks")
+
+
+def _rejected(purity: float) -> Column:
+    return ((F.col("blocks") + 1) / (F.col("labels") + 2.0) >= purity) & (F.col("labels") >= SUPPORT * F.col("n"))
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """(host, template, n, labels, blocks) of templates, each with the counts of the largest merged branch it is in."""
+    own = keep(found.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("labels").alias("labels"), F.sum("blocks").alias("blocks")), "templates")
+    parts = F.split("template", "/")
+    # The template with each of its own segments in turn left open.
+    opened = F.transform(
+        F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: ~F.get(parts, i).isin("", "*", "**")),
+        lambda i: F.array_join(F.transform(parts, lambda x, j: F.when(j == i, F.lit("\x00")).otherwise(x)), "/"),
+    )
+    branches = keep(own.withColumn("branch", F.explode(opened)), "branches")
+    outcomes = {"b": F.col("blocks"), "a": F.col("labels") - F.col("blocks"), "u": F.col("n") - F.col("labels")}
+    sums = [F.sum(x).alias(k) for k, x in outcomes.items()] + [F.sum(x * x / F.col("n")).alias(f"s{k}") for k, x in outcomes.items()]
+    groups = branches.groupBy(F.col("host").alias("gh"), F.col("branch").alias("gb")).agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("all_n"), F.sum("labels").alias("all_labels"), F.sum("blocks").alias("all_blocks"), *sums).where("members > 1")
+    present = sum((F.col(k) > 0).cast("int") for k in outcomes)
+    statistic = F.col("all_n") * (sum(F.when(F.col(k) > 0, F.col(f"s{k}") / F.col(k)).otherwise(0.0) for k in outcomes) - 1)
+    free = ((F.col("members") - 1) * (present - 1)).cast("double")
+    limit = free * F.pow(1 - 2 / (9 * free) + Z * F.sqrt(2 / (9 * free)), 3)  # Wilson and Hilferty's approximation
+    alike = groups.where((free == 0) | (statistic <= limit)).select("gh", "gb", "all_n", "all_labels", "all_blocks")
+    joined = join_groups(branches, alike, (F.col("host") == F.col("gh")) & (F.col("branch") == F.col("gb")))
+    widest = joined.groupBy(F.col("host").alias("wh"), F.col("template").alias("wt")).agg(F.max(F.struct("all_n", "all_labels", "all_blocks", "branch")).alias("w"))
+    wide = own.join(widest, (F.col("host") == F.col("wh")) & (F.col("template") == F.col("wt")), "left")
+    return wide.select("host", "template", F.coalesce("w.all_n", "n").alias("n"), F.coalesce("w.all_labels", "labels").alias("labels"), F.coalesce("w.all_blocks", "blocks").alias("blocks"))
+
+
+def verdicts(urls: DataFrame, purity: float = PURITY, most_children: int = MOST_CHILDREN) -> DataFrame:
+    """(host, path, rejected) of each distinct path of ``urls(host, path, label)``."""
+    found = keep(templates(urls, purity, most_children), "found")
+    of_template = merged(found).select(F.col("host").alias("th"), F.col("template").alias("tt"), _rejected(purity).alias("rejected"))
+    return join_groups(found, of_template, (F.col("host") == F.col("th")) & (F.col("template") == F.col("tt"))).select("host", "path", "rejected")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, purity: float = PURITY, most_children: int = MOST_CHILDREN) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of ``pages(page_id, url)``.
 
-    A null url, or one without ://, has an empty host and path. Repeated rows are each returned.
+    A null url, or one without ://, has an empty host and path. Repeated rows are each returned, and count as
+    urls each. Other columns are not looked at. Of equally long rules the first in order is taken.
     """
-    spark, made = pages.sparkSession, {"pages": pages.select("page_id", "url")}
-    for name, text in judged_parts(rules, purity, most_children).items():
-        used = {x for x in re.findall(r"(?:FROM|JOIN) (\w+)", text) if x in made}
-        for x in used:
-            text = re.sub(rf"\b(FROM|JOIN) {x}\b", rf"\1 {{{x}}}", text)
-        df = spark.sql(text, **{x: made[x] for x in used})
-        made[name] = keep(df, name) if name in WRITTEN else df
-    return made["result"]
+    urls = pages.select("page_id", host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
+    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    urls = urls.select("*", rule.alias("rule"), verdict.alias("label"))
+    judged = keep(verdicts(urls.select("host", "path", "label"), purity, most_children), "verdicts")
+    judged = judged.withColumnsRenamed({"host": "jh", "path": "jp"})
+    joined = urls.join(judged, (F.col("host") == F.col("jh")) & (F.col("path") == F.col("jp")))
+    return joined.select("page_id", "host", "path", "rule", F.coalesce("label", F.when(F.col("rejected"), "block").otherwise("allow")).alias("verdict"))
+
+
+#: The same result in another engine's SQL, by windows over one recursive table of levels; for the rules and parameters above.
+SQL = r"""
+WITH RECURSIVE u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT *, CASE WHEN ('.' || host) LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/' WHEN ('.' || host) LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+  WHEN ('.' || host) LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/' WHEN ('.' || host) LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM u),
+l AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS label FROM r),
+d AS (SELECT host, path, count(*)::BIGINT AS n, count(label)::BIGINT AS labels, count(*) FILTER (WHERE label = 'block')::BIGINT AS blocks,
+  list_transform(string_split(path, '/')[2:], lambda x: CASE WHEN length(x) >= 16 AND regexp_full_match(x, '[0-9a-fA-F]+') THEN 'f' ELSE regexp_replace(regexp_replace(x, '^[0-9]+', '9'), '^([*=])', '=\1') END) AS segs FROM l GROUP BY host, path),
+lv AS (
+  SELECT host, path, n, labels, blocks, segs, 0 AS k, '' AS template, path <> '' AS is_open FROM d
+  UNION ALL
+  SELECT host, path, n, labels, blocks, segs, k + 1, template || '/' || token || CASE WHEN len(segs) > k + 1 AND size < 10 THEN '/**' ELSE '' END, len(segs) > k + 1 AND size >= 10
+  FROM (SELECT *, sum(n) OVER (PARTITION BY host, template, token) AS size FROM (
+    SELECT *, CASE WHEN seg <> '' AND (kids > 50 OR (all_urls >= 10 AND kids >= 0.9 * all_urls)) AND paths < 10 AND child_labels < 3 THEN '*' ELSE seg END AS token FROM (
+      SELECT *, count(DISTINCT seg) OVER (PARTITION BY host, template) AS kids, sum(n) OVER (PARTITION BY host, template) AS all_urls, count(*) OVER (PARTITION BY host, template, seg) AS paths,
+        sum(labels) OVER (PARTITION BY host, template, seg) AS child_labels FROM (SELECT *, segs[k + 1] AS seg FROM lv WHERE is_open))))),
+t AS (SELECT * FROM lv WHERE NOT is_open),
+own AS (SELECT host, template, sum(n)::DOUBLE AS n, sum(labels)::DOUBLE AS labels, sum(blocks)::DOUBLE AS blocks FROM t GROUP BY host, template),
+open_at AS (SELECT *, string_split(template, '/') AS parts, unnest(range(1, len(string_split(template, '/')) + 1)) AS i FROM own),
+br AS (SELECT host, template, n, labels, blocks, list_transform(parts, lambda x, j: CASE WHEN j = i THEN NULL ELSE x END) AS branch FROM open_at WHERE parts[i] NOT IN ('', '*', '**')),
+gr AS (SELECT host, branch, count(*) AS m, sum(n) AS n, sum(labels) AS labels, sum(blocks) AS blocks,
+  sum(n) * (coalesce(sum(blocks * blocks / n) / nullif(sum(blocks), 0), 0) + coalesce(sum((labels - blocks) ** 2 / n) / nullif(sum(labels - blocks), 0), 0) + coalesce(sum((n - labels) ** 2 / n) / nullif(sum(n - labels), 0), 0) - 1) AS stat,
+  (count(*) - 1) * ((sum(blocks) > 0)::INT + (sum(labels - blocks) > 0)::INT + (sum(n - labels) > 0)::INT - 1) AS df FROM br GROUP BY host, branch HAVING count(*) > 1),
+ok AS (SELECT * FROM gr WHERE df = 0 OR stat <= df * (1 - 2.0 / (9 * df) + 1.645 * sqrt(2.0 / (9 * df))) ** 3),
+w AS (SELECT br.host, br.template, max({'n': ok.n, 'labels': ok.labels, 'blocks': ok.blocks}) AS w FROM br JOIN ok ON br.host = ok.host AND br.branch = ok.branch GROUP BY 1, 2),
+f AS (SELECT own.host, own.template, coalesce(w.w.n, n) AS n, coalesce(w.w.labels, labels) AS labels, coalesce(w.w.blocks, blocks) AS blocks FROM own LEFT JOIN w ON own.host = w.host AND own.template = w.template)
+SELECT page_id, l.host, l.path, rule, coalesce(label, CASE WHEN (f.blocks + 1) / (f.labels + 2) >= 0.8 AND f.labels >= 0.1 * f.n THEN 'block' ELSE 'allow' END) AS verdict
+FROM l JOIN t ON l.host = t.host AND l.path = t.path JOIN f ON t.host = f.host AND t.template = f.template
+"""
