@@ -8,7 +8,8 @@ logarithms gives. As no piece holds a space after its start, a text's probabilit
 words' and the end's: the marginal over all segmentations of the whole text with single spaces.
 
 Counts are kept as tables of all distinct words. Each text is looked up in two ways with one result: words
-frequent enough, HEAD_WORDS at most, in a dictionary on each executor, all others by a join.
+frequent enough, HEAD_WORDS at most, in a dictionary on each executor, all others by a join. Pieces of the file
+that are longer than MAX_PIECE bytes, or hold a space after their start, are left out.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ HELD_WORDS = 200_000
 ROUNDS = 2
 #: Longest piece, in bytes.
 MAX_PIECE = 24
+#: Words of more bytes are scored one at a time, in stretches of BLOCK places, so memory follows the word's length only
+#: by a few numbers a byte.
+LONG, BLOCK = 256, 1 << 15
+#: Places after which the recursion over a long word is scaled anew.
+SCALED = 16
 #: Counts of the first scores that are added to the expected counts.
 PRIOR = 1000.0
 
@@ -131,17 +137,87 @@ class Lattice:
             alpha[j, at] = np.logaddexp(alpha[j, at], alpha[i, at] + log)
         return alpha
 
+    def _places(self, text: np.ndarray, a: int, b: int) -> tuple[list[int], list[int], np.ndarray]:
+        """Of the pieces that begin at the places a to b of a word: how many begin up to each, their lengths and numbers."""
+        n = len(text)
+        steps, code = _CODES[text[a : b + self.longest]], np.zeros(b - a, np.uint64)
+        starts, lengths, pieces = [], [], []
+        for k in range(1, self.longest + 1):
+            code = code[: max(n - a - k + 1, 0)]
+            code = code * _P + steps[k - 1 : k - 1 + len(code)]
+            found, piece = self.lookup(code)
+            starts.append(found)
+            lengths.append(np.full(len(found), k))
+            pieces.append(piece)
+        at = np.concatenate(starts)
+        order = np.argsort(at, kind="stable")
+        cuts = np.searchsorted(at[order], np.arange(b - a + 1))
+        return cuts.tolist(), np.concatenate(lengths)[order].tolist(), np.concatenate(pieces)[order]
+
+    def _along(self, text: np.ndarray, ahead: bool) -> np.ndarray:
+        """Logs of the probabilities of all segmentations up to each place of a long word, or from each place on.
+
+        Probabilities themselves are added, as multiples of a scale that follows them.
+        """
+        n, reach, probabilities = len(text), self.longest, np.exp(self.logs)
+        out = np.empty(n + 1)
+        blocks = [(a, min(a + BLOCK, n)) for a in range(0, n, BLOCK)]
+        scale = 0.0
+        edge = [1.0] + [0.0] * reach  # the places next to the block in the direction of the recursion
+        if not ahead:
+            out[n] = 0.0
+        for a, b in blocks if ahead else reversed(blocks):
+            cuts, lengths, pieces = self._places(text, a, b)
+            p, m = probabilities[pieces].tolist(), b - a
+            values = edge + [0.0] * m if ahead else [0.0] * m + edge
+            scales = np.empty(m)
+            for low in range(0, m, SCALED) if ahead else range((m - 1) // SCALED * SCALED, -1, -SCALED):
+                high = min(low + SCALED, m)
+                if ahead:
+                    for i in range(low, high):
+                        v = values[i]
+                        for e in range(cuts[i], cuts[i + 1]):
+                            values[i + lengths[e]] += v * p[e]
+                else:
+                    for i in range(high - 1, low - 1, -1):
+                        v = 0.0
+                        for e in range(cuts[i], cuts[i + 1]):
+                            v += values[i + lengths[e]] * p[e]
+                        values[i] = v
+                scales[low:high] = scale
+                if not ahead:
+                    out[a + low : a + high] = np.log(np.maximum(values[low:high], 1e-300)) + scale
+                # What the next places see is scaled; what is done keeps its own scale.
+                some = range(high, high + reach + 1) if ahead else range(low, low + reach + 1)
+                top = max(values[i] for i in some)
+                for i in some:
+                    values[i] /= top
+                scale += math.log(top)
+            if ahead:
+                out[a:b] = np.log(np.maximum(values[:m], 1e-300)) + scales
+                edge = values[m:]
+            else:
+                edge = values[: reach + 1]
+        if ahead:
+            out[n] = math.log(edge[0]) + scale
+        return out
+
     def score(self, words: list[bytes]) -> np.ndarray:
         """Natural log of each word's probability, over all segmentations."""
         out = np.zeros(len(words))
-        for at, rows in self._grouped(words):
-            out[at] = self._forward(self._edges(rows), rows.shape[1], len(rows))[-1]
+        short = [k for k, w in enumerate(words) if len(w) <= LONG]
+        for at, rows in self._grouped([words[k] for k in short]):
+            out[np.array(short)[at]] = self._forward(self._edges(rows), rows.shape[1], len(rows))[-1]
+        for k, w in enumerate(words):
+            if len(w) > LONG:
+                out[k] = self._along(np.frombuffer(b" " + w, np.uint8), True)[-1]
         return out
 
     def expect(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """Expected counts of the pieces in the words' segmentations."""
         total = np.zeros(len(self.logs))
-        for at, rows in self._grouped(words):
+        short = np.array([k for k, w in enumerate(words) if len(w) <= LONG], np.int64)
+        for at, rows in self._grouped([words[k] for k in short]):
             length, edges = rows.shape[1], self._edges(rows)
             alpha = self._forward(edges, length, len(rows))
             beta = np.full((length + 1, len(rows)), -np.inf)
@@ -151,8 +227,18 @@ class Lattice:
                 ahead = log + beta[j, own]
                 beta[i, own] = np.logaddexp(beta[i, own], ahead)
                 pieces.append(piece)
-                shares.append(np.exp(alpha[i, own] + ahead - alpha[length, own]) * counts[at[own]])
+                shares.append(np.exp(alpha[i, own] + ahead - alpha[length, own]) * counts[short[at[own]]])
             total += np.bincount(np.concatenate(pieces), np.concatenate(shares), len(total))
+        for k, w in enumerate(words):
+            if len(w) > LONG:
+                text = np.frombuffer(b" " + w, np.uint8)
+                alpha, beta = self._along(text, True), self._along(text, False)
+                for a in range(0, len(text), BLOCK):
+                    b = min(a + BLOCK, len(text))
+                    cuts, lengths, pieces = self._places(text, a, b)
+                    i = a + np.repeat(np.arange(b - a), np.diff(cuts))
+                    share = np.exp(alpha[i] + self.logs[pieces] + beta[i + np.array(lengths, np.int64)] - alpha[-1]) * counts[k]
+                    total += np.bincount(pieces, share, len(total))
         return total
 
 
@@ -241,12 +327,13 @@ def scored(docs: DataFrame, model_file: str) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, probabilities)
         for own, counts in _many(batches):
-            codes = Slice(own).word_hashes().view(np.int64)
+            laid = Slice(own)
+            codes, others = laid.word_hashes().view(np.int64), laid.word_hashes(np.arange(len(own))).view(np.int64)
             made = lattice.score(own) / math.log(10)
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts), pa.array(made)], ["code", "c", "log"])
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(others), pa.array(counts), pa.array(made)], ["code", "other", "c", "log"])
 
-    # From here on a word is its 64-bit hash.
-    words = keep(words.mapInArrow(score, "code long, c long, log double"), "words")
+    # From here on a word is two 64-bit hashes; in the dictionary of frequent words, which are few, it is one.
+    words = keep(words.mapInArrow(score, "code long, other long, c long, log double"), "words")
     step = F.floor(F.log2(F.col("c") + 1) * 8)
     steps = sorted(((r[0], r[1]) for r in words.where("c > 0").groupBy(step.alias("s")).agg(F.count(F.lit(1))).collect()), reverse=True)
     least, size = math.inf, 0
@@ -278,17 +365,17 @@ def scored(docs: DataFrame, model_file: str) -> DataFrame:
                     if len(some):
                         for k, values in enumerate((bases, logs, np.ones(len(codes)))):
                             sums[k, some] = np.add.reduceat(np.where(known, values[place] if len(codes) else 0.0, 0.0), own.first[some])
-                    rare = found[~known]
+                    rare = pa.StructArray.from_arrays([pa.array(found[~known]), pa.array(own.word_hashes(np.flatnonzero(~known)).view(np.int64))], ["code", "other"])
                     offsets = np.concatenate([[0], np.cumsum(~known)])[own.first]
-                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rare))
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rare)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[i:j], pa.int64()), pa.array([d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d in ids[i:j]]), pa.array(own.n_words + 1), pa.array(sums[2].astype(np.int64) + of_end[2]), pa.array(sums[0] + of_end[0]), pa.array(sums[1] + of_end[1]), lists],
                         ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
                     )
 
-    made = texts.mapInArrow(parts, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>")
+    made = texts.mapInArrow(parts, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<code:long,other:long>>")
     made = keep(made.withColumn("key", F.monotonically_increasing_id()), "parts")
-    rare = made.select(F.col("key").alias("k"), F.explode("rare").alias("w")).join(words, F.col("w") == F.col("code"))
+    rare = made.select(F.col("key").alias("k"), F.explode("rare").alias("w")).join(words, (F.col("w.code") == F.col("code")) & (F.col("w.other") == F.col("other")))
     rare = rare.groupBy("k").agg(
         F.sum((F.col("c") > 0).cast("long")).alias("more"),
         F.sum(F.log10(F.col("c") + 1.0) - F.lit(down)).alias("base2"),
