@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import mix
+from .scan import mix, power_tables
 from .store import release
 
 RATE = 0.05
@@ -43,16 +43,19 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def _windows(points: np.ndarray, width: int) -> np.ndarray:
+def _sums(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the characters times powers of a base, and the inverse powers."""
+    power, inverse = power_tables(len(points) + 1)
+    total = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9DDFEA08EB382D69) * power[: len(points)], dtype=np.uint64, out=total[1:])
+    return total, inverse
+
+
+def _windows(sums: tuple[np.ndarray, np.ndarray], width: int) -> np.ndarray:
     """64-bit hashes of the windows of ``width`` characters."""
-    n = len(points) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    code = np.zeros(n, np.uint64)
-    for k in range(width):
-        code *= np.uint64(0x9DDFEA08EB382D69)
-        code += points[k : k + n]
-    return mix(code)
+    total, inverse = sums
+    n = max(len(total) - width, 0)
+    return mix((total[width:] - total[:n]) * inverse[:n])
 
 
 def myers(pattern: str, text: str) -> tuple[int, int]:
@@ -105,7 +108,7 @@ class Items:
         self.tables = []
         for width, some in sorted(by_width.items()):
             own = np.array(some, np.int64)
-            codes = np.concatenate([_windows(_points(self.texts[owners[p]][pieces[p][0] : pieces[p][0] + width]), width) for p in some])
+            codes = np.concatenate([_windows(_sums(_points(self.texts[owners[p]][pieces[p][0] : pieces[p][0] + width])), width) for p in some])
             order = np.argsort(codes, kind="stable")
             likely = np.zeros(1 << self.FILTER, bool)
             likely[(codes >> np.uint64(64 - self.FILTER)).astype(np.int64)] = True
@@ -113,9 +116,9 @@ class Items:
 
     def _hits(self, text: str) -> Iterator[tuple[int, int]]:
         """(place, piece) of every exact hit, by place."""
-        points = _points(text)
+        sums = _sums(_points(text))
         for width, codes, owners, likely in self.tables:
-            found = _windows(points, width)
+            found = _windows(sums, width)
             places = np.flatnonzero(likely[(found >> np.uint64(64 - self.FILTER)).astype(np.int64)])
             low, high = (np.searchsorted(codes, found[places], side) for side in ("left", "right"))
             for k in np.flatnonzero(high > low).tolist():

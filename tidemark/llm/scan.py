@@ -21,11 +21,12 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(_U)
+_OTHER_CODES = np.random.Generator(np.random.PCG64(20240301)).integers(1, 2**63, 256, dtype=np.int64).astype(_U)
 _SHIFT_CODES = (_rng.integers(1, 2**62, 64, dtype=np.int64).astype(_U) << _U(1)) | _U(1)
 _powers = [np.ones(1, _U), np.ones(1, _U)]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n; tables for usual slices are kept."""
     if len(_powers[0]) < n or (len(_powers[0]) > 4 * SLICE_BYTES and n <= SLICE_BYTES):
         size = max(n, SLICE_BYTES)
@@ -75,13 +76,14 @@ class Slice:
         total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
         return total[self.at[1:]] - total[self.at[:-1]]
 
-    def word_hashes(self) -> np.ndarray:
-        """64-bit hashes of the words: polynomials of the bytes, finalised."""
-        if not len(self.starts):
+    def word_hashes(self, which: np.ndarray | None = None) -> np.ndarray:
+        """64-bit hashes of the words: polynomials of the bytes, finalised. Given the numbers of some words, other hashes of these."""
+        starts, ends, codes = (self.starts, self.ends, _BYTE_CODES) if which is None else (self.starts[which], self.ends[which], _OTHER_CODES)
+        if not len(starts):
             return np.zeros(0, _U)
-        power, inverse = _power_tables(len(self.buf) + 1)
-        total = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE_CODES[self.buf] * power[: len(self.buf)], dtype=_U)])
-        return mix((total[self.ends] - total[self.starts]) * inverse[self.starts])
+        power, inverse = power_tables(len(self.buf) + 1)
+        total = np.concatenate([np.zeros(1, _U), np.cumsum(codes[self.buf] * power[: len(self.buf)], dtype=_U)])
+        return mix((total[ends] - total[starts]) * inverse[starts])
 
     def windows(self, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the windows of ``width`` words that lie in one text, and their first words."""
