@@ -429,6 +429,55 @@ def test_lattice_sums_all_segmentations():
     assert model.expect(tested, np.array(counts)).tolist() == pytest.approx([expected[x] for x in pieces])
 
 
+def test_lattice_of_long_words_agrees_with_short_ones(monkeypatch):
+    rng = random.Random(5)
+    first = lattice.vocabulary(str(public_tokenizers.path("piece_bpe_32k.model")))
+    model = lattice.Lattice(list(first), np.array(list(first.values())))
+    tested = [("".join(rng.choice(["ka", "lo", "the", "1", "=", "\u00e9"]) for _ in range(n))).encode() for n in (1, 7, 60, 90)]
+    scores, counts = model.score(tested), np.array([2.0, 1.0, 3.0, 1.0])
+    expected = model.expect(tested, counts)
+    monkeypatch.setattr(lattice, "LONG", 0)
+    for block in (1 << 15, 10):
+        monkeypatch.setattr(lattice, "BLOCK", block)
+        assert model.score(tested) == pytest.approx(scores) and model.expect(tested, counts) == pytest.approx(expected)
+
+
+def test_lattice_of_a_word_of_megabytes_ends():
+    import time
+
+    first = lattice.vocabulary(str(public_tokenizers.path("piece_bpe_32k.model")))
+    model = lattice.Lattice(list(first), np.array(list(first.values())))
+    rng = random.Random(6)
+    word = "".join(rng.choice("ABCDEFGHabcdefgh0123+/") for _ in range(1_000_000)).encode()
+    start = time.time()
+    score, counts = model.score([word])[0], model.expect([word], np.ones(1))
+    assert math.isfinite(score) and (counts * np.array([len(x) for x in first])).sum() == pytest.approx(1_000_001) and time.time() - start < 60
+
+
+def test_lattice_scores_of_documents_are_sums_over_segmentations(spark, monkeypatch):
+    """The score of each document by plain sums over its words' segmentations, with the pieces that training gave."""
+    monkeypatch.setattr(lattice, "HEAD_WORDS", 4)
+    texts = ["the cat", "the the dog at a cat", "unseen words Here", None, "", "the cat the cat"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(1, texts[1])], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    made = {}
+    trained = lattice.train
+    monkeypatch.setattr(lattice, "train", lambda *a: made.setdefault("model", trained(*a)))
+    found = lattice.scored(docs, str(public_tokenizers.path("piece_bpe_32k.model"))).collect()
+    pieces, probabilities, end = made["model"]
+    p = dict(zip(pieces, probabilities, strict=True))
+
+    def total(text):
+        ways = [1.0] + [0.0] * len(text)
+        for j in range(1, len(text) + 1):
+            ways[j] = sum(ways[i] * p.get(text[i:j], 0.0) for i in range(max(0, j - 24), j))
+        return ways[-1]
+
+    assert len(found) == 7 and sorted(r.doc_id for r in found) == [0, 1, 1, 2, 3, 4, 5]
+    for r in found:
+        own = (texts[r.doc_id] or "").lower().split()
+        assert r.score == pytest.approx(sum(math.log10(total(b" " + w.encode())) for w in own) + math.log10(end))
+
+
 def test_lattice_scores_against_plain_counts(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(lattice, "HEAD_WORDS", 5)
     monkeypatch.setattr(lattice, "HELD_WORDS", 7)
