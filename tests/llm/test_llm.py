@@ -186,6 +186,50 @@ def test_bare_keys_are_kept_and_words_are_not(spark):
     assert not any(by[k, "wonderful"] or by[k, str(4000000000000000 + k)] for k in range(40))
 
 
+def test_secrets_features_against_plain_python(spark):
+    rng = random.Random(8)
+    made = [f'{prose(rng, 12)} key-{"".join(rng.choice("abcXYZ0189_") for _ in range(rng.randint(14, 30)))}7 "{prose(rng, 1)}Wonderful{k}" end' for k in range(30)]
+    made += ["wonderful words here", "wonderful words there", "Wonderful, words!", made[0], None, "", "x" * 300_000 + "1 " + "plain words " * 20_000]
+    docs = spark.createDataFrame([(k % 35, t, "s") for k, t in enumerate(made)], "doc_id long, text string, source string").withColumn("length", F.lit("clash"))
+    found = secrets.described(docs.select("doc_id", "text", "source")).collect()
+    inside = lambda t: {w for w in re.findall("(?<![a-z0-9])[a-z]{4,}(?![a-z0-9])", t.lower())}
+    counts = collections.Counter(w for t in made for w in inside(t or ""))
+    known = {w: n for w, n in counts.items() if n >= secrets.DICTIONARY_DOCS}
+    after = collections.Counter()
+    for w, n in known.items():
+        for a, b in zip(w, w[1:]):
+            after[a + b] += n
+    log = lambda p: math.log((after[p] + 1) / (sum(after[p[0] + b] for b in "abcdefghijklmnopqrstuvwxyz") + 26))
+    assert len(found) >= 60
+    for r in found:
+        c, share = r.candidate, lambda pattern, text=None: len(re.findall(pattern, r.candidate)) / len(r.candidate)  # noqa: B023
+        assert r.length == len(c) and r.digits == pytest.approx(share("[0-9]")) and r.capitals == pytest.approx(share("[A-Z]")) and r.distinct == pytest.approx(len(set(c)) / len(c), abs=1 / len(c) + 1e-9)
+        assert r.letter_digit == pytest.approx(share("(?<=[A-Za-z])[0-9]")) and r.digit_letter == pytest.approx(share("(?<=[0-9])[A-Za-z]")) and r.case == pytest.approx(share("(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]"))
+        pairs = [x + y for x, y in zip(c.lower(), c.lower()[1:]) if re.fullmatch("[a-z]{2}", x + y)]
+        assert r.pairs == pytest.approx(sum(map(log, pairs)) / max(len(pairs), 1))
+        assert r.dictionary == pytest.approx(sum(len(x) for x in re.findall("[a-z]{4,}", c.lower()) if x in known) / len(c))
+
+
+def test_secrets_of_unseen_documents_are_judged_by_the_forest(spark):
+    """Findings labelled in half of the documents: the forest is right about those of the others, and without it all would stay."""
+    rng = random.Random(15)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    made, truth = [], {}
+    for k in range(240):
+        key, number = "".join(rng.choice(base62) for _ in range(24)) + "1", str(rng.randrange(10**19, 10**20))
+        name = "_".join(prose(rng, 1, ("read", "table", "write", "index")) for _ in range(3)) + "_2024"
+        made.append((k, f"{prose(rng, 9, ('read', 'table', 'write', 'index'))} {key} {prose(rng, 4)} {number} then {name} set", "s"))
+        truth |= {(k, key): 1.0, (k, number): 0.0, (k, name): 0.0}
+    docs = spark.createDataFrame(made + made[:3], "doc_id long, text string, source string")
+    found = secrets.candidates(docs).distinct().collect()
+    seen = [(r.doc_id, r.place, r.candidate, truth.get((r.doc_id, r.candidate), 0.0)) for r in found if zlib.crc32(str(r.doc_id).encode()) % 2 == 0]
+    judged = secrets.scan(docs, spark.createDataFrame(seen, "doc_id long, place long, candidate string, label double")).collect()
+    others = [r for r in judged if zlib.crc32(str(r.doc_id).encode()) % 2 == 1]
+    right = sum(r.kept == bool(truth.get((r.doc_id, r.candidate), 0.0)) for r in others)
+    assert right >= 0.97 * len(others) and sum(not r.kept for r in others) > 100
+    assert len(judged) == len(secrets.candidates(docs).collect())
+
+
 def test_secrets_without_findings(spark, no_docs):
     assert secrets.scan(no_docs).count() == 0
 

@@ -1,15 +1,22 @@
 """Secret scan: a random forest that tells findings from false positives, with DataFrame functions only.
 
 Candidates are, in the words of the whole text, runs of 16 or more letters, digits and ``_+/=-`` with a digit;
-whatever stands between quotes; and, of any length and characters, the value assigned to a keyword. The forest sees a candidate's length, its transitions between letters and digits and switches between small and capital letters and digits, its shares of digits,
-capitals, hexadecimal and distinct characters, the share of it that is dictionary words, the path (source) and
-the neighbouring words. It is trained on labelled findings, LABELLED at most.
+whatever stands between quotes; and, of any length and characters, the value assigned to a keyword. The forest
+sees a candidate's length, its transitions (between letters and digits, between small and capital letters, and
+how likely its pairs of letters follow each other in the corpus's words), its shares of digits, capitals,
+hexadecimal and distinct characters, the share of it that is dictionary words, the path (source) and the
+neighbouring words. It is trained on labelled findings, LABELLED at most.
 
 The dictionary is the corpus's own: words of four or more letters that stand in DICTIONARY_DOCS documents or more.
+
+Without labelled findings, those of ``rule_labels`` in half of the documents (by a hash of their ids) serve as such.
+Candidates of the other half, and those whose form tells nothing, are judged unseen.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -33,7 +40,7 @@ LABELLED = 20_000
 DICTIONARY_DOCS = 3
 #: Forms that issuers give their keys.
 KNOWN = "^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{8,}\\.eyJ.*)$"
-FEATURES = ["length", "transitions", "switches", "digits", "capitals", "hexadecimal", "distinct", "dictionary", "path", "before", "before2", "after", "keyword", "assigned", "quoted"]
+FEATURES = ["length", "transitions", "switches", "letter_digit", "digit_letter", "case", "pairs", "digits", "capitals", "hexadecimal", "distinct", "dictionary", "path", "before", "before2", "after", "keyword", "assigned", "quoted"]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -57,19 +64,37 @@ def _share(of: str) -> Column:
     return F.regexp_count("candidate", F.lit(of)) / F.length("candidate")
 
 
-def _coverage(found: DataFrame, docs: DataFrame) -> DataFrame:
+def dictionary(docs: DataFrame) -> DataFrame:
+    """(known, n): the corpus's words and in how many documents they stand."""
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(?<![a-z0-9])[a-z]{4,}(?![a-z0-9])"), F.lit(0)))).alias("known"))
+    return words.groupBy("known").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= DICTIONARY_DOCS)
+
+
+def _coverage(found: DataFrame, known: DataFrame) -> DataFrame:
     """(candidate, covered): the letters of each distinct candidate that are in dictionary words."""
     runs = found.select("candidate").distinct().select("candidate", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit("[a-z]{4,}"), F.lit(0))).alias("run"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(?<![a-z0-9])[a-z]{4,}(?![a-z0-9])"), F.lit(0)))).alias("known"))
-    asked = runs.select(F.col("run").alias("r")).distinct()
-    known = words.groupBy("known").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= DICTIONARY_DOCS).join(asked, F.col("known") == F.col("r"), "left_semi").select("known")
     return runs.join(known, F.col("run") == F.col("known")).groupBy(F.col("candidate").alias("c")).agg(F.sum(F.length("run")).alias("covered"))
 
 
+def _pair(text: Column) -> Column:
+    return (F.ascii(F.substring(text, 1, 1)) - 97) * 26 + F.ascii(F.substring(text, 2, 1)) - 97
+
+
+def pair_logs(known: DataFrame) -> list[float]:
+    """Logs of the shares of each letter after each letter in the dictionary's words, with one added to each count; 676 numbers."""
+    places = F.sequence(F.lit(1), F.length("known") - 1)
+    rows = known.select("n", F.explode(F.transform(places, lambda i: _pair(F.substring("known", i, F.lit(2))))).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
+    counts = dict.fromkeys(range(676), 1) | {r["pair"]: r["n"] + 1 for r in rows.collect()}
+    return [math.log(counts[k] / sum(counts[k // 26 * 26 + b] for b in range(26))) for k in range(676)]
+
+
 def described(docs: DataFrame) -> DataFrame:
     """Candidates with their features."""
     found = keep(candidates(docs), "candidates")
-    covered = _coverage(found, docs)
+    known = keep(dictionary(docs), "dictionary")
+    covered, logs = _coverage(found, known), F.array(*map(F.lit, pair_logs(known)))
+    pairs = F.regexp_extract_all(F.lower("candidate"), F.lit("(?=([a-z]{2}))"), F.lit(1))
+    likely = F.aggregate(pairs, F.lit(0.0), lambda total, x: total + F.get(logs, _pair(x))) / F.greatest(F.size(pairs), F.lit(1))
     bucket = lambda c: (F.crc32(F.regexp_replace(F.lower(c), "[^a-z]+", "").cast("binary")) % 64).cast("double")
     joined = found.join(covered, F.col("candidate") == F.col("c"), "left").drop("c")
     return joined.select(
@@ -77,6 +102,8 @@ def described(docs: DataFrame) -> DataFrame:
         F.length("candidate").cast("double").alias("length"),
         (F.regexp_count("candidate", F.lit("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")) / F.length("candidate")).alias("transitions"),
         (F.regexp_count("candidate", F.lit("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[0-9a-z])|(?<=[a-z])(?=[0-9A-Z])")) / F.length("candidate")).alias("switches"),
+        _share("(?<=[A-Za-z])[0-9]").alias("letter_digit"), _share("(?<=[0-9])[A-Za-z]").alias("digit_letter"), _share("(?<=[a-z])[A-Z]|(?<=[A-Z])[a-z]").alias("case"),
+        likely.alias("pairs"),
         _share("[0-9]").alias("digits"), _share("[A-Z]").alias("capitals"), _share("[0-9a-fA-F]").alias("hexadecimal"),
         (F.size(F.array_distinct(F.split("candidate", ""))) / F.length("candidate")).alias("distinct"),
         (F.coalesce("covered", F.lit(0)) / F.length("candidate")).alias("dictionary"),
@@ -103,17 +130,24 @@ def rule_labels(found: DataFrame) -> DataFrame:
     return found.where(sure | plain).withColumn("label", sure.cast("double"))
 
 
+def unseen(doc_id: Column) -> Column:
+    """Documents whose findings are not used as labels: half of them, and those without an id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 2 == 1, F.lit(True))
+
+
 def scan(docs: DataFrame, labelled: DataFrame | None = None, labels: int = LABELLED, trees: int = 20, threshold: float = 0.5) -> DataFrame:
     """(doc_id, place, candidate, probability, kept) of every candidate of ``docs(doc_id, text, source)``.
 
     ``labelled(doc_id, place, candidate, label)`` are findings known to be secrets (1) or not (0); without
-    them, those of ``rule_labels``, half of them of each kind at most. Of more than ``labels`` those of the least hashes are used. Without
-    findings of both kinds nothing is removed: each is kept with probability 1. Null texts hold none.
+    them, those of ``rule_labels`` in half of the documents, half of them of each kind at most. Of more than
+    ``labels`` those of the least hashes are used; equal hashes are of equal findings. Without findings of both
+    kinds nothing is removed: each is kept with probability 1. Null texts hold none. Repeated rows give
+    repeated results; other columns are not looked at.
     """
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("source"))
     found = keep(described(docs), "described")
     if labelled is None:
-        known = rule_labels(found)
+        known = rule_labels(found).where(~unseen(F.col("doc_id")))
     else:
         given = labelled.select(F.col("doc_id").alias("d"), F.col("place").alias("p"), F.col("candidate").alias("c"), F.col("label").cast("double").alias("label")).distinct()
         known = found.join(given, (F.col("doc_id") == F.col("d")) & (F.col("place") == F.col("p")) & (F.col("candidate") == F.col("c")))
