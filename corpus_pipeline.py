@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontam, mixing, near_dup, quality, token_files
 from tidemark.llm.queries import table, tokenizer_file
-from tidemark.llm.store import keep, new_path, small_batches
+from tidemark.llm.store import drop, keep, new_path, small_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        docs, last = keep(stage(spark, docs, sf_dir), name), docs
+        if last is not before:
+            drop(last)
     return STAGES[-1][1](spark, docs, sf_dir)
