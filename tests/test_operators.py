@@ -10,6 +10,7 @@ from tidemark.config import DATASETS, DataConfig
 from tidemark.operators import drift as D
 from tidemark.operators import incremental as I
 from tidemark.operators import layout as L
+from tidemark.operators import mixture as M
 from tidemark.operators import ordered as O
 from tidemark.operators import pairs as J
 from tidemark.operators import prepare as P
@@ -45,8 +46,9 @@ def brute_window(rows, window, trained, k, raw_guard):
     return total / len(window)
 
 
-@pytest.mark.parametrize("most", [1000, 3])
-def test_sliding_drift_against_brute_force(rows, most):
+@pytest.mark.parametrize("most, pairs", [(1000, 2048), (3, 4)])
+def test_sliding_drift_against_brute_force(rows, most, pairs, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", pairs)
     local = sorted(rows.collect())
     trained = [r for r in local if r.t < 40 and r.label != "l2"]
     found = {r.t: r.drift for r in D.sliding(rows, rows.where("t < 40 and label != 'l2'"), 15, 3, most).collect()}
@@ -62,11 +64,49 @@ def test_chunk_drift_against_brute_force(rows):
         assert drift == pytest.approx(brute_window(local, local[k * 25 : k * 25 + 25], local[:40], 5, False), abs=1e-9)
 
 
-def test_nearest_of_label_by_arrays_equals_the_join(rows):
+def test_nearest_of_label_does_not_depend_on_blocks(rows):
     trained = rows.where("t < 50")
     for k in (1, 4, 100):
-        by_arrays, by_join = (sorted(J.nearest_of_label(rows, trained, k, most=m).collect()) for m in (1000, 3))
-        assert by_arrays == by_join and by_arrays
+        whole, cut = (sorted(J.nearest_of_label(rows, trained, k, block=m).collect()) for m in (1000, 3))
+        assert whole == cut and whole
+
+
+def brute_axes(window, trained, k, total):
+    near = lambda r: [s.t for _, s in sorted(((np.linalg.norm(np.subtract(r.v, s.v)), s.t), s) for s in trained if s.label == r.label)[:k]]
+    by_t, out = {s.t: s for s in trained}, 0.0
+    for label in {r.label for r in window}:
+        own = [r for r in window if r.label == label]
+        used = sorted({j for r in own for j in near(r)})
+        if not used:
+            out += len(own)
+            continue
+        w, t = np.array([r.v for r in own]), np.array([by_t[j].v for j in used])
+        a, b, c = (np.linalg.norm(p[:, None] - q[None], axis=2) for p, q in ((w, t), (w, w), (t, t)))
+        if (a.sum() if total else a.mean()) >= 1e-4:
+            out += len(own) * (1 - (b.mean() + c.mean()) / (2 * a.mean()))
+    return out / len(window)
+
+
+@pytest.mark.parametrize("block", [2048, 6])
+def test_drift_of_many_axes_against_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", block)
+    v, label = RNG.normal(0, 1, (90, 3)).round(3), RNG.integers(0, 2, 90)
+    rows = spark.createDataFrame([(t, x.tolist(), int(k)) for t, (x, k) in enumerate(zip(v, label, strict=True))], "t long, v array<double>, label int").cache()
+    local, trained = sorted(rows.collect()), rows.where("t < 40")
+    chunks = {r.chunk_id: r.drift for r in D.of_chunks(rows.withColumn("chunk_id", F.floor(F.col("t") / 30)), trained, 4).collect()}
+    assert chunks == {k: pytest.approx(brute_axes(local[30 * k : 30 * k + 30], local[:40], 4, False)) for k in range(3)}
+    windows = {r.t: r.drift for r in D.sliding(rows, trained, 12, 4).collect()}
+    assert windows == {t: pytest.approx(brute_axes(local[t - 11 : t + 1], local[:40], 4, True)) for t in range(11, 90)}
+    apart = lambda p, q: np.linalg.norm(v[p][:, None] - v[q][None], axis=2).mean()
+    for t, drift in ((r.t, r.drift) for r in D.adjacent(rows, 9, 20).collect()):
+        p, q = slice(t - 9, t), slice(t, t + 9)
+        assert drift == pytest.approx(1 - (apart(p, p) + apart(q, q)) / (2 * apart(p, q)))
+
+
+def test_ranked_sums_split_equal_rows(spark):
+    rows = spark.range(6000).select((F.col("id") % 2).alias("g"), F.lit(1.0).alias("x"), "id").repartition(6)
+    found = O.ranked(rows, ["g"], ["x"], {"r": F.lit(1)}).groupBy("g").agg(F.min("r"), F.max("r"), F.countDistinct("r")).collect()
+    assert sorted(tuple(r) for r in found) == [(0, 1, 3000, 3000), (1, 1, 3000, 3000)]
 
 
 def test_drift_of_the_training_rows_is_nothing_and_of_none_is_all(rows):
@@ -139,9 +179,9 @@ def test_layout_separates_groups_and_repulsion_excludes_itself(spark):
 
 
 def test_depths_of_a_long_chain(spark):
-    made = [(k, k - 1 if k else None) for k in range(200)]
-    found = {r.no: (r.root, r.depth) for r in V.depths(spark.createDataFrame(made, "no long, parent long"), 200).collect()}
-    assert found == {k: (0, k) for k in range(200)}
+    made = [(k, k - 1 if k else None) for k in range(1000)] + [(5000, None)]
+    found = {r.no: (r.root, r.depth) for r in V.depths(spark.createDataFrame(made, "no long, parent long")).collect()}
+    assert found == {**{k: (0, k) for k in range(1000)}, 5000: (5000, 0)}
 
 
 # Mixtures
@@ -151,20 +191,68 @@ def test_fit_finds_components_and_bic_their_number():
     x = np.concatenate([RNG.normal(-4, 1, (200, 2)), RNG.normal(4, 1, (300, 2))])
     comps = I.best_by_bic(x, 4)
     assert len(comps) == 2
-    assert sorted(round(float(c["mu"][0])) for c in comps) == [-4, 4] and sum(c["sp"] for c in comps) == pytest.approx(500)
+    assert sorted(round(float(c.mu[0])) for c in comps) == [-4, 4] and sum(c.weight for c in comps) == pytest.approx(500)
 
 
 def test_component_algebra():
-    x = RNG.normal(0, 1, (50, 2))
-    whole = lambda r: I.component(r.mean(axis=0), np.cov(r.T, bias=True), len(r), 50)
+    x = RNG.normal(0, 1, (50, 3))
+    whole = lambda r: I.Part.of(r.mean(axis=0), np.cov(r.T, bias=True), len(r), 50)
     a, b, both = whole(x[:20]), whole(x[20:]), whole(x)
     m = I.merged(a, b)
-    assert np.allclose(m["mu"], both["mu"]) and np.allclose(m["s"], both["s"])
+    assert np.allclose(m.mu, both.mu) and np.allclose(m.s, both.s)
     back = I.merged(m, b, -1)
-    assert np.allclose(back["mu"], a["mu"]) and np.allclose(back["s"], a["s"])
+    assert np.allclose(back.mu, a.mu) and np.allclose(back.s, a.s)
     one = I.updated(whole(x[:49]), x[49], 1.0)
-    assert np.allclose(one["mu"], both["mu"]) and np.allclose(one["s"], both["s"], atol=0.02)  # the step is of first order
-    assert I.kl(a, a) == pytest.approx(0) and I.kl(a, b) > 0 and I.mean_distance(a, a) == pytest.approx(0, abs=1e-6)
+    assert np.allclose(one.mu, both.mu) and np.allclose(one.s, both.s)
+    far = I.shifted(a, x[30], 3.0)
+    assert np.allclose(far.mu, a.mu + (x[30] - a.mu) * 3 / 20) and np.allclose(far.s, a.s)
+    assert I.kl(a, a) == pytest.approx(0) and I.kl(a, b) > 0 and I.symmetric_kl(a, b) == pytest.approx(I.symmetric_kl(b, a)) and I.mean_distance(a, a) == pytest.approx(0, abs=1e-6)
+    assert I.to_nearest_model([a, b], [b]) == pytest.approx(0.4 * I.mean_distance(a, b), abs=1e-6)
+
+
+def test_transport_moves_shares_at_the_least_cost():
+    assert I.transport(np.array([[0.0, 1.0], [1.0, 0.0]]), np.array([0.5, 0.5]), np.array([0.5, 0.5])) == pytest.approx(0)
+    assert I.transport(np.array([[1.0, 3.0], [2.0, 1.0]]), np.array([0.7, 0.3]), np.array([0.2, 0.8])) == pytest.approx(0.2 + 1.5 + 0.3)
+    line, a, b = np.arange(6.0), RNG.random(6), RNG.random(6)
+    moved = np.abs(np.cumsum(a / a.sum() - b / b.sum()))[:-1].sum()  # on a line, what crosses each gap
+    assert I.transport(np.abs(line[:, None] - line[None]), a, b) == pytest.approx(moved)
+
+
+def test_mixtures_of_many_components_lose_no_row(spark, monkeypatch):
+    made = [(k, 5.0, [float(k), 0.0], [1.0, 0.0, 0.0, 1.0], 0.0, 0.0) for k in range(10_001)]
+    comps = spark.createDataFrame(made, "label int, n double, mu array<double>, s array<double>, log_det double, log_weight double")
+    points = spark.createDataFrame([(t, [t * 2000.2, 0.0]) for t in range(6)], "t long, v array<double>")
+    expected = [(t, min(10_000, round(t * 2000.2))) for t in range(6)]
+    assert [(r.t, r.component) for r in M.assign(points, comps).orderBy("t").collect()] == expected
+    monkeypatch.setattr(M, "HELD_BYTES", 400_000)
+    assert [(r.t, r.component) for r in M.assign(points, comps).orderBy("t").collect()] == expected
+
+
+def test_moments_and_scores_against_numpy(spark):
+    x, label = RNG.normal(0, 1, (90, 5)) @ RNG.normal(0, 1, (5, 5)), RNG.integers(0, 3, 90)
+    points = spark.createDataFrame([(t, v.tolist(), int(k)) for t, (v, k) in enumerate(zip(x, label, strict=True))], "t long, v array<double>, label int").repartition(4)
+    found = {r.label: r for r in M.components(points).collect()}
+    density = {}
+    for k in range(3):
+        own = x[label == k]
+        assert np.allclose(found[k].mu, own.mean(axis=0)) and np.allclose(np.reshape(found[k].s, (5, 5)), np.cov(own.T)) and found[k].log_det == pytest.approx(np.linalg.slogdet(np.cov(own.T))[1])
+        away = x - own.mean(axis=0)
+        density[k] = -(np.einsum("ni,ij,nj->n", away, np.linalg.inv(np.cov(own.T)), away) + found[k].log_det + 5 * np.log(2 * np.pi)) / 2 + np.log(len(own) / 90)
+    logs = np.stack([density[k] for k in range(3)], axis=1)
+    shares = np.exp(logs) / np.exp(logs).sum(axis=1, keepdims=True)
+    made = {(r.t, r.label): r.value for r in M.all_scores(points, M.components(points), value="posterior").collect()}
+    assert all(made[t, k] == pytest.approx(shares[t, k]) for t in range(90) for k in range(3))
+
+
+def test_fits_over_all_rows_find_components_of_many_axes(spark):
+    x = np.concatenate([RNG.normal(-4, 1, (150, 4)), RNG.normal(4, 1, (250, 4))])
+    points = spark.createDataFrame([(t, v.tolist()) for t, v in enumerate(x)], "t long, v array<double>").repartition(3).cache()
+    best = M.best_by_bic(points, 3)
+    assert len(best.parts.keys) == 2 and sorted(np.round(np.exp(best.parts.log_weight), 3)) == pytest.approx([0.375, 0.625], abs=0.01)
+    first, total = I.fit(x, 1)
+    assert M.fit(points, [M._start(x, 1, 1e-6)])[0].total == pytest.approx(total, rel=1e-6)
+    parts, placed = M.built(points, 3)
+    assert placed.count() == 400 and placed.groupBy("component").count().count() == len(parts.keys) == 2
 
 
 def test_follower_marks_what_is_far_and_grows():

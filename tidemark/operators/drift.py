@@ -3,17 +3,20 @@
 For the rows W of a window that have one label, T is the distinct union of their k nearest training rows of that label.
 With A, B, C the sums of distances W-T, W-W and T-T, the label's drift is |W| * (1 - (B/|W|^2 + C/|T|^2) / (2A/(|W||T|))), |W|
 where T is empty, 0 where A is below a guard. The window's drift is the labels' sum over its length.
+
+Rows are (t, v, label), with v an array of any number of axes, or (t, x, label) on one axis. Neighbours come from
+``pairs.nearest_of_label``, whatever the number of training rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import in_blocks, running_sums
-from .pairs import energy, in_memory, least_places, merged_intervals, nearest_of_label, overlaps
+from .ordered import in_blocks, ranked
+from .pairs import distance_block, energy, matrix, nearest_of_label, pair_sums, vectors
 
 GUARD = 1e-4
 
@@ -24,44 +27,54 @@ def _drift(w, t, a, b, c, guarded):
     return F.when((w == 0) | (t == 0), w).when(guarded < GUARD, 0.0).otherwise(w * energy(mean_a, b / (w * w), c / (t * t)))
 
 
-def _sums_within(members: DataFrame, keys: list[str]) -> DataFrame:
-    """Of |x_i - x_j| over all ordered pairs of each group, in one sort: x at place r (from 1) of n counts 2r - n - 1 times."""
-    by = Window.partitionBy(*keys)
-    placed = members.withColumn("_r", F.row_number().over(by.orderBy("x"))).withColumn("_n", F.count(F.lit(1)).over(by))
-    return placed.groupBy(*keys).agg(F.sum((2 * F.col("_r") - F.col("_n") - 1) * F.col("x") * 2).alias("sum"), F.count(F.lit(1)).alias("n"))
+def _sums_on_an_axis(members: DataFrame, keys: list[str]) -> DataFrame:
+    """``pair_sums`` of members(keys, side, x) in one sort: x at place r (from 1) of n counts 2r - n - 1 times, and A is half of what B and C leave of all."""
+    sides = {"_rw": F.when(F.col("side") == 0, 1).otherwise(0), "_rt": F.when(F.col("side") == 1, 1).otherwise(0)}
+    placed = ranked(members.select(*keys, "side", "x"), keys, ["x", "side"], sides)
+    x, rw, rt = F.col("x"), F.col("_rw"), F.col("_rt")
+    of = lambda side, value: F.sum(F.when(F.col("side") == side, value).otherwise(0.0))
+    sums = placed.groupBy(*keys).agg(
+        F.sum((F.col("side") == 0).cast("double")).alias("w"), F.sum((F.col("side") == 1).cast("double")).alias("t"), of(0, x).alias("xw"), of(1, x).alias("xt"),
+        of(0, (2 * rw - 1) * x).alias("bw"), of(1, (2 * rt - 1) * x).alias("bt"), F.sum((2 * (rw + rt) - 1) * x).alias("both"),
+    )
+    w, t = F.col("w"), F.col("t")
+    b, c, every = 2 * (F.col("bw") - w * F.col("xw")), 2 * (F.col("bt") - t * F.col("xt")), 2 * (F.col("both") - (w + t) * (F.col("xw") + F.col("xt")))
+    return sums.select(*keys, ((every - b - c) / 2).alias("a"), b.alias("b"), c.alias("c"), "w", "t")
+
+
+def _sums(members: DataFrame, keys: list[str]) -> DataFrame:
+    return _sums_on_an_axis(members, keys) if "x" in members.columns else pair_sums(members, keys)
 
 
 def of_chunks(chunks: DataFrame, trained: DataFrame, k: int) -> DataFrame:
-    """(chunk_id, drift) of ``chunks(chunk_id, t, x, label)``; training rows as (t, x, label).
+    """(chunk_id, drift) of ``chunks(chunk_id, t, v or x, label)``; training rows as (t, v or x, label). The guard is on the mean of A.
 
-    On one axis the sums over pairs come from sorted rows: the sum over W and T together is A's double
-    with B and C, so no pairs are made. The guard is on the mean of A.
+    On one axis sums over pairs come from sorted rows, so no pairs are made; else from blocks of each chunk and label.
     """
-    near = nearest_of_label(chunks.select("t", "x", "label").distinct(), trained, k)
-    own = trained.select(F.col("t").alias("j"), "x")
-    used = chunks.select("chunk_id", "label", F.col("t").alias("i")).join(near.select("i", "j"), "i").select("chunk_id", "label", "j").distinct().join(own, "j")
-    keys = ["chunk_id", "label"]
-    w = _sums_within(chunks.select(*keys, "x"), keys).select(*keys, F.col("sum").alias("b"), F.col("n").alias("w"))
-    t = _sums_within(used.select(*keys, "x"), keys).select(*keys, F.col("sum").alias("c"), F.col("n").alias("t"))
-    both = _sums_within(chunks.select(*keys, "x").union(used.select(*keys, "x")), keys).select(*keys, F.col("sum").alias("all"))
-    joined = w.join(t, keys, "left").join(both, keys).fillna(0, ["c", "t"]).fillna(0.0, ["c"])
-    a = (F.col("all") - F.col("b") - F.col("c")) / 2
-    score = _drift(F.col("w").cast("double"), F.col("t").cast("double"), a, F.col("b"), F.col("c"), a / (F.col("w") * F.col("t")))
-    return joined.select("chunk_id", "w", score.alias("d")).groupBy("chunk_id").agg((F.sum("d") / F.sum("w")).alias("drift"))
+    value, keys = ("x" if "x" in chunks.columns else "v"), ["chunk_id", "label"]
+    near = nearest_of_label(chunks.select("t", value, "label").dropDuplicates(["t"]), trained, k)
+    own = trained.select(F.col("t").alias("j"), value)
+    used = chunks.select(*keys, F.col("t").alias("i")).join(near.select("i", "j"), "i").select(*keys, "j").distinct().join(own, "j")
+    members = chunks.select(*keys, F.lit(0).alias("side"), F.col("t").alias("id"), value).union(used.select(*keys, F.lit(1), "j", value))
+    w, t, a, b, c = (F.col(x) for x in "wtabc")
+    score = _drift(w, t, a, b, c, a / (w * t))
+    return _sums(members, keys).select("chunk_id", "w", score.alias("d")).groupBy("chunk_id").agg((F.sum("d") / F.sum("w")).alias("drift"))
 
 
-#: Training rows with which windows are scored by arrays.
-MOST_BY_ARRAYS = 5000
+def between(rows: DataFrame, reference: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """(keys, by, drift): energy distance of each group of ``rows(keys, by, t, v or x)`` to ``reference(by, t, v or x)`` of its ``by``.
 
+    The reference is copied for each of the keys, of which there are few.
+    """
+    value, every = ("x" if "x" in rows.columns else "v"), [*keys, by]
+    groups = rows.select(*every).distinct()
+    members = rows.select(*every, F.lit(0).alias("side"), F.col("t").alias("id"), value).union(groups.join(reference, by).select(*every, F.lit(1), "t", value))
+    w, t, a, b, c = (F.col(x) for x in "wtabc")
+    return _sums(members, every).where((w > 0) & (t > 0)).select(*every, energy(a / (w * t), b / (w * w), c / (t * t)).alias("drift"))
 
-def sliding(rows: DataFrame, trained: DataFrame, width: int, k: int, most: int | None = None) -> DataFrame:
-    """(t, drift) of the window of ``width`` rows that ends at t, from the first whole one on.
 
-    Up to ``most`` training rows go to all tasks: then blocks of the order are scored by arrays of rows by
-    training rows. More are scored by intervals.
-    """
-    known = in_memory(trained, MOST_BY_ARRAYS if most is None else most)
-    return _sliding_by_intervals(rows, trained, width, k) if known is None else _sliding_by_arrays(rows, known, width, k)
+#: Rows of the order that are scored together, if a window is not longer.
+BLOCK = 1024
 
 
 def _sums_over(values: np.ndarray, width: int) -> np.ndarray:
@@ -72,115 +85,90 @@ def _sums_over(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _scores(x: np.ndarray, here: np.ndarray, xs: np.ndarray, width: int, k: int) -> np.ndarray:
-    """Of each window, its drift of one label: ``here`` marks the label's rows, ``xs`` are its training rows' values."""
+def _scores(x: np.ndarray, here: np.ndarray, xs: np.ndarray, near: np.ndarray, width: int) -> np.ndarray:
+    """Of each window, its drift of one label: ``here`` marks the label's rows, ``near`` which of the training rows ``xs`` each has as neighbours."""
     w = np.round(_sums_over(here.astype(float), width))
     if not len(xs):
         return w
-    d = np.abs(x[:, None] - xs[None]) * here[:, None]
-    near, own = np.zeros(d.shape, bool), np.flatnonzero(here)
-    row, column = least_places(d[own], k)
-    near[own[row], column] = True
+    d = np.zeros(near.shape)
+    d[here] = distance_block(x[here], xs)
     active = np.round(_sums_over(near, width)) > 0
     t = active.sum(axis=1)
     a = (_sums_over(d, width) * active).sum(axis=1)
-    c = ((active.astype(float) @ np.abs(xs[:, None] - xs[None])) * active).sum(axis=1)
+    c = ((active.astype(float) @ distance_block(xs, xs)) * active).sum(axis=1)
     b = np.zeros(len(x))
     for lag in range(1, min(width, len(x))):
         both = np.zeros(len(x))
-        both[lag:] = np.abs(x[lag:] - x[:-lag]) * (here[lag:] & here[:-lag])
+        pair = here[lag:] & here[:-lag]
+        both[lag:][pair] = np.sqrt(((x[lag:][pair] - x[:-lag][pair]) ** 2).sum(axis=1))
         b += 2 * _sums_over(both, width - lag)
     with np.errstate(divide="ignore", invalid="ignore"):
         score = w * (1 - (b / (w * w) + c / (t * t)) / (2 * a / (w * t)))
     return np.where((w == 0) | (t == 0), w, np.where(a < GUARD, 0.0, score))
 
 
-def _sliding_by_arrays(rows: DataFrame, known: dict, width: int, k: int) -> DataFrame:
-    size = max(width, min(4096, (1 << 22) // max([1, *(len(xs) for _, xs in known.values())])))
+def sliding(rows: DataFrame, trained: DataFrame, width: int, k: int, block: int = 0) -> DataFrame:
+    """(t, drift) of the window of ``width`` rows that ends at t, from the first whole one on. The guard is on the sum of A.
+
+    Rows are dealt into blocks of the order, each with the ``width`` - 1 rows before it and the neighbours of its rows,
+    so a task holds a block's rows and neighbours, however many training rows there are.
+    """
+    rows, trained = vectors(rows).select("t", "v", "label"), vectors(trained).select("t", "v", "label")
+    near = nearest_of_label(rows, trained, k)
+    uses = near.select(F.col("i").alias("t"), "label", "j").join(trained.select(F.col("t").alias("j"), "v"), "j").select("t", "label", "j", "v")
+    size = max(width, block or BLOCK)
     first = rows.agg(F.min("t").alias("_first"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        low = int(part["t"].min())
-        n = int(part["t"].max()) - low + 1
-        at = part["t"].to_numpy() - low
-        x, total = np.zeros(n), np.zeros(n)
-        x[at] = part["x"]
-        for label in part["label"].unique():
+    def run(key: tuple, mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        schema = pa.schema([("t", pa.int64()), ("drift", pa.float64())])
+        if not mine.num_rows:
+            return schema.empty_table()
+        t = mine.column("t").to_numpy()
+        low = int(t.min())
+        at, n = t - low, int(t.max()) - low + 1
+        x = np.zeros((n, matrix(mine).shape[1]))
+        x[at] = matrix(mine)
+        labels, used = np.array(mine.column("label").to_pylist(), object), np.array(theirs.column("label").to_pylist(), object)
+        when, js, vs = theirs.column("t").to_numpy(), theirs.column("j").to_numpy(), matrix(theirs)
+        total = np.zeros(n)
+        for label in set(labels.tolist()):
             here = np.zeros(n, bool)
-            here[at] = (part["label"] == label).to_numpy()
-            total += _scores(x, here, known[label][1] if label in known else np.zeros(0), width, k)
-        own = part["_own"].to_numpy() & (part["t"] >= part["_first"] + width - 1).to_numpy()
-        return pd.DataFrame({"t": part["t"][own], "drift": total[at[own]] / width})
+            here[at[labels == label]] = True
+            own = np.flatnonzero(used == label)
+            _, where, which = np.unique(js[own], return_index=True, return_inverse=True)
+            near = np.zeros((n, len(where)))
+            near[when[own] - low, which] = 1.0
+            total += _scores(x, here, vs[own][where] if len(own) else np.zeros((0, x.shape[1])), near, width)
+        ours = mine.column("_own").to_numpy(zero_copy_only=False) & (t >= mine.column("_first").to_numpy() + width - 1)
+        return pa.table([pa.array(t[ours]), pa.array(total[at[ours]] / width)], schema=schema)
 
-    blocks = in_blocks(rows.select("t", "x", "label"), width - 1, 0, size=size).join(F.broadcast(first))
-    return blocks.groupBy("_block").applyInPandas(run, "t long, drift double")
+    left = in_blocks(rows, width - 1, 0, size=size).join(F.broadcast(first))
+    right = in_blocks(uses, width - 1, 0, size=size).select(*[F.col(c).alias(c) for c in ("t", "label", "j", "v", "_block")])
+    return left.groupBy("_block").cogroup(right.groupBy("_block")).applyInArrow(run, "t long, drift double")
 
 
-def _sliding_by_intervals(rows: DataFrame, trained: DataFrame, width: int, k: int) -> DataFrame:
-    """A row is in the windows that end from its place to ``width`` - 1 after it; a training row is in those
-    of the union over its neighbours. Each pair of overlapping stays adds its distance where the later one begins and
-    takes it away after the earlier one ends, so running sums give A, B, C and the counts of all windows.
-    The guard is on the sum A.
-    """
-    near = nearest_of_label(rows.select("t", "x", "label"), trained, k)
-    stays = rows.select("label", F.col("t").alias("s"), (F.col("t") + width - 1).alias("e"), "x")
-    used = merged_intervals(near.select("j", "label", F.col("i").alias("s")), width).join(trained.select(F.col("t").alias("j"), "x"), "j").select("label", "s", "e", "x")
-    zero = F.lit(0.0)
-
-    def steps(df: DataFrame, start, end, **values) -> DataFrame:
-        columns = lambda sign: [(values[c] * sign).alias(c) if c in values else zero.alias(c) for c in ("w", "t", "a", "b", "c")]
-        return df.select("label", start.alias("at"), *columns(1)).union(df.select("label", (end + 1).alias("at"), *columns(-1)))
-
-    one, d = F.lit(1.0), F.abs(F.col("x") - F.col("x2"))
-    later, sooner = F.greatest("s", "s2"), F.least("e", "e2")
-    deltas = steps(stays, F.col("s"), F.col("e"), w=one).union(steps(used, F.col("s"), F.col("e"), t=one))
-    for name, left, right in (("a", stays, used), ("b", stays, stays), ("c", used, used)):
-        deltas = deltas.union(steps(overlaps(left, right, width), later, sooner, **{name: d}))
-    labels = rows.select("label").distinct()
-    grid = rows.select(F.col("t").alias("at")).join(F.broadcast(labels)).select("label", "at", *[zero.alias(c) for c in "wtabc"])
-    sums = deltas.union(grid).groupBy("label", "at").agg(*[F.sum(c).alias(c) for c in "wtabc"])
-    sums = running_sums(sums, {c: f"{c}_" for c in "wtabc"}, "at", "label")
-    w, t, a, b, c = (F.col(f"{x}_") for x in "wtabc")
-    w, t = F.round(w), F.round(t)
-    last = rows.agg((F.max("t")).alias("last"), F.min("t").alias("first"))
-    scored = sums.select("at", _drift(w, t, a, b, c, a).alias("d")).groupBy(F.col("at").alias("t")).agg((F.sum("d") / width).alias("drift"))
-    return scored.join(F.broadcast(last)).where((F.col("t") >= F.col("first") + width - 1) & (F.col("t") <= F.col("last"))).select("t", "drift")
-
-
-def adjacent(rows: DataFrame, width: int) -> DataFrame:
+def adjacent(rows: DataFrame, width: int, block: int = 0) -> DataFrame:
     """(t, drift): energy distance of the ``width`` rows before t and the ``width`` rows from t on, whatever their labels.
 
-    Each of the three sums is a sum over steps of the row distance of products of frame sums; pairs closer than
-    2 * width meet by buckets.
+    A block of the order makes the distances of its rows (with ``width`` more on either side); sums over stretches of them
+    are differences of running sums along both sides.
     """
-    stays = rows.select(F.lit(0).alias("label"), F.col("t").alias("s"), (F.col("t") + width - 1).alias("e"), "x", "t")
-    pairs = overlaps(stays, stays, width)
-    d = F.abs(F.col("x") - F.col("x2"))
-    within = pairs.select(F.greatest("t", "t2").alias("s"), (F.least("t", "t2") + width).alias("e"), d.alias("d"))  # windows [e - width, e) that hold both, by end
-    inside = within.select(F.col("s").alias("at"), F.col("d")).union(within.select(F.col("e").alias("at"), -F.col("d")))
-    inside = rows.select(F.col("t").alias("at"), F.lit(0.0).alias("d")).union(inside).groupBy("at").agg(F.sum("d").alias("d"))
-    inside = running_sums(inside, {"d": "bc"}, "at").select(F.col("at").alias("last"), "bc")
-    # Across: row i in [t - width, t), row j in [t, t + width): t from i + 1 to i + width and from j - width + 1 to j.
-    left = rows.select(F.lit(0).alias("label"), (F.col("t") + 1).alias("s"), (F.col("t") + width).alias("e"), "x")
-    right = rows.select(F.lit(0).alias("label"), (F.col("t") - width + 1).alias("s"), F.col("t").alias("e"), "x")
-    met = overlaps(left, right, width).select(F.greatest("s", "s2").alias("s"), F.least("e", "e2").alias("e"), d.alias("d"))
-    across = met.select(F.col("s").alias("at"), "d").union(met.select((F.col("e") + 1).alias("at"), -F.col("d")))
-    across = rows.select(F.col("t").alias("at"), F.lit(0.0).alias("d")).union(across).groupBy("at").agg(F.sum("d").alias("d"))
-    across = running_sums(across, {"d": "a"}, "at")
-    before = inside.select((F.col("last") + 1).alias("at"), F.col("bc").alias("b"))
-    after = inside.select((F.col("last") - width + 1).alias("at"), F.col("bc").alias("c"))
-    n = float(width * width)
-    bounds = rows.agg(F.min("t").alias("first"), F.max("t").alias("final"))
-    scored = across.join(before, "at").join(after, "at").join(F.broadcast(bounds)).where((F.col("at") >= F.col("first") + width) & (F.col("at") + width - 1 <= F.col("final")))
-    return scored.select(F.col("at").alias("t"), F.when(F.col("a") < GUARD, 0.0).otherwise(energy(F.col("a") / n, F.col("b") / n, F.col("c") / n)).alias("drift"))
-
-
-def between(rows: DataFrame, reference: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """(keys, by, drift): energy distance of each group of ``rows(keys, by, x)`` to ``reference(by, x)`` of its ``by``, from sorted rows."""
-    every = [*keys, by]
-    groups = rows.select(*every).distinct()
-    w = _sums_within(rows, every).select(*every, F.col("sum").alias("b"), F.col("n").alias("w"))
-    t = _sums_within(reference, [by]).select(by, F.col("sum").alias("c"), F.col("n").alias("t"))
-    both = _sums_within(rows.select(*every, "x").union(groups.join(reference, by).select(*every, "x")), every).select(*every, F.col("sum").alias("all"))
-    a = (F.col("all") - F.col("b") - F.col("c")) / 2 / (F.col("w") * F.col("t"))
-    return w.join(t, by).join(both, every).select(*every, energy(a, F.col("b") / (F.col("w") * F.col("w")), F.col("c") / (F.col("t") * F.col("t"))).alias("drift"))
+    rows = vectors(rows).select("t", "v")
+    bounds = rows.agg(F.min("t").alias("_low"), F.max("t").alias("_high"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        t = table.column("t").to_numpy()
+        order = np.argsort(t)
+        x, t = matrix(table)[order], t[order]
+        total = np.zeros((len(t) + 1, len(t) + 1))
+        total[1:, 1:] = np.cumsum(np.cumsum(distance_block(x, x), axis=0), axis=1)
+        low, high = (table.column(c).to_numpy()[0] for c in ("_low", "_high"))
+        at = np.flatnonzero(table.column("_own").to_numpy(zero_copy_only=False)[order] & (t >= low + width) & (t + width - 1 <= high))
+        area = lambda i, j: total[i + width, j + width] - total[i, j + width] - total[i + width, j] + total[i, j]
+        a, b, c = area(at - width, at), area(at - width, at - width), area(at, at)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            drift = np.where(a < GUARD, 0.0, 1 - (b + c) / (2 * a))
+        return pa.table({"t": pa.array(t[at]), "drift": pa.array(drift, pa.float64())})
+
+    blocks = in_blocks(rows, width, width - 1, size=max(width, block or BLOCK)).join(F.broadcast(bounds))
+    return blocks.groupBy("_block").applyInArrow(run, "t long, drift double")

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import gaussian as G
-from .mixture import softmax, with_components
+from .mixture import all_scores, softmax
 from .prepare import with_stats
 
 
 def distances(points: DataFrame, models: DataFrame) -> DataFrame:
-    """(t, model_id, a): each point's score by each model's Gaussian."""
-    rows = with_components(points, models, "model_id")
-    return rows.select("t", F.inline(F.transform("_c", lambda c: F.struct(c["key"].alias("model_id"), G.score(F.col("x"), F.col("y"), c).alias("a")))))
+    """(t, model_id, a): each point's score by each model's Gaussian, of points(t, v) and models(model_id, mu, s)."""
+    return all_scores(points, models, "model_id").withColumnRenamed("value", "a")
 
 
 def share_by_nearest(found: DataFrame, models: DataFrame) -> DataFrame:

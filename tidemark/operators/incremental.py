@@ -1,60 +1,74 @@
-"""Mixtures that follow a stream: fits by expectation and maximisation, and updates row by row.
+"""Mixtures that follow a stream, held as sums.
 
-A component is a dict of mu, s (covariance), sp (its share of rows), n; the score of a row by it is squared
-Mahalanobis distance plus log-determinant less the log of its weight, so less is closer.
+A part of a mixture is the weight of its rows, their weighted sum and their weighted sum of squares; mean and
+covariance follow from these. So taking in a row, merging two parts and taking one out of another are additions.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 
-Component = dict
+from ..functions.gaussian import Gaussians
 
 
-def component(mu: np.ndarray, s: np.ndarray, sp: float, n: float) -> Component:
-    mu, s = np.asarray(mu, float), np.asarray(s, float)
-    return {"mu": mu, "s": s, "sinv": np.linalg.pinv(s), "log_det": float(np.linalg.slogdet(s)[1]), "sp": float(sp), "n": float(n)}
+@dataclass(frozen=True)
+class Part:
+    weight: float
+    first: np.ndarray
+    second: np.ndarray
+    rows: float
 
+    @classmethod
+    def of(cls, mu: np.ndarray, s: np.ndarray, weight: float, rows: float) -> Part:
+        """From mean and covariance."""
+        mu = np.asarray(mu, float)
+        return cls(float(weight), mu * weight, (np.asarray(s, float) + np.outer(mu, mu)) * weight, float(rows))
+
+    @property
+    def mu(self) -> np.ndarray:
+        return self.first / self.weight
+
+    @property
+    def s(self) -> np.ndarray:
+        return self.second / self.weight - np.outer(self.mu, self.mu)
 
-def score(x: np.ndarray, c: Component) -> float:
-    d = x - c["mu"]
-    return float(d @ c["sinv"] @ d + c["log_det"] - math.log(c["sp"] / c["n"]))
+    @property
+    def share(self) -> float:
+        return self.weight / self.rows
 
 
-def posteriors(x: np.ndarray, comps: list[Component]) -> np.ndarray:
-    logs = np.array([-(score(x, c) + math.log(c["sp"] / c["n"]) + len(x) * math.log(2 * math.pi)) / 2 + math.log(c["sp"] / c["n"]) for c in comps])
-    p = np.exp(logs - logs.max())
-    return p / p.sum()
+def updated(c: Part, x: np.ndarray, p: float) -> Part:
+    """After one more row of which the part has the share ``p``."""
+    return Part(c.weight + p, c.first + p * x, c.second + p * np.outer(x, x), c.rows + 1)
 
 
-def updated(c: Component, x: np.ndarray, p: float) -> Component:
-    """After one more row of which the component has the share ``p``."""
-    sp = c["sp"] + p
-    mu = c["mu"] + (x - c["mu"]) * p / sp
-    s = c["s"] + (np.outer(x - mu, x - mu) - c["s"]) * p / sp - np.outer(mu - c["mu"], mu - c["mu"])
-    return component(mu, s, sp, c["n"] + 1)
+def shifted(c: Part, x: np.ndarray, p: float) -> Part:
+    """The mean moved by a row of weight ``p``, the covariance as it is."""
+    return Part.of(c.mu + (x - c.mu) * p / c.weight, c.s, c.weight, c.rows)
 
 
-def shifted(c: Component, x: np.ndarray, p: float) -> Component:
-    """The mean moved only."""
-    return component(c["mu"] + (x - c["mu"]) * p / c["sp"], c["s"], c["sp"], c["n"])
+def merged(a: Part, b: Part, sign: int = 1) -> Part:
+    """Both as one part; with ``sign`` -1, a without b."""
+    return Part(a.weight + sign * b.weight, a.first + sign * b.first, a.second + sign * b.second, a.rows)
 
 
-def merged(a: Component, b: Component, sign: int = 1) -> Component:
-    """Both as one component, by their moments; with ``sign`` -1, a without b."""
-    sp = a["sp"] + sign * b["sp"]
-    mu = (a["mu"] * a["sp"] + sign * b["mu"] * b["sp"]) / sp
-    second = lambda c: (c["s"] + np.outer(c["mu"], c["mu"])) * c["sp"]
-    return component(mu, (second(a) + sign * second(b)) / sp - np.outer(mu, mu), sp, a["n"])
+def gaussians(parts: Sequence[Part]) -> Gaussians:
+    return Gaussians(range(len(parts)), np.array([c.mu for c in parts]), np.array([c.s for c in parts]), np.log([c.share for c in parts]))
 
 
-def kl(a: Component, b: Component) -> float:
+def kl(a: Part, b: Part) -> float:
     """Kullback-Leibler divergence of two Gaussians."""
-    d = b["mu"] - a["mu"]
-    return float(np.trace(b["sinv"] @ a["s"]) + d @ b["sinv"] @ d - len(d) + b["log_det"] - a["log_det"]) / 2
+    d, inverse = b.mu - a.mu, np.linalg.pinv(b.s)
+    return float(np.trace(inverse @ a.s) + d @ inverse @ d - len(d) + np.linalg.slogdet(b.s)[1] - np.linalg.slogdet(a.s)[1]) / 2
+
+
+def symmetric_kl(a: Part, b: Part) -> float:
+    return (kl(a, b) + kl(b, a)) / 2
 
 
 def _root(s: np.ndarray) -> np.ndarray:
@@ -62,104 +76,146 @@ def _root(s: np.ndarray) -> np.ndarray:
     return (v * np.sqrt(np.maximum(w, 0))) @ v.T
 
 
-def mean_distance(a: Component, b: Component) -> float:
+def mean_distance(a: Part, b: Part) -> float:
     """The distance of the means plus the trace of S0 + S1 - 2 (S0^1/2 S1 S0^1/2)^1/2."""
-    r = _root(a["s"])
-    return float(np.linalg.norm(a["mu"] - b["mu"]) + np.trace(a["s"] + b["s"] - 2 * _root(r @ b["s"] @ r)))
-
-
-def fit(x: np.ndarray, k: int, start: list[Component] | None = None, rounds: int = 100, seed: int = 42, ridge: float = 1e-6) -> tuple[list[Component], float]:
-    """Components and log-likelihood, from ``start`` or from k spread rows."""
+    r = _root(a.s)
+    return float(np.linalg.norm(a.mu - b.mu) + np.trace(a.s + b.s - 2 * _root(r @ b.s @ r)))
+
+
+def to_nearest_model(parts: Sequence[Part], models: Sequence[Part]) -> float:
+    """The parts' distances to their nearest model, weighted by the parts' shares."""
+    return float(sum(c.share * min(mean_distance(c, m) for m in models) for c in parts))
+
+
+def transport(cost: np.ndarray, supply: np.ndarray, demand: np.ndarray) -> float:
+    """The least cost of moving shares ``supply`` to shares ``demand``: successive shortest paths over a few nodes."""
+    n, m = cost.shape
+    flow, left, open_ = np.zeros((n, m)), supply / supply.sum(), demand / demand.sum()
+    while left.sum() > 1e-12:
+        # Bellman and Ford's distances from all sources with supply left; edges back where there is flow.
+        far_s, far_d = np.where(left > 1e-15, 0.0, np.inf), np.full(m, np.inf)
+        from_s, from_d = np.full(n, -1), np.full(m, -1)
+        for _ in range(n + m):
+            ahead = far_s[:, None] + cost
+            better = ahead.min(axis=0) < far_d - 1e-15
+            from_d[better], far_d[better] = ahead.argmin(axis=0)[better], ahead.min(axis=0)[better]
+            back = np.where(flow > 1e-15, far_d[None, :] - cost, np.inf)
+            turn = back.min(axis=1) < far_s - 1e-15
+            from_s[turn], far_s[turn] = back.argmin(axis=1)[turn], back.min(axis=1)[turn]
+            if not better.any() and not turn.any():
+                break
+        end = int(np.where(open_ > 1e-15, far_d, np.inf).argmin())
+        path, node, amount = [], end, open_[end]
+        while True:
+            source = int(from_d[node])
+            path.append((source, node, 1))
+            if from_s[source] < 0:
+                amount = min(amount, left[source])
+                break
+            path.append((source, int(from_s[source]), -1))
+            amount, node = min(amount, flow[source, from_s[source]]), int(from_s[source])
+        for a, b, sign in path:
+            flow[a, b] += sign * amount
+        left[path[-1][0]] -= amount
+        open_[end] -= amount
+    return float((flow * cost).sum())
+
+
+def fit(x: np.ndarray, k: int, rounds: int = 100, seed: int = 42, ridge: float = 1e-6) -> tuple[list[Part], float]:
+    """Parts and log-likelihood of some rows in memory, from k spread rows."""
     n, d = x.shape
     rng = np.random.Generator(np.random.PCG64(seed))
-    if start is None:
-        centres = [x[rng.integers(n)]]
-        for _ in range(k - 1):
-            far = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
-            centres.append(x[rng.choice(n, p=far / far.sum()) if far.sum() else rng.integers(n)])
-        spread = np.cov(x.T).reshape(d, d) / k + ridge * np.eye(d)
-        start = [component(c, spread, n / k, n) for c in centres]
-    comps, last, total = start, -np.inf, -np.inf
+    centres = [x[rng.integers(n)]]
+    for _ in range(k - 1):
+        far = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
+        centres.append(x[rng.choice(n, p=far / far.sum()) if far.sum() else rng.integers(n)])
+    spread = np.cov(x.T).reshape(d, d) / k + ridge * np.eye(d)
+    parts, last, total = [Part.of(c, spread, n / k, n) for c in centres], -np.inf, -np.inf
     for _ in range(rounds):
-        logs = np.stack([-(np.einsum("ni,ij,nj->n", x - c["mu"], c["sinv"], x - c["mu"]) + c["log_det"] + d * math.log(2 * math.pi)) / 2 + math.log(max(c["sp"], 1e-300) / c["n"]) for c in comps], axis=1)
+        g = gaussians(parts)
+        logs = g.log_density(x) + g.log_weight
         top = logs.max(axis=1, keepdims=True)
         share = np.exp(logs - top)
         total = float((np.log(share.sum(axis=1)) + top[:, 0]).sum())
         share /= share.sum(axis=1, keepdims=True)
-        comps = []
-        for j in range(share.shape[1]):
-            w = share[:, j]
-            sp = max(w.sum(), 1e-9)
-            mu = w @ x / sp
-            comps.append(component(mu, (x - mu).T @ ((x - mu) * w[:, None]) / sp + ridge * np.eye(d), sp, n))
+        parts = []
+        for w in share.T:
+            weight = max(w.sum(), 1e-9)
+            mu = w @ x / weight
+            parts.append(Part.of(mu, (x - mu).T @ ((x - mu) * w[:, None]) / weight + ridge * np.eye(d), weight, n))
         if abs(total - last) < 1e-4 * n:
             break
         last = total
-    return comps, total
+    return parts, total
 
 
-def best_by_bic(x: np.ndarray, most: int = 10) -> list[Component]:
-    """The fit of the least Bayesian information criterion, of 1 to min(most, n // 25 + 1) components."""
-    n, d = x.shape
+def bic(parts: Sequence[Part], total: float, n: int) -> float:
+    k, d = len(parts), len(parts[0].first)
+    return (k * (d + d * (d + 1) / 2) + k - 1) * math.log(n) - 2 * total
+
+
+def best_by_bic(x: np.ndarray, most: int = 10) -> list[Part]:
+    """The fit of the least Bayesian information criterion, of 1 to min(most, n // 25 + 1) parts, of rows in memory."""
     found = []
-    for k in range(1, min(most, n // 25 + 1) + 1):
-        comps, total = fit(x, k)
-        free = k * (d + d * (d + 1) / 2) + k - 1
-        found.append((free * math.log(n) - 2 * total, k, comps))
+    for k in range(1, min(most, len(x) // 25 + 1) + 1):
+        parts, total = fit(x, k)
+        found.append((bic(parts, total, len(x)), k, parts))
     return min(found, key=lambda f: f[:2])[2]
 
 
 class Follower:
     """A mixture that takes rows one by one.
 
-    A row goes to its best component if its score is below that one's relaxed threshold, and changes all
-    components by their posteriors if it is below the strict one; else it is uncertain. When more rows than
-    ``trigger`` (or a twelfth of all) are uncertain, they get components of their own.
+    A row goes to its best part if its score is below that one's relaxed threshold, and changes all parts by
+    their posteriors if it is below the strict one; else it is uncertain. When more rows than ``trigger`` (or a
+    twelfth of all) are uncertain, they get parts of their own; of more than four new ones the largest stay.
     """
 
-    def __init__(self, comps: list[Component], x: np.ndarray, trigger: int = 200):
+    def __init__(self, comps: list[Part], x: np.ndarray, trigger: int = 200):
         self.comps, self.trigger, self.n = list(comps), trigger, len(x)
         self.uncertain: list[list[float]] = []
-        self.limits = self._limits(x)
-
-    def _limits(self, x: np.ndarray) -> list[tuple[float, float]]:
-        scores = np.array([[score(r, c) for c in self.comps] for r in x]) if len(x) else np.zeros((0, len(self.comps)))
-        best = scores.argmin(axis=1) if len(x) else np.zeros(0, int)
-        out = []
-        for k in range(len(self.comps)):
-            own = scores[best == k, k] if (best == k).any() else np.array([1e-5])
-            relax = own.max() + (own.max() - own.min()) / 100 if len(self.comps) > 5 else np.quantile(own, 0.95)
-            out.append((float(relax), float(np.quantile(own, 0.9))))
-        return out
+        self.limits = limits(gaussians(self.comps).score(x, True) if len(x) else np.zeros((0, len(self.comps))))
 
     def add(self, x: np.ndarray) -> tuple[int, bool]:
-        """The row's component, and whether it is uncertain."""
-        scores = [score(x, c) for c in self.comps]
-        k = int(np.argmin(scores))
+        """The row's part, and whether it is uncertain."""
+        g = gaussians(self.comps)
+        scores = g.score(x[None], True)[0]
+        k = int(scores.argmin())
         self.n += 1
         if scores[k] >= self.limits[k][0]:
             self.uncertain.append(x.tolist())
             if len(self.uncertain) > max(self.trigger, self.n // 12):
                 rows = np.array(self.uncertain)
-                most = min(7, 1 + round(len(rows) / 50))
-                self.comps += best_by_bic(rows, most)
-                self.limits += self._limits(rows)[-(len(self.comps) - len(self.limits)) :]
+                made = sorted(best_by_bic(rows, min(7, 1 + round(len(rows) / 50))), key=lambda c: -c.weight)[:4]
+                self.comps += made
+                self.limits += limits(gaussians(self.comps).score(rows, True))[-len(made) :]
                 self.uncertain = []
             return k, True
         if scores[k] < self.limits[k][1]:
-            p = posteriors(x, self.comps)
+            p = g.posterior(x[None])[0]
             self.comps = [updated(c, x, q) for c, q in zip(self.comps, p, strict=True)]
         return k, False
 
     def dump(self) -> str:
         """The whole state as JSON."""
-        comps = [{"mu": c["mu"].tolist(), "s": c["s"].tolist(), "sp": c["sp"], "n": c["n"]} for c in self.comps]
+        comps = [[c.weight, c.first.tolist(), c.second.tolist(), c.rows] for c in self.comps]
         return json.dumps({"comps": comps, "limits": self.limits, "uncertain": self.uncertain, "trigger": self.trigger, "n": self.n})
 
     @classmethod
     def loaded(cls, text: str) -> Follower:
         state = json.loads(text)
         made = cls.__new__(cls)
-        made.comps = [component(np.array(c["mu"]), np.array(c["s"]), c["sp"], c["n"]) for c in state["comps"]]
+        made.comps = [Part(w, np.array(a), np.array(b), n) for w, a, b, n in state["comps"]]
         made.limits, made.uncertain, made.trigger, made.n = [tuple(x) for x in state["limits"]], state["uncertain"], state["trigger"], state["n"]
         return made
+
+
+def limits(scores: np.ndarray) -> list[tuple[float, float]]:
+    """Relaxed and strict thresholds of each part from its own rows' scores."""
+    best = scores.argmin(axis=1) if len(scores) else np.zeros(0, int)
+    out = []
+    for k in range(scores.shape[1]):
+        own = scores[best == k, k] if (best == k).any() else np.array([1e-5])
+        relax = own.max() + (own.max() - own.min()) / 100 if scores.shape[1] > 5 else np.quantile(own, 0.95)
+        out.append((float(relax), float(np.quantile(own, 0.9))))
+    return out

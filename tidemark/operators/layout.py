@@ -7,37 +7,49 @@ block by block and leaves each task as one row a point. The fitted layout takes
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.kept import keep
 from .pairs import dealt
 from .prepare import with_stats
 
 
 def bandwidths(near: DataFrame, perplexity: float, steps: int = 100, close: float = 1e-5) -> DataFrame:
-    """(i, beta, entropy): of near(i, j, d), where exp(-beta * d) has the entropy of ``perplexity`` equal shares; by bisection."""
+    """(i, beta, entropy): of near(i, j, d), where exp(-beta * d) has the entropy of ``perplexity`` equal shares; by bisection.
+
+    All rows of a batch are halved together, until each is close.
+    """
     target = math.log(perplexity)
     rows = near.groupBy("i").agg(F.array_sort(F.collect_list("d")).alias("ds"))
 
-    def entropy(beta: Column) -> Column:
-        # H = log(sum) + beta * sum(d * w) / sum, with distances less the least one.
-        shifted = F.transform("ds", lambda d: d - F.col("ds")[0])
-        sums = F.aggregate(shifted, F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("dw")), lambda s, d: F.struct((s["w"] + F.exp(-beta * d)).alias("w"), (s["dw"] + d * F.exp(-beta * d)).alias("dw")))
-        return F.log(sums["w"]) + beta * sums["dw"] / sums["w"]
-
-    def step(s: Column, _: Column) -> Column:
-        h = entropy(s["beta"])
-        low = F.when(h > target, s["beta"]).otherwise(s["low"])
-        high = F.when(h > target, s["high"]).otherwise(s["beta"])
-        beta = F.when(F.abs(h - target) <= close, s["beta"]).when(high.isNull(), s["beta"] * 2).otherwise((low + high) / 2)
-        return F.struct(beta.alias("beta"), low.alias("low"), high.alias("high"))
-
-    start = F.struct(F.lit(1.0).alias("beta"), F.lit(0.0).alias("low"), F.lit(None).cast("double").alias("high"))
-    found = rows.withColumn("beta", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["beta"])
-    return found.select("i", "beta", entropy(F.col("beta")).alias("entropy"))
+    def entropy(beta: np.ndarray, d: np.ndarray, w: np.ndarray) -> np.ndarray:
+        share = np.exp(-beta[:, None] * d) * w
+        total = share.sum(axis=1)
+        return np.log(total) + beta * (d * share).sum(axis=1) / total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("ds").to_pylist()
+            longest = max(map(len, lists), default=1)
+            d = np.array([[x - ds[0] for x in ds] + [0.0] * (longest - len(ds)) for ds in lists]).reshape(-1, longest)
+            w = np.array([[1.0] * len(ds) + [0.0] * (longest - len(ds)) for ds in lists]).reshape(-1, longest)
+            beta, low, high = np.ones(len(d)), np.zeros(len(d)), np.full(len(d), np.inf)
+            for _ in range(steps):
+                h = entropy(beta, d, w)
+                going = np.abs(h - target) > close
+                if not going.any():
+                    break
+                low, high = np.where(going & (h > target), beta, low), np.where(going & (h <= target), beta, high)
+                beta = np.where(going, np.where(np.isfinite(high), (low + high) / 2, beta * 2), beta)
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(beta), pa.array(entropy(beta, d, w))], ["i", "beta", "entropy"])
+
+    return rows.mapInArrow(run, "i long, beta double, entropy double")
 
 
 def conditional(near: DataFrame, betas: DataFrame) -> DataFrame:
@@ -65,7 +77,7 @@ def attraction(edges: DataFrame, at: DataFrame) -> DataFrame:
     return _placed(edges, at).groupBy("i").agg(F.sum(f * F.col("dx")).alias("fx"), F.sum(f * F.col("dy")).alias("fy"))
 
 
-def repulsion(at: DataFrame, n_blocks: int = 4) -> DataFrame:
+def repulsion(at: DataFrame, n_blocks: int | None = None) -> DataFrame:
     """(i, q, fx, fy): sums over all other points of q, and of q * q times the way from them."""
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -83,7 +95,7 @@ def repulsion(at: DataFrame, n_blocks: int = 4) -> DataFrame:
 
 def gradient(edges: DataFrame, at: DataFrame) -> DataFrame:
     """(i, gx, gy): attraction less repulsion over the sum of all q; a point does not repel itself."""
-    away = repulsion(at)
+    away = keep(repulsion(at), "repulsion")  # looked at twice, and it is the dear part
     away = with_stats(away, F.sum("q").alias("_z")).select("i", (F.col("fx") / F.col("_z")).alias("rx"), (F.col("fy") / F.col("_z")).alias("ry"))
     near = attraction(edges, at)
     return away.join(near, "i", "left").select("i", (F.coalesce("fx", F.lit(0.0)) - F.col("rx")).alias("gx"), (F.coalesce("fy", F.lit(0.0)) - F.col("ry")).alias("gy"))

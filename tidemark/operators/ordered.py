@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.kept import keep
+
 BLOCK = 1 << 14
 
 
@@ -41,6 +43,24 @@ def running_sums(df: DataFrame, values: Mapping[str, str], t: str = "t", by: str
     return own.join(blocks, [*keys, "_b"]).select(*df.columns, *[(F.col(f"_before_{c}") + F.col(f"_own_{c}")).alias(name) for c, name in values.items()])
 
 
+def ranked(df: DataFrame, by: list[str], order: list[str], counts: Mapping[str, Column]) -> DataFrame:
+    """``df`` with running sums of ``counts`` over the rows of each ``by`` in ``order``, this row included.
+
+    Rows are dealt into ranges of group and order (of equal ones by their places, so many of them are split) and written;
+    sums run within a file, and a row for each group and file carries those of the files before.
+    """
+    keys = [F.col(c) for c in (*by, *order)]
+    dealt = df.repartitionByRange(*keys, F.monotonically_increasing_id()).sortWithinPartitions(*keys)
+    placed = keep(dealt.select("*", *[c.alias(f"_c_{name}") for name, c in counts.items()], F.monotonically_increasing_id().alias("_row")), "ranked")
+    placed = placed.withColumn("_file", F.shiftright("_row", 33))
+    runs = placed.groupBy(*by, "_file").agg(*[F.sum(f"_c_{name}").alias(f"_s_{name}") for name in counts])
+    earlier = Window.partitionBy(*by).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*by, "_file", *[F.coalesce(F.sum(f"_s_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}") for name in counts])
+    own = Window.partitionBy(*by, "_file").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.select("*", *[F.sum(f"_c_{name}").over(own).alias(f"_own_{name}") for name in counts])
+    return placed.join(runs, [*by, "_file"]).select(*df.columns, *[(F.col(f"_before_{name}") + F.col(f"_own_{name}")).alias(name) for name in counts])
+
+
 def forward_fill(df: DataFrame, value: str, name: str, t: str = "t", size: int = BLOCK) -> DataFrame:
     """The last value that isn't null up to this row."""
     block = F.floor(F.col(t) / size)

@@ -1,28 +1,42 @@
-"""Pairs of rows: distances, nearest neighbours, overlaps of intervals.
+"""Pairs of rows: distances, nearest neighbours, sums over pairs, overlaps of intervals.
 
-Distances of many rows against many are made block by block: rows are dealt into blocks by a hash, each
-pair of blocks meets in one task, and only each row's best of a block leave it. Overlaps join on buckets of
-the line, so no join is without a key.
+Distances of many rows against many are made block by block: rows are dealt by a hash into as many blocks of some
+BLOCK rows as there are rows, each pair of blocks meets in one task, some strips at a time, and only each row's
+best of a block (or a sum) leaves it. Rows are (t, v) with v an array of doubles, or have one value x. Overlaps join
+on buckets of the line, so no join is without a key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Training rows that all tasks may hold.
-MOST_TRAINED = 20_000
+#: Rows of a block.
+BLOCK = 2048
+#: Distances that a task makes at a time.
+STRIP = 1 << 22
+
+
+def vectors(rows: DataFrame) -> DataFrame:
+    """``rows`` with v, which is x alone where there is no v."""
+    return rows if "v" in rows.columns else rows.withColumn("v", F.array(F.col("x").cast("double")))
+
+
+def matrix(table: pa.Table, name: str = "v") -> np.ndarray:
+    """An array column of equally long arrays as rows."""
+    values = table.column(name).combine_chunks()
+    values = values if isinstance(values, pa.Array) else pa.concat_arrays(values.chunks)
+    return np.asarray(values.flatten().to_numpy(zero_copy_only=False), float).reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 1))
 
 
 def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def all_distances(left: DataFrame, right: DataFrame, n_blocks: int = 4) -> DataFrame:
+def all_distances(left: DataFrame, right: DataFrame, n_blocks: int | None = None) -> DataFrame:
     """(i, j, d) for every row of ``left(i, v)`` and every one of ``right(j, v)``: the matrix itself, block by block."""
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -43,74 +57,121 @@ def distance_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def dealt(left: DataFrame, right: DataFrame, n_blocks: int, i: str, j: str):
-    """Both sides by pairs of blocks, to be met by a function of two frames."""
-    blocks = F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    a = left.withColumn("_a", F.pmod(F.hash(i), F.lit(n_blocks))).withColumn("_b", F.explode(blocks))
+def blocks_of(rows: DataFrame) -> int:
+    """How many blocks the rows are dealt into: their number decides."""
+    return max(1, -(-rows.count() // BLOCK))
+
+
+def dealt(left: DataFrame, right: DataFrame, n_blocks: int | None, i: str, j: str):
+    """Both sides by pairs of blocks, to be met by a function of two frames; blocks by the rows of each side if no number is given."""
+    n, m = (blocks_of(left), blocks_of(right)) if n_blocks is None else (n_blocks, n_blocks)
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = left.withColumn("_a", F.pmod(F.hash(i), F.lit(n))).withColumn("_b", every(m))
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own, if both come from one table
-    b = right.withColumn("_b", F.pmod(F.hash(j), F.lit(n_blocks))).withColumn("_a", F.explode(blocks))
+    b = right.withColumn("_b", F.pmod(F.hash(j), F.lit(m))).withColumn("_a", every(n))
     return a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b"))
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, n_blocks: int = 4, itself: bool = True) -> DataFrame:
+def _best(a: np.ndarray, b: np.ndarray, k: int, same: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and distances of the k rows of ``b`` nearest to each of ``a``; ``same``: numbers of both, equal ones don't meet."""
+    rows, columns, far = [], [], []
+    step = max(1, STRIP // max(1, len(b)))
+    for at in range(0, len(a), step):
+        d = distance_block(a[at : at + step], b)
+        if same is not None:
+            d[same[0][at : at + step, None] == same[1][None]] = np.inf
+        r, c = least_places(d, k)
+        ok = np.isfinite(d[r, c])
+        rows.append(r[ok] + at)
+        columns.append(c[ok])
+        far.append(d[r, c][ok])
+    return np.concatenate(rows), np.concatenate(columns), np.concatenate(far)
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, n_blocks: int | None = None, itself: bool = True) -> DataFrame:
     """(i, j, d, rank): the k rows of ``right(j, v)`` nearest to each of ``left(i, v)``, ties by j; exact.
 
     Each block gives its k best, so k rows for each row and block are shuffled.
     """
 
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"i": [], "j": [], "d": []}).astype({"i": "int64", "j": "int64", "d": "float64"})
-        b = b.sort_values("j")
-        ids, js = a["i"].to_numpy(), b["j"].to_numpy()
-        d = distance_block(np.stack(a["v"]), np.stack(b["v"]))
-        if not itself:
-            d[ids[:, None] == js[None]] = np.inf
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"i": np.repeat(ids, best.shape[1]), "j": js[best.ravel()], "d": np.take_along_axis(d, best, 1).ravel()})
-        return out[np.isfinite(out["d"])]
-
-    best = dealt(left, right, n_blocks, "i", "j").applyInPandas(run, "i long, j long, d double")
+    def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("d", pa.float64())])
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        b = b.sort_by("j")
+        ids, js = a.column("i").to_numpy(), b.column("j").to_numpy()
+        r, c, d = _best(matrix(a), matrix(b), k, None if itself else (ids, js))
+        return pa.table([pa.array(ids[r]), pa.array(js[c]), pa.array(d)], schema=schema)
+
+    narrow = lambda df, i: df.select(F.col(i).cast("long").alias(i), "v")
+    best = dealt(narrow(left, "i"), narrow(right, "j"), n_blocks, "i", "j").applyInArrow(run, "i long, j long, d double")
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
 
 
-def nearest_of_label(rows: DataFrame, trained: DataFrame, k: int, most: int | None = None) -> DataFrame:
-    """(i, label, j, d): for each row of ``rows(t, x, label)`` the k nearest of ``trained(t, x, label)`` of its label, ties by t.
+def _counted(rows: DataFrame, keys: list[str], name: str, block: int) -> DataFrame:
+    """(keys, name): into how many blocks each group is dealt."""
+    return rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+
 
-    A row of ``trained`` is its own nearest. All are taken where a label has k or fewer. Up to ``most``
-    training rows go to all tasks, which compare them by arrays without a shuffle; more are joined by label.
+def nearest_of_label(rows: DataFrame, trained: DataFrame, k: int, block: int = 0) -> DataFrame:
+    """(i, label, j, d): for each row of ``rows(t, v, label)`` the k nearest of ``trained(t, v, label)`` of its label, ties by t.
+
+    A row of ``trained`` is its own nearest. All are taken where a label has k or fewer. A label's rows of both sides
+    are dealt into blocks by their numbers, so a large label is many tasks' and training rows may be as many as they like.
+    """
+    block = block or BLOCK
+    # Columns of their own, if both come from one table.
+    rows, trained = (vectors(df).select(F.col("t").cast("long").alias("t"), F.col("v").alias("v"), F.col("label").alias("label")) for df in (rows, trained))
+    counts = _counted(rows, ["label"], "_n", block).join(_counted(trained, ["label"], "_m", block), "label")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    a = rows.join(counts, "label").withColumn("_a", F.pmod(F.hash("t"), "_n")).withColumn("_b", every("_m"))
+    b = trained.join(counts, "label").withColumn("_b", F.pmod(F.hash("t"), "_m")).withColumn("_a", every("_n"))
+
+    def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        schema = pa.schema([("i", pa.int64()), ("label", a.schema.field("label").type), ("j", pa.int64()), ("d", pa.float64())])
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        b = b.sort_by("t")
+        r, c, d = _best(matrix(a), matrix(b), k)
+        labels = a.column("label").combine_chunks().take(pa.array(r))
+        return pa.table([pa.array(a.column("t").to_numpy()[r]), labels, pa.array(b.column("t").to_numpy()[c]), pa.array(d)], schema=schema)
+
+    kind, keys = rows.schema["label"].dataType.simpleString(), ["label", "_a", "_b"]
+    best = a.select("t", "v", *keys).groupBy(*keys).cogroup(b.select("t", "v", *keys).groupBy(*keys)).applyInArrow(run, f"i long, label {kind}, j long, d double")
+    return best.withColumn("_rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("_rank") <= k).select("i", "label", "j", "d")
+
+
+def pair_sums(members: DataFrame, keys: list[str], block: int = 0) -> DataFrame:
+    """(keys, a, b, c, w, t) of members(keys, side, id, v): sums of distances between side 0 and 1, within 0, within 1 (ordered pairs), and counts.
+
+    A group's members are dealt into blocks; each pair of blocks is a task's, and only its sums leave it.
     """
-    most = MOST_TRAINED if most is None else most
-    known = in_memory(trained, most)
-    if known is None:
-        own = trained.select(F.col("t").alias("j"), F.col("x").alias("xj"), F.col("label"))
-        pairs = rows.select(F.col("t").alias("i"), "x", "label").join(own, "label").withColumn("d", F.abs(F.col("x") - F.col("xj")))
-        return pairs.withColumn("_rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("_rank") <= k).select("i", "label", "j", "d")
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for label, part in batch.groupby("label", sort=False):
-                if label in known:
-                    ids, xs = known[label]
-                    step = max(1, (1 << 21) // len(ids))
-                    for at in range(0, len(part), step):
-                        some = part.iloc[at : at + step]
-                        d = np.abs(some["x"].to_numpy()[:, None] - xs[None])
-                        row, column = least_places(d, k)
-                        yield pd.DataFrame({"i": some["t"].to_numpy()[row], "label": label, "j": ids[column], "d": d[row, column]})
-
-    kind = rows.schema["label"].dataType.simpleString()
-    return rows.select("t", "x", "label").mapInPandas(run, f"i long, label {kind}, j long, d double")
-
-
-def in_memory(trained: DataFrame, most: int) -> dict | None:
-    """By label, the numbers and values of the training rows in order; None if there are more than ``most``."""
-    few = trained.select("t", "x", "label").limit(most + 1).collect()
-    if len(few) > most:
-        return None
-    by_label: dict = {}
-    for r in sorted(few):
-        by_label.setdefault(r.label, []).append((r.t, r.x))
-    return {label: (np.array([t for t, _ in x], np.int64), np.array([v for _, v in x], float)) for label, x in by_label.items()}
+    block = block or BLOCK
+    counts = _counted(members, keys, "_n", block)
+    ours = members.join(counts, keys).withColumn("_k", F.pmod(F.hash("side", "id"), "_n").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda x: F.struct(F.least(x, "_k").alias("_p"), F.greatest(x, "_k").alias("_q")))
+    spread = ours.select(*keys, "side", "v", "_k", F.inline(pairs))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        p, q = key[len(keys)].as_py(), key[len(keys) + 1].as_py()
+        x, side, part = matrix(table), table.column("side").to_numpy(), table.column("_k").to_numpy()
+        left, right = part == p, part == q
+        one, two = x[left], x[right]
+        sums = {(s, u): 0.0 for s in (0, 1) for u in (0, 1)}
+        step = max(1, STRIP // max(1, len(two)))
+        for at in range(0, len(one), step):
+            d, own = distance_block(one[at : at + step], two), side[left][at : at + step]
+            for s, u in sums:
+                sums[s, u] += d[own == s][:, side[right] == u].sum()
+        twice = 1.0 if p == q else 2.0
+        a = (sums[0, 1] + sums[1, 0]) * (0.5 if p == q else 1.0)
+        n = [float((side[left] == s).sum()) if p == q else 0.0 for s in (0, 1)]
+        row = [*key[: len(keys)], *(pa.scalar(float(v)) for v in (a, twice * sums[0, 0], twice * sums[1, 1], *n))]
+        return pa.table({name: pa.array([v.as_py()], v.type) for name, v in zip([*keys, "a", "b", "c", "w", "t"], row, strict=True)})
+
+    kinds = ", ".join(f"{k} {members.schema[k].dataType.simpleString()}" for k in keys)
+    parts = spread.groupBy(*keys, "_p", "_q").applyInArrow(run, f"{kinds}, a double, b double, c double, w double, t double")
+    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in "abcwt"])
 
 
 def least_places(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

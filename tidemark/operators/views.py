@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.kept import drop, keep
 from .prepare import with_stats
 
 
@@ -72,16 +73,15 @@ def enter_exit(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("t", F.when(F.col("_old").isNull(), "enter").when(F.col("_new").isNull(), "exit").otherwise("update").alias("state"))
 
 
-def depths(actions: DataFrame, most: int = 100) -> DataFrame:
-    """(no, root, depth) of actions(no, parent): each step doubles the length of the jump to an ancestor.
+def depths(actions: DataFrame) -> DataFrame:
+    """(no, root, depth) of actions(no, parent): each step doubles the length of the jump to an ancestor, until none has one left.
 
-    A tree of depth d takes log2(d) joins, not d.
+    A tree of depth d takes log2(d) joins, not d. Steps are written to the shared folder.
     """
-    jumps = actions.select("no", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), F.coalesce("parent", "no").alias("root"))
-    reach = 1
-    while reach < most:
+    jumps = keep(actions.select("no", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), F.coalesce("parent", "no").alias("root")), "jumps")
+    while not jumps.where("up is not null").isEmpty():
         ahead = jumps.select(F.col("no").alias("_n"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("root").alias("_r"))
         joined = jumps.join(ahead, F.col("up") == F.col("_n"), "left")
-        jumps = joined.select("no", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.coalesce("_r", "root").alias("root"))
-        reach *= 2
+        before, jumps = jumps, keep(joined.select("no", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.coalesce("_r", "root").alias("root")), "jumps")
+        drop(before)
     return jumps.select("no", "root", "depth")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import drift as D
 from ..operators import pairs as J
+from ..operators import prepare as P
 from .registry import query
-from .tables import CHUNK, STREAM_SQL, TRAINED, WINDOW, models_idx, r6, read, stream
+from .tables import CHUNK, STREAM_SQL, TRAINED, WINDOW, models_idx, r6, read, stream, vectors
 
 #: Nearest training rows of a row.
 K = 5
@@ -140,5 +141,69 @@ c AS (SELECT p.label, avg(abs(p.x - q.x)) AS c FROM r p JOIN r q USING (label) G
 def drift_test(spark, sf_dir):
     """Energy distance of the test rows of each model (by the parity of their chunk) and label to the training rows of the label."""
     rows = stream(spark, sf_dir)
-    tested = rows.select((F.floor(F.col("t") / CHUNK) % 2).alias("model_id"), "label", "x")
-    return D.between(tested, trained(rows).select("label", "x"), ["model_id"], "label").select("model_id", "label", r6(F.col("drift")).alias("drift"))
+    tested = rows.select((F.floor(F.col("t") / CHUNK) % 2).alias("model_id"), "label", "t", "x")
+    return D.between(tested, trained(rows).select("label", "t", "x"), ["model_id"], "label").select("model_id", "label", r6(F.col("drift")).alias("drift"))
+
+
+# Whole rows of 64 axes: the vectors in the order of their numbers as a stream.
+
+VECTORS_SQL = """stream AS (SELECT vec_id AS t, embedding::DOUBLE[] AS v, label FROM embeddings), span AS (SELECT max(t) + 1 AS n FROM stream), tr AS (SELECT t AS j, v AS vj, label FROM stream, span WHERE t * 5 < n * 2),
+near AS (SELECT i, label, j FROM (SELECT s.t AS i, s.label, j, row_number() OVER (PARTITION BY s.t ORDER BY list_distance(s.v, vj), j) AS r FROM stream s JOIN tr ON tr.label = s.label) WHERE r <= 5)"""
+#: Length of a window and of a chunk of the vectors.
+VECTOR_WINDOW, VECTOR_CHUNK = 20, 50
+
+
+def _vectors(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    share = P.with_stats(rows, (F.max("t") + 1).alias("n"))
+    return rows, share.where(F.col("t") * 5 < F.col("n") * 2).drop("n")
+
+
+@query(f"WITH {VECTORS_SQL} SELECT i, label, j FROM near")
+def knn_label_axes(spark, sf_dir):
+    """The nearest of each vector's class among the first two fifths."""
+    return J.nearest_of_label(*_vectors(spark, sf_dir), K).select("i", "label", "j")
+
+
+@query(
+    f"""WITH {VECTORS_SQL}, w AS (SELECT t // {VECTOR_CHUNK} AS c, label, v FROM stream), u AS (SELECT DISTINCT i // {VECTOR_CHUNK} AS c, near.label, near.j, vj AS v FROM near JOIN tr ON tr.j = near.j),
+a AS (SELECT w.c, w.label, avg(list_distance(w.v, u.v)) AS a FROM w JOIN u ON w.c = u.c AND w.label = u.label GROUP BY 1, 2), b AS (SELECT p.c, p.label, avg(list_distance(p.v, q.v)) AS b FROM w p JOIN w q ON p.c = q.c AND p.label = q.label GROUP BY 1, 2),
+e AS (SELECT p.c, p.label, avg(list_distance(p.v, q.v)) AS e FROM u p JOIN u q ON p.c = q.c AND p.label = q.label GROUP BY 1, 2), n AS (SELECT c, label, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT n.c AS chunk_id, round(sum(CASE WHEN a IS NULL THEN n WHEN a < 1e-4 THEN 0 ELSE n * (1 - (b + e) / (2 * a)) END) / sum(n), 6) + 0.0::DOUBLE AS drift FROM n LEFT JOIN a USING (c, label) LEFT JOIN b USING (c, label) LEFT JOIN e USING (c, label) GROUP BY 1"""
+)
+def drift_chunk_axes(spark, sf_dir):
+    rows, own = _vectors(spark, sf_dir)
+    chunks = rows.withColumn("chunk_id", F.floor(F.col("t") / VECTOR_CHUNK))
+    return D.of_chunks(chunks, own, K).select("chunk_id", r6(F.col("drift")).alias("drift"))
+
+
+@query(
+    f"""WITH {VECTORS_SQL}, win AS (SELECT t AS e FROM stream WHERE t >= {VECTOR_WINDOW} - 1), w AS (SELECT e, label, v FROM win JOIN stream s ON s.t > e - {VECTOR_WINDOW} AND s.t <= e),
+u AS (SELECT DISTINCT e, near.label, near.j, vj AS v FROM win JOIN near ON i > e - {VECTOR_WINDOW} AND i <= e JOIN tr ON tr.j = near.j),
+a AS (SELECT w.e, w.label, sum(list_distance(w.v, u.v)) AS a FROM w JOIN u ON w.e = u.e AND w.label = u.label GROUP BY 1, 2), b AS (SELECT p.e, p.label, sum(list_distance(p.v, q.v)) AS b FROM w p JOIN w q ON p.e = q.e AND p.label = q.label GROUP BY 1, 2),
+c AS (SELECT p.e, p.label, sum(list_distance(p.v, q.v)) AS c FROM u p JOIN u q ON p.e = q.e AND p.label = q.label GROUP BY 1, 2), n AS (SELECT e, label, count(*)::DOUBLE AS w FROM w GROUP BY 1, 2), m AS (SELECT e, label, count(*)::DOUBLE AS t FROM u GROUP BY 1, 2)
+SELECT n.e AS t, round(sum(CASE WHEN m.t IS NULL THEN w WHEN a < 1e-4 THEN 0 ELSE w * (1 - (b / (w * w) + c / (m.t * m.t)) / (2 * a / (w * m.t))) END) / {VECTOR_WINDOW}, 6) + 0.0::DOUBLE AS drift FROM n LEFT JOIN m USING (e, label) LEFT JOIN a USING (e, label) LEFT JOIN b USING (e, label) LEFT JOIN c USING (e, label) GROUP BY 1"""
+)
+def drift_sliding_axes(spark, sf_dir):
+    return D.sliding(*_vectors(spark, sf_dir), VECTOR_WINDOW, K).select("t", r6(F.col("drift")).alias("drift"))
+
+
+@query(
+    f"""WITH stream AS (SELECT vec_id AS t, embedding::DOUBLE[] AS v FROM embeddings), d AS MATERIALIZED (SELECT p.t AS p, q.t AS q, list_distance(p.v, q.v) AS d FROM stream p JOIN stream q ON abs(p.t - q.t) < 2 * {VECTOR_WINDOW}),
+k AS (SELECT t AS u FROM stream WHERE t >= {VECTOR_WINDOW} AND t + {VECTOR_WINDOW} - 1 <= (SELECT max(t) FROM stream)),
+s AS (SELECT u, avg(d) FILTER (WHERE p < u AND q >= u) AS a, avg(d) FILTER (WHERE p < u AND q < u) AS b, avg(d) FILTER (WHERE p >= u AND q >= u) AS c FROM k JOIN d ON p >= u - {VECTOR_WINDOW} AND p < u + {VECTOR_WINDOW} AND q >= u - {VECTOR_WINDOW} AND q < u + {VECTOR_WINDOW} GROUP BY u)
+SELECT u AS t, round(1 - (b + c) / (2 * a), 6) + 0.0::DOUBLE AS drift FROM s"""
+)
+def drift_real_axes(spark, sf_dir):
+    return D.adjacent(vectors(spark, sf_dir), VECTOR_WINDOW).select("t", r6(F.col("drift")).alias("drift"))
+
+
+@query(
+    f"""WITH {VECTORS_SQL}, g AS (SELECT (t // {VECTOR_CHUNK}) % 2 AS model_id, label, v FROM stream), a AS (SELECT model_id, g.label, avg(list_distance(g.v, vj)) AS a FROM g JOIN tr USING (label) GROUP BY 1, 2),
+b AS (SELECT p.model_id, p.label, avg(list_distance(p.v, q.v)) AS b FROM g p JOIN g q ON p.model_id = q.model_id AND p.label = q.label GROUP BY 1, 2), c AS (SELECT p.label, avg(list_distance(p.vj, q.vj)) AS c FROM tr p JOIN tr q USING (label) GROUP BY 1)
+SELECT model_id, label, round(1 - (b + c) / (2 * a), 6) + 0.0::DOUBLE AS drift FROM a JOIN b USING (model_id, label) JOIN c USING (label)"""
+)
+def drift_test_axes(spark, sf_dir):
+    rows, own = _vectors(spark, sf_dir)
+    tested = rows.withColumn("model_id", F.floor(F.col("t") / VECTOR_CHUNK) % 2)
+    return D.between(tested, own, ["model_id"], "label").select("model_id", "label", r6(F.col("drift")).alias("drift"))

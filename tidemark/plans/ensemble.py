@@ -11,13 +11,15 @@ from ..operators import prepare as P
 from .registry import query
 from .tables import CHUNK, POINTS_SQL, points, r6, read, stream
 
-MODELS_SQL = f"""{POINTS_SQL}, mo AS (SELECT t // 100 AS model_id, avg(x) AS m1, avg(y) AS m2, covar_samp(x, x) AS s11, covar_samp(x, y) AS s12, covar_samp(y, y) AS s22 FROM points WHERE t < 300 GROUP BY 1),
+MODELS_SQL = f"""{POINTS_SQL}, mo AS (SELECT t * 5 // (SELECT max(t) + 1 FROM points) AS model_id, avg(x) AS m1, avg(y) AS m2, covar_samp(x, x) AS s11, covar_samp(x, y) AS s12, covar_samp(y, y) AS s22 FROM points WHERE t * 5 < 3 * (SELECT max(t) + 1 FROM points) GROUP BY 1),
 dist AS (SELECT t, model_id, (s22 * (x - m1) * (x - m1) - 2 * s12 * (x - m1) * (y - m2) + s11 * (y - m2) * (y - m2)) / (s11 * s22 - s12 * s12) + ln(s11 * s22 - s12 * s12) AS a FROM points, mo)"""
 
 
 def models(spark, sf_dir):
-    """Three models, each of a hundred of the first points."""
-    return M.moments(points(spark, sf_dir).where("t < 300").withColumn("model_id", F.floor(F.col("t") / 100)), "model_id")
+    """Three models, each of a fifth of the points; the last two fifths have none."""
+    rows = P.with_stats(points(spark, sf_dir), (F.max("t") + 1).alias("n"))
+    fifth = F.floor(F.col("t") * 5 / F.col("n"))
+    return M.moments(rows.withColumn("model_id", fifth).where("model_id < 3"), "model_id")
 
 
 def found(spark, sf_dir):

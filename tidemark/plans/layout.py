@@ -35,10 +35,16 @@ def positions(spark, sf_dir):
     return points(spark, sf_dir).select("t", (F.col("x") * 10).alias("x"), (F.col("y") * 10).alias("y"))
 
 
-@query(f"SELECT vec_id AS i, round({math.log(5)!r}::DOUBLE, 3) AS entropy FROM embeddings")
+@query(
+    f"""WITH RECURSIVE {DIST_SQL}, near AS ({ranked(extra='WHERE i <> j', k=NEAR)}), l AS (SELECT i, list_transform(ds, lambda x: x - ds[1]) AS ds FROM (SELECT i, list(d ORDER BY d) AS ds FROM near GROUP BY i)),
+s AS (SELECT 0 AS k, i, ds, 1.0::DOUBLE AS beta, 0.0::DOUBLE AS low, NULL::DOUBLE AS high FROM l UNION ALL
+ SELECT k + 1, i, ds, CASE WHEN up IS NULL THEN beta * 2 ELSE (down + up) / 2 END, down, up FROM (SELECT *, CASE WHEN h > {math.log(5)!r} THEN beta ELSE low END AS down, CASE WHEN h > {math.log(5)!r} THEN high ELSE beta END AS up
+  FROM (SELECT *, ln(list_sum(list_transform(ds, lambda x: exp(-beta * x)))) + beta * list_sum(list_transform(ds, lambda x: x * exp(-beta * x))) / list_sum(list_transform(ds, lambda x: exp(-beta * x))) AS h FROM s) WHERE k < 100 AND abs(h - {math.log(5)!r}) > 1e-5))
+SELECT i, round(arg_max(beta, k), 4) AS beta FROM s GROUP BY i"""
+)
 def perplexity(spark, sf_dir):
-    """The entropy that the found bandwidths give: that of five neighbours."""
-    return L.bandwidths(near(spark, sf_dir), 5.0).select("i", F.round("entropy", 3).alias("entropy"))
+    """The bandwidths that give each row's neighbours the entropy of five equal ones."""
+    return L.bandwidths(near(spark, sf_dir), 5.0).select("i", F.round("beta", 4).alias("beta"))
 
 
 @query(f"WITH {P_SQL} SELECT i, j, round(p, 9) AS p FROM e")

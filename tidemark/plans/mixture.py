@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import gaussian as G
 from ..operators import mixture as M
 from ..operators import prepare as P
 from .registry import query
-from .tables import CHUNK, POINTS_SQL, points, r6, read, stream
+from .tables import CHUNK, POINTS_SQL, axes, points, r6, read, stream
 
 COMP_SQL = f"""{POINTS_SQL}, mo AS (SELECT label, count(*) AS n, avg(x) AS m1, avg(y) AS m2, covar_samp(x, x) AS s11, covar_samp(x, y) AS s12, covar_samp(y, y) AS s22 FROM points GROUP BY 1),
 comp AS (SELECT *, s11 * s22 - s12 * s12 AS det, ln(s11 * s22 - s12 * s12) AS log_det, ln(n / sum(n) OVER ()) AS log_weight FROM mo WHERE n >= 3),
@@ -22,24 +21,19 @@ def comps(spark, sf_dir):
 
 @query(f"WITH {COMP_SQL} SELECT label, n, round(m1, 6) + 0.0::DOUBLE AS m1, round(m2, 6) + 0.0::DOUBLE AS m2, round(s11, 6) AS s11, round(s12, 6) + 0.0::DOUBLE AS s12, round(s22, 6) AS s22, round(log_det, 6) AS log_det FROM comp")
 def mean_cov(spark, sf_dir):
-    return M.moments(points(spark, sf_dir)).select("label", "n", *[r6(F.col(c)).alias(c) for c in ("m1", "m2", "s11", "s12", "s22", "log_det")])
-
-
-def _own(spark, sf_dir, value):
-    """A score of each point by its own class's component."""
-    rows = M.with_components(points(spark, sf_dir), comps(spark, sf_dir))
-    own = F.filter("_c", lambda c: c["key"] == F.col("label"))[0]
-    return rows.select("t", own.alias("c"), "x", "y").select("t", r6(value(F.col("x"), F.col("y"), F.col("c"))).alias("value"))
+    found = M.moments(points(spark, sf_dir))
+    plane = {"m1": F.col("mu")[0], "m2": F.col("mu")[1], "s11": F.col("s")[0], "s12": F.col("s")[1], "s22": F.col("s")[3], "log_det": F.col("log_det")}
+    return found.select("label", "n", *[r6(c).alias(name) for name, c in plane.items()])
 
 
 @query(f"WITH {COMP_SQL} SELECT t, round(-(maha + log_det + 2 * ln(2 * pi())) / 2, 6) + 0.0::DOUBLE AS value FROM sc WHERE label = component")
 def gauss_logpdf(spark, sf_dir):
-    return _own(spark, sf_dir, G.log_density)
+    return M.own_scores(points(spark, sf_dir), comps(spark, sf_dir), value="log_density").select("t", r6(F.col("value")).alias("value"))
 
 
 @query(f"WITH {COMP_SQL} SELECT t, round(maha, 6) + 0.0::DOUBLE AS value FROM sc WHERE label = component")
 def mahalanobis(spark, sf_dir):
-    return _own(spark, sf_dir, G.mahalanobis)
+    return M.own_scores(points(spark, sf_dir), comps(spark, sf_dir), value="mahalanobis").select("t", r6(F.col("value")).alias("value"))
 
 
 @query(f"WITH {BEST_SQL} SELECT t, component, round(score, 6) + 0.0::DOUBLE AS score FROM best")
@@ -76,21 +70,19 @@ def component_idx(spark, sf_dir):
 @query(f"WITH {COMP_SQL} SELECT t, component, round(exp(z) / sum(exp(z)) OVER (PARTITION BY t), 6) AS p FROM (SELECT t, component, log_weight - (maha + log_det + 2 * ln(2 * pi())) / 2 AS z FROM sc)")
 def softmax(spark, sf_dir):
     """Each point's posterior of each component."""
-    rows = M.with_components(points(spark, sf_dir), comps(spark, sf_dir))
-    p = M.softmax(F.transform("_c", lambda c: c["log_weight"] + G.log_density(F.col("x"), F.col("y"), c)))
-    both = F.arrays_zip(F.col("_c.key").alias("component"), p.alias("p"))
-    return rows.select("t", F.inline(both)).select("t", "component", r6(F.col("p")).alias("p"))
+    found = M.all_scores(points(spark, sf_dir), comps(spark, sf_dir), value="posterior")
+    return found.select("t", F.col("label").alias("component"), r6(F.col("value")).alias("p"))
 
 
 @query(
-    f"WITH m AS (SELECT key, t FROM (SELECT event_id AS t FROM events) JOIN (SELECT event_id // 300 AS key, event_id AS t FROM events WHERE event_id < 600 UNION ALL SELECT 7, event_id FROM events WHERE event_id BETWEEN 450 AND 700) USING (t)), j AS (SELECT coalesce(key::VARCHAR, 'none') AS key FROM events LEFT JOIN m ON event_id = t WHERE event_id < 2 * {CHUNK}) SELECT key, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM j GROUP BY 1"
+    f"WITH m AS (SELECT key, t FROM (SELECT event_id AS t FROM events) JOIN (SELECT event_id // 300 AS key, event_id AS t FROM events WHERE event_id < 600 UNION ALL SELECT 7, event_id FROM events WHERE event_id BETWEEN 450 AND 700) USING (t)), j AS (SELECT coalesce(key::VARCHAR, 'none') AS key FROM events LEFT JOIN m ON event_id = t) SELECT key, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM j GROUP BY 1"
 )
 def gaussian_pct(spark, sf_dir):
-    """The first chunks' shares in three sets of rows, of which two overlap."""
+    """The rows' shares in three sets of rows, of which two overlap, and in none."""
     rows = stream(spark, sf_dir)
     t = F.col("t")
     sets = rows.where(t < 600).select(F.floor(t / 300).alias("key"), "t").union(rows.where(t.between(450, 700)).select(F.lit(7).cast("long"), "t"))
-    return M.shares(rows.where(t < 2 * CHUNK).select("t"), sets).select("key", r6(F.col("share")).alias("share"))
+    return M.shares(rows.select("t"), sets).select("key", r6(F.col("share")).alias("share"))
 
 
 HALVES_SQL = f"""{POINTS_SQL}, mo AS (SELECT label + CASE WHEN t % 2 = 0 THEN 0 ELSE 10 END AS label, count(*) AS n, avg(x) AS m1, avg(y) AS m2, covar_samp(x, x) AS s11, covar_samp(x, y) AS s12, covar_samp(y, y) AS s22 FROM points WHERE label < 5 GROUP BY 1),
@@ -161,3 +153,56 @@ def label_entropy(spark, sf_dir):
     counts = P.with_stats(points(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n")), F.sum("n").alias("all"))
     p = F.col("n") / F.col("all")
     return counts.agg(r6(F.sum(-p * F.log2(p)) + 1e-4).alias("entropy"))
+
+
+#: Axes of the queries over more than a plane.
+AXES = 8
+
+
+def _swept(d: int) -> str:
+    """Covariances, their log-determinants and inverses by class, in long form: one sweep of the matrix for each axis."""
+    parts = [
+        f"x AS (SELECT vec_id AS t, label, unnest(range(1, {d + 1})) AS i, unnest(embedding[1:{d}])::DOUBLE AS x FROM embeddings)",
+        "mu AS (SELECT label, i, avg(x) AS mu, count(*) AS n FROM x GROUP BY 1, 2)",
+        "z AS (SELECT x.t, x.label, x.i, x.x - mu.mu AS z FROM x JOIN mu ON x.label = mu.label AND x.i = mu.i WHERE n >= 3)",
+        "w0 AS (SELECT p.label, p.i, q.i AS j, sum(p.z * q.z) / (count(*) - 1) AS a, 0.0::DOUBLE AS ld FROM z p JOIN z q ON p.t = q.t GROUP BY 1, 2, 3)",
+    ]
+    for k in range(1, d + 1):
+        parts.append(
+            f"w{k} AS (SELECT label, i, j, CASE WHEN i = {k} AND j = {k} THEN -1 / p WHEN i = {k} OR j = {k} THEN a / p ELSE a - r * c / p END AS a, ld + ln(p) AS ld FROM (SELECT *, max(a) FILTER (WHERE i = {k} AND j = {k}) OVER (PARTITION BY label) AS p, max(a) FILTER (WHERE j = {k}) OVER (PARTITION BY label, i) AS r, max(a) FILTER (WHERE i = {k}) OVER (PARTITION BY label, j) AS c FROM w{k - 1}))"
+        )
+    return ", ".join(parts)
+
+
+AXES_SQL = f"""{_swept(AXES)},
+comp AS (SELECT label, n, ln(n / sum(n) OVER ()) AS log_weight FROM (SELECT DISTINCT label, n FROM mu WHERE n >= 3)),
+inv AS (SELECT label, i, j, -a AS a, ld FROM w{AXES}),
+far AS (SELECT x.t, x.label, mu.label AS component, x.i, x.x - mu.mu AS z FROM x JOIN mu ON x.i = mu.i),
+sc AS (SELECT p.t, p.label, p.component, sum(p.z * inv.a * q.z) AS maha, max(ld) AS log_det FROM far p JOIN far q ON p.t = q.t AND p.component = q.component JOIN inv ON inv.label = p.component AND inv.i = p.i AND inv.j = q.i GROUP BY 1, 2, 3)"""
+
+
+def _many(spark, sf_dir):
+    rows = axes(spark, sf_dir, AXES)
+    return rows, M.components(rows)
+
+
+@query(f"WITH {_swept(AXES)}, m AS (SELECT label, max(n) AS n, list(round(mu, 6) + 0.0::DOUBLE ORDER BY i) AS mu FROM mu GROUP BY 1), s AS (SELECT label, list(round(a, 6) + 0.0::DOUBLE ORDER BY i, j) AS s FROM w0 GROUP BY 1), l AS (SELECT label, max(ld) AS ld FROM w{AXES} GROUP BY 1) SELECT label, n, mu, s, round(ld, 6) + 0.0::DOUBLE AS log_det FROM m JOIN s USING (label) JOIN l USING (label)")
+def mean_cov_axes(spark, sf_dir):
+    """Moments on eight axes."""
+    found = M.moments(axes(spark, sf_dir, AXES))
+    return found.select("label", "n", F.transform("mu", r6).alias("mu"), F.transform("s", r6).alias("s"), r6(F.col("log_det")).alias("log_det"))
+
+
+@query(f"WITH {AXES_SQL} SELECT t, round(maha, 6) + 0.0::DOUBLE AS value FROM sc WHERE label = component")
+def mahalanobis_axes(spark, sf_dir):
+    return M.own_scores(*_many(spark, sf_dir), value="mahalanobis").select("t", r6(F.col("value")).alias("value"))
+
+
+@query(f"WITH {AXES_SQL} SELECT t, round(-(maha + log_det + {AXES} * ln(2 * pi())) / 2, 6) + 0.0::DOUBLE AS value FROM sc WHERE label = component")
+def gauss_logpdf_axes(spark, sf_dir):
+    return M.own_scores(*_many(spark, sf_dir), value="log_density").select("t", r6(F.col("value")).alias("value"))
+
+
+@query(f"WITH {AXES_SQL} SELECT t, component, round(score, 6) + 0.0::DOUBLE AS score FROM (SELECT t, component, maha + log_det - log_weight AS score, row_number() OVER (PARTITION BY t ORDER BY maha + log_det - log_weight, component) AS r FROM sc JOIN comp ON component = comp.label) WHERE r = 1")
+def gmm_assign_axes(spark, sf_dir):
+    return M.assign(*_many(spark, sf_dir)).select("t", "component", r6(F.col("score")).alias("score"))

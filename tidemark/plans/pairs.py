@@ -8,11 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import pairs as J
+from ..operators import prepare as P
 from .registry import query
 from .tables import points, r6, vectors
 
 DIST_SQL = """v AS (SELECT vec_id AS t, embedding::DOUBLE[] AS v, label FROM embeddings),
-dist AS (SELECT a.t AS i, b.t AS j, a.label AS li, b.label AS lj, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS d FROM v a, v b)"""
+dist AS MATERIALIZED (SELECT a.t AS i, b.t AS j, a.label AS li, b.label AS lj, list_distance(a.v, b.v) AS d FROM v a, v b)"""
 #: Neighbours in the graph, and how much distances within a class shrink.
 K, ALPHA = 15, 0.8
 
@@ -23,7 +24,7 @@ def sides(spark, sf_dir):
 
 
 def ranked(d: str = "d", extra: str = "", k: int = K) -> str:
-    return f"SELECT * FROM (SELECT i, j, {d} AS d, row_number() OVER (PARTITION BY i ORDER BY {d}, j) AS r FROM dist {extra}) WHERE r <= {k}"
+    return f"SELECT * FROM (SELECT i, j, li, lj, {d} AS d, row_number() OVER (PARTITION BY i ORDER BY {d}, j) AS r FROM dist {extra}) WHERE r <= {k}"
 
 
 @query(f"WITH {DIST_SQL} SELECT i, j, round(d, 6) AS d FROM dist")
@@ -44,7 +45,7 @@ def block_sums(spark, sf_dir):
                 out.append((li, lj, J.distance_block(np.stack(left["v"]), np.stack(right["v"])).sum(), len(left) * len(right)))
         return pd.DataFrame(out, columns=["li", "lj", "s", "n"])
 
-    parts = J.dealt(a, b, 4, "i", "j").applyInPandas(run, "li int, lj int, s double, n long")
+    parts = J.dealt(a, b, None, "i", "j").applyInPandas(run, "li int, lj int, s double, n long")
     return parts.groupBy("li", "lj").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
@@ -68,7 +69,7 @@ def knn_plain(spark, sf_dir):
     return J.nearest(*sides(spark, sf_dir), 5, itself=False).select("i", "j", r6(F.col("d")).alias("d"))
 
 
-@query(f"WITH {DIST_SQL} SELECT i, j, round(CASE WHEN li = lj THEN d * {ALPHA} ELSE d END, 6) AS d FROM ({ranked(extra='WHERE i <> j')}) JOIN (SELECT i, j, li, lj FROM dist) USING (i, j)")
+@query(f"WITH {DIST_SQL} SELECT i, j, round(CASE WHEN li = lj THEN d * {ALPHA} ELSE d END, 6) AS d FROM ({ranked(extra='WHERE i <> j')})")
 def knn_graph(spark, sf_dir):
     """Each vector's neighbours; within a class the distances shrink."""
     near = J.nearest(*sides(spark, sf_dir), K, itself=False)
@@ -84,11 +85,12 @@ def knn_anchor(spark, sf_dir):
     return J.nearest(a, b.where("j % 10 = 3"), 5, itself=False).select("i", "j", r6(F.col("d")).alias("d"))
 
 
-@query(f"WITH {DIST_SQL} SELECT i AS t, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM ({ranked(extra='WHERE i >= 400 AND j < 400', k=1)}) JOIN embeddings ON j = vec_id")
+@query(f"WITH {DIST_SQL} SELECT i AS t, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM ({ranked(extra='WHERE i * 5 >= 4 * (SELECT count(*) FROM v) AND j * 5 < 4 * (SELECT count(*) FROM v)', k=1)}) JOIN embeddings ON j = vec_id")
 def nn1_init(spark, sf_dir):
-    """New rows start where their nearest old row lies."""
+    """New rows, the last fifth, start where their nearest old row lies."""
     a, b = sides(spark, sf_dir)
-    near = J.nearest(a.where("i >= 400"), b.where("j < 400"), 1)
+    a, b = (P.with_stats(df, F.count(F.lit(1)).alias("n")) for df in (a, b))
+    near = J.nearest(a.where("i * 5 >= n * 4"), b.where("j * 5 < n * 4"), 1)
     return near.join(points(spark, sf_dir).select(F.col("t").alias("j"), "x", "y"), "j").select(F.col("i").alias("t"), "x", "y")
 
 

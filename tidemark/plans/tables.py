@@ -26,14 +26,20 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(t, x, y, label): points of the plane with a class."""
+    """(t, x, y, v, label): points of the plane with a class."""
     e = F.col("embedding")
-    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), e[0].cast("double").alias("x"), e[1].cast("double").alias("y"), "label")
+    x, y = e[0].cast("double"), e[1].cast("double")
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), x.alias("x"), y.alias("y"), F.array(x, y).alias("v"), "label")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(t, v, label): vectors of 64 doubles with a class."""
-    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.col("embedding").cast("array<double>").alias("v"), "label")
+    return axes(spark, sf_dir, 64)
+
+
+def axes(spark: SparkSession, sf_dir: str, d: int) -> DataFrame:
+    """(t, v, label): the first ``d`` axes of the vectors."""
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("t"), F.slice("embedding", 1, d).cast("array<double>").alias("v"), "label")
 
 
 def models_idx() -> Column:

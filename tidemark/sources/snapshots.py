@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .kept import shared_dir
+
 
 class Snapshots:
     """Tables under one folder, each snapshot under a name of its own making.
@@ -18,8 +19,7 @@ class Snapshots:
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
-        folder = folder or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        self.folder = f"{folder}/snapshots"
+        self.folder = f"{folder or shared_dir(spark)}/snapshots"
 
     def save(self, tables: Mapping[str, DataFrame]) -> str:
         name = uuid.uuid4().hex

@@ -53,7 +53,8 @@ def follow_mixture(stream: DataFrame, attributes: Sequence[str], initial: int, t
                 if len(waiting) == initial:
                     first = np.array([r for _, r in waiting])
                     follower = I.Follower(I.best_by_bic(first), first, trigger)
-                    out += [(n, int(np.argmin([I.score(r, c) for c in follower.comps])), False) for (n, _), r in zip(waiting, first, strict=True)]
+                    best = I.gaussians(follower.comps).score(first, True).argmin(axis=1)
+                    out += [(n, int(k), False) for (n, _), k in zip(waiting, best, strict=True)]
                     waiting = []
             else:
                 out.append((number, *follower.add(x)))
