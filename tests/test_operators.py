@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DATASETS, DataConfig
 from tidemark.operators import drift as D
+from tidemark.operators import ensemble as E
 from tidemark.operators import incremental as I
 from tidemark.operators import layout as L
 from tidemark.operators import mixture as M
+from tidemark.operators import models as C
 from tidemark.operators import ordered as O
 from tidemark.operators import pairs as J
 from tidemark.operators import prepare as P
@@ -273,6 +275,9 @@ def test_generated_streams_change_where_they_should(spark):
     assert len(x) == 2500 and abs(x.x1[:500].mean() + 2) < 0.2 and abs(x.x1[1000:1500].mean()) < 0.2 and abs(x.x2[1500:2000].mean() - 4) < 0.2
     late = x[2000:]
     assert ((late.x1**2 - late.x2 > 0) == late.y).all()
+    assert (late.y_2 == np.where(np.abs(late.x1) > 2, 2, late.y)).all() and np.allclose(late.y_val, np.sin(late.x1**2) + np.cos(late.x2**2))
+    early = x[:2000]
+    assert set(x.y_2) == {0, 1, 2} and 0.08 < (early.y_val - np.sin(early.x1**2) - np.cos(early.x2**2)).std() < 0.12
     assert [synthetic.case1(spark).count(), synthetic.case2(spark).count(), synthetic.case3(spark).count()] == [5600, 2500, 3000]
     assert synthetic.case3(spark).where("t = 1").first().timestamp == "2018-01-01 02:00:00"
 
@@ -306,6 +311,12 @@ def test_config_bounds_end_with_the_data():
     assert config.bounds(20) == [(0, 10), (10, 15), (15, 17), (17, 20)] and config.bounds(10) == [(0, 10)] and set(DATASETS) == {"synthetic", "weather", "paper"}
 
 
+def test_known_datasets_have_their_batches():
+    weather, paper = DATASETS["weather"], DATASETS["paper"]
+    assert [b - a for a, b in weather.bounds(3000)][:4] == [90, 15, 15, 23] and all(b - a == 1 for a, b in weather.mini_bounds(3000)[1])
+    assert [b - a for a, b in paper.bounds(10_000)] == [754, 835, 1110, 1542, 2257, 1428] and [b - a for a, b in paper.mini_bounds(10_000)[1]] == [207, 207, 204, 217]
+
+
 def test_replay_gives_batches_in_order_and_goes_on(spark, tmp_path):
     rows = spark.range(30).withColumnRenamed("id", "t").withColumn("x", F.col("t") * 1.0)
     got = []
@@ -330,6 +341,78 @@ def test_followed_stream_equals_the_batch_result(spark, tmp_path):
     assert [(r.component, r.uncertain) for r in late] == expected and spark.table("followed").count() == 120
 
 
+def test_fold_models_agree_with_plain_newton_and_learn_three_classes(spark):
+    x = np.concatenate([RNG.normal(m, 1, (60, 2)) for m in ((0, 0), (4, 0), (0, 4))])
+    label = np.repeat(["a", "b", "c"], 60)
+    rows = spark.createDataFrame([(t, v.tolist(), str(k)) for t, (v, k) in enumerate(zip(x, label, strict=True))], "t long, f array<double>, label string").repartition(3)
+    rows = rows.withColumn("train", C.fold_flags(F.col("t"), 4, 0.7)).cache()
+    made = C.fit(rows, ["a", "b", "c"])
+    flags = {r.t: list(r.train) for r in rows.collect()}
+    expected = {r.t: [r2.is_train for r2 in sorted(P.fold_flags(rows.where(F.col("t") == r.t), 4, 0.7).collect())] for r in rows.where("t < 3").collect()}
+    assert all(flags[t] == e for t, e in expected.items())
+    found = C.predict(rows, made, None, "train").collect()
+    assert {(r.t, r.fold) for r in found} == {(t, k) for t, own in flags.items() for k in range(4) if not own[k]}
+    best = {}
+    for r in found:
+        best[r.t, r.fold] = max(best.get((r.t, r.fold), (0.0, "")), (r.proba, r["class"]))
+    assert np.mean([best[k][1] == label[k[0]] for k in best]) > 0.93
+    # Fold 0 once more by gradient descent on the same objective.
+    own = np.array([flags[t][0] for t in range(180)])
+    xs, y = made.inputs(x[own]), np.searchsorted(["a", "b", "c"], label[own])
+    w = (len(y) / np.bincount(y) / 3)[y]
+    weights = np.zeros((3, 3))
+    for _ in range(20_000):
+        p = np.exp(xs @ weights.T)
+        p /= p.sum(axis=1, keepdims=True)
+        gap = p * w[:, None]
+        gap[np.arange(len(y)), y] -= w
+        weights -= 0.01 * (gap.T @ xs + np.array([1, 1, 1e-4]) * weights)
+    p = np.exp(xs @ weights.T)
+    assert made.probabilities(xs, 0) == pytest.approx(p / p.sum(axis=1, keepdims=True), abs=2e-3)
+    one = C.fit(rows.where("label = 'b'"), ["a", "b", "c"])
+    assert (one.probabilities(xs, 0) == [0, 1, 0]).all()
+    chosen = C.fit_by_validation(rows, ["a", "b", "c"])
+    assert len(chosen.seen) == 4 and np.mean(chosen.probabilities(xs, 0).argmax(axis=1) == y) > 0.93
+
+
+def test_radial_features_tell_a_ring_from_its_middle(spark):
+    angle, near = RNG.uniform(0, 2 * np.pi, 200), RNG.normal(0, 0.4, (200, 2))
+    x = np.concatenate([np.stack([3 * np.cos(angle), 3 * np.sin(angle)], axis=1), near])
+    rows = spark.createDataFrame([(t, v.tolist(), "ring" if t < 200 else "middle") for t, v in enumerate(x)], "t long, f array<double>, label string").withColumn("train", F.array(F.lit(True)))
+    made = C.fit(rows, ["middle", "ring"], gamma=0.5)
+    assert (made.probabilities(made.inputs(x), 0).argmax(axis=1) == np.repeat([1, 0], 200)).mean() > 0.98
+
+
+def test_proportions_and_best_class(spark):
+    sets = spark.createDataFrame([("a", [1, 2, 3, 4]), ("b", [5])], "class string, idx array<long>")
+    found = {r["class"]: r.proportion for r in E.proportions(sets, spark.createDataFrame([(1,), (2,), (2,)], "t long")).collect()}
+    assert found == {"a": 0.5, "b": 0.0}
+
+
+def test_cells_and_their_repulsion_come_near_the_exact_one(spark):
+    xy = RNG.normal(0, 3, (300, 2))
+    at = spark.createDataFrame([(t, float(a), float(b)) for t, (a, b) in enumerate(xy)], "t long, x double, y double")
+    found = L.cells(at, 3).collect()
+    assert all(sum(r.n for r in found if r.level == k) == 300 for k in range(4))
+    exact, near = ({r.i: np.array([r.q, r.fx, r.fy]) for r in df.collect()} for df in (L.repulsion(at), L.repulsion_by_cells(at, 8, 0.2)))
+    assert all(np.allclose(exact[t], near[t], rtol=0.02, atol=0.05) for t in exact)
+
+
+def test_continued_layout_holds_old_rows_and_places_new_ones(spark, monkeypatch):
+    monkeypatch.setattr(L, "ACTIVE", 60)
+    v = np.concatenate([RNG.normal(0, 0.3, (40, 4)), RNG.normal(5, 0.3, (40, 4)), RNG.normal(5, 0.3, (10, 4))])
+    points = spark.createDataFrame([(t, x.tolist(), int(x[0] > 2)) for t, x in enumerate(v)], "t long, v array<double>, label int").cache()
+    placed = L.fitted(points.where("t < 80").select("t", "v"), 10.0, 150).cache()
+    found = {r.t: (r.x, r.y) for r in L.continued(points, placed, 10.0, 100).collect()}
+    old = {r.t: (r.x, r.y) for r in placed.collect()}
+    assert sorted(found) == list(range(90)) and all(found[t] == old[t] for t in range(20))
+    middle = lambda ts: np.mean([found[t] for t in ts], axis=0)
+    assert np.linalg.norm(middle(range(80, 90)) - middle(range(40, 80))) < np.linalg.norm(middle(range(80, 90)) - middle(range(20, 40)))
+    axes = L.main_axes(spark.createDataFrame([(t, float(a), float(b), 0.0) for t, (a, b) in enumerate(v[:, :2])], "t long, x double, y double, `z,1` double"), ["x", "y", "z,1"]).orderBy("t").collect()
+    expected = L.principal(v[:, :2])
+    assert np.allclose([[r.x, r.y] for r in axes], expected)
+
+
 def test_session_end_to_end(spark, tmp_path):
     rows = synthetic.generate(spark, [synthetic.Part(60, [(1.0, (0, 0), [[1, 0], [0, 1]])]), synthetic.Part(60, [(1.0, (5, 5), [[1, 0], [0, 1]])])], lambda x, e: x[0] > x[1]).withColumnRenamed("y", "label_")
     config = DataConfig(("x1", "x2"), "label_", 60, (60, 60), window=20)
@@ -347,3 +430,43 @@ def test_session_end_to_end(spark, tmp_path):
     assert (other.at, other.used) == (1, {first})
     session.set_active({first: False})
     assert session.trained_idx().count() == 0
+
+
+def test_session_of_three_classes_with_lags_and_user_operations(spark):
+    x = np.concatenate([RNG.normal(m, 1, (80, 3)) for m in ((0, 0, 0), (6, 0, 0), (0, 6, 0))])
+    order = RNG.permutation(240)
+    made = [(t, *map(float, x[k]), f"c{k // 80}") for t, k in enumerate(order)]
+    rows = spark.createDataFrame(made, "t long, a double, b double, c double, label string")
+    config = DataConfig(("a", "b", "c"), "label", 150, ((1, 1, 1), (40, 20), 100), window=20, folds=5, gmm_threshold=20, test_size=60, z_scores=True, lags=1, names={"a": "first,axis"})
+    session = Session(spark, rows, config)
+    assert session.attributes == ["first,axis", "b", "c"] and len(session.all.first().f) == 6
+    whole = session.all.where("t < 150").select("t", "label")
+    number = session.add_model(whole.select("t"))
+    predicted = session.predict().groupBy("t").agg(F.max(F.struct("proba", "class"))["class"].alias("p")).join(session.rows.select("t", "label"), "t")
+    assert predicted.agg(F.avg((F.col("p") == F.col("label")).cast("double"))).first()[0] > 0.9 and predicted.select("p").distinct().count() == 3
+    assert session.adapt() and not session.adapt() and session.stored == [None, [number]]
+    other = session.add_model(session.all.where("t < 60").select("t"))
+    session.use_only([other])
+    assert session.adapt() and session.stored == [[number], [other]]
+    both = session.compared_squares().collect()
+    assert {r.which for r in both} == {"previous", "current"} and all(0 <= r.acc <= 1 for r in both)
+    accuracies, median, _ = session.evaluate()
+    assert accuracies.count() == 5 and median.count() == 1
+    while session.advance():
+        pass
+    assert session.arrived == 240 and sum(c.weight for c in session.parts.values()) > 200
+    idx = session.rows.where("t < 30").select("t")
+    major = session.merge_component(idx)
+    assert {r.label for r in session.labels().join(idx, "t").collect()} == {major} and set(session.limits) == set(session.parts)
+    key = session.regroup(session.rows.where("label = 'c1'").select("t"))
+    assert key in session.parts and session.labels().count() == 240
+    if len(session.parts) > 1:
+        gone = min(session.parts)
+        session.delete_component(gone)
+        assert gone not in session.parts and session.labels().where(F.col("label") == gone).count() == 0
+    drift = session.drift(sliding=False)
+    assert {r.attribute for r in drift.select("attribute").distinct().collect()} == {"first,axis", "b", "c", "all", "ED"}
+    assert session.series(["b"], origin=True).count() == 240
+    first = session.layout()
+    assert first.count() == 240 and session.layout(["b"]).count() == 240 and len(session.layout_trace().first().x) == 2 and session.trace == []
+    session.close()

@@ -35,15 +35,27 @@ def share_by_point(found: DataFrame, small: float = 1e-4) -> DataFrame:
     return with_stats(sums, F.sum("n").alias("_all")).select("model_id", (F.col("n") / F.col("_all")).alias("share"))
 
 
-def pool(predictions: DataFrame, found: DataFrame) -> DataFrame:
-    """(t, class, proba): predictions(t, model_id, class, proba) weighted by the softmax of exp(-a) over all models.
+def pool(predictions: DataFrame, found: DataFrame, by: tuple[str, ...] = ("t",)) -> DataFrame:
+    """(by, class, proba): predictions(by, model_id, class, proba) weighted by the softmax of exp(-a) over all models.
 
     A model without a prediction is left out, and the weights of the others stay.
     """
     p = F.exp(-F.col("a"))
     arrays = found.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("model_id", p.alias("p")))).alias("m"))
     weights = arrays.select("t", F.inline(F.arrays_zip(F.col("m.model_id").alias("model_id"), softmax(F.col("m.p")).alias("w"))))
-    return predictions.join(weights, ["t", "model_id"]).groupBy("t", "class").agg(F.sum(F.col("w") * F.col("proba")).alias("proba"))
+    return predictions.join(weights, ["t", "model_id"]).groupBy(*by, "class").agg(F.sum(F.col("w") * F.col("proba")).alias("proba"))
+
+
+def best_class(pooled: DataFrame, by: tuple[str, ...] = ("t",)) -> DataFrame:
+    """(by, pred, score): the class of most probability, of equal ones the last in order."""
+    return pooled.groupBy(*by).agg(F.max(F.struct("proba", "class")).alias("_b")).select(*by, F.col("_b")["class"].alias("pred"), F.col("_b")["proba"].alias("score"))
+
+
+def proportions(sets: DataFrame, idx: DataFrame) -> DataFrame:
+    """``sets(.., idx)`` with proportion, the share of each row's members that are in ``idx(t)``."""
+    keys = [c for c in sets.columns if c != "idx"]
+    members = sets.select(*keys, F.explode("idx").alias("t")).join(idx.select("t", F.lit(1).alias("_in")).distinct(), "t", "left")
+    return sets.join(members.groupBy(*keys).agg((F.count("_in") / F.count(F.lit(1))).alias("proportion")), keys)
 
 
 def confidence_bin(score: Column) -> Column:

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.kept import keep
-from .pairs import dealt
-from .prepare import with_stats
+from .mixture import moments
+from .pairs import dealt, nearest
+from .prepare import last_rows, with_stats
 
 
 def bandwidths(near: DataFrame, perplexity: float, steps: int = 100, close: float = 1e-5) -> DataFrame:
@@ -157,6 +158,175 @@ def fitted(points: DataFrame, perplexity: float = 30.0, rounds: int = 300) -> Da
     return points.select("t", "v", F.lit(1).alias("_all")).groupBy("_all").applyInPandas(run, "t long, x double, y double")
 
 
+#: Rows that still move when new ones come, and how many of the old ones hold the layout in place.
+ACTIVE, ANCHORS = 1500, 500
+#: The anchors' part in the forces.
+BLEND = 0.5
+
+
+def anchored(y: np.ndarray, at: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The gradient of points ``y`` against anchors ``at``: pulled by shares ``p`` (a row for each point), pushed by all, each by its weight."""
+    way = y[:, None] - at[None]
+    q = 1 / (1 + (way**2).sum(axis=2))
+    push = q * weight
+    return 4 * (((p - push / push.sum()) * q)[..., None] * way).sum(axis=1)
+
+
+def shares_of(d: np.ndarray, perplexity: float, rounds: int = 60) -> np.ndarray:
+    """Each row's shares of exp(-beta * d) over the columns, with the entropy of ``perplexity`` equal ones."""
+    low, high, beta = np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d))
+    target = math.log(min(perplexity, max((d.shape[1] - 1) / 3, 1.0)))
+    near = d - d.min(axis=1, keepdims=True)
+    for _ in range(rounds):
+        w = np.exp(-near * beta[:, None])
+        s = w.sum(axis=1)
+        h = np.log(s) + beta * (near * w).sum(axis=1) / s
+        low, high = np.where(h > target, beta, low), np.where(h > target, high, beta)
+        beta = np.where(np.isfinite(high), (low + high) / 2, beta * 2)
+    w = np.exp(-near * beta[:, None])
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def kernel_anchored(v: np.ndarray, start: np.ndarray, anchors: np.ndarray, at: np.ndarray, weight: np.ndarray, perplexity: float = 30.0, rounds: int = 500, blend: float = BLEND, stale: int = 100) -> np.ndarray:
+    """Positions of the rows of ``v`` from ``start``: their own forces and those of anchors, blended; ends after ``stale`` rounds without a better error."""
+    n = len(v)
+    d = ((v[:, None] - v[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, d.max() + 1e300 if n < 2 else np.inf)
+    d = np.where(np.isfinite(d), d, d[np.isfinite(d)].max(initial=1.0) * 1e6)
+    p = shares_of(d, perplexity)
+    p = np.maximum((p + p.T) / (2 * n), 1e-12)
+    pc = shares_of(((v[:, None] - anchors[None]) ** 2).sum(axis=2), perplexity) * weight
+    pc /= pc.sum()
+    y, step, gains = start.astype(float), np.zeros_like(start, dtype=float), np.ones_like(start, dtype=float)
+    best, best_error, since = y, np.inf, 0
+    for k in range(rounds):
+        way = y[:, None] - y[None]
+        q = 1 / (1 + (way**2).sum(axis=2))
+        np.fill_diagonal(q, 0)
+        total = max(q.sum(), 1e-300)
+        g = (1 - blend) * 4 * (((p - q / total) * q)[..., None] * way).sum(axis=1) + blend * anchored(y, at, pc, weight)
+        if k % 10 == 0:
+            error = float((p * np.log((p + 1e-12) / (q / total + 1e-12))).sum())
+            best, best_error, since = (y, error, 0) if error < best_error else (best, best_error, since + 10)
+            if since >= stale:
+                return best
+        gains = np.maximum(np.where(step * g < 0, gains + 0.2, gains * 0.8), 0.01)
+        step = (0.5 if k < 250 else 0.8) * step - max(n / 12.0, 50.0) * gains * g
+        y = np.floor((y + step) * 1e9) * 1e-9
+    return y
+
+
+def continued(points: DataFrame, placed: DataFrame, perplexity: float = 30.0, rounds: int = 500, blend: float = BLEND) -> DataFrame:
+    """(t, x, y) of points(t, v, label), of which placed(t, x, y) has the old ones.
+
+    New rows begin at their nearest old one among the last ACTIVE; these move with them, older ones stay. Sampled rows among
+    them (half, ANCHORS at most) and the labels' means are anchors; a mean weighs the root of its rows. A task gets the rows that move and
+    the anchors, not the whole layout.
+    """
+    old = points.join(placed.select("t", "x", "y"), "t")
+    active = last_rows(old, ACTIVE)
+    new = points.join(placed.select("t"), "t", "left_anti")
+    near = nearest(new.select(F.col("t").alias("i"), "v"), active.select(F.col("t").alias("j"), "v"), 1).select("i", "j")
+    begun = new.join(near, F.col("t") == F.col("i")).join(active.select(F.col("t").alias("j"), "x", "y"), "j").select("t", "v", "x", "y")
+    n = active.count()
+    sampled = active.orderBy(F.xxhash64(F.lit(42), "t"), "t").limit(min(n // 2, ANCHORS))
+    few = min(n // 2, ANCHORS)
+    one = (ANCHORS / (max(few, 1) / 2)) ** 0.13 if few < ANCHORS else 1.0
+    d = len(points.first()["v"])
+    mean = F.array(*[F.avg(F.col("v")[i]) for i in range(d)])
+    labels = old.groupBy("label").agg(mean.alias("v"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.sqrt(F.count(F.lit(1))).alias("w"))
+    held = sampled.select("v", "x", "y", F.lit(one).alias("w")).union(labels.select("v", "x", "y", "w"))
+    moving = active.select("t", "v", "x", "y", F.lit(None).cast("double").alias("w")).union(begun.select("t", "v", "x", "y", F.lit(None).cast("double")))
+    both = moving.union(held.select(F.lit(None).cast("long"), "v", "x", "y", "w"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        mine = rows["w"].isna().to_numpy()
+        own, anchors = rows[mine].sort_values("t"), rows[~mine]
+        y = kernel_anchored(np.stack(own["v"]), own[["x", "y"]].to_numpy(float), np.stack(anchors["v"]), anchors[["x", "y"]].to_numpy(float), anchors["w"].to_numpy(float), perplexity, rounds, blend)
+        return pd.DataFrame({"t": own["t"].astype("int64"), "x": y[:, 0], "y": y[:, 1]})
+
+    moved = both.groupBy(F.lit(1).alias("_all")).applyInPandas(run, "t long, x double, y double")
+    return placed.select("t", "x", "y").join(active.select("t"), "t", "left_anti").union(moved)
+
+
+def main_axes(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(t, x, y): rows on the two main axes of some columns, from one pass of sums over all rows; an axis's largest part is positive."""
+    v = F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
+    wide = rows.select("t", v.alias("v"))
+    found = moments(wide.select(F.lit(0).alias("label"), "v")).first()
+    d = len(columns)
+    axes = np.linalg.eigh(np.reshape(found["s"], (d, d)))[1][:, ::-1][:, :2]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(2)])
+    along = lambda k: sum((F.lit(float(axes[i, k])) * (F.col("v")[i] - float(found["mu"][i])) for i in range(d)), F.lit(0.0))
+    return wide.select("t", along(0).alias("x"), along(1).alias("y"))
+
+
+# What the repulsion of a far group of points comes to: sums by cells of grids of several sizes.
+
+
+def cells(at: DataFrame, levels: int) -> DataFrame:
+    """(level, gx, gy, n, x, y) of positions at(t, x, y): how many points each cell of each grid has, and their mean.
+
+    The bounding square is halved ``levels`` times, as a quad-tree's levels.
+    """
+    ends = at.agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("_side"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
+    wide = at.join(F.broadcast(ends)).select("x", "y", "_x0", "_y0", "_side", every)
+    cell = lambda c, low: F.least(F.floor((F.col(c) - F.col(low)) / F.col("_side") * F.pow(F.lit(2.0), "level")), F.pow(F.lit(2.0), "level") - 1).cast("long")
+    found = wide.groupBy("level", cell("x", "_x0").alias("gx"), cell("y", "_y0").alias("gy"))
+    return found.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
+def repulsion_by_cells(at: DataFrame, levels: int = 7, theta: float = 0.3, most_cells: int = 1 << 20) -> DataFrame:
+    """(i, q, fx, fy) as ``repulsion``, where a cell that is small as seen from a point (side over distance below ``theta``) counts as its points at their mean.
+
+    Cells of all levels go to the tasks, whose number is checked: there are 4 ** levels at most on the last one. What
+    is near and in one cell of the last level is summed by cells of that level, with the point's own share taken out.
+    """
+    found = cells(at, levels)
+    ends = at.agg(F.min("x"), F.min("y"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()
+    rows = found.collect() if sum(4**k for k in range(levels + 1)) <= most_cells or found.count() <= most_cells else None
+    if rows is None:
+        raise ValueError("too many cells for the tasks: fewer levels are needed")
+    side = float(ends[2]) or 1.0
+    grids: list[dict] = [{} for _ in range(levels + 1)]
+    for r in rows:
+        grids[r["level"]][(r["gx"], r["gy"])] = (float(r["n"]), r["x"], r["y"])
+    keys = [np.array(sorted(g), np.int64).reshape(-1, 2) for g in grids]
+    values = [np.array([g[tuple(k)] for k in ks.tolist()]).reshape(-1, 3) for g, ks in zip(grids, keys, strict=True)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            p = frame[["x", "y"]].to_numpy(float)
+            q, f = np.zeros(len(p)), np.zeros((len(p), 2))
+            near_p, near_c = np.repeat(np.arange(len(p)), len(keys[0])), np.tile(np.arange(len(keys[0])), len(p))
+            for level in range(levels + 1):
+                n, mean = values[level][near_c, 0], values[level][near_c, 1:]
+                way = p[near_p] - mean
+                far2 = (way**2).sum(axis=1)
+                done = (side / 2**level) ** 2 < theta**2 * far2
+                if level == levels:
+                    done[:] = True
+                    own = np.minimum(np.floor((p[near_p] - [float(ends[0]), float(ends[1])]) / side * 2**level), 2**level - 1).astype(np.int64)
+                    inside = (own == keys[level][near_c]).all(axis=1)
+                    rest = np.where(inside, n - 1, n)
+                    mean = np.where((inside & (n > 1))[:, None], (mean * n[:, None] - p[near_p]) / np.maximum(n - 1, 1)[:, None], mean)
+                    way, n = p[near_p] - mean, rest
+                    far2 = (way**2).sum(axis=1)
+                k = 1 / (1 + far2[done])
+                np.add.at(q, near_p[done], n[done] * k)
+                np.add.at(f, near_p[done], (n[done] * k * k)[:, None] * way[done])
+                if level < levels:
+                    open_p, open_k = near_p[~done], keys[level][near_c[~done]]
+                    place = {tuple(x): i for i, x in enumerate(keys[level + 1].tolist())}
+                    parts = [(open_p, np.array([place.get((2 * x + a, 2 * y + b), -1) for x, y in open_k.tolist()], np.int64)) for a in (0, 1) for b in (0, 1)]
+                    near_p = np.concatenate([x[c >= 0] for x, c in parts])
+                    near_c = np.concatenate([c[c >= 0] for _, c in parts])
+            yield pd.DataFrame({"i": frame["t"], "q": q, "fx": f[:, 0], "fy": f[:, 1]})
+
+    return at.select("t", "x", "y").mapInPandas(run, "i long, q double, fx double, fy double")
+
+
 def principal(v: np.ndarray) -> np.ndarray:
     """The two main axes' coordinates, each axis turned so that its largest part is positive."""
     centred = v - v.mean(axis=0)

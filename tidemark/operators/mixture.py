@@ -229,7 +229,7 @@ def _start(some: np.ndarray, k: int, ridge: float, seed: int = 42) -> Gaussians:
     return Gaussians(range(k), np.array(centres), np.array([spread] * k), np.full(k, -math.log(k)))
 
 
-def fit(points: DataFrame, starts: list[Gaussians], rounds: int = 60, tolerance: float = 1e-4, ridge: float = 1e-6) -> list[Fit]:
+def fit(points: DataFrame, starts: list[Gaussians], rounds: int = 40, tolerance: float = 1e-3, ridge: float = 1e-6) -> list[Fit]:
     """Mixtures of points(v) by expectation and maximisation from each of ``starts``, all in the same passes.
 
     A round is one job over all rows: each task sums posteriors, and rows and squares about the means by them. A fit ends

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,12 @@ def select_idx(df: DataFrame, idx: DataFrame, t: str = "t") -> DataFrame:
     return df.join(idx, t, "left_semi")
 
 
+def set_labels(old: DataFrame | None, idx: DataFrame, label: int) -> DataFrame:
+    """(t, label) with the rows of ``idx(t)`` set to a label, in place of what they had."""
+    new = idx.select("t", F.lit(label).alias("label"))
+    return new if old is None else old.join(idx.select("t"), "t", "left_anti").union(new)
+
+
 def permute(df: DataFrame, order: DataFrame, t: str = "t") -> DataFrame:
     """Rows at the positions of ``order(pos, t)``."""
     return order.join(df, t).drop(t).withColumnRenamed("pos", t)

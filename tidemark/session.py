@@ -1,33 +1,36 @@
 """A session over one dataset: what the service's routes do, as methods that give DataFrames.
 
-State is explicit: tables of rows, components and models, and a cursor along the batches. Two sessions share
-nothing. Rows are (t, attributes.., label); jobs start only where a result is used.
+State is explicit: tables of rows, the parts of a mixture (a few sums each), models, and a cursor along the batches.
+Two sessions share nothing. Rows are (t, attributes.., label, v, f): v all attributes, f the features of models.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import DataConfig
+from .functions.gaussian import Gaussians
 from .operators import drift as D
 from .operators import ensemble as E
 from .operators import incremental as I
 from .operators import layout as L
 from .operators import mixture as M
+from .operators import models as C
 from .operators import ordered as O
 from .operators import prepare as P
+from .sources.kept import drop, keep
 from .sources.snapshots import Snapshots
 
-#: Rows that the driver may take for the fit of a mixture.
-FIT_ROWS = 20_000
+#: Rows of one-row mini-batches that are taken in order on the driver at a time.
+IN_ORDER = 10_000
+#: The step of a user's move of a component, and the share and number of rows below which a component goes then.
+STEP, LEAST_SHARE, LEAST_ROWS = 3.0, 0.01, 10
 
 
 class Session:
@@ -35,45 +38,174 @@ class Session:
         """Open a dataset of t, the config's attributes and its label; rows beyond skip, cap and stride go."""
         self.spark, self.config = spark, config
         kept = P.skip_stride(rows, config.skip, config.stride, config.cap)
-        for name in config.attributes:
+        names = list(config.attributes)
+        for name in names:
             kept = O.forward_fill(kept, name, "_filled").drop(name).withColumnRenamed("_filled", name)
-        if config.mul != 1.0:
-            kept = kept.withColumns({c: F.col(c) * config.mul for c in config.attributes})
-        self.all = kept.select("t", *[F.col(c).cast("double").alias(c) for c in config.attributes], F.col(config.label).cast("string").alias("label")).persist()
+        kept = kept.select("t", *[(F.col(c).cast("double") * config.mul).alias(c) for c in names], F.col(config.label).cast("string").alias("label"))
+        if config.z_scores:
+            kept = P.z_scores(kept, names)
+        self.attributes = [config.names.get(c, c) for c in names]
+        kept = kept.withColumnsRenamed(dict(zip(names, self.attributes, strict=True)))
+        features = list(self.attributes)
+        for name in self.attributes if config.lags else ():
+            kept = O.lags(kept, name, list(range(1, config.lags + 1)))
+            features += [f"{name}_{k}" for k in range(1, config.lags + 1)]
+        # A row before the first has the values of the first.
+        f = F.array(*[F.coalesce(F.col(f"`{c}`"), F.col(f"`{c.rsplit('_', 1)[0]}`")) if c not in self.attributes else F.col(f"`{c}`") for c in features])
+        self.all = keep(kept.select("t", *[F.col(f"`{c}`") for c in self.attributes], "label", F.array(*[F.col(f"`{c}`") for c in self.attributes]).alias("v"), f.alias("f")), "session")
         self.n = self.all.count()
-        self.bounds = config.bounds(self.n)
+        self.minis = config.mini_bounds(self.n)
         self.at = 0
+        self.arrived = self.minis[0][-1][1]
         self.models: dict[int, dict] = {}
         self.used: set[int] = set()
+        #: The models in use before the last adaptation, and since.
+        self.stored: list[list[int] | None] = [None, None]
         self.window = config.window
-        self.components = self._fit()
+        self.forced: DataFrame | None = None
+        #: The last layout, and those since the trace was read.
+        self.placed: DataFrame | None = None
+        self.trace: list[DataFrame] = []
+        parts, placed = M.built(self.rows.select("t", "v"))
+        self._set_mixture(parts, placed.where("uncertain").select("t"))
+
+    def close(self) -> None:
+        """Delete the session's copy of its rows."""
+        drop(self.all)
 
     @property
     def rows(self) -> DataFrame:
         """Rows that have arrived."""
-        return self.all.where(F.col("t") < self.bounds[self.at][1])
+        return self.all.where(F.col("t") < self.arrived)
+
+    @property
+    def bounds(self) -> list[tuple[int, int]]:
+        return [(minis[0][0], minis[-1][1]) for minis in self.minis]
 
-    def _xy(self, rows: DataFrame) -> DataFrame:
-        """The plane of the mixture: the first two attributes, or the only one and its number."""
-        names = self.config.attributes
-        return rows.select("t", F.col(names[0]).alias("x"), (F.col(names[1]) if len(names) > 1 else F.lit(0.0)).alias("y"), "label")
+    def timestamps(self, start: str = "2000-01-01 00:00:00") -> DataFrame:
+        """(t, ts): hourly, for a dataset without times."""
+        return self.rows.select("t", P.hourly(F.col("t"), start).alias("ts"))
 
-    def _fit(self) -> DataFrame:
-        """Components (key, moments, log_weight) of the rows so far, of which a bounded number are fitted."""
-        some = self._xy(self.rows).orderBy(F.xxhash64("t")).limit(FIT_ROWS).toPandas()
-        comps = I.best_by_bic(some[["x", "y"]].to_numpy(float))
-        made = [(k, float(c["n"]), *map(float, c["mu"]), float(c["s"][0, 0]), float(c["s"][0, 1]), float(c["s"][1, 1]), c["log_det"], math.log(c["sp"] / c["n"])) for k, c in enumerate(comps)]
-        return self.spark.createDataFrame(made, "label int, n double, m1 double, m2 double, s11 double, s12 double, s22 double, log_det double, log_weight double")
+    # Mixture
 
-    # Stream
+    @property
+    def components(self) -> DataFrame:
+        """(label, n, mu, s, log_det, log_weight) of the mixture's parts."""
+        return M.frame(self.all, self._gaussians(), self.arrived)
+
+    def _gaussians(self) -> Gaussians:
+        keys = sorted(self.parts)
+        of = [self.parts[k] for k in keys]
+        return Gaussians(keys, np.array([c.mu for c in of]), np.array([c.s for c in of]), np.log([c.share for c in of]))
+
+    def _set_mixture(self, parts: Gaussians, uncertain: DataFrame, keys: Sequence[int] | None = None) -> None:
+        keys, n = list(parts.keys if keys is None else keys), self.arrived
+        self.parts = {k: I.Part.of(mu, s, float(np.exp(w)) * n, n) for k, mu, s, w in zip(keys, parts.mu, parts.s, parts.log_weight, strict=True)}
+        self.uncertain = [r["t"] for r in uncertain.collect()]
+        self._set_limits()
+
+    def _set_limits(self) -> None:
+        """Thresholds of each part from the scores of its own certain rows; a part without any has hardly any room."""
+        placed = M.assign(self.rows.where(~F.col("t").isin(self.uncertain)).select("t", "v"), self.components)
+        found = {r["component"]: (r["relax"], r["strict"]) for r in M.thresholds(placed, many=len(self.parts) > 5).collect()}
+        self.limits = {k: found.get(k, (1e-5, 1e-5)) for k in self.parts}
 
     def advance(self) -> bool:
-        """The next batch arrives; whether there was one. The last batch ends with the data."""
-        if self.at + 1 >= len(self.bounds):
+        """The next batch arrives, a mini-batch at a time; whether there was one. The last batch ends with the data."""
+        if self.at + 1 >= len(self.minis):
             return False
         self.at += 1
+        minis = self.minis[self.at]
+        k = 0
+        while k < len(minis):
+            a, b = minis[k]
+            k += 1
+            if b - a > 1:
+                self._take(a, b)
+                continue
+            while k < len(minis) and minis[k][1] - minis[k][0] == 1 and k < len(minis) and b - a < IN_ORDER:
+                b, k = minis[k][1], k + 1
+            self._take_in_order(a, b)
         return True
 
+    def _take(self, a: int, b: int) -> None:
+        """A mini-batch: its rows are scored by the parts as they were before it, and added to them together."""
+        g, limits = self._gaussians(), self.limits
+        relax, strict = (np.array([limits[k][i] for k in g.keys]) for i in (0, 1))
+        new = self.all.where((F.col("t") >= a) & (F.col("t") < b)).select("t", "v")
+
+        def run(batches):
+            weight, first, second, far = np.zeros(len(g.keys)), np.zeros_like(g.mu), np.zeros_like(g.s), []
+            for batch in batches:
+                x = M.matrix(batch)
+                scores = g.score(x, True)
+                best = scores.argmin(axis=1)
+                own = scores[np.arange(len(x)), best]
+                far += batch.column("t").to_numpy()[own >= relax[best]].tolist()
+                near = x[own < strict[best]]
+                p = g.posterior(near)
+                weight, first, second = weight + p.sum(axis=0), first + p.T @ near, second + np.einsum("nk,ni,nj->kij", p, near, near)
+            rows = [(k, [float(weight[k]), *first[k].tolist(), *second[k].ravel().tolist()], []) for k in range(len(g.keys))] + [(-1, [], far)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["k", "sums", "far"])
+
+        d, far = g.mu.shape[1], []
+        self.arrived = b
+        added = {k: np.zeros(1 + d + d * d) for k in range(len(g.keys))}
+        for r in new.mapInArrow(run, "k int, sums array<double>, far array<long>").collect():
+            if r["k"] < 0:
+                far += r["far"]
+            else:
+                added[r["k"]] += np.array(r["sums"])
+        for i, k in enumerate(g.keys):
+            old, sums = self.parts[k], added[i]
+            self.parts[k] = I.Part(old.weight + sums[0], old.first + sums[1 : 1 + d], old.second + sums[1 + d :].reshape(d, d), b)
+        self.uncertain += sorted(far)
+        self._grow()
+
+    def _take_in_order(self, a: int, b: int) -> None:
+        """Mini-batches of one row: each is scored by the parts that the ones before it changed, so they come one after another."""
+        for row in self.all.where((F.col("t") >= a) & (F.col("t") < b)).select("t", "v").orderBy("t").collect():
+            x, g = np.array([row["v"]]), self._gaussians()
+            self.arrived = row["t"] + 1
+            scores = g.score(x, True)[0]
+            k = int(scores.argmin())
+            relax, strict = self.limits[g.keys[k]]
+            if scores[k] < strict:
+                for key, p in zip(g.keys, g.posterior(x)[0], strict=True):
+                    self.parts[key] = I.updated(self.parts[key], x[0], float(p))
+            if scores[k] >= relax:
+                self.uncertain.append(row["t"])
+                self._grow()
+
+    def _grow(self) -> None:
+        """Where too many rows are uncertain, they get parts of their own, and all rows are fitted anew from all parts."""
+        n = self.arrived
+        if len(self.uncertain) <= max(self.config.gmm_threshold, n // 12):
+            return
+        u = len(self.uncertain)
+        points = self.rows.select("t", "v")
+        new, _ = M.built(points.where(F.col("t").isin(self.uncertain)), min(7, 1 + round(u / 50)))
+        if not new.keys:
+            return
+        old = self._gaussians()
+        after = max(old.keys) + 1
+        keys = [*old.keys, *(after + k for k in new.keys)]
+        both = Gaussians(keys, np.concatenate([old.mu, new.mu]), np.concatenate([old.s, new.s]), np.concatenate([old.log_weight + np.log(max(n - u, 1)), new.log_weight + np.log(u)]))
+        both.log_weight = both.log_weight - np.log(np.exp(both.log_weight).sum())
+        if len(keys) < 5:
+            placed = M.assign(points, M.frame(points, both, n), weighted=False).persist()
+            limit = placed.groupBy("component").agg(F.percentile("score", F.lit(0.99)).alias("_limit"))
+            far = placed.join(limit, "component").where("score > _limit").select("t")
+            counts = {r["component"]: r["count"] for r in placed.groupBy("component").count().collect()}
+            total = max(n - far.count(), 1)
+            both.log_weight = np.log([max(counts.get(k, 0), 1e-9) / total for k in keys])
+            self._set_mixture(both, far)
+            placed.unpersist()
+        else:
+            start = Gaussians(keys, both.mu, both.s, both.log_weight)
+            left, placed = M.built(points, start=start, n_keep=len(old.keys) + 4)
+            self._set_mixture(left, placed.where("uncertain").select("t"))
+
     def chunks(self) -> DataFrame:
         """(chunk_id, t): batches from 1 on."""
         when = F.lit(None).cast("int")
@@ -81,47 +213,113 @@ class Session:
             when = F.when((F.col("t") >= a) & (F.col("t") < b), k).otherwise(when)
         return self.rows.select(when.alias("chunk_id"), "t")
 
-    # Mixture
-
     def labels(self, mixture: bool = True) -> DataFrame:
-        """(t, label): components of the mixture, or classes."""
+        """(t, label): components of the mixture (those that a user set come first), or classes."""
         if not mixture:
             return self.rows.select("t", "label")
-        return M.assign(self._xy(self.rows), self.components).select("t", F.col("component").alias("label"))
+        found = M.assign(self.rows.select("t", "v"), self.components).select("t", F.col("component").alias("label"))
+        if self.forced is None:
+            return found
+        return found.join(self.forced.withColumnRenamed("label", "_set"), "t", "left").select("t", F.coalesce("_set", "label").alias("label"))
 
     def component_idx(self) -> DataFrame:
         return self.labels().groupBy("label").agg(F.array_sort(F.collect_list("t")).alias("idx"))
 
+    def _moved(self, key: int, rows: DataFrame, step: float) -> None:
+        """A part's mean moved by rows (order, v) one after another: each takes ``step`` of the part's weight."""
+        share = step / self.parts[key].weight
+        turn = F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("order"))) - 1
+        # After n moves the mean is (1 - a)^n of itself and a (1 - a)^(n - i) of each row.
+        weight = F.lit(share) * F.pow(F.lit(1 - share), turn)
+        placed = rows.withColumn("_key", F.lit(key)).withColumn("_w", weight)
+        d = len(self.parts[key].first)
+        sums = placed.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_w") * F.col("v")[i]).alias(f"s{i}") for i in range(d)]).first()
+        if sums["n"]:
+            c = self.parts[key]
+            mu = (1 - share) ** sums["n"] * c.mu + np.array([sums[f"s{i}"] for i in range(d)])
+            self.parts[key] = I.Part.of(mu, c.s, c.weight, c.rows)
+
     def merge_component(self, idx: DataFrame) -> int:
-        """Move the component that most selected rows are of towards the others of them; returns it."""
-        chosen = self.labels().join(idx.select("t"), "t", "left_semi")
+        """The selected rows become those of the component that most of them are of; returns it.
+
+        Its mean moves towards the others of them, theirs away. Components that are then small go, all rows are assigned anew,
+        and the selection stays where it was put.
+        """
+        idx = idx.select("t").distinct()
+        chosen = self.labels().join(idx, "t", "left_semi").join(self.rows.select("t", "v"), "t").persist()
         counts = chosen.groupBy("label").count().orderBy(F.desc("count"), "label").first()
         if counts is None:
             raise ValueError("no rows are selected")
-        others = self._xy(self.rows).join(chosen.where(F.col("label") != counts["label"]).select("t"), "t", "left_semi")
-        moved = others.agg(F.avg("x").alias("ox"), F.avg("y").alias("oy"), F.count(F.lit(1)).alias("on"))
-        here, share = F.col("label") == counts["label"], 3.0 * F.col("on") / (F.col("n") + 3.0 * F.col("on"))
-        shift = lambda m, o: F.when(here & (F.col("on") > 0), F.col(m) + (F.col(o) - F.col(m)) * share).otherwise(F.col(m)).alias(m)
-        self.components = self.components.join(F.broadcast(moved)).select("label", "n", shift("m1", "ox"), shift("m2", "oy"), "s11", "s12", "s22", "log_det", "log_weight")
-        return int(counts["label"])
+        major = int(counts["label"])
+        open_ = F.col("t").isin(self.uncertain)
+        self._moved(major, chosen.where(open_ | (F.col("label") != major)).select(F.col("t").alias("order"), "v"), STEP)
+        for r in chosen.where(~open_ & (F.col("label") != major)).select("label").distinct().collect():
+            self._moved(int(r["label"]), chosen.where(~open_ & (F.col("label") == r["label"])).select(F.col("t").alias("order"), "v"), -STEP)
+        inside = {r["t"] for r in chosen.where(open_).select("t").collect()}
+        self.uncertain = [t for t in self.uncertain if t not in inside]
+        chosen.unpersist()
+        self.forced = keep(P.set_labels(self.forced, idx, major), "forced")
+        sizes = {r["label"]: r["count"] for r in self.labels().groupBy("label").count().collect()}
+        total = sum(sizes.values())
+        for key in sorted(self.parts):
+            if (sizes.get(key, 0) < LEAST_ROWS or sizes.get(key, 0) / total < LEAST_SHARE) and key != major and len(self.parts) > 1:
+                self.delete_component(key)
+        self._set_limits()
+        return major
+
+    def delete_component(self, key: int) -> None:
+        """A part goes; its rows move the others by their posteriors, and are assigned to the nearest ones from then on."""
+        own = self.labels().where(F.col("label") == key).join(self.rows.select("t", "v"), "t").select(F.col("t").alias("order"), "v").persist()
+        del self.parts[key]
+        g = self._gaussians()
+        rows = own.orderBy("order").limit(IN_ORDER).collect()  # few: larger parts are not deleted by merges
+        for r in rows:
+            x = np.array([r["v"]])
+            for k, p in zip(g.keys, g.posterior(x)[0], strict=True):
+                self.parts[k] = I.shifted(self.parts[k], x[0], float(p))
+        own.unpersist()
+        if self.forced is not None:
+            self.forced = self.forced.where(F.col("label") != key)
+
+    def regroup(self, idx: DataFrame, most: float = 0.6) -> int:
+        """The selected rows as a component of their own, in place of those that they hold over ``most`` of; all rows are fitted anew from there."""
+        idx = idx.select("t").distinct()
+        counts = self.labels().join(idx.withColumn("_in", F.lit(1)), "t", "left").groupBy("label").agg(F.count("_in").alias("inside"), F.count(F.lit(1)).alias("n")).collect()
+        gone = [r["label"] for r in counts if r["inside"] > most * r["n"]]
+        inside, total = sum(r["inside"] for r in counts), sum(r["n"] for r in counts)
+        g = self._gaussians()
+        stay = [i for i, k in enumerate(g.keys) if k not in gone]
+        key = min(gone) if gone else max(g.keys) + 1
+        own = M.moments(P.select_idx(self.rows, idx).select(F.lit(0).alias("label"), "v")).first()
+        d = g.mu.shape[1]
+        s = np.reshape(own["s"], (d, d)) + 1e-6 * np.eye(d)
+        weights = np.append(np.exp(g.log_weight[stay]), inside / total)
+        start = Gaussians([*(g.keys[i] for i in stay), key], np.vstack([g.mu[stay], [own["mu"]]]), np.concatenate([g.s[stay], [s]]), np.log(weights / weights.sum()))
+        left, placed = M.built(self.rows.select("t", "v"), start=start)
+        self._set_mixture(left, placed.where("uncertain").select("t"))
+        return key
 
     # Models
 
+    def _train(self) -> Column:
+        return C.fold_flags(F.col("t"), self.config.folds, self.config.train_rate)
+
     def add_model(self, idx: DataFrame) -> int:
-        """Train on the selected rows; the same selection is the same model."""
-        own = self.all.join(idx.select("t"), "t", "left_semi")
-        stats = own.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("t")).alias("h"), F.collect_set("label").alias("classes")).first()
+        """Train a model of every fold on the selected rows; the same selection is the same model."""
+        own = self.all.join(idx.select("t").distinct(), "t", "left_semi").persist()
+        stats = own.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("t")).alias("h")).first()
         if not stats["n"]:
             raise ValueError("a model needs rows")
         number = (stats["h"] ^ stats["n"]) % 100_000_007
         if number not in self.models:
-            fitted, classes = None, sorted(stats["classes"])
-            if len(classes) == 2:
-                ready = self._features(own).withColumn("y", (F.col("label") == classes[1]).cast("double"))
-                fitted = LogisticRegression(labelCol="y", maxIter=50, regParam=1e-3).fit(ready)
-            moments = M.moments(self._xy(own).withColumn("all", F.lit(0)), "all").first()
-            self.models[number] = {"idx": idx.select("t"), "model": fitted, "classes": classes, "moments": moments, "n": stats["n"]}
+            classes = sorted(r["label"] for r in self.all.select("label").distinct().collect())
+            ready = own.select("t", "f", "label", self._train().alias("train"))
+            fit = C.fit_by_validation if self.config.by_validation else C.fit
+            made = fit(ready, classes, balanced=self.config.balanced, gamma=self.config.gamma if self.config.model == "radial" else None)
+            moments = M.moments(own.select(F.lit(0).alias("label"), F.col("f").alias("v"))).first()
+            self.models[number] = {"idx": idx.select("t"), "model": made, "moments": moments, "n": stats["n"]}
             self.used.add(number)
+        own.unpersist()
         return number
 
     def set_active(self, use: Mapping[int, bool]) -> None:
@@ -130,12 +328,20 @@ class Session:
                 raise KeyError(number)
             (self.used.add if on else self.used.discard)(number)
 
-    def _features(self, rows: DataFrame) -> DataFrame:
-        return VectorAssembler(inputCols=list(self.config.attributes), outputCol="features").transform(rows)
+    def use_only(self, numbers: Sequence[int]) -> None:
+        self.set_active({k: k in numbers for k in self.models})
+
+    def adapt(self) -> bool:
+        """From now on compare with the models in use now; whether they changed. Drift scores are always of the models in use."""
+        now = sorted(self.used)
+        if not now or now == self.stored[1]:
+            return False
+        self.stored = [self.stored[1], now]
+        return True
 
-    def trained_idx(self) -> DataFrame:
+    def trained_idx(self, of: Sequence[int] | None = None) -> DataFrame:
         """Rows that any used model was trained on, once each."""
-        sets = [self.models[m]["idx"] for m in sorted(self.used)]
+        sets = [self.models[m]["idx"] for m in (sorted(self.used) if of is None else of)]
         if not sets:
             return self.all.select("t").limit(0)
         found = sets[0]
@@ -147,32 +353,60 @@ class Session:
         made = [(k, k in self.used, m["n"]) for k, m in sorted(self.models.items())]
         return self.spark.createDataFrame(made, "model_id long, use boolean, n long")
 
-    def predict(self, rows: DataFrame | None = None) -> DataFrame:
-        """(t, class, proba): used models' predictions, pooled by how near each is to the row."""
-        rows = self.rows if rows is None else rows
-        comps = [(k, *[float(self.models[k]["moments"][c]) for c in ("m1", "m2", "s11", "s12", "s22")]) for k in sorted(self.used)]
-        found = E.distances(self._xy(rows), self.spark.createDataFrame(comps, "model_id long, m1 double, m2 double, s11 double, s12 double, s22 double"))
+    def _model_frame(self, of: Sequence[int]) -> DataFrame:
+        made = [(k, [*map(float, self.models[k]["moments"]["mu"])], [*map(float, self.models[k]["moments"]["s"])]) for k in of]
+        return self.spark.createDataFrame(made, "model_id long, mu array<double>, s array<double>")
+
+    def _distances(self, rows: DataFrame, of: Sequence[int]) -> DataFrame:
+        return E.distances(rows.select("t", F.col("f").alias("v")), self._model_frame(of))
+
+    def _predictions(self, rows: DataFrame, of: Sequence[int], fold: int | None, outside: str | None = None) -> DataFrame:
         parts = None
-        for k in sorted(self.used):
-            m = self.models[k]
-            if m["model"] is None:
-                one = rows.select("t", F.lit(k).cast("long").alias("model_id"), F.lit(m["classes"][0]).alias("class"), F.lit(1.0).alias("proba"))
-            else:
-                p = vector_to_array("probability")
-                both = F.array(*[F.struct(F.lit(c).alias("class"), p[i].alias("proba")) for i, c in enumerate(m["classes"])])
-                one = m["model"].transform(self._features(rows)).select("t", F.lit(k).cast("long").alias("model_id"), F.inline(both))
+        for k in of:
+            one = C.predict(rows, self.models[k]["model"], fold, outside).withColumn("model_id", F.lit(k).cast("long"))
             parts = one if parts is None else parts.union(one)
-        return E.pool(parts, found)
+        return parts
+
+    def predict(self, rows: DataFrame | None = None) -> DataFrame:
+        """(t, class, proba): used models' predictions of the first fold, pooled by how near each is to the row."""
+        rows, of = self.rows if rows is None else rows, sorted(self.used)
+        return E.pool(self._predictions(rows, of, 0), self._distances(rows, of))
 
     def _judged(self, rows: DataFrame | None = None) -> DataFrame:
-        best = self.predict(rows).groupBy("t").agg(F.max(F.struct("proba", "class")).alias("b")).select("t", F.col("b")["class"].alias("pred"), F.col("b")["proba"].alias("score"))
-        return best.join(self.all.select("t", F.col("label").alias("truth")), "t")
+        return E.best_class(self.predict(rows)).join(self.all.select("t", F.col("label").alias("truth")), "t")
+
+    def evaluate(self, idx: DataFrame | None = None, of: Sequence[int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """By folds: (fold, acc) on the rows each left out, the median fold's row, and its squares (class, bin, kind, other, n, idx).
+
+        ``idx``: the rows, by default the latest batch or ``test_size`` of them if it is smaller.
+        """
+        of = sorted(self.used) if of is None else list(of)
+        a, b = self.bounds[self.at]
+        rows = P.last_rows(self.rows, max(self.config.test_size, b - a)) if idx is None else P.select_idx(self.rows, idx.select("t").distinct())
+        ready = rows.select("t", "f", self._train().alias("train"))
+        pooled = E.pool(self._predictions(ready, of, None, "train"), self._distances(ready, of), ("t", "fold"))
+        judged = E.best_class(pooled, ("t", "fold")).join(rows.select("t", F.col("label").alias("truth")), "t").persist()
+        accuracies = judged.groupBy("fold").agg(F.avg((F.col("truth") == F.col("pred")).cast("double")).alias("acc"))
+        median = E.median_fold(accuracies)
+        return accuracies, median, E.squares(judged.join(F.broadcast(median.select("fold")), "fold").select("t", "truth", "pred", "score"))
 
     def squares(self, idx: DataFrame | None = None) -> DataFrame:
         """Right and wrong predictions by class and confidence."""
-        rows = self.rows if idx is None else self.rows.join(idx.select("t"), "t", "left_semi")
+        rows = self.rows if idx is None else P.select_idx(self.rows, idx.select("t").distinct())
         return E.squares(self._judged(rows))
 
+    def compared_squares(self, idx: DataFrame | None = None) -> DataFrame:
+        """(which, acc, ..squares) of the median folds of the models before the last adaptation (previous) and since (current)."""
+        found = None
+        for which, of in zip(("previous", "current"), self.stored, strict=True):
+            if of:
+                _, median, squares = self.evaluate(idx, of)
+                one = squares.join(F.broadcast(median.select("acc"))).select(F.lit(which).alias("which"), "acc", *squares.columns)
+                found = one if found is None else found.union(one)
+        if found is None:
+            raise ValueError("no models were adapted yet")
+        return found
+
     def accuracy(self, last: Sequence[int] = (30, 45, 60, 90)) -> DataFrame:
         """(last, acc): over the latest rows."""
         judged = self._judged(P.last_rows(self.rows, max(last)))
@@ -181,35 +415,48 @@ class Session:
 
     # Drift
 
-    def _labelled(self, attribute: str) -> DataFrame:
-        return self.rows.select("t", F.col(attribute).alias("x")).join(self.labels(), "t")
-
-    def drift(self, sliding: bool = True) -> DataFrame:
-        """(t or chunk_id, attribute, drift): of each attribute, and of the worst under ED."""
+    def drift(self, sliding: bool | None = None) -> DataFrame:
+        """(t or chunk_id, attribute, drift): of each attribute, and under ED the worst of these and of all attributes together."""
+        sliding = not self.config.drift_of_batches if sliding is None else sliding
         key, found = ("t" if sliding else "chunk_id"), None
-        for name in self.config.attributes:
-            rows = self._labelled(name).persist()  # looked at many times below
-            trained = rows.join(self.trained_idx(), "t", "left_semi").persist()
-            one = D.sliding(rows, trained, self.window, self.config.neighbours) if sliding else D.of_chunks(rows.join(self.chunks(), "t"), trained, self.config.neighbours)
-            one = one.withColumn("attribute", F.lit(name))
+        labels, trained_idx, chunks = self.labels().persist(), self.trained_idx().persist(), self.chunks()
+        for name in (*self.attributes, None):
+            value = F.col("v") if name is None else F.col(f"`{name}`").alias("x")
+            rows = self.rows.select("t", value).join(labels, "t")
+            trained = rows.join(trained_idx, "t", "left_semi")
+            one = D.sliding(rows, trained, self.window, self.config.neighbours) if sliding else D.of_chunks(rows.join(chunks, "t"), trained, self.config.neighbours)
+            one = one.withColumn("attribute", F.lit(name or "all"))
             found = one if found is None else found.union(one)
+        found = keep(found, "drift")
+        labels.unpersist()
+        trained_idx.unpersist()
         worst = found.groupBy(key).agg(F.max("drift").alias("drift")).withColumn("attribute", F.lit("ED"))
         return found.unionByName(worst).select(key, "attribute", "drift")
 
     def origin_series(self, attribute: str) -> DataFrame:
-        scaled = P.min_max(self.rows.select("t", attribute), attribute, "x")
+        scaled = P.min_max(self.rows.select("t", F.col(f"`{attribute}`").alias("y")), "y", "x")
         return O.moving_average(scaled, "x", "origin", self.config.arm, self.config.arm).select("t", "origin")
 
+    def series(self, attributes: Sequence[str], origin: bool = False) -> DataFrame:
+        """(t, key, value): the asked attributes' drift under <attribute>_ED, or their averages under <attribute>_Origin."""
+        if not origin:
+            return self.drift(True).where(F.col("attribute").isin(*attributes)).select("t", F.concat("attribute", F.lit("_ED")).alias("key"), F.col("drift").alias("value"))
+        found = None
+        for name in attributes:
+            one = self.origin_series(name).select("t", F.lit(f"{name}_Origin").alias("key"), F.col("origin").alias("value"))
+            found = one if found is None else found.union(one)
+        return found
+
     def set_window(self, window: int) -> None:
         self.window = max(self.config.least_window, min(self.config.most_window, window))
 
     # Views
 
     def chunk_table(self) -> DataFrame:
-        """(chunk_id, n, first, last, drift)."""
+        """(chunk_id, n, first, last, drift, latest)."""
         sizes = self.chunks().groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
         drift = self.drift(sliding=False).where("attribute = 'ED'").select("chunk_id", "drift") if self.used else sizes.select("chunk_id", F.lit(1.0).alias("drift"))
-        return sizes.join(drift, "chunk_id", "left")
+        return sizes.join(drift, "chunk_id", "left").withColumn("latest", F.col("chunk_id") == self.at + 1)
 
     def chunk_summary(self, idx: DataFrame) -> DataFrame:
         """(key, share): which components the selected rows are of."""
@@ -217,35 +464,60 @@ class Session:
         return M.shares(idx.select("t"), sets)
 
     def model_shares(self, idx: DataFrame) -> DataFrame:
-        comps = [(k, *[float(self.models[k]["moments"][c]) for c in ("m1", "m2", "s11", "s12", "s22")]) for k in sorted(self.used)]
-        models = self.spark.createDataFrame(comps, "model_id long, m1 double, m2 double, s11 double, s12 double, s22 double")
-        return E.share_by_nearest(E.distances(self._xy(P.select_idx(self.rows, idx.select("t"))), models), models)
+        of = sorted(self.used)
+        return E.share_by_nearest(self._distances(P.select_idx(self.rows, idx.select("t")), of), self._model_frame(of))
 
     def basic_stat(self, idx: DataFrame, positive: str) -> DataFrame:
         chosen = P.select_idx(self.rows, idx.select("t"))
-        return chosen.agg(F.sum((F.col("label") == positive).cast("long")).alias("y_true"), *[f(c).alias(f"{c}_{n}") for c in self.config.attributes for n, f in (("mu", F.avg), ("sd", F.stddev_pop))])
+        return chosen.agg(F.sum((F.col("label") == positive).cast("long")).alias("y_true"), *[f(F.col(f"`{c}`")).alias(f"{c}_{n}") for c in self.attributes for n, f in (("mu", F.avg), ("sd", F.stddev_pop))])
 
     def origin(self, idx: DataFrame) -> DataFrame:
         return P.select_idx(self.rows, idx.select("t"))
 
+    def selection(self, idx: DataFrame, positive: str) -> DataFrame:
+        """One row of a selection: its number, positives, and each attribute's mean, least and largest."""
+        parts = [f(F.col(f"`{c}`")).alias(f"{c}_{n}") for c in self.attributes for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
+        return self.origin(idx).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") == positive).cast("long")).alias("positive"), *parts)
+
     def layout(self, attributes: Sequence[str] | None = None) -> DataFrame:
-        """(t, x, y): the fitted layout of the rows; with ``attributes``, on the main axes of layout and attributes."""
-        names = list(self.config.attributes)
-        found = L.fitted(self.rows.select("t", F.array(*names).alias("v")))
+        """(t, x, y): the fitted layout of the rows; with ``attributes``, on the main axes of layout and attributes.
+
+        After the first layout, rows that are new since begin at their nearest old one and move against sampled old rows and
+        components' means; older rows than the last 1500 stay.
+        """
+        points = self.rows.select("t", "v").join(self.labels(), "t")
+        if self.placed is None:
+            found = L.fitted(points.select("t", "v"))
+        else:
+            found = L.continued(points, self.placed)
+        self.placed = keep(found, "layout")
+        self.trace.append(self.placed)
         if not attributes:
-            return found
-        joined = found.join(self.rows.select("t", *attributes), "t")
-
-        def turn(rows: pd.DataFrame) -> pd.DataFrame:
-            y = L.principal(rows[[*attributes, "x", "y"]].to_numpy(float))
-            return pd.DataFrame({"t": rows["t"], "x": y[:, 0], "y": y[:, 1]})
-
-        return joined.groupBy(F.lit(1)).applyInPandas(turn, "t long, x double, y double")
+            return self.placed
+        joined = self.placed.join(self.rows.select("t", *[F.col(f"`{c}`") for c in attributes]), "t")
+        return L.main_axes(joined, [*attributes, "x", "y"])
+
+    def layout_trace(self) -> DataFrame:
+        """(t, x, y): where each row lay, layout by layout, to four places; reading it clears it."""
+        steps, self.trace = self.trace, []
+        found = None
+        for k, step in enumerate(steps):
+            one = step.select("t", F.lit(k).alias("step"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+            found = one if found is None else found.union(one)
+        made = found.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("step", "x", "y"))).alias("s"))
+        return made.select("t", F.col("s.x").alias("x"), F.col("s.y").alias("y"))
 
     # History
 
     def save(self, snapshots: Snapshots) -> str:
-        tables = {"rows": self.all, "components": self.components, "cursor": self.spark.createDataFrame([(self.at, self.window)], "at int, window int")}
+        parts = [(k, float(c.weight), c.first.tolist(), c.second.ravel().tolist(), float(c.rows), *map(float, self.limits[k])) for k, c in sorted(self.parts.items())]
+        tables = {
+            "rows": self.all, "parts": self.spark.createDataFrame(parts, "k int, weight double, first array<double>, second array<double>, n double, relax double, strict double"),
+            "uncertain": self.spark.createDataFrame([(t,) for t in self.uncertain], "t long"),
+            "cursor": self.spark.createDataFrame([(self.at, self.window, self.arrived)], "at int, window int, arrived long"),
+        }
+        if self.forced is not None:
+            tables["forced"] = self.forced
         if self.models:
             idx = None
             for k, m in sorted(self.models.items()):
@@ -255,10 +527,18 @@ class Session:
         return snapshots.save(tables)
 
     def load(self, snapshots: Snapshots, name: str) -> None:
-        """Rows, components and cursor as saved; models are trained anew on their rows."""
+        """Rows, mixture and cursor as saved; models are trained anew on their rows."""
         tables = snapshots.load(name)
-        self.all, self.components = tables["rows"], tables["components"]
-        self.at, self.window = tables["cursor"].first()
+        drop(self.all)
+        self.all = keep(tables["rows"], "session")
+        self.parts, self.limits = {}, {}
+        for r in tables["parts"].collect():
+            d = len(r["first"])
+            self.parts[r["k"]] = I.Part(r["weight"], np.array(r["first"]), np.reshape(r["second"], (d, d)), r["n"])
+            self.limits[r["k"]] = (r["relax"], r["strict"])
+        self.uncertain = [r["t"] for r in tables["uncertain"].orderBy("t").collect()]
+        self.at, self.window, self.arrived = tables["cursor"].first()
+        self.forced = tables.get("forced")
         self.models, self.used = {}, set()
         if "models" in tables:
             for r in tables["models"].select("model_id", "use").distinct().orderBy("model_id").collect():

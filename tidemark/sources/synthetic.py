@@ -64,10 +64,15 @@ _I2, _I3 = [[1, 0], [0, 1]], [[1, 0, 0], [0, 1, 0], [0, 0, 1]]
 
 
 def synthetic(spark: SparkSession, seed: int = 42) -> DataFrame:
-    """2500 rows: one distribution, its change into a second by tenths, the second, a third, all three."""
+    """2500 rows with y, y_2 and y_val: one distribution, its change into a second by tenths, the second, a third, all three."""
     a, b, c = ((-2, 4), _I2), ((0, 0), _I2), ((2, 4), _I2)
     parts = [Part(500, [(1.0, *a)], 0.5), *[Part(100, [(s, *a), (1 - s, *b)], 0.5) for s in (0.9, 0.7, 0.5, 0.3, 0.1)], Part(500, [(1.0, *b)], 0.5), Part(500, [(1.0, *c)], 0.5), Part(500, [(1 / 3, *a), (1 / 3, *b), (1 / 3, *c)])]
-    return generate(spark, parts, lambda x, e: x[0] * x[0] - x[1] > e, seed)
+    made = generate(spark, parts, lambda x, e: F.struct((x[0] * x[0] - x[1] > e).alias("y"), e.alias("e")), seed)
+    x1, x2, y, e = F.col("x1"), F.col("x2"), F.col("y")["y"], F.col("y")["e"]
+    # A third class beyond both sides, and a value with noise on the rows that have a noisy border.
+    y_2 = F.when((x1 < e - 2) | (x1 > 2 - e), 2).otherwise(y.cast("int"))
+    noise = F.when(F.col("t") < 2000, F.randn(seed + 9) * 0.1).otherwise(0.0)
+    return made.select("t", "x1", "x2", y.alias("y"), y_2.alias("y_2"), (F.sin(x1 * x1) + F.cos(x2 * x2) + noise).alias("y_val"))
 
 
 def case1(spark: SparkSession, seed: int = 42) -> DataFrame:
