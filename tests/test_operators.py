@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import DATASETS, DataConfig
+from tidemark.functions import hypothesis as H
 from tidemark.operators import drift as D
 from tidemark.operators import ensemble as E
 from tidemark.operators import incremental as I
@@ -17,6 +18,7 @@ from tidemark.operators import ordered as O
 from tidemark.operators import pairs as J
 from tidemark.operators import prepare as P
 from tidemark.operators import views as V
+from tidemark.operators import windows as W
 from tidemark.session import Session
 from tidemark.sources import files, synthetic
 from tidemark.sources.snapshots import Snapshots
@@ -267,6 +269,36 @@ def test_follower_marks_what_is_far_and_grows():
     assert len(follower.comps) > before and len(follower.limits) == len(follower.comps)
 
 
+def test_tails_and_tests_have_known_values():
+    assert H.chi2_tail(3.841458820694124, 1) == pytest.approx(0.05) and H.chi2_tail(18.307038053275146, 10) == pytest.approx(0.05) and H.chi2_tail(0.5, 4) == pytest.approx(0.9735009788392561)
+    assert H.f_tail(4.964602743730711, 1, 10) == pytest.approx(0.05) and H.f_tail(0, 2, 5) == 1.0
+    u = np.linspace(2.0, 4000.0, 4_000_001)
+    density = u**0.5 / (1 + 3 * u / 20) ** 11.5
+    below = np.linspace(1e-9, 2.0, 400_001)
+    rest = below**0.5 / (1 + 3 * below / 20) ** 11.5
+    area = lambda y, x: ((y[1:] + y[:-1]) / 2 * np.diff(x)).sum()
+    assert H.f_tail(2.0, 3, 20) == pytest.approx(area(density, u) / (area(density, u) + area(rest, below)), rel=1e-4)
+    x = RNG.normal(0, 1, (400, 3))
+    mu, s = x.mean(axis=0), np.cov(x.T)
+    assert H.mean_test(400, mu, s, np.zeros(3))[1] > 0.001 and H.mean_test(400, mu, s, np.full(3, 0.5))[1] < 1e-6
+    assert H.covariance_test(400, s, np.eye(3))[1] > 1e-4 and H.covariance_test(400, s, 3 * np.eye(3))[1] < 1e-6
+
+
+def test_polygons_share_what_they_should(spark):
+    square, turned = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)], [(1.0, -1.0), (3.0, 1.0), (1.0, 3.0), (-1.0, 1.0)]
+    assert V.cut_area(square, turned) == pytest.approx(4.0) and V.cut_area(turned, square[::-1]) == pytest.approx(4.0) and V.cut_area(square, [(x + 5, y) for x, y in square]) == 0
+    assert V.cut_area(square, [(1.0, 1.0), (4.0, 1.0), (1.0, 4.0)]) == pytest.approx(1.0)
+    made = [(k, [{"x": x + 1.5 * k, "y": y} for x, y in square]) for k in range(4)]
+    df = spark.createDataFrame(made, "i long, corners array<struct<x:double,y:double>>")
+    assert sorted((r.i, r.j, round(r.area, 6)) for r in V.intersections(df, 0.7).collect()) == [(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0)]
+
+
+def test_mixtures_of_windows_cost_most_where_the_stream_changes(spark):
+    x = np.concatenate([RNG.normal(0, 1, (300, 2)), RNG.normal(8, 1, (300, 2))])
+    found = {r.start: r.drift for r in W.mixture_drift(spark.createDataFrame([(t, v.tolist()) for t, v in enumerate(x)], "t long, v array<double>"), 100, 50, 2).collect()}
+    assert sorted(found) == list(range(0, 501, 50)) and sorted(found, key=found.get)[-2:] in ([250, 300], [300, 250])
+
+
 # Sources, sinks, streams, sessions
 
 

@@ -91,20 +91,21 @@ def transport(cost: np.ndarray, supply: np.ndarray, demand: np.ndarray) -> float
     """The least cost of moving shares ``supply`` to shares ``demand``: successive shortest paths over a few nodes."""
     n, m = cost.shape
     flow, left, open_ = np.zeros((n, m)), supply / supply.sum(), demand / demand.sum()
-    while left.sum() > 1e-12:
+    small = 1e-9 * max(float(np.abs(cost).max()), 1e-9)  # of distances; of shares it is 1e-10
+    while left.max() > 1e-10 and open_.max() > 1e-10:
         # Bellman and Ford's distances from all sources with supply left; edges back where there is flow.
-        far_s, far_d = np.where(left > 1e-15, 0.0, np.inf), np.full(m, np.inf)
+        far_s, far_d = np.where(left > 1e-10, 0.0, np.inf), np.full(m, np.inf)
         from_s, from_d = np.full(n, -1), np.full(m, -1)
         for _ in range(n + m):
             ahead = far_s[:, None] + cost
-            better = ahead.min(axis=0) < far_d - 1e-15
+            better = ahead.min(axis=0) < far_d - small
             from_d[better], far_d[better] = ahead.argmin(axis=0)[better], ahead.min(axis=0)[better]
-            back = np.where(flow > 1e-15, far_d[None, :] - cost, np.inf)
-            turn = back.min(axis=1) < far_s - 1e-15
+            back = np.where(flow > 1e-10, far_d[None, :] - cost, np.inf)
+            turn = back.min(axis=1) < far_s - small
             from_s[turn], far_s[turn] = back.argmin(axis=1)[turn], back.min(axis=1)[turn]
             if not better.any() and not turn.any():
                 break
-        end = int(np.where(open_ > 1e-15, far_d, np.inf).argmin())
+        end = int(np.where(open_ > 1e-10, far_d, np.inf).argmin())
         path, node, amount = [], end, open_[end]
         while True:
             source = int(from_d[node])

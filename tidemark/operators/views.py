@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +70,63 @@ def polygon_area(corners: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(corners) - 2), F.lit(0.0), lambda total, i: total + triangle(i))
 
 
+def sampled(rows: DataFrame, n: int, seed: int = 42, t: str = "t") -> DataFrame:
+    """``n`` rows by the order of a hash of their numbers: the points of a haze."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(t).cast("string"), F.lit(str(seed))).cast("binary")), t).limit(n)
+
+
+def kernel_density(points: DataFrame, size: float, bandwidth: float, reach: int) -> DataFrame:
+    """(gx, gy, density): Gaussian kernels of the points at the middles of square cells, ``reach`` cells around each point's own.
+
+    A point is copied to the cells that it reaches and summed there; no join.
+    """
+    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-reach, reach + 1) for dy in range(-reach, reach + 1)])
+    own = lambda c: F.floor(F.col(c) / size).cast("int")
+    spread = points.select("cx", "cy", own("cx").alias("_x"), own("cy").alias("_y"), F.inline(around))
+    spread = spread.select("cx", "cy", (F.col("_x") + F.col("dx")).alias("gx"), (F.col("_y") + F.col("dy")).alias("gy"))
+    away = lambda c, g: F.pow(F.col(c) - (F.col(g) + 0.5) * size, 2)
+    kernel = F.exp(-(away("cx", "gx") + away("cy", "gy")) / (2 * bandwidth * bandwidth)) / (2 * math.pi * bandwidth * bandwidth)
+    return spread.groupBy("gx", "gy").agg(F.sum(kernel).alias("density"))
+
+
+def intersections(polygons: DataFrame, size: float) -> DataFrame:
+    """(i, j, area) of the pairs of convex polygons (i, corners) that share some, with corners (x, y) in turn.
+
+    Polygons meet by the square cells of ``size`` that their bounding boxes reach, in the first one that two share, so only
+    near ones are compared; one is cut by the other's edges.
+    """
+    low, high = (lambda c, f=f: f(F.transform("corners", lambda p: p[c])) for f in (F.array_min, F.array_max))
+    cells = lambda c: F.sequence(F.floor(low(c) / size), F.floor(high(c) / size))
+    wide = polygons.select("i", "corners", low("x").alias("x0"), low("y").alias("y0"), F.explode(cells("x")).alias("gx"), cells("y").alias("_y")).select("i", "corners", "x0", "y0", "gx", F.explode("_y").alias("gy"))
+    other = wide.toDF("j", "corners2", "x02", "y02", "gx2", "gy2")
+    met = wide.join(other, (F.col("gx") == F.col("gx2")) & (F.col("gy") == F.col("gy2")) & (F.col("i") < F.col("j")))
+    first = (F.col("gx") == F.floor(F.greatest("x0", "x02") / size)) & (F.col("gy") == F.floor(F.greatest("y0", "y02") / size))
+
+    @F.pandas_udf("double")
+    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([cut_area([(p["x"], p["y"]) for p in x], [(p["x"], p["y"]) for p in y]) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    return met.where(first).select("i", "j", shared("corners", "corners2").alias("area")).where("area > 0")
+
+
+def cut_area(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> float:
+    """The area that two convex polygons share: ``a`` is cut along each edge of ``b``."""
+    turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    double = lambda c: sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(c, [*c[1:], *c[:1]], strict=True))
+    sign = 1.0 if double(b) >= 0 else -1.0
+    left = list(a)
+    for p, q in zip(b, [*b[1:], b[0]], strict=True):
+        corners, left = left, []
+        for r, s in zip(corners, [*corners[1:], *corners[:1]], strict=True):
+            here, there = sign * turn(p, q, r), sign * turn(p, q, s)
+            if here >= 0:
+                left.append(r)
+            if here * there < 0:
+                share = here / (here - there)
+                left.append((r[0] + (s[0] - r[0]) * share, r[1] + (s[1] - r[1]) * share))
+    return abs(double(left)) / 2
+
+
 def enter_exit(old: DataFrame, new: DataFrame) -> DataFrame:
     """(t, state) of two keyed sets: enter, update or exit."""
     both = old.select("t", F.lit(True).alias("_old")).join(new.select("t", F.lit(True).alias("_new")), "t", "full")

@@ -162,3 +162,11 @@ def chunk_table(spark, sf_dir):
 def chunk_json(spark, sf_dir):
     rows = stream(spark, sf_dir).groupBy(F.floor(F.col("t") / CHUNK).alias("chunk_id")).agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("label"))
     return rows.select("chunk_id", F.to_json(F.struct("chunk_id", "n", "label")).alias("json"))
+
+
+@query(f"WITH {SQUARES_SQL} SELECT class, bin, kind, other, round(len(list_filter(idx, lambda t: t % 3 = 0)) / len(idx), 6) AS proportion FROM sq")
+def square_proportions(spark, sf_dir):
+    """How much of each square's rows are among some others (every third)."""
+    rows = judged(spark, sf_dir)
+    found = E.proportions(E.squares(rows), rows.where("t % 3 = 0").select("t"))
+    return found.select("class", "bin", "kind", "other", r6(F.col("proportion")).alias("proportion"))

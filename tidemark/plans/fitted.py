@@ -9,11 +9,16 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ..operators import ensemble as E
 from ..operators import incremental as I
+from ..operators import mixture as M
+from ..operators import models as C
 from ..operators import prepare as P
+from ..operators import windows as W
 from ..sources import synthetic as G
+from ..sources.kept import keep
 from .registry import query
-from .tables import TRAINED, models_idx, points, read, vectors
+from .tables import CHUNK, TRAINED, axes, models_idx, points, read, vectors
 
 
 @query()
@@ -84,6 +89,31 @@ def fit_ensemble(spark, sf_dir):
     return found
 
 
+@query()
+def fold_models(spark, sf_dir):
+    """(fold, acc): twenty folds' models of the classes of vectors on eight axes, all fitted in the same passes and judged on what each left out."""
+    rows = axes(spark, sf_dir, 8).select("t", F.col("v").alias("f"), F.col("label").cast("string").alias("label"), C.fold_flags(F.col("t"), 20, 0.7).alias("train"))
+    rows = keep(rows, "folds")
+    made = C.fit(rows, sorted(r["label"] for r in rows.select("label").distinct().collect()))
+    judged = E.best_class(C.predict(rows, made, None, "train"), ("t", "fold")).join(rows.select("t", F.col("label").alias("truth")), "t")
+    return judged.groupBy("fold").agg(F.avg((F.col("truth") == F.col("pred")).cast("double")).alias("acc"))
+
+
+@query()
+def gmm_all_rows(spark, sf_dir):
+    """(label, n, mu, log_weight): the mixture of all points that the information criterion asks for, up to four components."""
+    rows = keep(points(spark, sf_dir).select("t", "v"), "points")
+    best = M.best_by_bic(rows, 4)
+    return M.frame(rows, best.parts, best.n).select("label", "n", "mu", "log_weight")
+
+
+@query()
+def gmm_drift(spark, sf_dir):
+    """(start, parts, drift): mixtures of windows of half a chunk's length, and the least cost of turning each into the next."""
+    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("t"), F.array("value", F.hour("ts").cast("double")).alias("v"))
+    return W.mixture_drift(rows, CHUNK, CHUNK // 2)
+
+
 @query()
 def pca_layout(spark, sf_dir):
     """(t, x, y): the vectors on their two main axes, from one pass of sums over all rows."""

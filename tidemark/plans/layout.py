@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import layout as L
 from ..operators import pairs as J
+from ..operators import prepare as P
+from ..sources.kept import keep
 from .pairs import DIST_SQL, ranked, sides
 from .registry import query
 from .tables import POINTS_SQL, points, r6, vectors
@@ -111,3 +113,25 @@ def kmeans_local(spark, sf_dir):
 def tsne_layout(spark, sf_dir):
     """The fitted layout of the points."""
     return L.fitted(vectors(spark, sf_dir), rounds=100)
+
+
+@query(
+    "WITH pos AS (SELECT embedding[1]::DOUBLE * 10 AS x, embedding[2]::DOUBLE * 10 AS y FROM embeddings), e AS (SELECT min(x) AS x0, min(y) AS y0, greatest(max(x) - min(x), max(y) - min(y)) AS side FROM pos), c AS (SELECT level::INT AS level, least(floor((x - x0) / side * pow(2.0, level)), pow(2.0, level) - 1)::BIGINT AS gx, least(floor((y - y0) / side * pow(2.0, level)), pow(2.0, level) - 1)::BIGINT AS gy, x, y FROM pos, e, range(6) AS l(level)) SELECT level, gx, gy, count(*) AS n, round(avg(x), 6) + 0.0::DOUBLE AS x, round(avg(y), 6) + 0.0::DOUBLE AS y FROM c GROUP BY 1, 2, 3"
+)
+def cell_sums(spark, sf_dir):
+    """Points and their means by the cells of a quad-tree's levels."""
+    return L.cells(positions(spark, sf_dir), 5).select("level", "gx", "gy", "n", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+
+
+@query("WITH p AS (SELECT vec_id AS t, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings) SELECT t, round((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 6) + 0.0::DOUBLE AS x, round((y - avg(y) OVER ()) / stddev_pop(y) OVER (), 6) + 0.0::DOUBLE AS y FROM p")
+def layout_scaled(spark, sf_dir):
+    """Positions scaled to a mean of 0 and a deviation of 1."""
+    return P.z_scores(points(spark, sf_dir).select("t", "x", "y"), ["x", "y"]).select("t", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+
+
+@query()
+def layout_steps(spark, sf_dir):
+    """(t, x, y): a layout of the first four fifths, and where all lie once the others have come."""
+    rows = P.with_stats(vectors(spark, sf_dir), F.count(F.lit(1)).alias("n"))
+    first = keep(L.fitted(rows.where("t * 5 < n * 4").select("t", "v"), rounds=50), "layout")
+    return L.continued(rows.select("t", "v", "label"), first, rounds=50)

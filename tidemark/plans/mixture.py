@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import hypothesis as H
+from ..operators import incremental as I
 from ..operators import mixture as M
 from ..operators import prepare as P
 from .registry import query
@@ -206,3 +209,53 @@ def gauss_logpdf_axes(spark, sf_dir):
 @query(f"WITH {AXES_SQL} SELECT t, component, round(score, 6) + 0.0::DOUBLE AS score FROM (SELECT t, component, maha + log_det - log_weight AS score, row_number() OVER (PARTITION BY t ORDER BY maha + log_det - log_weight, component) AS r FROM sc JOIN comp ON component = comp.label) WHERE r = 1")
 def gmm_assign_axes(spark, sf_dir):
     return M.assign(*_many(spark, sf_dir)).select("t", "component", r6(F.col("score")).alias("score"))
+
+
+# Distances of components, and of components and models, on the plane.
+
+GAUSS_SQL = f"{POINTS_SQL}, g AS (SELECT label, count(*) AS n, avg(x) AS m1, avg(y) AS m2, covar_samp(x, x) AS a, covar_samp(x, y) AS b, covar_samp(y, y) AS c FROM points GROUP BY 1)"
+
+
+def _parts(spark, sf_dir):
+    rows = M.moments(points(spark, sf_dir)).orderBy("label").collect()
+    total = sum(r["n"] for r in rows)
+    return [(r["label"], I.Part.of(np.array(r["mu"]), np.reshape(r["s"], (2, 2)), r["n"], total)) for r in rows]
+
+
+@query(
+    f"""WITH {GAUSS_SQL}, k AS (SELECT p.label AS i, q.label AS j, ((q.c * p.a - 2 * q.b * p.b + q.a * p.c) + q.c * (q.m1 - p.m1) ** 2 - 2 * q.b * (q.m1 - p.m1) * (q.m2 - p.m2) + q.a * (q.m2 - p.m2) ** 2) / (q.a * q.c - q.b * q.b) AS t, ln((q.a * q.c - q.b * q.b) / (p.a * p.c - p.b * p.b)) AS l FROM g p, g q),
+d AS (SELECT i, j, (t - 2 + l) / 2 AS kl FROM k) SELECT a.i, a.j, round(a.kl, 6) + 0.0::DOUBLE AS kl, round((a.kl + b.kl) / 2, 6) + 0.0::DOUBLE AS symmetric FROM d a JOIN d b ON a.i = b.j AND a.j = b.i WHERE a.i < a.j"""
+)
+def gaussian_kl(spark, sf_dir):
+    """Of each pair of the classes' components, which are few."""
+    parts = _parts(spark, sf_dir)
+    made = [(i, j, round(I.kl(a, b), 6) + 0.0, round(I.symmetric_kl(a, b), 6) + 0.0) for i, a in parts for j, b in parts if i < j]
+    return spark.createDataFrame(made, "i int, j int, kl double, symmetric double")
+
+
+@query(
+    f"""WITH {GAUSS_SQL}, m AS (SELECT t * 5 // (SELECT max(t) + 1 FROM points) AS model, avg(x) AS m1, avg(y) AS m2, covar_samp(x, x) AS a, covar_samp(x, y) AS b, covar_samp(y, y) AS c FROM points WHERE t * 5 < 3 * (SELECT max(t) + 1 FROM points) GROUP BY 1),
+d AS (SELECT label, g.n, model, sqrt((g.m1 - m.m1) ** 2 + (g.m2 - m.m2) ** 2) + g.a + g.c + m.a + m.c - 2 * sqrt(g.a * m.a + 2 * g.b * m.b + g.c * m.c + 2 * sqrt((g.a * g.c - g.b * g.b) * (m.a * m.c - m.b * m.b))) AS d FROM g, m)
+SELECT label, model, round(d, 6) + 0.0::DOUBLE AS distance FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, model) AS r FROM d) WHERE r = 1"""
+)
+def component_model(spark, sf_dir):
+    """The model nearest to each component, by the distance of means and covariances."""
+    rows = P.with_stats(points(spark, sf_dir), (F.max("t") + 1).alias("n")).withColumn("model", F.floor(F.col("t") * 5 / F.col("n"))).where("model < 3")
+    models = [(r["model"], I.Part.of(np.array(r["mu"]), np.reshape(r["s"], (2, 2)), r["n"], 1)) for r in M.moments(rows, "model").orderBy("model").collect()]
+    made = [(label, *min(((round(I.mean_distance(c, m), 6) + 0.0, k) for k, m in models))[::-1]) for label, c in _parts(spark, sf_dir)]
+    return spark.createDataFrame(made, "label int, model long, distance double")
+
+
+@query(
+    f"""WITH {GAUSS_SQL}, w AS (SELECT avg(x) AS m1, avg(y) AS m2, covar_samp(x, x) AS a, covar_samp(x, y) AS b, covar_samp(y, y) AS c FROM points),
+t AS (SELECT label, g.n * (g.c * (g.m1 - w.m1) ** 2 - 2 * g.b * (g.m1 - w.m1) * (g.m2 - w.m2) + g.a * (g.m2 - w.m2) ** 2) / (g.a * g.c - g.b * g.b) AS t2,
+ (w.c * g.a - 2 * w.b * g.b + w.a * g.c) / (w.a * w.c - w.b * w.b) AS tr, (g.a * g.c - g.b * g.b) / (w.a * w.c - w.b * w.b) AS det, g.n AS n FROM g, w)
+SELECT label, round(t2, 6) AS t2, round((tr * tr - 2 * det - 2 * tr + 2) / 2 - tr * tr / n / 2 + 2.0 / n, 6) + 0.0::DOUBLE AS w FROM t"""
+)
+def class_tests(spark, sf_dir):
+    """Whether each class has the mean and the covariance of all points: the statistics, with p-values in ``functions.hypothesis``."""
+    rows = points(spark, sf_dir)
+    whole = M.moments(rows.withColumn("all", F.lit(0)), "all").first()
+    mu, s = np.array(whole["mu"]), np.reshape(whole["s"], (2, 2))
+    made = [(r["label"], round(H.mean_test(r["n"], np.array(r["mu"]), np.reshape(r["s"], (2, 2)), mu)[0], 6), round(H.covariance_test(r["n"], np.reshape(r["s"], (2, 2)), s)[0], 6) + 0.0) for r in M.moments(rows).collect()]
+    return spark.createDataFrame(made, "label int, t2 double, w double")

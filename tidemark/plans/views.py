@@ -37,10 +37,10 @@ def density_smooth(spark, sf_dir):
     return V.smoothed(V.grid(screen(spark, sf_dir), 10), REACH, FALL, TOP).select("gx", "gy", r6(F.col("density")).alias("density"))
 
 
-@query(f"WITH {SCREEN_SQL}, {OFFSETS_SQL}, {grid_sql('g0', 't < 300')}, {grid_sql('g1', 't >= 300')}, {smooth_sql('s0', 'g0')}, {smooth_sql('s1', 'g1')}, d AS (SELECT gx, gy, coalesce(s1.density, 0) - coalesce(s0.density, 0) AS value FROM s0 FULL JOIN s1 USING (gx, gy)) SELECT gx, gy, round(value, 6) + 0.0::DOUBLE AS value, round(pow(abs(value) / max(abs(value)) OVER (), 1.25), 6) AS opacity FROM d")
+@query(f"WITH {SCREEN_SQL}, {OFFSETS_SQL}, {grid_sql('g0', 't * 5 < 3 * (SELECT count(*) FROM points)')}, {grid_sql('g1', 't * 5 >= 3 * (SELECT count(*) FROM points)')}, {smooth_sql('s0', 'g0')}, {smooth_sql('s1', 'g1')}, d AS (SELECT gx, gy, coalesce(s1.density, 0) - coalesce(s0.density, 0) AS value FROM s0 FULL JOIN s1 USING (gx, gy)) SELECT gx, gy, round(value, 6) + 0.0::DOUBLE AS value, round(pow(abs(value) / max(abs(value)) OVER (), 1.25), 6) AS opacity FROM d")
 def density_diff(spark, sf_dir):
-    rows = screen(spark, sf_dir)
-    old, new = (V.smoothed(V.grid(rows.where(w), 10), REACH, FALL, TOP) for w in ("t < 300", "t >= 300"))
+    rows = P.with_stats(screen(spark, sf_dir), F.count(F.lit(1)).alias("n"))
+    old, new = (V.smoothed(V.grid(rows.where(w), 10), REACH, FALL, TOP) for w in ("t * 5 < n * 3", "t * 5 >= n * 3"))
     return V.difference(old, new).select("gx", "gy", r6(F.col("value")).alias("value"), r6(F.col("opacity")).alias("opacity"))
 
 
@@ -114,6 +114,25 @@ def polygon_match(spark, sf_dir):
     return rows.where("half = 0").join(F.broadcast(new)).select("label", best.alias("best")).select("label", F.col("best")["partner"].alias("partner"), F.round(F.col("best")["cost"], 4).alias("cost"))
 
 
+@query(f"WITH {BOX_SQL}, b AS (SELECT label * 2 + half AS i, * FROM box) SELECT p.i, q.i AS j, round((least(p.x1, q.x1) - greatest(p.x0, q.x0)) * (least(p.y1, q.y1) - greatest(p.y0, q.y0)), 4) AS area FROM b p JOIN b q ON p.i < q.i WHERE least(p.x1, q.x1) > greatest(p.x0, q.x0) AND least(p.y1, q.y1) > greatest(p.y0, q.y0)")
+def polygon_overlap(spark, sf_dir):
+    """Which outlines share how much."""
+    rows = boxes(spark, sf_dir).select((F.col("label") * 2 + F.col("half")).cast("long").alias("i"), "corners")
+    return V.intersections(rows, 100.0).select("i", "j", F.round("area", 4).alias("area"))
+
+
+@query(f"WITH {SCREEN_SQL}, r AS (SELECT unnest(range(-3, 4)) AS d), k AS (SELECT floor(cx / 10)::INT + x.d AS gx, floor(cy / 10)::INT + y.d AS gy, cx, cy FROM screen, r x, r y) SELECT gx, gy, round(sum(exp(-((cx - (gx + 0.5::DOUBLE) * 10) ** 2 + (cy - (gy + 0.5::DOUBLE) * 10) ** 2) / 800)) / (800 * pi()), 9) AS density FROM k GROUP BY 1, 2")
+def kernel_density(spark, sf_dir):
+    """Of the points, with a bandwidth of 20, on cells of 10."""
+    return V.kernel_density(screen(spark, sf_dir), 10.0, 20.0, 3).select("gx", "gy", F.round("density", 9).alias("density"))
+
+
+@query(f"WITH {SCREEN_SQL} SELECT t, cx, cy FROM screen ORDER BY md5(t::VARCHAR || ':42'), t LIMIT 250")
+def haze_sample(spark, sf_dir):
+    """Some 250 points that stand for all."""
+    return V.sampled(screen(spark, sf_dir), 250).select("t", "cx", "cy")
+
+
 @query(f"WITH RECURSIVE a AS (SELECT no, CASE WHEN no = 0 THEN NULL WHEN no % 5 = 0 THEN no // 2 ELSE no - 1 END AS parent FROM (SELECT event_id // {CHUNK} AS no FROM events GROUP BY 1)), r AS (SELECT no, no AS root, 0 AS depth FROM a WHERE parent IS NULL UNION ALL SELECT a.no, root, depth + 1 FROM a JOIN r ON a.parent = r.no) SELECT * FROM r")
 def provenance(spark, sf_dir):
     """A tree of actions, one a chunk: how deep each lies."""
