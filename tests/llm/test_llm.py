@@ -348,6 +348,14 @@ def test_quality_ratio_against_brute_force_and_verdicts(spark):
     assert df.where(quality.keeps(F.col("text"), ratios)).count() == 30
 
 
+def test_quality_of_repeated_ids_and_long_texts(spark):
+    rng = random.Random(4)
+    long = prose(rng, 150_000)
+    docs = spark.createDataFrame([(1, long), (1, long), (1, "short"), (None, None), (2, prose(rng, 60))], "doc_id long, text string").withColumn("kept", F.lit("clash"))
+    found = sorted((r.doc_id or 0, r.n_words, r.base_failed, r.kept) for r in quality.judge(docs, spark.createDataFrame([(1,), (1,), (None,)], "doc_id long"), "doc_id").collect())
+    assert found == [(0, 0, True, False), (1, 1, True, False), (1, 150_000, False, True), (1, 150_000, False, True), (2, 60, False, True)]
+
+
 def test_quality_without_rows_or_trust(spark, no_docs, docs):
     nobody = spark.createDataFrame([], "doc_id long")
     assert quality.judge(no_docs, nobody, "doc_id").count() == 0
@@ -605,6 +613,112 @@ def test_html_decodes_like_the_standard_library():
     assert html_text.main_text(f"<article><p>{text}</p></article>", ()) == " ".join(html.unescape(text).split())
 
 
+def brute_importances(found):
+    """Importance of every node of one host's pages (well-formed, of div, p, ul, li, nav, article and a) by plain counting."""
+    from html.parser import HTMLParser
+
+    texts, forms, volume, linked, copies = (collections.defaultdict(x) for x in (lambda: collections.defaultdict(set), lambda: collections.defaultdict(set), float, float, set))
+    pages_with = collections.defaultdict(set)
+    for number, raw in enumerate(found):
+        stack, children, sizes, links = [()], collections.defaultdict(list), collections.Counter(), collections.Counter()
+        seen, total = [], [0]
+
+        class Reader(HTMLParser):
+            inside = False
+
+            def handle_starttag(self, tag, attrs):
+                if tag == "a":
+                    Reader.inside = True
+                    return
+                name = tag + ("." + dict(attrs)["class"].split()[0] if dict(attrs).get("class") else "")
+                children[id(stack[-1]), stack[-1]].append(name)
+                stack.append((*stack[-1], name))
+                seen.append((stack[-1], children[id(stack[-1]), stack[-1]]))  # noqa: B023
+
+            def handle_endtag(self, tag):
+                if tag == "a":
+                    Reader.inside = False
+                else:
+                    stack.pop()  # noqa: B023
+
+            def handle_data(self, data):
+                text = " ".join(data.split())
+                if text:
+                    total[0] += len(text)  # noqa: B023
+                    for k in range(1, len(stack[-1]) + 1):  # noqa: B023
+                        sizes[stack[-1][:k]] += len(text)  # noqa: B023
+                        links[stack[-1][:k]] += len(text) * Reader.inside  # noqa: B023
+                    texts[stack[-1]][text].add((number, raw))  # noqa: B023
+
+        Reader().feed(raw)
+        shapes = collections.defaultdict(set)
+        for path, kids in seen:
+            shapes[path].add(tuple(x for k, x in enumerate(kids) if not k or kids[k - 1] != x))
+        for path, shape in shapes.items():
+            pages_with[path].add(number)
+            forms[path][frozenset(shape)].add(number)
+            volume[path] += sizes[path] / total[0]
+            linked[path] += links[path] / total[0]
+    out = {}
+    for path, own in pages_with.items():
+        m = len(own)
+        count = lambda where: 1 if len({raw for _, raw in where}) == 1 else len(where)
+        logs = [math.log(count(where)) for p, by in texts.items() if p[: len(path)] == path for where in by.values()]
+        base = math.log(m) if m > 1 else 1.0
+        content = max(0.0, 1 - sum(logs) / len(logs) / base) if logs else 1.0
+        style = (base - sum(len(f) * math.log(len(f)) for f in forms[path].values()) / m) / base if m > 1 else 0.5
+        drawn = lambda x, to: ((m - 1) * x + 5 * to) / (m + 4)  # noqa: B023, E731
+        share = linked[path] / volume[path] if volume[path] else 0.0
+        code = 0
+        for name in path:
+            code = html_text.code_of(name, code)
+        out[code] = (0.6 * drawn(content, 1.0) + 0.2 * drawn(style, 0.5) + 0.2 * volume[path] / m) * (1 - 0.75 * share)
+    return out
+
+
+def test_html_importances_against_plain_counting(spark):
+    rng = random.Random(14)
+    made = []
+    for k in range(14):
+        body = "".join(f"<p>{prose(rng, 6)}</p>" + ("<ul><li>x</li><li>y</li></ul>" if rng.random() < 0.4 else "") for _ in range(rng.randint(1, 4)))
+        made.append(f"<div class='top bar'><p>Site name</p></div><nav><ul>{''.join(f'<li><a>{prose(rng, 1)}</a></li>' for _ in range(rng.randint(1, 3)))}</ul></nav><article>{body}<p>Rights</p></article>")
+    made += [made[0], made[0]]
+    pages = spark.createDataFrame([(k, f"http://h/{k}", p) for k, p in enumerate(made)], "page_id long, url string, html string").repartition(3)
+    trees = {r.code: r.importance for r in html_text.style_trees(pages).collect()}
+    expected = brute_importances(made)
+    assert trees == {k: pytest.approx(v) for k, v in expected.items()} and len(trees) >= 9
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_html_tree_decides_about_the_drivers_pages(spark, capsys):
+    """Without the tree's importance the names alone remove nothing: how many pages' texts change is printed."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    bare = {r.page_id: html_text.main_text(r.html, {}) for r in pages.collect()}
+    changed = sum(found[k] != bare[k] for k in found)
+    with capsys.disabled():
+        print(f" [{changed} of {len(found)} pages change without the tree]", end="")
+    assert changed > 0.9 * len(found)
+
+
+def test_html_of_deep_broken_and_repeated_pages_ends(spark):
+    import time
+
+    deep, wide = "<div>" * 100_000 + "deep words", "<div>" + "<p>w <ul><li>i" * 30_000
+    made = [(1, "http://d/1", deep), (2, "http://d/2", wide), (2, "http://d/2", wide), (3, "http://d/3", "<article><p>a</p><svg viewBox='0 0 1 1'/><p>b</p></article>"), (4, "http://d/4", "<article><div><iframe src=x></div><p>b</p></article>")]
+    pages = spark.createDataFrame(made, "page_id long, url string, html string")
+    start = time.time()
+    found = html_text.extract(pages).collect()
+    assert time.time() - start < 120
+    texts = {r.page_id: r.text for r in found}
+    assert len(found) == 5 and texts[1] == "deep words" and texts[2].count("\n") == 59_999 and texts[3] == "a\nb" and texts[4] == "b"
+
+
+@pytest.mark.parametrize("name, noise", [("share-price", False), ("product-search-results", False), ("ad-slot", True), ("sidebar-left", True), ("related-articles", True), ("comment-list", True), ("header-image", False), ("main", False)])
+def test_html_names_tell_noise_by_what_they_name(name, noise):
+    assert html_text.tells_noise(name) == noise
+
+
 # 8 URLs
 
 
@@ -860,6 +974,32 @@ def test_one_of_each_keeps_columns_and_one_row(spark):
     assert near_dup.near_duplicates(docs.limit(0), 85).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_near_duplicates_of_the_drivers_documents_miss_no_link(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets, holders = {}, collections.defaultdict(list)
+    for r in docs.select("doc_id", "text").collect():
+        w = [x.translate(LOWER) for x in words(r.text)]
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+        for x in sets[r.doc_id]:
+            holders[x].append(r.doc_id)
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sets:
+        shared = collections.Counter(b for x in sets[a] for b in holders[x] if b > a)
+        for b, n in shared.items():
+            if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    found = near_dup.near_duplicates(docs, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {k: (len(sets[k]), find(k)) for k in sets}
+
+
 def test_a_row_repeated_many_times(spark):
     text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty " * 2
     docs = spark.createDataFrame([(5, text)] * 3000 + [(3, text + "more"), (9, "something else that is not like it")], "doc_id long, text string")
@@ -908,3 +1048,26 @@ def test_pipeline_stages_and_contents(spark, tmp_path):
     counts = collections.Counter(r.doc_id for r in mixed.collect())
     assert collections.Counter(r.doc_id for r in out) == counts
     assert all(r.n_tokens == len(plain_ids(made[r.doc_id][1])) for r in out)
+
+
+def test_pipeline_stages_with_nothing_repeated_rows_and_clashing_columns(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(13)
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("labels", []), ("benchmark", [])):
+        spark.createDataFrame(rows, {"labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    text = prose(rng, 400)
+    made = [(1, text, "en", "a", 1), (1, text, "en", "a", 1), (None, prose(rng, 80), None, None, None), (None, None, None, None, None), (2, "", "en", "b", 0), (3, prose(rng, 30_000), "de", "b", 5)]
+    docs = spark.createDataFrame(made, columns)
+    for extra in ("_size", "item_id", "_row", "signature"):
+        docs = docs.withColumn(extra, F.lit("clash"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if name == "tokens":
+            assert out.count() == docs.count()
+            continue
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        if name == "near_dedup":
+            assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "3", "None"]
