@@ -1,48 +1,17 @@
-"""The shared folder of the cluster, and tables kept there between jobs."""
+"""What the corpus operators share: tables kept between jobs, and the processes of Python workers."""
 
 from __future__ import annotations
 
 import ctypes
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Hashable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from ..sources.kept import drop, keep, new_path, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of this machine only where that is unset and the master is local, as in tests."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written once to the shared folder: survives lost executors and cuts the lineage."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop(table: DataFrame) -> None:
-    """Delete what ``keep`` wrote, once nothing will read it any more."""
-    files = table.inputFiles()
-    if files:
-        spark = table.sparkSession
-        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+__all__ = ["drop", "join_groups", "keep", "new_path", "of_worker", "partitions", "release", "shared_dir", "small_batches"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
