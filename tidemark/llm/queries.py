@@ -56,7 +56,28 @@ SELECT doc_id, size, source_size, target, ((floor(i::DOUBLE * rate + u) - floor(
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     found = quality.judge(table(spark, sf_dir, "documents"), trusted, "doc_id")
-    return found.select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
+    return found.select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
+#: The counts by lists and windows, and the ratios of hashed byte n-grams by one row a byte; for the parameters of ``quality``.
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+c AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS bs FROM d),
+w AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM c),
+t AS (SELECT doc_id, i, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w, w2, w3) AS n FROM t WHERE w3 IS NOT NULL) WHERE n > 1),
+rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, i + k AS i FROM hit, range(3) AS r(k)) GROUP BY doc_id),
+g AS (SELECT doc_id, (code % 4294967296)::UBIGINT * 2654435761::UBIGINT % 4294967296::UBIGINT // 65536 AS bucket
+  FROM (SELECT doc_id, unnest(list_transform(range(1, len(bs) - 1), lambda i: (bs[i] * 16777619 + bs[i + 1]) * 16777619 + bs[i + 2])) AS code FROM c)),
+b AS (SELECT bucket, count(*) AS raw, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good FROM g GROUP BY bucket),
+p AS (SELECT bucket, good, (raw + 1) / (sum(raw) OVER () + 65536) AS p, sum(good) OVER () AS all_good FROM b),
+s AS (SELECT doc_id, avg(ln((good + 16384 * p) / ((all_good + 16384) * p))) AS score FROM g JOIN p USING (bucket) GROUP BY doc_id),
+n AS (SELECT c.doc_id, len(ws)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(score, 0) AS score
+  FROM c LEFT JOIN rep ON c.doc_id = rep.doc_id LEFT JOIN s ON c.doc_id = s.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND score >= -0.25 AS kept FROM n
+"""
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +107,18 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+#: All pairs of documents that share a shingle, and what is reachable by links.
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(ws[i : i + 4], ' ')) AS x FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS MATERIALIZED (SELECT a, b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM s p JOIN s q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY 1, 2) JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(min(r.b), w.doc_id)) AS component_id, w.doc_id = least(w.doc_id, coalesce(min(r.b), w.doc_id)) AS kept
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN r ON w.doc_id = r.a GROUP BY w.doc_id, n.n
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_secrets": op2_secrets,
@@ -99,4 +132,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dup": op10_near_dup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op8_urls": urls.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_quality": OP4_SQL, "op8_urls": urls.SQL, "op10_near_dup": OP10_SQL}
