@@ -27,7 +27,6 @@ import html
 import re
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
