@@ -460,6 +460,8 @@ def test_session_end_to_end(spark, tmp_path):
     other = Session(spark, rows, config)
     other.load(snapshots, session.save(snapshots))
     assert (other.at, other.used) == (1, {first})
+    again = Session(spark, rows, config, (snapshots, session.save(snapshots)))
+    assert again.arrived == 120 and again.parts.keys() == session.parts.keys() and again.used == {first}
     session.set_active({first: False})
     assert session.trained_idx().count() == 0
 

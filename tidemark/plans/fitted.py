@@ -14,6 +14,7 @@ from ..operators import incremental as I
 from ..operators import mixture as M
 from ..operators import models as C
 from ..operators import prepare as P
+from ..operators import views as V
 from ..operators import windows as W
 from ..sources import synthetic as G
 from ..sources.kept import keep
@@ -137,9 +138,8 @@ def pca_layout(spark, sf_dir):
     return rows.select("t", along(0).alias("x"), along(1).alias("y"))
 
 
-@query()
+@query("WITH l AS (SELECT vec_id AS t, label FROM embeddings WHERE vec_id > (SELECT max(vec_id) FROM embeddings) - 1500) SELECT t, label FROM l ORDER BY md5(t::VARCHAR || ':42'), t LIMIT (SELECT least(count(*) // 2, 500) FROM l)")
 def anchor_sample(spark, sf_dir):
     """Rows that hold a later layout in place: of the last 1500 half, 500 at most, by a hash."""
     last = P.last_rows(vectors(spark, sf_dir).select("t", "label"), 1500)
-    n = last.count()
-    return last.orderBy(F.xxhash64(F.lit(42), "t"), "t").limit(min(n // 2, 500))
+    return V.sampled(last, min(last.count() // 2, 500))

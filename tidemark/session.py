@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,8 +33,11 @@ STEP, LEAST_SHARE, LEAST_ROWS = 3.0, 0.01, 10
 
 
 class Session:
-    def __init__(self, spark: SparkSession, rows: DataFrame, config: DataConfig):
-        """Open a dataset of t, the config's attributes and its label; rows beyond skip, cap and stride go."""
+    def __init__(self, spark: SparkSession, rows: DataFrame, config: DataConfig, start: tuple[Snapshots, str] | None = None):
+        """Open a dataset of t, the config's attributes and its label; rows beyond skip, cap and stride go.
+
+        ``start``: a snapshot of an earlier session over it, from which this one goes on instead of fitting a mixture.
+        """
         self.spark, self.config = spark, config
         kept = P.skip_stride(rows, config.skip, config.stride, config.cap)
         names = list(config.attributes)
@@ -63,9 +65,13 @@ class Session:
         self.stored: list[list[int] | None] = [None, None]
         self.window = config.window
         self.forced: DataFrame | None = None
-        #: The last layout, and those since the trace was read.
+        #: The last layout, those since the trace was read, and all by the rows that had arrived then and before.
         self.placed: DataFrame | None = None
         self.trace: list[DataFrame] = []
+        self.layouts: dict[tuple[int, int], DataFrame] = {}
+        if start is not None:
+            self.load(*start)
+            return
         parts, placed = M.built(self.rows.select("t", "v"))
         self._set_mixture(parts, placed.where("uncertain").select("t"))
 
@@ -101,12 +107,16 @@ class Session:
     def _set_mixture(self, parts: Gaussians, uncertain: DataFrame, keys: Sequence[int] | None = None) -> None:
         keys, n = list(parts.keys if keys is None else keys), self.arrived
         self.parts = {k: I.Part.of(mu, s, float(np.exp(w)) * n, n) for k, mu, s, w in zip(keys, parts.mu, parts.s, parts.log_weight, strict=True)}
-        self.uncertain = [r["t"] for r in uncertain.collect()]
+        self._set_uncertain(uncertain)
         self._set_limits()
 
+    def _set_uncertain(self, rows: DataFrame) -> None:
+        self.uncertain = keep(rows.select("t"), "uncertain")
+        self.n_uncertain = self.uncertain.count()
+
     def _set_limits(self) -> None:
         """Thresholds of each part from the scores of its own certain rows; a part without any has hardly any room."""
-        placed = M.assign(self.rows.where(~F.col("t").isin(self.uncertain)).select("t", "v"), self.components)
+        placed = M.assign(self.rows.select("t", "v").join(self.uncertain, "t", "left_anti"), self.components)
         found = {r["component"]: (r["relax"], r["strict"]) for r in M.thresholds(placed, many=len(self.parts) > 5).collect()}
         self.limits = {k: found.get(k, (1e-5, 1e-5)) for k in self.parts}
 
@@ -135,35 +145,35 @@ class Session:
         new = self.all.where((F.col("t") >= a) & (F.col("t") < b)).select("t", "v")
 
         def run(batches):
-            weight, first, second, far = np.zeros(len(g.keys)), np.zeros_like(g.mu), np.zeros_like(g.s), []
+            weight, first, second = np.zeros(len(g.keys)), np.zeros_like(g.mu), np.zeros_like(g.s)
             for batch in batches:
                 x = M.matrix(batch)
                 scores = g.score(x, True)
                 best = scores.argmin(axis=1)
-                own = scores[np.arange(len(x)), best]
-                far += batch.column("t").to_numpy()[own >= relax[best]].tolist()
-                near = x[own < strict[best]]
+                near = x[scores[np.arange(len(x)), best] < strict[best]]
                 p = g.posterior(near)
                 weight, first, second = weight + p.sum(axis=0), first + p.T @ near, second + np.einsum("nk,ni,nj->kij", p, near, near)
-            rows = [(k, [float(weight[k]), *first[k].tolist(), *second[k].ravel().tolist()], []) for k in range(len(g.keys))] + [(-1, [], far)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["k", "sums", "far"])
+            rows = [[float(weight[k]), *first[k].tolist(), *second[k].ravel().tolist()] for k in range(len(g.keys))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["k", "sums"])
 
-        d, far = g.mu.shape[1], []
+        d = g.mu.shape[1]
+        limit = self.spark.createDataFrame([(k, float(r)) for k, r in zip(g.keys, relax, strict=True)], "component int, _limit double")
+        far = keep(M.assign(new, self.components).join(limit, "component").where("score >= _limit").select("t"), "far")
         self.arrived = b
-        added = {k: np.zeros(1 + d + d * d) for k in range(len(g.keys))}
-        for r in new.mapInArrow(run, "k int, sums array<double>, far array<long>").collect():
-            if r["k"] < 0:
-                far += r["far"]
-            else:
-                added[r["k"]] += np.array(r["sums"])
+        added = new.mapInArrow(run, "k int, sums array<double>").select("k", F.posexplode("sums").alias("i", "x")).groupBy("k", "i").agg(F.sum("x").alias("x")).collect()
+        sums = np.zeros((len(g.keys), 1 + d + d * d))
+        for r in added:
+            sums[r["k"], r["i"]] = r["x"]
         for i, k in enumerate(g.keys):
-            old, sums = self.parts[k], added[i]
-            self.parts[k] = I.Part(old.weight + sums[0], old.first + sums[1 : 1 + d], old.second + sums[1 + d :].reshape(d, d), b)
-        self.uncertain += sorted(far)
-        self._grow()
+            old = self.parts[k]
+            self.parts[k] = I.Part(float(old.weight + sums[i, 0]), old.first + sums[i, 1 : 1 + d], old.second + sums[i, 1 + d :].reshape(d, d), b)
+        if not far.isEmpty():
+            self._set_uncertain(self.uncertain.union(far))
+            self._grow()
 
     def _take_in_order(self, a: int, b: int) -> None:
         """Mini-batches of one row: each is scored by the parts that the ones before it changed, so they come one after another."""
+        new: list[tuple[int]] = []
         for row in self.all.where((F.col("t") >= a) & (F.col("t") < b)).select("t", "v").orderBy("t").collect():
             x, g = np.array([row["v"]]), self._gaussians()
             self.arrived = row["t"] + 1
@@ -174,17 +184,21 @@ class Session:
                 for key, p in zip(g.keys, g.posterior(x)[0], strict=True):
                     self.parts[key] = I.updated(self.parts[key], x[0], float(p))
             if scores[k] >= relax:
-                self.uncertain.append(row["t"])
-                self._grow()
+                new.append((row["t"],))
+                if self.n_uncertain + len(new) > max(self.config.gmm_threshold, self.arrived // 12):
+                    self._set_uncertain(self.uncertain.union(self.spark.createDataFrame(new, "t long")))
+                    new = []
+                    self._grow()
+        if new:
+            self._set_uncertain(self.uncertain.union(self.spark.createDataFrame(new, "t long")))
 
     def _grow(self) -> None:
         """Where too many rows are uncertain, they get parts of their own, and all rows are fitted anew from all parts."""
-        n = self.arrived
-        if len(self.uncertain) <= max(self.config.gmm_threshold, n // 12):
+        n, u = self.arrived, self.n_uncertain
+        if u <= max(self.config.gmm_threshold, n // 12):
             return
-        u = len(self.uncertain)
         points = self.rows.select("t", "v")
-        new, _ = M.built(points.where(F.col("t").isin(self.uncertain)), min(7, 1 + round(u / 50)))
+        new, _ = M.built(points.join(self.uncertain, "t", "left_semi"), min(7, 1 + round(u / 50)))
         if not new.keys:
             return
         old = self._gaussians()
@@ -246,17 +260,17 @@ class Session:
         and the selection stays where it was put.
         """
         idx = idx.select("t").distinct()
-        chosen = self.labels().join(idx, "t", "left_semi").join(self.rows.select("t", "v"), "t").persist()
+        open_ = F.col("_open").isNotNull()
+        marked = self.uncertain.withColumn("_open", F.lit(1))
+        chosen = self.labels().join(idx, "t", "left_semi").join(self.rows.select("t", "v"), "t").join(marked, "t", "left").persist()
         counts = chosen.groupBy("label").count().orderBy(F.desc("count"), "label").first()
         if counts is None:
             raise ValueError("no rows are selected")
         major = int(counts["label"])
-        open_ = F.col("t").isin(self.uncertain)
         self._moved(major, chosen.where(open_ | (F.col("label") != major)).select(F.col("t").alias("order"), "v"), STEP)
         for r in chosen.where(~open_ & (F.col("label") != major)).select("label").distinct().collect():
             self._moved(int(r["label"]), chosen.where(~open_ & (F.col("label") == r["label"])).select(F.col("t").alias("order"), "v"), -STEP)
-        inside = {r["t"] for r in chosen.where(open_).select("t").collect()}
-        self.uncertain = [t for t in self.uncertain if t not in inside]
+        self._set_uncertain(self.uncertain.join(chosen.select("t"), "t", "left_anti"))
         chosen.unpersist()
         self.forced = keep(P.set_labels(self.forced, idx, major), "forced")
         sizes = {r["label"]: r["count"] for r in self.labels().groupBy("label").count().collect()}
@@ -483,14 +497,13 @@ class Session:
         """(t, x, y): the fitted layout of the rows; with ``attributes``, on the main axes of layout and attributes.
 
         After the first layout, rows that are new since begin at their nearest old one and move against sampled old rows and
-        components' means; older rows than the last 1500 stay.
+        components' means; older rows than the last 1500 stay. While no rows are new, the layout is the same table.
         """
-        points = self.rows.select("t", "v").join(self.labels(), "t")
-        if self.placed is None:
-            found = L.fitted(points.select("t", "v"))
-        else:
-            found = L.continued(points, self.placed)
-        self.placed = keep(found, "layout")
+        before = max((n for n, _ in self.layouts), default=0)
+        if before != self.arrived:
+            points = self.rows.select("t", "v").join(self.labels(), "t")
+            found = L.fitted(points.select("t", "v")) if self.placed is None else L.continued(points, self.placed)
+            self.placed = self.layouts[self.arrived, before] = keep(found, "layout")
         self.trace.append(self.placed)
         if not attributes:
             return self.placed
@@ -513,7 +526,7 @@ class Session:
         parts = [(k, float(c.weight), c.first.tolist(), c.second.ravel().tolist(), float(c.rows), *map(float, self.limits[k])) for k, c in sorted(self.parts.items())]
         tables = {
             "rows": self.all, "parts": self.spark.createDataFrame(parts, "k int, weight double, first array<double>, second array<double>, n double, relax double, strict double"),
-            "uncertain": self.spark.createDataFrame([(t,) for t in self.uncertain], "t long"),
+            "uncertain": self.uncertain,
             "cursor": self.spark.createDataFrame([(self.at, self.window, self.arrived)], "at int, window int, arrived long"),
         }
         if self.forced is not None:
@@ -536,7 +549,7 @@ class Session:
             d = len(r["first"])
             self.parts[r["k"]] = I.Part(r["weight"], np.array(r["first"]), np.reshape(r["second"], (d, d)), r["n"])
             self.limits[r["k"]] = (r["relax"], r["strict"])
-        self.uncertain = [r["t"] for r in tables["uncertain"].orderBy("t").collect()]
+        self._set_uncertain(tables["uncertain"])
         self.at, self.window, self.arrived = tables["cursor"].first()
         self.forced = tables.get("forced")
         self.models, self.used = {}, set()

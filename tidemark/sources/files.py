@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import io
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,30 +32,54 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def _binary(spark: SparkSession, path: str) -> bytes:
-    """A file by Spark's own reader, whatever store it is in."""
-    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+#: Rows that a task passes on at a time.
+_ROWS = 1 << 16
+
+
+def _parsed(spark: SparkSession, path: str, schema: str, columns: Callable[[bytes], list[np.ndarray]]) -> DataFrame:
+    """Rows of a file (or of all files of a folder) by Spark's own reader, whatever store it is in; a file is a task's and none goes to the driver."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                found = columns(content.as_py())
+                for at in range(0, len(found[0]), _ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + _ROWS]) for c in found], names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
 
 def scan_npz(spark: SparkSession, path: str) -> DataFrame:
     """(doc_idx, term_idx, weight) of a compressed sparse matrix."""
-    with np.load(io.BytesIO(_binary(spark, path)), allow_pickle=False) as z:
-        indptr, indices, data = z["indptr"], z["indices"], z["data"]
-    rows = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
-    return spark.createDataFrame(pd.DataFrame({"doc_idx": rows.astype("int64"), "term_idx": indices.astype("int32"), "weight": data.astype("float64")}))
+
+    def columns(content: bytes) -> list[np.ndarray]:
+        with np.load(io.BytesIO(content), allow_pickle=False) as z:
+            indptr, indices, data = z["indptr"], z["indices"], z["data"]
+        return [np.repeat(np.arange(len(indptr) - 1, dtype=np.int64), np.diff(indptr)), indices.astype(np.int32), data.astype(np.float64)]
+
+    return _parsed(spark, path, "doc_idx long, term_idx int, weight double", columns)
 
 
 def scan_terms(spark: SparkSession, path: str) -> DataFrame:
     """(term_idx, term) of a JSON list."""
-    terms = json.loads(_binary(spark, path))
-    return spark.createDataFrame(list(enumerate(terms)), "term_idx int, term string")
+
+    def columns(content: bytes) -> list[np.ndarray]:
+        terms = json.loads(content)
+        return [np.arange(len(terms), dtype=np.int32), np.array(terms, object)]
+
+    return _parsed(spark, path, "term_idx int, term string", columns)
 
 
 def scan_flags(spark: SparkSession, path: str) -> DataFrame:
     """(fold, t, is_train) of a boolean matrix of folds by rows."""
-    flags = np.load(io.BytesIO(_binary(spark, path)), allow_pickle=False)
-    fold, t = np.indices(flags.shape)
-    return spark.createDataFrame(pd.DataFrame({"fold": fold.ravel().astype("int32"), "t": t.ravel().astype("int64"), "is_train": flags.ravel().astype(bool)}))
+
+    def columns(content: bytes) -> list[np.ndarray]:
+        flags = np.load(io.BytesIO(content), allow_pickle=False).astype(bool)
+        fold, t = np.indices(flags.shape)
+        return [fold.ravel().astype(np.int32), t.ravel().astype(np.int64), flags.ravel()]
+
+    return _parsed(spark, path, "fold int, t long, is_train boolean", columns)
 
 
 def svg(template: Sequence[str], markup: Column, *values: Column) -> Column:
