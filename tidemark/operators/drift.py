@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.kept import keep
 from .ordered import in_blocks, ranked
 from .pairs import distance_block, energy, matrix, nearest_of_label, pair_sums, vectors
 
@@ -30,7 +31,8 @@ def _drift(w, t, a, b, c, guarded):
 def _sums_on_an_axis(members: DataFrame, keys: list[str]) -> DataFrame:
     """``pair_sums`` of members(keys, side, x) in one sort: x at place r (from 1) of n counts 2r - n - 1 times, and A is half of what B and C leave of all."""
     sides = {"_rw": F.when(F.col("side") == 0, 1).otherwise(0), "_rt": F.when(F.col("side") == 1, 1).otherwise(0)}
-    placed = ranked(members.select(*keys, "side", "x"), keys, ["x", "side"], sides)
+    members = keep(members.select(*keys, "side", "x"), "members")  # ranges are drawn from a first pass over them
+    placed = ranked(members, keys, ["x", "side"], sides)
     x, rw, rt = F.col("x"), F.col("_rw"), F.col("_rt")
     of = lambda side, value: F.sum(F.when(F.col("side") == side, value).otherwise(0.0))
     sums = placed.groupBy(*keys).agg(
