@@ -27,7 +27,8 @@ from .store import keep
 
 CANDIDATE = "(?<![A-Za-z0-9_+/=\\-])(?=[A-Za-z_+/=\\-]*[0-9])[A-Za-z0-9_+/=\\-]{16,}"
 KEYWORD = "(?i)^[\"'`({\\[]*[a-z0-9_.-]*(token|secret|passw|pwd|api_?key|credential|auth|private)[a-z0-9_.-]*[\"'`]*[=:]*$"
-_KEY = "[a-z0-9_.-]*(?:token|secret|passw|pwd|api_?key|credential|auth|private)[a-z0-9_.-]*[\"'`]*"
+_NAMED = "(?:token|secret|passw|pwd|api_?key|credential|auth|private)[a-z0-9_.-]*[\"'`]*"
+_KEY = "[a-z0-9_.-]*" + _NAMED
 #: A keyword and what is assigned to it in one word; a word that only assigns; quoted parts of a word (the second group).
 INLINE = f"(?i)(?:^|[^a-z0-9_.-]){_KEY}(?:=>|:=|[=:]+)(.+)$"
 KEY_ENDS = f"(?i)(?:^|[^a-z0-9_.-]){_KEY}(?:=>|:=|[=:]+)$"
@@ -35,7 +36,7 @@ ASSIGNS = "^(?:=>|:=|[=:]+)$"
 STARTS = "^(?:=>|:=|[=:]+)(.+)$"
 QUOTED = r"""(?<![\p{L}\p{N}])(["'`])((?:(?!\1).)+)\1(?![\p{L}\p{N}])"""
 #: Texts that may hold candidates of the latter kinds.
-MAYBE = f"(?i){_KEY}[\\x20\\x09-\\x0D]*[=:]|[\"'`]\\S+[\"'`]"
+MAYBE = f"(?i){_NAMED}[\\x20\\x09-\\x0D]*[=:]|[\"'`]\\S+[\"'`]"
 LABELLED = 20_000
 DICTIONARY_DOCS = 3
 #: Forms that issuers give their keys.
@@ -48,7 +49,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     some = docs.where(F.col("text").rlike(CANDIDATE) | F.col("text").rlike(MAYBE)).select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), F.split(F.col("text"), "[\\x20\\x09-\\x0D]+").alias("w"))
     of = lambda i: F.coalesce(F.get(F.col("w"), i), F.lit(""))
     after_key = lambda i: of(i - 1).rlike(KEY_ENDS) | (of(i - 2).rlike(KEYWORD) & of(i - 1).rlike(ASSIGNS)) | (of(i - 1).rlike(KEYWORD) & of(i).rlike(STARTS))
-    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: of(i).rlike(CANDIDATE) | of(i).rlike(QUOTED) | of(i).rlike(INLINE) | (after_key(i) & ~of(i).rlike(ASSIGNS)))
+    # Most words show at a glance that they are none.
+    glance = lambda i: of(i).rlike("[0-9=:\"'`]") | of(i - 1).rlike("[=:>]$")
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: glance(i) & (of(i).rlike(CANDIDATE) | of(i).rlike(QUOTED) | of(i).rlike(INLINE) | (after_key(i) & ~of(i).rlike(ASSIGNS))))
     found = some.select("doc_id", "path", "w", F.explode(at).alias("place"))
     near = lambda k: F.coalesce(F.get(F.col("w"), F.col("place") + k), F.lit(""))
     found = found.select("doc_id", "path", F.col("place").cast("long").alias("place"), near(0).alias("word"), near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"), after_key(F.col("place")).alias("follows"))
