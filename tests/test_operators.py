@@ -430,6 +430,33 @@ def test_cells_and_their_repulsion_come_near_the_exact_one(spark):
     assert all(np.allclose(exact[t], near[t], rtol=0.02, atol=0.05) for t in exact)
 
 
+def test_layout_in_rounds_follows_the_plain_gradient(spark):
+    v = RNG.normal(0, 1, (24, 3))
+    points = spark.createDataFrame([(t, x.tolist()) for t, x in enumerate(v)], "t long, v array<double>")
+    found = np.array([[r.x, r.y] for r in L.fitted_in_rounds(points, 7.0, 4).orderBy("t").collect()])
+    d = ((v[:, None] - v[None]) ** 2).sum(axis=2)
+    order = np.argsort(np.where(np.eye(24) > 0, np.inf, d), axis=1)[:, :21]
+    p = np.zeros((24, 24))
+    near = {(r.i): r.beta for r in L.bandwidths(spark.createDataFrame([(i, int(j), float(d[i, j])) for i in range(24) for j in order[i]], "i long, j long, d double"), 7.0).collect()}
+    for i in range(24):
+        w = np.exp(-near[i] * d[i, order[i]])
+        p[i, order[i]] = w / w.sum()
+    p = (p + p.T) / (p + p.T).sum()
+    y = L.principal(v)
+    y = y / y[:, 0].std() * 1e-4
+    step, gains = np.zeros_like(y), np.ones_like(y)
+    for k in range(4):
+        way = y[:, None] - y[None]
+        q = 1 / (1 + (way**2).sum(axis=2))
+        np.fill_diagonal(q, 0)
+        g = (((12.0 if k < 1 else 1.0) * p - q / q.sum()) * q)[..., None] * way
+        g = g.sum(axis=1)
+        gains = np.maximum(np.where(step * g < 0, gains + 0.2, gains * 0.8), 0.01)
+        step = (0.5 if k < 1 else 0.8) * step - 50.0 * gains * 4 * g
+        y = np.floor((y + step) * 1e9) * 1e-9
+    assert np.allclose(found, y, atol=1e-7)
+
+
 def test_continued_layout_holds_old_rows_and_places_new_ones(spark, monkeypatch):
     monkeypatch.setattr(L, "ACTIVE", 60)
     v = np.concatenate([RNG.normal(0, 0.3, (40, 4)), RNG.normal(5, 0.3, (40, 4)), RNG.normal(5, 0.3, (10, 4))])

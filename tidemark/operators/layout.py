@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.kept import keep
+from ..sources.kept import drop, keep
 from .mixture import moments
 from .pairs import dealt, nearest
 from .prepare import last_rows, with_stats
@@ -94,9 +94,9 @@ def repulsion(at: DataFrame, n_blocks: int | None = None) -> DataFrame:
     return parts.groupBy("i").agg(*[F.sum(c).alias(c) for c in ("q", "fx", "fy")])
 
 
-def gradient(edges: DataFrame, at: DataFrame) -> DataFrame:
+def gradient(edges: DataFrame, at: DataFrame, repel=repulsion) -> DataFrame:
     """(i, gx, gy): attraction less repulsion over the sum of all q; a point does not repel itself."""
-    away = keep(repulsion(at), "repulsion")  # looked at twice, and it is the dear part
+    away = keep(repel(at), "repulsion")  # looked at twice, and it is the dear part
     away = with_stats(away, F.sum("q").alias("_z")).select("i", (F.col("fx") / F.col("_z")).alias("rx"), (F.col("fy") / F.col("_z")).alias("ry"))
     near = attraction(edges, at)
     return away.join(near, "i", "left").select("i", (F.coalesce("fx", F.lit(0.0)) - F.col("rx")).alias("gx"), (F.coalesce("fy", F.lit(0.0)) - F.col("ry")).alias("gy"))
@@ -158,6 +158,40 @@ def fitted(points: DataFrame, perplexity: float = 30.0, rounds: int = 300) -> Da
     return points.select("t", "v", F.lit(1).alias("_all")).groupBy("_all").applyInPandas(run, "t long, x double, y double")
 
 
+def moved(edges: DataFrame, state: DataFrame, pull: float, momentum: float, rate: float, repel=repulsion) -> DataFrame:
+    """One round of a layout as a job: state(t, x, y, sx, sy, gx, gy) of positions, last steps and gains, along the gradient at the positions."""
+    g = gradient(edges.withColumn("p", F.col("p") * pull), state.select("t", "x", "y"), repel).toDF("i", "_dx", "_dy")
+    wide = state.join(g, F.col("t") == F.col("i"))
+    gain = lambda a: F.greatest(F.when(F.col(f"s{a}") * F.col(f"_d{a}") < 0, F.col(f"g{a}") + 0.2).otherwise(F.col(f"g{a}") * 0.8), F.lit(0.01))
+    wide = wide.withColumns({f"_g{a}": gain(a) for a in "xy"})
+    wide = wide.withColumns({f"_s{a}": momentum * F.col(f"s{a}") - rate * F.col(f"_g{a}") * 4 * F.col(f"_d{a}") for a in "xy"})
+    place = lambda a: F.floor((F.col(a) + F.col(f"_s{a}")) * 1e9) * 1e-9
+    return wide.select("t", place("x").alias("x"), place("y").alias("y"), F.col("_sx").alias("sx"), F.col("_sy").alias("sy"), F.col("_gx").alias("gx"), F.col("_gy").alias("gy"))
+
+
+def fitted_in_rounds(points: DataFrame, perplexity: float = 30.0, rounds: int = 100, repel=repulsion) -> DataFrame:
+    """(t, x, y) of points(t, v) as ``fitted``, with each round a job over all points: no task and not the driver holds a layout.
+
+    Neighbours are three times the perplexity's, their probabilities are found once; each round is written and the one before deleted.
+    ``repel``: ``repulsion`` over all pairs, or ``repulsion_by_cells``.
+    """
+    n = points.count()
+    a, b = points.select(F.col("t").alias("i"), "v"), points.select(F.col("t").alias("j"), "v")
+    near = keep(nearest(a, b, min(n - 1, int(3 * perplexity)), itself=False).select("i", "j", (F.col("d") * F.col("d")).alias("d")), "near")
+    edges = keep(symmetrized(conditional(near, bandwidths(near, min(perplexity, (n - 1) / 3)).select("i", "beta"))), "edges")
+    d = len(points.first()["v"])
+    axes = main_axes(points.select("t", *[F.col("v")[k].alias(f"v{k}") for k in range(d)]), [f"v{k}" for k in range(d)])
+    wide = with_stats(axes, F.stddev_pop("x").alias("_sd"))
+    scale = F.when(F.col("_sd") > 0, 1e-4 / F.col("_sd")).otherwise(1e-4)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    state = keep(wide.select("t", (F.col("x") * scale).alias("x"), (F.col("y") * scale).alias("y"), zero.alias("sx"), zero.alias("sy"), one.alias("gx"), one.alias("gy")), "state")
+    for k in range(rounds):
+        early = k < rounds // 4
+        before, state = state, keep(moved(edges, state, 12.0 if early else 1.0, 0.5 if early else 0.8, max(n / 12.0, 50.0), repel), "state")
+        drop(before)
+    return state.select("t", "x", "y")
+
+
 #: Rows that still move when new ones come, and how many of the old ones hold the layout in place.
 ACTIVE, ANCHORS = 1500, 500
 #: The anchors' part in the forces.
