@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import prepare as P
 from .registry import query
-from .tables import CHUNK, STREAM_SQL, TRAINED, models_idx, points, r6, read, stream
+from .tables import CHUNK, STREAM_SQL, points, r6, read, stream, vectors
 
 
 @query("SELECT event_id, epoch_us(ts) AS ts_us, user_id, event_type, value FROM events")
@@ -89,10 +89,11 @@ def last_n(spark, sf_dir):
     return P.last_rows(stream(spark, sf_dir), 365).select("t", "x")
 
 
-@query("SELECT (event_id // 300)::INT AS model_id, count(*) AS n FROM events WHERE event_id < 900 AND event_id // 300 < 2 GROUP BY 1")
+@query("SELECT (event_id * 3 // (SELECT max(event_id) + 1 FROM events))::INT AS model_id, count(*) AS n FROM events WHERE event_id * 3 // (SELECT max(event_id) + 1 FROM events) < 2 GROUP BY 1")
 def active_models(spark, sf_dir):
-    """Models trained on stretches of 300 rows, of which the third isn't used."""
-    models = stream(spark, sf_dir).where(F.col("t") < TRAINED * 3 // 2).groupBy(models_idx().alias("model_id")).agg(F.count(F.lit(1)).alias("n"))
+    """Models trained on a third of the rows each, of which the last isn't used."""
+    rows = P.with_stats(stream(spark, sf_dir), (F.max("t") + 1).alias("n"))
+    models = rows.groupBy(F.floor(F.col("t") * 3 / F.col("n")).cast("int").alias("model_id")).agg(F.count(F.lit(1)).alias("n"))
     return models.withColumn("use", F.col("model_id") < 2).where("use").select("model_id", "n")
 
 
@@ -142,3 +143,26 @@ def batch_assign(spark, sf_dir):
 @query("SELECT event_id // 500 AS chunk_id, max(event_id) <= 7000 AS valid FROM events GROUP BY 1")
 def chunk_valid(spark, sf_dir):
     return stream(spark, sf_dir).groupBy(F.floor(F.col("t") / CHUNK).alias("chunk_id")).agg((F.max("t") <= 7000).alias("valid"))
+
+
+@query("SELECT vec_id AS t, round(list_sum(v), 6) + 0.0::DOUBLE AS total, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS dot, round(list_max(v), 6) + 0.0::DOUBLE AS largest, len(list_filter(v, lambda x: x > 0.5)) > 0 AS has_large, list_transform(v[1:3], lambda x: round(x - list_avg(v), 6) + 0.0::DOUBLE) AS centred FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)")
+def vector_stats(spark, sf_dir):
+    """Of each vector: sum, product with itself, largest part, whether any is large, and the first parts less the mean."""
+    v = F.col("v")
+    total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    mean = total / F.size(v)
+    rows = vectors(spark, sf_dir)
+    return rows.select(
+        "t", r6(total).alias("total"), r6(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)).alias("dot"), r6(F.array_max(v)).alias("largest"), F.exists(v, lambda x: x > 0.5).alias("has_large"), F.transform(F.slice(v, 1, 3), lambda x: r6(x - mean)).alias("centred")
+    )
+
+
+@query("SELECT event_id AS t, round(exp(x / 100), 6) AS e, round(ln(x + 1), 6) AS l, round(log2(x + 1), 6) AS l2, round(sqrt(x), 6) AS r, abs(x - 50) AS a, floor(x)::BIGINT AS f, ceil(x)::BIGINT AS c, round(x, 1) AS one, sign(x - 50)::DOUBLE AS s, round(pow(x, 1.5), 3) AS p, floor(x * 1e9) * 1e-9 AS q FROM (SELECT event_id, abs(value) AS x FROM events)")
+def math_functions(spark, sf_dir):
+    """Elementwise functions of the stream's values, and positions cut to nine places."""
+    x = F.col("x")
+    rows = stream(spark, sf_dir).select("t", F.abs("x").alias("x"))
+    return rows.select(
+        "t", F.round(F.exp(x / 100), 6).alias("e"), F.round(F.log(x + 1), 6).alias("l"), F.round(F.log2(x + 1), 6).alias("l2"), F.round(F.sqrt(x), 6).alias("r"), F.abs(x - 50).alias("a"), F.floor(x).alias("f"), F.ceil(x).alias("c"),
+        F.round(x, 1).alias("one"), F.signum(x - 50).alias("s"), F.round(F.pow(x, F.lit(1.5)), 3).alias("p"), (F.floor(x * 1e9) * 1e-9).alias("q"),
+    )

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import text as X
+from ..sources import files
+from ..sources.kept import new_path
 from ..sources.snapshots import Snapshots
+from ..streaming import replay
 from .registry import query
 from .tables import r6, read, stream
 
@@ -68,3 +71,32 @@ def snapshot_roundtrip(spark, sf_dir):
     snapshots = Snapshots(spark)
     name = snapshots.save({"stream": stream(spark, sf_dir)})
     return snapshots.load(name)["stream"]
+
+
+@query("SELECT event_id AS t, value AS x, event_type AS label FROM events")
+def csv_roundtrip(spark, sf_dir):
+    """The stream written as CSV and read by its schema."""
+    path = new_path(spark, "csv")
+    rows = stream(spark, sf_dir)
+    files.write_csv(rows, path)
+    return files.scan_csv(spark, path, rows.schema)
+
+
+@query("SELECT (row_number() OVER (ORDER BY label) - 1)::INT AS term_idx, label AS term FROM (SELECT DISTINCT event_type AS label FROM events)")
+def terms_roundtrip(spark, sf_dir):
+    """A vocabulary written as a JSON list and read with the places of its terms."""
+    path = new_path(spark, "terms")
+    terms = stream(spark, sf_dir).agg(F.to_json(F.array_sort(F.collect_set("label"))).alias("value"))
+    terms.coalesce(1).write.text(path)
+    return files.scan_terms(spark, path)
+
+
+@query("SELECT event_id * 4 // (SELECT max(event_id) + 1 FROM events) AS batch, count(*) AS n, min(event_id) AS first, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def stream_replay(spark, sf_dir):
+    """The stream replayed in four batches, a file a trigger, and what each brought."""
+    rows, folder, out = stream(spark, sf_dir), new_path(spark, "batches"), new_path(spark, "replayed")
+    n = rows.agg(F.max("t")).first()[0] + 1
+    replay.write_batches(rows, folder, [(-(-n * k // 4), -(-n * (k + 1) // 4)) for k in range(4)])
+    replay.replay(replay.read_batches(spark, folder, rows.schema), new_path(spark, "offsets"), lambda batch, number: batch.withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(out))
+    found = spark.read.parquet(out)
+    return found.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.round(F.sum("x"), 4).alias("total"))
