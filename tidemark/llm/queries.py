@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, language, lattice, mixing, near_dup, quality, secrets, token_files, urls
+from . import conversations, decontam, factors, html_text, language, lattice, mixing, near_dup, periodic, quality, secrets, token_files, urls
 from .store import keep, new_path, small_batches
 
 
@@ -119,6 +119,22 @@ FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN r ON w.doc_id = r.a GROUP BY
 """
 
 
+def op11_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = factors.held_out(F.col("doc_id"))
+    machine = factors.train(*factors.sample(docs.where(~held), labels.where(~held)))
+    return factors.scored(docs, machine).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repaired(rows, conversations.damaged(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_secrets": op2_secrets,
@@ -130,6 +146,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_decontamination": op9_decontamination,
     "op10_near_dup": op10_near_dup,
+    "op11_factors": op11_factors,
+    "op12_periodic": op12_periodic,
+    "op13_conversations": op13_conversations,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_quality": OP4_SQL, "op8_urls": urls.SQL, "op10_near_dup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_quality": OP4_SQL, "op8_urls": urls.SQL, "op10_near_dup": OP10_SQL, "op12_periodic": periodic.SQL, "op13_conversations": conversations.SQL}
