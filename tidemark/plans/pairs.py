@@ -7,10 +7,12 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import forest as T
 from ..operators import pairs as J
+from ..operators import pivots as V
 from ..operators import prepare as P
 from .registry import query
-from .tables import points, r6, vectors
+from .tables import axes, points, r6, vectors
 
 DIST_SQL = """v AS (SELECT vec_id AS t, embedding::DOUBLE[] AS v, label FROM embeddings),
 dist AS MATERIALIZED (SELECT a.t AS i, b.t AS j, a.label AS li, b.label AS lj, list_distance(a.v, b.v) AS d FROM v a, v b)"""
@@ -69,6 +71,40 @@ def knn_plain(spark, sf_dir):
     return J.nearest(*sides(spark, sf_dir), 5, itself=False).select("i", "j", r6(F.col("d")).alias("d"))
 
 
+AXES_SQL = DIST_SQL.replace("embedding::DOUBLE[]", "embedding[1:4]::DOUBLE[]")
+
+
+@query(f"WITH {AXES_SQL} SELECT i, j, round(d, 6) AS d FROM ({ranked(extra='WHERE i <> j', k=5)})")
+def knn_pruned(spark, sf_dir):
+    """On the first four axes, by pivots and rings: most pairs of a row and a ring are ruled out unseen."""
+    rows = axes(spark, sf_dir, 4)
+    return V.nearest_pruned(rows.select(F.col("t").alias("i"), "v"), rows.select(F.col("t").alias("j"), "v"), 5, itself=False).select("i", "j", r6(F.col("d")).alias("d"))
+
+
+def by_forest(spark, sf_dir):
+    return T.nearest_by_forest(*sides(spark, sf_dir), K, itself=False, leaf=128)
+
+
+@query()
+def knn_forest(spark, sf_dir):
+    """Each vector's neighbours among those that share a leaf with it in one of ten trees."""
+    return by_forest(spark, sf_dir).select("i", "j", "d")
+
+
+@query(f"WITH {DIST_SQL} SELECT count(*) AS pairs, true AS nine_tenths_found FROM ({ranked(extra='WHERE i <> j')})")
+def knn_forest_recall(spark, sf_dir):
+    """How many pairs of exact neighbours there are, and whether the forest finds nine tenths of them."""
+    exact = J.nearest(*sides(spark, sf_dir), K, itself=False).select("i", "j")
+    found = exact.join(by_forest(spark, sf_dir).select("i", "j", F.lit(1).alias("hit")), ["i", "j"], "left")
+    return found.agg(F.count(F.lit(1)).alias("pairs"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("nine_tenths_found"))
+
+
+@query()
+def knn_settings(spark, sf_dir):
+    """Recall and cost of numbers of trees and sizes of leaves, and which is the cheapest that finds nine tenths."""
+    return T.settings(sides(spark, sf_dir)[0], K)
+
+
 @query(f"WITH {DIST_SQL} SELECT i, j, round(CASE WHEN li = lj THEN d * {ALPHA} ELSE d END, 6) AS d FROM ({ranked(extra='WHERE i <> j')})")
 def knn_graph(spark, sf_dir):
     """Each vector's neighbours; within a class the distances shrink."""
