@@ -531,3 +531,18 @@ def test_session_of_three_classes_with_lags_and_user_operations(spark):
     first = session.layout()
     assert first.count() == 240 and session.layout(["b"]).count() == 240 and len(session.layout_trace().first().x) == 2 and session.trace == []
     session.close()
+
+
+def test_moves_composed_by_tasks_are_those_one_after_another(spark):
+    """20 000 rows, of which none may be left out: each changes the means."""
+    rng = np.random.default_rng(3)
+    parts = {k: I.Part.of(rng.standard_normal(2), np.eye(2), 500.0 + k, 1000.0) for k in (2, 5)}
+    x, g = rng.standard_normal((20_000, 2)), I.gaussians([parts[2], parts[5]])
+    rows = spark.createDataFrame([(t, v.tolist()) for t, v in enumerate(x)], "order long, v array<double>").repartition(7)
+    found = I.moved(parts, rows, g.posterior)
+    expected = dict(parts)
+    for v, p in zip(x, g.posterior(x), strict=True):
+        expected = {k: I.shifted(c, v, float(q)) for (k, c), q in zip(expected.items(), p, strict=True)}
+    for k, c in expected.items():
+        assert np.allclose(found[k].mu, c.mu) and np.allclose(found[k].s, c.s) and found[k].weight == c.weight
+    assert I.moved(parts, rows.limit(0), g.posterior)[2].mu.tolist() == pytest.approx(parts[2].mu.tolist())

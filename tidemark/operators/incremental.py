@@ -8,12 +8,17 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.gaussian import Gaussians
+from .pairs import matrix
 
 
 @dataclass(frozen=True)
@@ -52,6 +57,34 @@ def shifted(c: Part, x: np.ndarray, p: float) -> Part:
     return Part.of(c.mu + (x - c.mu) * p / c.weight, c.s, c.weight, c.rows)
 
 
+def moved(parts: Mapping[int, Part], rows: DataFrame, steps: Callable[[np.ndarray], np.ndarray]) -> dict[int, Part]:
+    """``parts`` after ``shifted`` by each of ``rows(order, v)`` in their order; ``steps`` gives the rows' weights for each part.
+
+    A move takes a mean m to (1 - a) m + a x, and moves after one another are again of the form A m + B. So each task of
+    a range of the order gives A and B for each part, and only these are joined here, in the ranges' order.
+    """
+    keys = sorted(parts)
+    weights = np.array([parts[k].weight for k in keys])
+    d = len(parts[keys[0]].first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = np.ones(len(keys)), np.zeros((len(keys), d))
+        for batch in batches:
+            x = matrix(pa.table(batch))
+            if len(x):
+                share = steps(x) / weights
+                after = np.cumprod(np.concatenate([np.ones((1, len(keys))), (1 - share)[::-1]]), axis=0)
+                a, b = a * after[-1], b * after[-1][:, None] + (share * after[-2::-1]).T @ x
+        at = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([at] * len(keys), pa.int32()), pa.array(range(len(keys)), pa.int32()), pa.array(a), pa.array(b.tolist(), pa.list_(pa.float64()))], ["at", "k", "a", "b"])
+
+    ordered = rows.select(F.col("order").cast("long").alias("order"), "v").repartitionByRange("order").sortWithinPartitions("order")
+    means = [parts[k].mu for k in keys]
+    for r in sorted(ordered.mapInArrow(run, "at int, k int, a double, b array<double>").collect(), key=lambda r: r["at"]):
+        means[r["k"]] = r["a"] * means[r["k"]] + np.array(r["b"])
+    return {k: Part.of(m, parts[k].s, parts[k].weight, parts[k].rows) for k, m in zip(keys, means, strict=True)}
+
+
 def merged(a: Part, b: Part, sign: int = 1) -> Part:
     """Both as one part; with ``sign`` -1, a without b."""
     return Part(a.weight + sign * b.weight, a.first + sign * b.first, a.second + sign * b.second, a.rows)

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import DataConfig
@@ -241,17 +241,7 @@ class Session:
 
     def _moved(self, key: int, rows: DataFrame, step: float) -> None:
         """A part's mean moved by rows (order, v) one after another: each takes ``step`` of the part's weight."""
-        share = step / self.parts[key].weight
-        turn = F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("order"))) - 1
-        # After n moves the mean is (1 - a)^n of itself and a (1 - a)^(n - i) of each row.
-        weight = F.lit(share) * F.pow(F.lit(1 - share), turn)
-        placed = rows.withColumn("_key", F.lit(key)).withColumn("_w", weight)
-        d = len(self.parts[key].first)
-        sums = placed.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_w") * F.col("v")[i]).alias(f"s{i}") for i in range(d)]).first()
-        if sums["n"]:
-            c = self.parts[key]
-            mu = (1 - share) ** sums["n"] * c.mu + np.array([sums[f"s{i}"] for i in range(d)])
-            self.parts[key] = I.Part.of(mu, c.s, c.weight, c.rows)
+        self.parts |= I.moved({key: self.parts[key]}, rows, lambda x: np.full((len(x), 1), step))
 
     def merge_component(self, idx: DataFrame) -> int:
         """The selected rows become those of the component that most of them are of; returns it.
@@ -283,15 +273,11 @@ class Session:
 
     def delete_component(self, key: int) -> None:
         """A part goes; its rows move the others by their posteriors, and are assigned to the nearest ones from then on."""
-        own = self.labels().where(F.col("label") == key).join(self.rows.select("t", "v"), "t").select(F.col("t").alias("order"), "v").persist()
+        own = keep(self.labels().where(F.col("label") == key).join(self.rows.select("t", "v"), "t").select(F.col("t").alias("order"), "v"), "deleted")
         del self.parts[key]
-        g = self._gaussians()
-        rows = own.orderBy("order").limit(IN_ORDER).collect()  # few: larger parts are not deleted by merges
-        for r in rows:
-            x = np.array([r["v"]])
-            for k, p in zip(g.keys, g.posterior(x)[0], strict=True):
-                self.parts[k] = I.shifted(self.parts[k], x[0], float(p))
-        own.unpersist()
+        g = self._gaussians()  # its keys are in the order of the parts
+        self.parts = I.moved(self.parts, own, g.posterior)
+        drop(own)
         if self.forced is not None:
             self.forced = self.forced.where(F.col("label") != key)
 
