@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import forest, pairs, pivots
+from tidemark.operators import drift, forest, pairs, pivots
+from tidemark.streaming import sliding
 
 
 def table(spark, x, name):
@@ -75,3 +76,40 @@ def test_the_cheapest_setting_above_the_recall_is_chosen(spark, clusters):
     chosen = [r for r in found if r.chosen]
     assert len(chosen) == 1 and chosen[0].recall >= 0.9
     assert chosen[0].cost == min(r.cost for r in found if r.recall >= 0.9)
+
+
+@pytest.mark.parametrize("sent", [pairs.SENT, 0])
+def test_neighbours_on_one_axis_with_ties_and_nulls(spark, sent):
+    rng = np.random.default_rng(4)
+    values, labels = np.round(rng.standard_normal(500), 1), rng.choice(["a", "b", "c"], 500)
+    rows = [(t, float(x), str(c)) for t, (x, c) in enumerate(zip(values, labels, strict=True))]
+    extra = [(900, None, "a"), (901, float("nan"), "a"), (902, 1.0, None), (903, 1.0, "only here")]
+    table = spark.createDataFrame(rows + extra, "t long, x double, label string").repartition(3)
+    trained = table.where("t % 4 = 0 or t = 900 or t = 902")
+    expected = []
+    for t, x, c in rows:
+        own = sorted((abs(x - y), u) for u, y, e in rows if u % 4 == 0 and e == c)
+        expected += [(t, c, u, round(d, 9)) for d, u in own[:6]]
+    found = pairs.nearest_of_label(table, trained, 6, sent=sent)
+    assert sorted((r.i, r.label, r.j, round(r.d, 9)) for r in found.collect()) == sorted(expected)
+    assert pairs.nearest_of_label(table, trained.limit(0), 6, sent=sent).count() == 0
+
+
+def test_followed_windows_are_those_of_the_batch_plan(spark):
+    """On two axes, row by row, with the state written and read again every few rows."""
+    rng = np.random.default_rng(5)
+    rows = [(t, [float(a), float(b)], rng.choice(["a", "b", "c"])) for t, (a, b) in enumerate(rng.standard_normal((120, 2)))]
+    rows = [(t, v, str(c)) for t, v, c in rows]
+    table = spark.createDataFrame(rows, "t long, v array<double>, label string")
+    trained = table.where("t < 40 and label != 'c'")
+    expected = {r.t: r.drift for r in drift.sliding(table, trained, 12, 3).collect()}
+    near = {r.t: [[n.j, list(n.v)] for n in r.near] for r in sliding.with_near(table, trained, 3).collect()}
+    found, followed = dict.fromkeys(range(120), 0.0), {c: sliding.Followed(12) for c in "abc"}
+    for t, v, c in [*rows, *[(119, None, c) for c in "abc"]]:
+        for s, e, score in followed[c].on(t, v, near.get(t)):
+            for k in range(s, e):
+                found[k] += score / 12
+        if t % 7 == 0:
+            followed[c] = sliding.Followed(12, followed[c].dump())
+    assert sorted(expected) == list(range(11, 120))
+    assert all(found[t] == pytest.approx(expected[t], abs=1e-9) for t in expected)

@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.kept import keep
+from .ordered import ranked
+
 #: Rows of a block.
 BLOCK = 2048
 #: Distances that a task makes at a time.
@@ -113,13 +116,70 @@ def _counted(rows: DataFrame, keys: list[str], name: str, block: int) -> DataFra
     return rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
 
 
-def nearest_of_label(rows: DataFrame, trained: DataFrame, k: int, block: int = 0) -> DataFrame:
-    """(i, label, j, d): for each row of ``rows(t, v, label)`` the k nearest of ``trained(t, v, label)`` of its label, ties by t.
-
-    A row of ``trained`` is its own nearest. All are taken where a label has k or fewer. A label's rows of both sides
-    are dealt into blocks by their numbers, so a large label is many tasks' and training rows may be as many as they like.
+#: Training rows on one axis that are sent to all tasks at most: 16 bytes each.
+SENT = 1 << 20
+
+
+def _sent_on_axis(rows: DataFrame, trained: DataFrame, k: int) -> DataFrame:
+    """``nearest_of_label`` on one axis where all training rows fit in every task: two searches in sorted arrays, no shuffle."""
+    table = trained.select("label", "x", "t").where("label is not null and x is not null and not isnan(x)").toArrow()
+    names, xs, ts = np.array(table.column("label").to_pylist(), object), table.column("x").to_numpy(), table.column("t").to_numpy()
+    sides = {}
+    for label in set(names.tolist()):
+        own = np.flatnonzero(names == label)
+        up, down = own[np.lexsort((ts[own], xs[own]))], own[np.lexsort((-ts[own], xs[own]))]
+        sides[label] = xs[up], ts[up], ts[down]
+    schema = pa.schema([("i", pa.int64()), ("label", table.schema.field("label").type), ("j", pa.int64()), ("d", pa.float64())])
+
+    def run(batches):
+        for batch in batches:
+            labels = np.array(batch.column("label").to_pylist(), object)
+            x, t = batch.column("x").to_numpy(zero_copy_only=False).astype(float), batch.column("t").to_numpy(zero_copy_only=False)
+            for label in set(labels.tolist()) & sides.keys():
+                at = np.flatnonzero((labels == label) & np.isfinite(x))
+                value, up, down = sides[label]
+                place = np.searchsorted(value, x[at])
+                # Above in the order of (x, t); below from the last on, where the later of equal ones stand first.
+                where = place[:, None] + np.concatenate([np.arange(k), -1 - np.arange(k)])
+                ok = (where >= 0) & (where < len(value))
+                where = np.clip(where, 0, len(value) - 1)
+                j = np.where(np.arange(2 * k) < k, up[where], down[where])
+                d = np.where(ok, np.abs(x[at][:, None] - value[where]), np.inf)
+                order = np.lexsort((j, d), axis=1)[:, :k]
+                d, j = np.take_along_axis(d, order, 1), np.take_along_axis(j, order, 1)
+                r, c = np.nonzero(np.isfinite(d))
+                yield pa.RecordBatch.from_arrays([pa.array(t[at][r]), pa.array([label] * len(r), schema.field("label").type), pa.array(j[r, c]), pa.array(d[r, c])], schema=schema)
+
+    return rows.select("t", "x", "label").mapInArrow(run, f"i long, label {rows.schema['label'].dataType.simpleString()}, j long, d double")
+
+
+def _ranked_on_axis(rows: DataFrame, trained: DataFrame, k: int) -> DataFrame:
+    """``nearest_of_label`` on one axis for any number of training rows: they are numbered in order, a row's place among them comes
+    from one sort of both sides, and it is joined with the k numbers above and the k below. All shuffles are linear in the rows."""
+    trained = keep(trained.where("label is not null and x is not null and not isnan(x)"), "trained")
+    both = rows.where("label is not null and x is not null and not isnan(x)").withColumn("_side", F.lit(0)).unionByName(trained.withColumn("_side", F.lit(1)))
+    placed = keep(ranked(keep(both, "both"), ["label"], ["x", "_side", "t"], {"_n": (F.col("_side") == 1).cast("long")}), "placed")
+    of = lambda df, n: df.select(F.col("label").alias("label"), F.col(n).alias("_at"), F.col("t").alias("j"), F.col("x").alias("_x"))
+    up = of(placed.where("_side = 1"), "_n")
+    down = of(ranked(trained.withColumn("_u", -F.col("t")), ["label"], ["x", "_u"], {"_n": F.lit(1).cast("long")}), "_n")
+    mine = placed.where("_side = 0").select(F.col("t").alias("i"), "label", "x", "_n")
+    above = mine.withColumn("_at", F.explode(F.sequence(F.col("_n") + 1, F.col("_n") + k))).join(up, ["label", "_at"])
+    below = mine.withColumn("_at", F.explode(F.sequence(F.col("_n") - k + 1, F.col("_n")))).join(down, ["label", "_at"])
+    found = above.unionByName(below).select("i", "label", "j", F.abs(F.col("x") - F.col("_x")).alias("d"))
+    return found.withColumn("_rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("_rank") <= k).drop("_rank")
+
+
+def nearest_of_label(rows: DataFrame, trained: DataFrame, k: int, block: int = 0, sent: int = SENT) -> DataFrame:
+    """(i, label, j, d): for each row of ``rows(t, v or x, label)`` the k nearest of ``trained(t, v or x, label)`` of its label, ties by t.
+
+    A row of ``trained`` is its own nearest. All are taken where a label has k or fewer. On one axis (x on both sides) they
+    stand beside each other in order, so nothing is paired. On several a label's rows of both sides are dealt into blocks
+    by their numbers, so a large label is many tasks' and training rows may be as many as they like.
     """
     block = block or BLOCK
+    if "x" in rows.columns and "x" in trained.columns:
+        rows, trained = (df.select(F.col("t").cast("long").alias("t"), F.col("x").cast("double").alias("x"), F.col("label").alias("label")) for df in (rows, trained))
+        return (_sent_on_axis if trained.limit(sent + 1).count() <= sent else _ranked_on_axis)(rows, trained, k)
     # Columns of their own, if both come from one table.
     rows, trained = (vectors(df).select(F.col("t").cast("long").alias("t"), F.col("v").alias("v"), F.col("label").alias("label")) for df in (rows, trained))
     counts = _counted(rows, ["label"], "_n", block).join(_counted(trained, ["label"], "_m", block), "label")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import drift as D
 from ..operators import pairs as J
 from ..operators import prepare as P
+from ..sources.kept import keep, new_path
+from ..streaming import replay, sliding
 from .registry import query
 from .tables import CHUNK, STREAM_SQL, TRAINED, WINDOW, models_idx, r6, read, stream, vectors
 
@@ -70,6 +72,21 @@ def drift_sliding(spark, sf_dir):
     return D.sliding(rows, trained(rows), WINDOW, K).select("t", r6(F.col("drift")).alias("drift"))
 
 
+@query(f"WITH {SLIDING_SQL} SELECT t, round(drift, 6) + 0.0::DOUBLE AS drift FROM drift")
+def drift_stream(spark, sf_dir):
+    """The same from a stream: four batches, each label's window as state, and a restart from the checkpoint after the second."""
+    rows = keep(sliding.with_near(stream(spark, sf_dir), trained(stream(spark, sf_dir)), K), "near")
+    low, high = rows.agg(F.min("t"), F.max("t")).first()
+    cuts = [low + (high + 1 - low) * k // 4 for k in range(5)]
+    bounds = list(zip(cuts[:-1], cuts[1:], strict=True))
+    marked, source, sink, checkpoint = sliding.with_marks(rows, bounds), new_path(spark, "batches"), new_path(spark, "stretches"), new_path(spark, "checkpoint")
+    for some in (bounds[:2], bounds[2:]):
+        replay.write_batches(marked, source, some)
+        found = sliding.follow_windows(replay.read_batches(spark, source, marked.schema), WINDOW)
+        found.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return sliding.drift_of(spark.read.parquet(sink), WINDOW, low).select("t", r6(F.col("drift")).alias("drift"))
+
+
 @query(
     f"""WITH {near_sql()}, iv AS (SELECT j, label, min(i) AS s, max(i) + {WINDOW} - 1 AS e FROM (SELECT *, sum(gap) OVER (PARTITION BY j ORDER BY i) AS island FROM (SELECT j, label, i, CASE WHEN i > lag(i) OVER (PARTITION BY j ORDER BY i) + {WINDOW} - 1 THEN 1 ELSE 0 END AS gap FROM near)) GROUP BY j, label, island) SELECT j, label, s, e FROM iv"""
 )
