@@ -19,6 +19,7 @@ from ..sources.kept import drop, keep
 from .mixture import moments
 from .pairs import dealt, nearest
 from .prepare import last_rows, with_stats
+from .quadtree import repulsion_by_tree
 
 
 def bandwidths(near: DataFrame, perplexity: float, steps: int = 100, close: float = 1e-5) -> DataFrame:
@@ -102,9 +103,9 @@ def gradient(edges: DataFrame, at: DataFrame, repel=repulsion) -> DataFrame:
     return away.join(near, "i", "left").select("i", (F.coalesce("fx", F.lit(0.0)) - F.col("rx")).alias("gx"), (F.coalesce("fy", F.lit(0.0)) - F.col("ry")).alias("gy"))
 
 
-def kl_error(edges: DataFrame, at: DataFrame, small: float = 1e-12) -> DataFrame:
+def kl_error(edges: DataFrame, at: DataFrame, small: float = 1e-12, repel=repulsion) -> DataFrame:
     """(error): the sum of p * log(p / q) over edges, q over the sum of all q."""
-    total = repulsion(at).agg(F.sum("q").alias("_z"))
+    total = repel(at).agg(F.sum("q").alias("_z"))
     q = F.col("q") / F.col("_z")
     return _placed(edges, at).join(F.broadcast(total)).agg(F.sum(F.col("p") * F.log((F.col("p") + small) / (q + small))).alias("error"))
 
@@ -158,10 +159,9 @@ def fitted(points: DataFrame, perplexity: float = 30.0, rounds: int = 300) -> Da
     return points.select("t", "v", F.lit(1).alias("_all")).groupBy("_all").applyInPandas(run, "t long, x double, y double")
 
 
-def moved(edges: DataFrame, state: DataFrame, pull: float, momentum: float, rate: float, repel=repulsion) -> DataFrame:
-    """One round of a layout as a job: state(t, x, y, sx, sy, gx, gy) of positions, last steps and gains, along the gradient at the positions."""
-    g = gradient(edges.withColumn("p", F.col("p") * pull), state.select("t", "x", "y"), repel).toDF("i", "_dx", "_dy")
-    wide = state.join(g, F.col("t") == F.col("i"))
+def stepped(state: DataFrame, g: DataFrame, momentum: float, rate: float) -> DataFrame:
+    """state(t, x, y, sx, sy, gx, gy) of positions, last steps and gains after a step along a gradient (i, gx, gy)."""
+    wide = state.join(g.toDF("i", "_dx", "_dy"), F.col("t") == F.col("i"))
     gain = lambda a: F.greatest(F.when(F.col(f"s{a}") * F.col(f"_d{a}") < 0, F.col(f"g{a}") + 0.2).otherwise(F.col(f"g{a}") * 0.8), F.lit(0.01))
     wide = wide.withColumns({f"_g{a}": gain(a) for a in "xy"})
     wide = wide.withColumns({f"_s{a}": momentum * F.col(f"s{a}") - rate * F.col(f"_g{a}") * 4 * F.col(f"_d{a}") for a in "xy"})
@@ -169,11 +169,21 @@ def moved(edges: DataFrame, state: DataFrame, pull: float, momentum: float, rate
     return wide.select("t", place("x").alias("x"), place("y").alias("y"), F.col("_sx").alias("sx"), F.col("_sy").alias("sy"), F.col("_gx").alias("gx"), F.col("_gy").alias("gy"))
 
 
-def fitted_in_rounds(points: DataFrame, perplexity: float = 30.0, rounds: int = 100, repel=repulsion) -> DataFrame:
+def moved(edges: DataFrame, state: DataFrame, pull: float, momentum: float, rate: float, repel=repulsion_by_tree) -> DataFrame:
+    """One round of a layout as a job, along the gradient at the positions."""
+    return stepped(state, gradient(edges.withColumn("p", F.col("p") * pull), state.select("t", "x", "y"), repel), momentum, rate)
+
+
+def resting(at: DataFrame) -> DataFrame:
+    """The state of positions at(t, x, y) that have not moved yet."""
+    return at.select("t", "x", "y", *[F.lit(v).alias(c) for c, v in (("sx", 0.0), ("sy", 0.0), ("gx", 1.0), ("gy", 1.0))])
+
+
+def fitted_in_rounds(points: DataFrame, perplexity: float = 30.0, rounds: int = 100, repel=repulsion_by_tree) -> DataFrame:
     """(t, x, y) of points(t, v) as ``fitted``, with each round a job over all points: no task and not the driver holds a layout.
 
     Neighbours are three times the perplexity's, their probabilities are found once; each round is written and the one before deleted.
-    ``repel``: ``repulsion`` over all pairs, or ``repulsion_by_cells``.
+    ``repel``: ``repulsion_by_tree``, or ``repulsion`` over all pairs.
     """
     n = points.count()
     a, b = points.select(F.col("t").alias("i"), "v"), points.select(F.col("t").alias("j"), "v")
@@ -183,8 +193,7 @@ def fitted_in_rounds(points: DataFrame, perplexity: float = 30.0, rounds: int =
     axes = main_axes(points.select("t", *[F.col("v")[k].alias(f"v{k}") for k in range(d)]), [f"v{k}" for k in range(d)])
     wide = with_stats(axes, F.stddev_pop("x").alias("_sd"))
     scale = F.when(F.col("_sd") > 0, 1e-4 / F.col("_sd")).otherwise(1e-4)
-    zero, one = F.lit(0.0), F.lit(1.0)
-    state = keep(wide.select("t", (F.col("x") * scale).alias("x"), (F.col("y") * scale).alias("y"), zero.alias("sx"), zero.alias("sy"), one.alias("gx"), one.alias("gy")), "state")
+    state = keep(resting(wide.select("t", (F.col("x") * scale).alias("x"), (F.col("y") * scale).alias("y"))), "state")
     for k in range(rounds):
         early = k < rounds // 4
         before, state = state, keep(moved(edges, state, 12.0 if early else 1.0, 0.5 if early else 0.8, max(n / 12.0, 50.0), repel), "state")
@@ -250,28 +259,33 @@ def kernel_anchored(v: np.ndarray, start: np.ndarray, anchors: np.ndarray, at: n
     return y
 
 
-def continued(points: DataFrame, placed: DataFrame, perplexity: float = 30.0, rounds: int = 500, blend: float = BLEND) -> DataFrame:
-    """(t, x, y) of points(t, v, label), of which placed(t, x, y) has the old ones.
-
-    New rows begin at their nearest old one among the last ACTIVE; these move with them, older ones stay. Sampled rows among
-    them (half, ANCHORS at most) and the labels' means are anchors; a mean weighs the root of its rows. A task gets the rows that move and
-    the anchors, not the whole layout.
-    """
+def _begun(points: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of points(t, v, label) and the old ones' placed(t, x, y): the last ACTIVE old ones, all that move (t, v, x, y), and the anchors (v, x, y, w)."""
     old = points.join(placed.select("t", "x", "y"), "t")
     active = last_rows(old, ACTIVE)
     new = points.join(placed.select("t"), "t", "left_anti")
     near = nearest(new.select(F.col("t").alias("i"), "v"), active.select(F.col("t").alias("j"), "v"), 1).select("i", "j")
     begun = new.join(near, F.col("t") == F.col("i")).join(active.select(F.col("t").alias("j"), "x", "y"), "j").select("t", "v", "x", "y")
     n = active.count()
-    sampled = active.orderBy(F.xxhash64(F.lit(42), "t"), "t").limit(min(n // 2, ANCHORS))
     few = min(n // 2, ANCHORS)
+    sampled = active.orderBy(F.xxhash64(F.lit(42), "t"), "t").limit(few)
     one = (ANCHORS / (max(few, 1) / 2)) ** 0.13 if few < ANCHORS else 1.0
     d = len(points.first()["v"])
     mean = F.array(*[F.avg(F.col("v")[i]) for i in range(d)])
     labels = old.groupBy("label").agg(mean.alias("v"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.sqrt(F.count(F.lit(1))).alias("w"))
     held = sampled.select("v", "x", "y", F.lit(one).alias("w")).union(labels.select("v", "x", "y", "w"))
-    moving = active.select("t", "v", "x", "y", F.lit(None).cast("double").alias("w")).union(begun.select("t", "v", "x", "y", F.lit(None).cast("double")))
-    both = moving.union(held.select(F.lit(None).cast("long"), "v", "x", "y", "w"))
+    return active, active.select("t", "v", "x", "y").union(begun), held
+
+
+def continued(points: DataFrame, placed: DataFrame, perplexity: float = 30.0, rounds: int = 500, blend: float = BLEND) -> DataFrame:
+    """(t, x, y) of points(t, v, label), of which placed(t, x, y) has the old ones.
+
+    New rows begin at their nearest old one among the last ACTIVE; these move with them, older ones stay. Sampled rows among
+    them (half, ANCHORS at most) and the labels' means are anchors; a mean weighs the root of its rows. A task gets the rows that move and
+    the anchors, not the whole layout; ``continued_in_rounds`` is for any number of new rows.
+    """
+    active, moving, held = _begun(points, placed)
+    both = moving.withColumn("w", F.lit(None).cast("double")).union(held.select(F.lit(None).cast("long"), "v", "x", "y", "w"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         mine = rows["w"].isna().to_numpy()
@@ -283,6 +297,86 @@ def continued(points: DataFrame, placed: DataFrame, perplexity: float = 30.0, ro
     return placed.select("t", "x", "y").join(active.select("t"), "t", "left_anti").union(moved)
 
 
+def probabilities(rows: DataFrame, perplexity: float, k: int) -> DataFrame:
+    """(i, j, p): symmetric probabilities of each of rows(t, v) and its k nearest others."""
+    a, b = rows.select(F.col("t").alias("i"), "v"), rows.select(F.col("t").alias("j"), "v")
+    near = keep(nearest(a, b, k, itself=False).select("i", "j", (F.col("d") * F.col("d")).alias("d")), "near")
+    return keep(symmetrized(conditional(near, bandwidths(near, perplexity).select("i", "beta"))), "edges")
+
+
+def anchor_edges(moving: DataFrame, held: DataFrame, perplexity: float, k: int) -> DataFrame:
+    """(i, j, p, xj, yj): shares of each of moving(t, v) and its k nearest anchors held(a, v, x, y, w), times the anchors' weights; all together 1."""
+    near = keep(nearest(moving.select(F.col("t").alias("i"), "v"), held.select(F.col("a").alias("j"), "v"), k).select("i", "j", (F.col("d") * F.col("d")).alias("d")), "near")
+    return weighed(conditional(near, bandwidths(near, perplexity).select("i", "beta")), held)
+
+
+def weighed(p: DataFrame, held: DataFrame) -> DataFrame:
+    """(i, j, p, xj, yj): shares p(i, j, p) of anchors times their weights, over the sum of all."""
+    found = p.join(F.broadcast(held.select(F.col("a").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), "w")), "j").withColumn("p", F.col("p") * F.col("w"))
+    found = keep(found.select("i", "j", "p", "xj", "yj"), "weighed")
+    return keep(with_stats(found, F.sum("p").alias("_all")).withColumn("p", F.col("p") / F.col("_all")).drop("_all"), "anchor_edges")
+
+
+def anchored_gradient(edges: DataFrame, held: np.ndarray, at: DataFrame) -> DataFrame:
+    """(i, gx, gy) at positions at(t, x, y): pulled along ``edges`` of ``anchor_edges``, pushed by all anchors (rows of x, y, weight), as ``anchored`` without its factor of 4.
+
+    Anchors are ANCHORS rows and one a label, so they are sent to all tasks; the pushes' sum over all points is one number of a job.
+    """
+
+    def push(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in "xy"], axis=1)
+            step = max(1, (1 << 20) // max(1, len(held)))
+            for k in range(0, len(y), step):
+                way = y[k : k + step, None] - held[None, :, :2]
+                q = 1 / (1 + (way**2).sum(axis=2))
+                f = ((q * q * held[:, 2])[..., None] * way).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("t").slice(k, step), pa.array((q * held[:, 2]).sum(axis=1)), pa.array(f[:, 0]), pa.array(f[:, 1])], ["i", "z", "rx", "ry"])
+
+    away = keep(at.select("t", "x", "y").mapInArrow(push, "i long, z double, rx double, ry double"), "pushes")
+    way = edges.join(at.toDF("i", "xi", "yi"), "i").withColumn("dx", F.col("xi") - F.col("xj")).withColumn("dy", F.col("yi") - F.col("yj"))
+    f = F.col("p") / (1 + F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    pull = way.groupBy("i").agg(F.sum(f * F.col("dx")).alias("fx"), F.sum(f * F.col("dy")).alias("fy"))
+    both = with_stats(away, F.sum("z").alias("_z")).join(pull, "i", "left")
+    return both.select("i", *[(F.coalesce(f"f{a}", F.lit(0.0)) - F.col(f"r{a}") / F.col("_z")).alias(f"g{a}") for a in "xy"])
+
+
+def continued_in_rounds(points: DataFrame, placed: DataFrame, perplexity: float = 30.0, rounds: int = 500, blend: float = BLEND, stale: int = 100, k: int = 0, repel=repulsion_by_tree) -> DataFrame:
+    """``continued`` with each round as jobs over the rows that move, however many: forces along edges to the k nearest (three times
+    the perplexity if 0) rows and anchors, repulsion by the tree, pushes of all anchors; every tenth round the error, until it has not improved for ``stale`` rounds.
+    """
+    active, moving, held = _begun(points, placed)
+    moving = keep(moving, "moving")
+    held = held.orderBy("w", "x", "y").toPandas()  # ANCHORS rows and one a label
+    anchors = points.sparkSession.createDataFrame([(a, [float(z) for z in r.v], float(r.x), float(r.y), float(r.w)) for a, r in enumerate(held.itertuples())], "a long, v array<double>, x double, y double, w double")
+    n, k = moving.count(), k or int(3 * perplexity)
+    of = lambda m: min(perplexity, max((m - 1) / 3, 1.0))
+    edges = probabilities(moving.select("t", "v"), of(n), min(k, max(n - 1, 1)))
+    ties = anchor_edges(moving.select("t", "v"), anchors, of(len(held)), min(k, len(held)))
+    fixed = held[["x", "y", "w"]].to_numpy(float)
+    state = keep(resting(moving), "state")
+    best, least, since = state, np.inf, 0
+    for turn in range(rounds):
+        at = state.select("t", "x", "y")
+        if turn % 10 == 0:
+            error = kl_error(edges, at, repel=repel).first()["error"]
+            if error < least:
+                if best is not state:
+                    drop(best)
+                best, least, since = state, error, 0
+            else:
+                since += 10
+            if since >= stale:
+                break
+        own, ties_g = gradient(edges, at, repel), anchored_gradient(ties, fixed, at).toDF("i", "ax", "ay")
+        g = own.join(ties_g, "i").select("i", *[((1 - blend) * F.col(f"g{a}") + blend * F.col(f"a{a}")).alias(f"g{a}") for a in "xy"])
+        before, state = state, keep(stepped(state, g, 0.5 if turn < 250 else 0.8, max(n / 12.0, 50.0)), "state")
+        if before is not best:
+            drop(before)
+    last = best if since >= stale else state
+    return placed.select("t", "x", "y").join(active.select("t"), "t", "left_anti").union(last.select("t", "x", "y"))
+
+
 def main_axes(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(t, x, y): rows on the two main axes of some columns, from one pass of sums over all rows; an axis's largest part is positive."""
     v = F.array(*[F.col(f"`{c}`").cast("double") for c in columns])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import layout as L
 from ..operators import pairs as J
 from ..operators import prepare as P
+from ..operators import quadtree as Q
 from ..sources.kept import keep
 from .pairs import DIST_SQL, ranked, sides
 from .registry import query
@@ -109,10 +110,47 @@ def kmeans_local(spark, sf_dir):
     return L.kmeans(points(spark, sf_dir), 5, 2)
 
 
+#: Rounds of the layouts below: a round is a few jobs over all points.
+ROUNDS = 5
+
+
 @query()
 def tsne_layout(spark, sf_dir):
-    """The fitted layout of the points."""
-    return L.fitted(vectors(spark, sf_dir), rounds=100)
+    """The first rounds of the points' layout, each a job over all points, with repulsion by the tree."""
+    return L.fitted_in_rounds(vectors(spark, sf_dir), rounds=ROUNDS)
+
+
+@query(f"WITH {P_SQL} SELECT i, round(sum(q), 6) AS q, round(sum(q * q * dx), 6) + 0.0::DOUBLE AS fx, round(sum(q * q * dy), 6) + 0.0::DOUBLE AS fy FROM allq GROUP BY 1")
+def tree_exact(spark, sf_dir):
+    """Repulsion by the tree's cells and leaves as tables, with nothing far enough to count as its mean: the exact sums."""
+    found = Q.repulsion_by_tree(positions(spark, sf_dir), theta=0.0, leaf=64, sent=0)
+    return found.select("i", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("q", "fx", "fy")])
+
+
+@query(f"WITH {P_SQL} SELECT count(DISTINCT i) AS n, true AS within_a_hundredth FROM allq")
+def tree_error(spark, sf_dir):
+    """Whether no force by the tree at the usual angle is off the exact one by over a hundredth of their mean."""
+    at = positions(spark, sf_dir)
+    both = Q.repulsion_by_tree(at).join(L.repulsion(at).toDF("i", "q2", "fx2", "fy2"), "i")
+    off, size = F.hypot(F.col("fx") - F.col("fx2"), F.col("fy") - F.col("fy2")), F.hypot("fx2", "fy2")
+    return both.agg(F.count(F.lit(1)).alias("n"), (F.max(off) <= 0.01 * F.avg(size)).alias("within_a_hundredth"))
+
+
+ANCHOR_SQL = f"""{P_SQL}, h AS (SELECT a.t AS a, a.v, p.x, p.y, 1.0::DOUBLE + a.t % 3 AS w FROM v a JOIN pos p USING (t) WHERE a.t % 25 = 0),
+hd AS (SELECT m.t AS i, h.a AS j, h.x AS xj, h.y AS yj, h.w, list_distance(m.v, h.v) ** 2 AS d FROM v m, h), hs AS (SELECT *, exp(-0.1 * d) / sum(exp(-0.1 * d)) OVER (PARTITION BY i) * w AS p0 FROM hd),
+hw AS (SELECT i, p0 / sum(p0) OVER () AS p, w, pos.x - xj AS dx, pos.y - yj AS dy, 1 / (1 + (pos.x - xj) ** 2 + (pos.y - yj) ** 2) AS q FROM hs JOIN pos ON i = pos.t)"""
+
+
+@query(f"WITH {ANCHOR_SQL} SELECT i, round(sum((p - q * w / (SELECT sum(q * w) FROM hw)) * q * dx), 9) + 0.0::DOUBLE AS gx, round(sum((p - q * w / (SELECT sum(q * w) FROM hw)) * q * dy), 9) + 0.0::DOUBLE AS gy FROM hw GROUP BY 1")
+def anchored_force(spark, sf_dir):
+    """Pulls and pushes of weighted anchors, every 25th vector, on all vectors."""
+    rows, at = vectors(spark, sf_dir).select("t", "v"), positions(spark, sf_dir)
+    held = rows.join(at, "t").where("t % 25 = 0").select(F.col("t").alias("a"), "v", "x", "y", (1.0 + F.col("t") % 3).alias("w"))
+    near = J.nearest(rows.select(F.col("t").alias("i"), "v"), held.select(F.col("a").alias("j"), "v"), held.count()).select("i", "j", (F.col("d") * F.col("d")).alias("d"))
+    p = L.conditional(near, rows.select(F.col("t").alias("i"), F.lit(0.1).alias("beta")))
+    ties = L.weighed(p, held)
+    found = L.anchored_gradient(ties, held.select("x", "y", "w").toPandas().to_numpy(float), at)
+    return found.select("i", *[(F.round(c, 9) + F.lit(0.0)).alias(c) for c in ("gx", "gy")])
 
 
 @query(
@@ -133,5 +171,5 @@ def layout_scaled(spark, sf_dir):
 def layout_steps(spark, sf_dir):
     """(t, x, y): a layout of the first four fifths, and where all lie once the others have come."""
     rows = P.with_stats(vectors(spark, sf_dir), F.count(F.lit(1)).alias("n"))
-    first = keep(L.fitted(rows.where("t * 5 < n * 4").select("t", "v"), rounds=50), "layout")
-    return L.continued(rows.select("t", "v", "label"), first, rounds=50)
+    first = keep(L.fitted_in_rounds(rows.where("t * 5 < n * 4").select("t", "v"), rounds=ROUNDS), "layout")
+    return L.continued_in_rounds(rows.select("t", "v", "label"), first, rounds=ROUNDS)
