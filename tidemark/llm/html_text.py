@@ -8,21 +8,23 @@ The pages of a host are merged into one tree of element nodes, each known by its
 * its presentation: the entropy of its forms (sequences of children) over pages;
 * its volume: the mean share of a page's text that it holds, less most of that if its text is links.
 
-Content and presentation are drawn to 1 and 1/2 where m is small. The importance is CONTENT, STYLE and VOLUME parts
-of the three. It is multiplied by a prior of the element's name: NOISE for menus, adverts, comments and the like,
-MAIN in an article or main element, 1 for others; what is below LEAST is removed from each page. So a name
-alone removes nothing: a node named as noise stays if its text doesn't repeat, its form varies and it holds most of
-the text, and one without such a name goes if it repeats. A name that tells noise doesn't count for an element that
-has WRAPS of the page's own text. A single text is judged as a node is, by the pages of its node that have it,
-so a notice goes that all pages have among other paragraphs.
+Content and presentation are drawn to 1 and 1/2 where m is small. The importance of a container (div, section, nav and
+the like, and what has a name like theirs) is CONTENT, STYLE and VOLUME parts of the three, that of an element of running
+text (headings, paragraphs, lists, tables) comes from its content alone: a heading is short everywhere. What is below LEAST is removed from each page.
+The names of elements are a weak prior: NOISE for those of menus, adverts, comments and the like, MAIN in an article or
+main element, 1 for others. So no name removes anything by itself, and small containers go whose form is the same on
+all pages, whatever they are called. A name that tells noise doesn't count for an element that has WRAPS of
+the page's own text. A single text is judged as an element of text is, by the pages of its node that have it, so a notice
+goes that all pages have among other paragraphs.
 
 Elements nested deeper than DEPTH become siblings there, as in browsers. The tree holds one row a node; only
-the importance of removed or named nodes and of removed texts is passed on, in memory where that is little and else by a join
-on the host.
+the importance of removed or named nodes and of removed texts is passed on: in memory where that is little, and else each page
+gets that of its own nodes and texts by a join.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterable, Iterator
@@ -34,8 +36,10 @@ from pyspark.sql import functions as F
 
 from .store import join_groups, keep
 
-CONTENT, STYLE, VOLUME = 0.6, 0.2, 0.2
-NOISE, MAIN, LEAST, SMALL = 0.33, 2.0, 0.3, 5.0
+CONTENT, STYLE, VOLUME = 0.4, 0.2, 0.4
+NOISE, MAIN, LEAST, SMALL = 0.6, 2.0, 0.5, 5.0
+#: The content below which an element of running text, or a single text, goes.
+REPEATED = 0.3
 #: How much of a node's importance goes if all its text is links.
 LINKED = 0.75
 #: The share of a page's text that a menu, advert or the like doesn't have.
@@ -46,13 +50,14 @@ DEPTH = 512
 HELD_BRANCHES = 100_000
 
 # Names of HTML elements, and words of classes and roles.
-NOISE_TAGS = frozenset("nav footer aside form menu dialog button select textarea iframe object embed".split())
-RAW_TAGS = frozenset("script style noscript template svg title textarea iframe select".split())
+NOISE_TAGS = frozenset("nav footer aside form menu dialog".split())
+RAW_TAGS = frozenset("script style noscript template svg title textarea iframe select button label datalist object audio video canvas".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK_TAGS = frozenset(
     "html body head address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 MAIN_TAGS = frozenset(["article", "main"])
+CONTAINERS = frozenset("html body article aside details dialog dir div fieldset figure footer form header main menu nav search section".split())
 #: Words that tell noise as the last word of a class or role, words that do so anywhere in it, and words that say nothing.
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising alert aside banner banners breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies copyright dialog disqus footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted recommended related replies search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar widget".split()
@@ -123,6 +128,7 @@ class Page:
                 node.parent.links += node.links
 
     def _read(self, page: str) -> None:
+        ends: dict[str, list[tuple[int, int]]] = {}
         stack: list[Node] = []
         held: list[str] = []
         at = linked = mains = 0
@@ -168,7 +174,7 @@ class Page:
             tag = tag.lower()
             if not closing and tag in RAW_TAGS:
                 if not attributes.endswith("/"):
-                    at = self._after_raw(page, at, tag, stack)
+                    at = self._after_raw(page, at, tag, stack, ends)
                 continue
             if tag == "a":
                 link = None if closing else len(stack)
@@ -208,11 +214,13 @@ class Page:
         flush()
 
     @staticmethod
-    def _after_raw(page: str, at: int, tag: str, stack: list[Node]) -> int:
-        """Where an element of raw text ends; one that is never closed ends with an element around it."""
-        end = re.compile(f"</{re.escape(tag)}(?![^\\s/>])", re.I).search(page, at)
-        if end is not None:
-            return page.find(">", end.end()) + 1 or len(page)
+    def _after_raw(page: str, at: int, tag: str, stack: list[Node], ends: dict[str, list[tuple[int, int]]]) -> int:
+        """Where an element of raw text ends; one that is never closed ends with an element around it. ``ends``: the closing tags of each name, looked for once a page."""
+        if tag not in ends:
+            ends[tag] = [(m.start(), m.end()) for m in re.finditer(f"</{re.escape(tag)}(?![^\\s/>])", page, re.I)]
+        k = bisect.bisect_left(ends[tag], (at, at))
+        if k < len(ends[tag]):
+            return page.find(">", ends[tag][k][1]) + 1 or len(page)
         around = "|".join(sorted({re.escape(x.tag) for x in stack}))
         end = re.compile(f"</(?:{around})(?![^\\s/>])", re.I).search(page, at) if around else None
         return len(page) if end is None else end.start()
@@ -310,7 +318,8 @@ def _trees(counts: DataFrame) -> DataFrame:
     style = F.when(m > 1, (base - F.col("forms") / m) / base).otherwise(0.5)
     content = F.when(F.col("all_texts").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("all_logs") / F.col("all_texts") / base))
     links = F.when(F.col("volume") > 0, F.col("linked") / F.col("volume")).otherwise(0.0)
-    importance = CONTENT * _drawn(content, m, 1.0) + STYLE * _drawn(style, m, 0.5) + VOLUME * F.col("volume") / m
+    box = CONTENT * _drawn(content, m, 1.0) + STYLE * _drawn(style, m, 0.5) + VOLUME * F.col("volume") / m
+    importance = F.when(F.regexp_extract("name", "^[^.]*", 0).isin(*sorted(CONTAINERS)) | F.col("named"), box).otherwise(_drawn(content, m, 1.0) * LEAST / REPEATED)
     return wide.select("host", F.col("name").alias("node"), F.col("node").alias("code"), "named", "m", (importance * (1 - LINKED * links)).alias("importance"))
 
 
@@ -321,7 +330,7 @@ def judged_parts(pages: DataFrame) -> DataFrame:
     often = counts.where((F.col("feature").isNotNull()) & (F.col("k") > SMALL)).select(F.col("host").alias("h"), F.col("node").alias("n"), "feature", "k")
     texts = join_groups(often, trees, (F.col("h") == F.col("host")) & (F.col("n") == F.col("code")))
     alone = F.greatest(F.lit(0.0), 1 - F.log("k") / F.log("m"))
-    texts = texts.select("host", "code", "feature", _drawn(alone, F.col("m"), 1.0).alias("importance")).where(F.col("importance") < LEAST)
+    texts = texts.select("host", "code", "feature", (_drawn(alone, F.col("m"), 1.0) * LEAST / REPEATED).alias("importance")).where(F.col("importance") < LEAST)
     nodes = trees.where((F.col("importance") < LEAST) | F.col("named")).select("host", "code", F.lit(None).cast("long").alias("feature"), "importance")
     return nodes.union(texts)
 
@@ -331,15 +340,15 @@ def by_part(rows: Iterable) -> dict:
     return {r["code"] if r["feature"] is None else (r["code"], r["feature"]): r["importance"] for r in rows}
 
 
-def main_text(raw: str | None, tree: dict) -> str:
-    """The page's blocks outside removed branches, one a line. ``tree``: importance of its host's parts by ``by_part``; others have 1."""
+def main_text(raw: str | None, tree: dict, names: bool = True) -> str:
+    """The page's blocks outside removed branches, one a line. ``tree``: importance of its host's parts by ``by_part``; others have 1. Without ``names`` no prior is used."""
     tree, page = tree or {}, Page(raw or "")
     gone: dict[int, tuple[bool, float]] = {0: (False, 1.0)}  # by node: whether it is removed, and its prior
     for node in page.nodes:
         cut, prior = gone[id(node.parent) if node.parent else 0]
         if not cut and node.tag not in ("html", "body"):
-            prior = MAIN if node.main else prior
-            named = node.noise and node.size < WRAPS * page.size
+            prior = MAIN if names and node.main else prior
+            named = names and node.noise and node.size < WRAPS * page.size
             cut = tree.get(node.code, 1.0) * (NOISE if named else prior) < LEAST
         gone[id(node)] = cut, prior
     repeats = any(isinstance(x, tuple) for x in tree)
@@ -366,7 +375,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def rows(batch: pa.RecordBatch, found: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    if judged.count() <= HELD_BRANCHES:
+    if judged.limit(HELD_BRANCHES + 1).count() <= HELD_BRANCHES:
         of_host: dict[str, list] = {}
         for r in judged.collect():
             of_host.setdefault(r.host, []).append(r.asDict())
@@ -382,9 +391,26 @@ def extract(pages: DataFrame) -> DataFrame:
 
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), "(?s)^.*?://([^/?#]*)", 1), letters, letters.lower())
-    # Written, so that both sides of the join are exchanges and a large host's pages can be split.
-    lists = keep(judged.groupBy(F.col("host").alias("h")).agg(F.collect_list(F.struct("code", "feature", "importance")).alias("tree")), "branches")
-    joined = pages.join(lists, host == F.col("h"), "left").select("page_id", "url", "html", "tree")
+    # Rows alike in all that counts have one key, and one text.
+    keyed = pages.withColumn("host", host).withColumn("key", F.sha2(F.concat_ws("\n", F.col("page_id").cast("string"), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))), 256))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                made = []
+                for key, of, raw in zip(*[batch.column(c).slice(i, 64).to_pylist() for c in ("key", "host", "html")], strict=True):
+                    page = Page(raw or "")
+                    mine = {(x.code, None) for x in page.nodes} | {(x.code, code_of(text)) for x, text in page.blocks if x}
+                    made += [(key, of, code, feature) for code, feature in mine]
+                columns = list(zip(*made, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "host", "code", "feature"])
+
+    theirs = judged.select(F.col("host").alias("h"), F.col("code").alias("c"), F.col("feature").alias("f"), "importance")
+    mine = keyed.select("key", "host", "html").mapInArrow(parts, "key string, host string, code long, feature long")
+    # ``judged`` is written, so both sides of the join are exchanges and a large host's pages can be split.
+    found = mine.join(theirs, (F.col("host") == F.col("h")) & (F.col("code") == F.col("c")) & F.col("feature").eqNullSafe(F.col("f")))
+    lists = keep(found.groupBy(F.col("key").alias("k")).agg(F.collect_set(F.struct("code", "feature", "importance")).alias("tree")), "branches")
+    joined = keyed.join(lists, F.col("key") == F.col("k"), "left").select("page_id", "url", "html", "tree")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
