@@ -913,6 +913,15 @@ def edit_distance(pattern, text):
     return min(now), now.index(min(now))
 
 
+def test_a_text_of_one_repeated_character_is_searched_soon():
+    import time
+
+    start = time.time()
+    assert decontam.Items([(1, "a" * 240), (2, "a" * 230 + "b" * 10)]).search("a" * 1_000_000) == {1: (0, 240), 2: (10, 230)}
+    assert len(decontam.Items([(k, "ab " * (50 + k)) for k in range(10)]).search("ab " * 30_000)) == 10
+    assert time.time() - start < 60
+
+
 def test_myers_against_the_table():
     rng = random.Random(4)
     for _ in range(200):

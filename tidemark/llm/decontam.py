@@ -6,8 +6,8 @@ wherever it occurs within k edits, so every occurrence shows as an exact piece h
 is verified by Myers' bit-parallel distance. k is lowered where pieces would be shorter than MIN_PIECE.
 
 Pieces are found by the hashes of their first MIN_PIECE characters (of the whole piece where an item is
-shorter), rolled over a text's characters with numpy and looked up in a sorted array; a hit is compared
-character by character. Items go to the executors as a broadcast, so one pass over the texts finds all of them. A worker needs some 12 bytes a character of the items; beyond BLOCK_CHARS
+shorter), rolled over a text's characters with numpy and looked up in a sorted array, then by those of whole pieces.
+Stretches that hits of an item point to are joined where they overlap, so a text that repeats itself is read once. Items go to the executors as a broadcast, so one pass over the texts finds all of them. A worker needs some 12 bytes a character of the items; beyond BLOCK_CHARS
 characters, a counted size, they are searched for in several passes.
 
 Items are told apart by item_id and text: an item_id with several texts is found by any of them. Null and
@@ -18,6 +18,7 @@ Columns other than doc_id, item_id and text are not looked at. Of equal distance
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scan import mix, power_tables
-from .store import release
+from .store import of_worker, release
 
 RATE = 0.05
 MIN_PIECE = 12
 #: Characters of items in one pass.
 BLOCK_CHARS = 64_000_000
+#: Hits that are looked at together.
+PAIRS = 1 << 18
 
 
 def normal(text: str | None) -> str:
@@ -79,6 +82,8 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
         plus, minus = down | (full & ~(vertical | up)), up & vertical
         if score < best:
             best, at = score, j
+            if not best:
+                break
     return best, at
 
 
@@ -90,7 +95,7 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE, min_piece: int = MIN_PIECE):
         self.ids, self.texts, self.budgets = [], [], []
-        owners, ends, pieces, by_width = [], [], [], {}
+        owners, pieces, by_width = [], [], {}
         for item, raw in items:
             text = normal(raw)
             if text:
@@ -99,12 +104,17 @@ class Items:
                     a, b = len(text) * p // (k + 1), len(text) * (p + 1) // (k + 1)
                     by_width.setdefault(min(b - a, min_piece), []).append(len(pieces))
                     owners.append(len(self.ids))
-                    ends.append(b)
                     pieces.append((a, b))
                 self.ids.append(item)
                 self.texts.append(text)
                 self.budgets.append(k)
-        self.owners, self.pieces = owners, pieces
+        self.owner_of, self.budget_of = np.array(owners, np.int64), np.array(self.budgets, np.int64)
+        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        self.begins = np.array([a for a, _ in pieces], np.int64)
+        self.lengths = np.array([b - a for a, b in pieces], np.int64)
+        self.codes = np.zeros(len(pieces), np.uint64)
+        for p, (a, b) in enumerate(pieces):
+            self.codes[p] = _sums(_points(self.texts[owners[p]][a:b]))[0][-1]
         self.tables = []
         for width, some in sorted(by_width.items()):
             own = np.array(some, np.int64)
@@ -114,19 +124,46 @@ class Items:
             likely[(codes >> np.uint64(64 - self.FILTER)).astype(np.int64)] = True
             self.tables.append((width, codes[order], own[order], likely))
 
-    def _hits(self, text: str) -> Iterator[tuple[int, int]]:
-        """(place, piece) of every exact hit, by place."""
+    def _hits(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item, start) of the stretches of the text that exact hits of whole pieces point to, PAIRS hits at a time."""
         sums = _sums(_points(text))
+        total, inverse = sums
         for width, codes, owners, likely in self.tables:
             found = _windows(sums, width)
             places = np.flatnonzero(likely[(found >> np.uint64(64 - self.FILTER)).astype(np.int64)])
             low, high = (np.searchsorted(codes, found[places], side) for side in ("left", "right"))
-            for k in np.flatnonzero(high > low).tolist():
-                at = int(places[k])
-                for p in owners[low[k] : high[k]].tolist():
-                    a, b = self.pieces[p]
-                    if text.startswith(self.texts[self.owners[p]][a:b], at):
-                        yield at, p
+            places, low, counts = places[high > low], low[high > low], (high - low)[high > low]
+            cut, at = np.cumsum(counts), 0
+            while at < len(places):
+                upto = max(int(np.searchsorted(cut, (cut[at - 1] if at else 0) + PAIRS, "right")), at + 1)
+                n = counts[at:upto]
+                place = np.repeat(places[at:upto], n)
+                piece = owners[np.repeat(low[at:upto] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                end = place + self.lengths[piece]
+                inside = end < len(total)
+                place, piece, end = place[inside], piece[inside], end[inside]
+                hit = (total[end] - total[place]) * inverse[place] == self.codes[piece]
+                place, piece = place[hit], piece[hit]
+                yield self.owner_of[piece], place - self.begins[piece] - self.budget_of[self.owner_of[piece]]
+                at = upto
+
+    def _spans(self, text: str) -> np.ndarray:
+        """(item, first start, last start) of joined stretches: starts so near that their stretches overlap are one, so no part is read twice for an item."""
+        low, high = np.zeros(0, np.int64), np.zeros(0, np.int64)  # item and start in one number: starts are above -2 ** 30 and below 2 ** 40
+        for item, start in self._hits(text):
+            new = np.unique((item << 41) + start + (1 << 30))
+            low, high = np.concatenate([low, new]), np.concatenate([high, new])
+            order = np.argsort(low, kind="stable")
+            low, high = low[order], high[order]
+            item = low >> 41
+            reach = np.maximum.accumulate(high) + self.sizes[item] + 2 * self.budget_of[item]
+            first = np.ones(len(low), bool)
+            first[1:] = (low[1:] > reach[:-1]) | (item[1:] != item[:-1])
+            group = np.flatnonzero(first)
+            if len(group):
+                low, high = low[group], np.maximum.reduceat(high, group)
+        start = lambda x: (x & (1 << 41) - 1) - (1 << 30)
+        return np.stack([low >> 41, start(low), start(high)], axis=1)
 
     def search(self, raw: str | None) -> dict[int, tuple[int, int]]:
         """By item_id found, its least distance and where that ends in the normal text."""
@@ -134,24 +171,11 @@ class Items:
         if not self.texts or not raw:
             return best
         text = normal(raw)
-        seen: dict[int, list[list[int]]] = {}
-        for at, p in self._hits(text):
-            item = self.owners[p]
-            k = self.budgets[item]
-            start = at - self.pieces[p][0] - k
-            spans = seen.setdefault(item, [])
-            if spans and spans[-1][0] <= start <= spans[-1][1]:
-                spans[-1][1] = start + 2 * k
-            else:
-                spans.append([start, start + 2 * k])
-        for item, spans in seen.items():
-            pattern, k = self.texts[item], self.budgets[item]
-            for first, last in sorted(spans):
-                start = max(0, first)
-                d, at = myers(pattern, text[start : last + len(pattern) + k])
-                key = self.ids[item]
-                if d <= k and (key not in best or (d, start + at) < best[key]):
-                    best[key] = (d, start + at)
+        for item, first, last in self._spans(text).tolist():
+            pattern, k, key, start = self.texts[item], self.budgets[item], self.ids[item], max(0, first)
+            d, at = myers(pattern, text[start : last + 3 * k + len(pattern)])
+            if d <= k and (key not in best or (d, start + at) < best[key]):
+                best[key] = (d, start + at)
         return best
 
 
@@ -171,8 +195,8 @@ def _searchers(items: DataFrame, rate: float, min_piece: int) -> Iterator:
     """For each part of the items a function that gives their ``Items`` in a task: sent as a broadcast of known size."""
     spark, items = items.sparkSession, _distinct(items)
     for where in _blocks(items):
-        sent = spark.sparkContext.broadcast(sorted((r.item_id, r.text) for r in items.where(where).collect()))
-        yield lambda sent=sent: Items(sent.value, rate, min_piece)
+        sent, name = spark.sparkContext.broadcast(sorted((r.item_id, r.text) for r in items.where(where).collect())), uuid.uuid4().hex
+        yield lambda sent=sent, name=name: of_worker(("items", name), lambda: Items(sent.value, rate, min_piece))
 
 
 def occurrences(docs: DataFrame, items: DataFrame, rate: float = RATE, min_piece: int = MIN_PIECE) -> DataFrame:
@@ -199,11 +223,10 @@ def occurrences(docs: DataFrame, items: DataFrame, rate: float = RATE, min_piece
 def _holds(made):
     @F.pandas_udf("boolean")
     def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        release()
         search = made().search
         for texts in batches:
             yield pd.Series([bool(search(t)) for t in texts], dtype=bool)
-        release()
+        release(keep_made=True)
 
     return holds
 
