@@ -901,6 +901,23 @@ def test_urls_of_long_paths_repeated_rows_and_ties(spark):
     assert collections.Counter(r.page_id for r in found) == {0: 2, 1: 1, 2: 3} and {r.verdict for r in found if r.page_id == 2} == {"allow"}
 
 
+def test_urls_of_chains_take_one_turn(spark):
+    import time
+
+    deep = "/".join(f"s{k}" for k in range(500))
+    made = [f"http://h.com/{deep}/{'ab'[k % 2]}/{k}.html" for k in range(30)] + [f"http://h.com/{deep}"] * 3
+    made += [f"http://g.com/a/b/{k % 3}x/c/d/{k}" for k in range(40)] + ["http://g.com/a", "http://g.com/a/b/0x/c"]
+    rules = [("block", "h.com", f"/{deep}/a/"), ("block", "g.com", "/a/b/1x/c/d/4")]
+    pages = spark.createDataFrame(list(enumerate(made)), "page_id long, url string")
+    start = time.time()
+    found = sorted(urls.judge(pages, rules).collect())
+    assert time.time() - start < 90 and len(found) == len(made)
+    few = spark.createDataFrame([(k, u.replace(deep, "s0/s1/s2")) for k, u in enumerate(made)], "page_id long, url string")
+    paths = few.select(urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"), F.when(F.col("page_id") % 3 == 0, "block").alias("label"))
+    with_chains = sorted(urls.templates(paths).collect())
+    assert _with(urls, "_along_chains", lambda now: now, lambda: sorted(urls.templates(paths).collect())) == with_chains
+
+
 # 9 Decontamination
 
 

@@ -4,7 +4,8 @@ Per host, paths make a tree of segments. First each segment is generalised by it
 hexadecimal strings). Then, level by level down to the last segment, the children of a node become a wildcard where
 the node has many of them or nearly as many as urls, and the child itself is rare: it has fewer than RARE paths,
 and too few labels for a verdict of its own. A node of fewer than SPLIT urls is not split further: what is
-below it is one wildcard. So there is no bound on the levels, and each has nodes enough to tell something.
+below it is one wildcard. So there is no bound on the levels, and each has nodes enough to tell something. Chains of nodes
+with one child take one turn together, so turns are as many as branchings follow each other.
 
 Branches that differ in one segment only are merged if they are statistically alike: the numbers of blocked,
 allowed and unlabelled urls of the branches pass a chi-square test of homogeneity at 5 %. Of the merged
@@ -63,6 +64,25 @@ def _form(segment: Column) -> Column:
     return F.when(formed.rlike("^[*=]"), F.concat(F.lit("="), formed)).otherwise(formed)
 
 
+def _along_chains(now: DataFrame) -> DataFrame:
+    """``now`` with each node of SPLIT urls or more moved down to where its urls part or one of them ends.
+
+    The segments that all share are those that the least and the greatest list share. On the way a node has one child,
+    which is no wildcard and has all urls, so one turn does for a chain of any length.
+    """
+    ends = now.groupBy(F.col("host").alias("ch"), F.col("template").alias("ct")).agg(F.min("segments").alias("a"), F.max("segments").alias("b"), F.min(F.size("segments")).alias("least"), F.sum("n").alias("urls"))
+    same = F.zip_with(F.slice("a", 1, F.col("least") - 1), F.slice("b", 1, F.col("least") - 1), lambda x, y: x == y)
+    shared = F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.col("least") - 1).cast("int")
+    chains = ends.where((F.col("least") > 1) & (F.col("urls") >= SPLIT)).select("ch", "ct", shared.alias("shared")).where("shared > 0")
+    chains = keep(chains, "chains")
+    if chains.isEmpty():
+        return now
+    moved = now.join(chains, (F.col("host") == F.col("ch")) & (F.col("template") == F.col("ct")), "left")
+    c = F.coalesce("shared", F.lit(0))
+    template = F.when(c > 0, F.concat("template", F.lit("/"), F.array_join(F.slice("segments", F.lit(1), c), "/"))).otherwise(F.col("template"))
+    return moved.select("host", "path", "n", "labels", "blocks", F.slice("segments", c + 1, F.size("segments")).alias("segments"), template.alias("template"))
+
+
 def templates(urls: DataFrame, purity: float = PURITY, most_children: int = MOST_CHILDREN) -> DataFrame:
     """(host, path, template, n, labels, blocks) of each distinct path of ``urls(host, path, label)``; label is block, allow or null."""
     label = F.col("label")
@@ -70,11 +90,11 @@ def templates(urls: DataFrame, purity: float = PURITY, most_children: int = MOST
     paths = urls.groupBy("host", "path").agg(*counts).fillna(0, ["blocks"])
     segments = F.transform(F.slice(F.split("path", "/"), 2, 1 << 30), _form)
     now = keep(paths.withColumn("segments", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(segments)).withColumn("template", F.lit("")), "paths")
-    done, k = now.where(F.size("segments") == 0), 0
+    done = now.where(F.size("segments") == 0)
     now = now.where(F.size("segments") > 0)
     enough = max(1, math.ceil(round((2 * purity - 1) / (1 - purity), 9))) if purity < 1 else math.inf
     while not now.isEmpty():
-        here = now.withColumn("segment", F.get("segments", F.lit(k)))
+        here = _along_chains(now).withColumn("segment", F.get("segments", F.lit(0)))
         children = here.groupBy(F.col("host").alias("gh"), F.col("template").alias("gt"), F.col("segment").alias("gs")).agg(F.count(F.lit(1)).alias("paths"), F.sum("n").alias("urls"), F.sum("labels").alias("labels"))
         children = keep(children, "children")
         nodes = children.groupBy(F.col("gh").alias("nh"), F.col("gt").alias("nt")).agg(F.count(F.lit(1)).alias("kids"), F.sum("urls").alias("all_urls"))
@@ -86,11 +106,11 @@ def templates(urls: DataFrame, purity: float = PURITY, most_children: int = MOST
         sizes = children.groupBy(F.col("gh").alias("sh"), F.col("next").alias("sn")).agg(F.sum("urls").alias("size"))
         children = join_groups(children, sizes, (F.col("gh") == F.col("sh")) & (F.col("next") == F.col("sn"))).select("gh", "gt", "gs", "next", "size")
         moved = join_groups(here, children, (F.col("host") == F.col("gh")) & (F.col("template") == F.col("gt")) & (F.col("segment") == F.col("gs")))
-        more = F.size("segments") > k + 1
+        more = F.size("segments") > 1
         moved = moved.withColumn("open", more & (F.col("size") >= SPLIT)).withColumn("template", F.when(more & (F.col("size") < SPLIT), F.concat("next", F.lit("/**"))).otherwise(F.col("next")))
-        moved = keep(moved.select("host", "path", "n", "labels", "blocks", "segments", "template", "open"), "level")
+        moved = keep(moved.select("host", "path", "n", "labels", "blocks", F.expr("slice(segments, 2, size(segments))").alias("segments"), "template", "open"), "level")
         done = done.union(moved.where("not open").drop("open"))
-        now, k = moved.where("open").drop("open"), k + 1
+        now = moved.where("open").drop("open")
     return done.select("host", "path", "template", "n", "labels", "blocks")
 
 
