@@ -12,11 +12,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.gaussian import Gaussians
+from ..sources.kept import drop, keep
 from .prepare import with_stats
+from .quantiles import exact_quantiles
 
 #: Bytes of components that a task may hold.
 HELD_BYTES = 64 << 20
@@ -172,10 +174,30 @@ def own_scores(points: DataFrame, comps: DataFrame, key: str = "label", value: s
 
 
 def thresholds(assigned: DataFrame, many: bool) -> DataFrame:
-    """(component, relax, strict): of few components quantiles, of many the largest score and a hundredth of the range."""
-    strict = F.percentile("score", F.lit(0.9))
-    relax = F.max("score") + (F.max("score") - F.min("score")) / 100 if many else F.percentile("score", F.lit(0.95))
-    return assigned.groupBy("component").agg(relax.alias("relax"), strict.alias("strict"))
+    """(component, relax, strict): of few components quantiles, of many the largest score and a hundredth of the range; quantiles by ``exact_quantiles``."""
+    assigned = keep(assigned.select("component", "score"), "scores")
+    of = lambda share: F.max(F.when(F.col("share") == share, F.col("quantile")))
+    found = exact_quantiles(assigned, "component", "score", [0.9] if many else [0.9, 0.95])
+    if not many:
+        return found.groupBy("component").agg(of(0.95).alias("relax"), of(0.9).alias("strict"))
+    ends = assigned.groupBy("component").agg((F.max("score") + (F.max("score") - F.min("score")) / 100).alias("relax"))
+    return ends.join(found.select("component", F.col("quantile").alias("strict")), "component")
+
+
+def matched(counts: DataFrame) -> DataFrame:
+    """(new, old) of counts(old, new, n) of rows with both labels: greedily the pair of most rows whose labels are both free, ties by old and then new.
+
+    A pair that is the best of both its labels is taken whatever comes before it, so each round takes all such at once.
+    """
+    order = [F.desc("n"), F.asc("old"), F.asc("new")]
+    rest, found = keep(counts.where("old is not null and new is not null"), "counts"), None
+    while not rest.isEmpty():
+        best = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(*order))
+        taken = keep(rest.withColumn("_o", best("old")).withColumn("_n", best("new")).where("_o = 1 and _n = 1").select("new", "old"), "taken")
+        found = taken if found is None else found.unionByName(taken)
+        before, rest = rest, keep(rest.join(taken.select("old"), "old", "left_anti").join(taken.select("new"), "new", "left_anti").select("old", "new", "n"), "counts")
+        drop(before)
+    return rest.select("new", "old") if found is None else found
 
 
 def prune(labelled: DataFrame, by: str = "label") -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import hypothesis as H
 from ..operators import incremental as I
 from ..operators import mixture as M
 from ..operators import prepare as P
+from ..operators import quantiles as Q
 from .registry import query
 from .tables import CHUNK, POINTS_SQL, axes, points, r6, read, stream
 
@@ -115,6 +116,24 @@ def gmm_merge(spark, sf_dir):
     return P.with_stats(counts, F.sum(F.col("n") - F.col("uncertain")).alias("sure")).select("component", "n", "uncertain", r6(F.col("n") / F.col("sure")).alias("weight"))
 
 
+@query(
+    f"""WITH RECURSIVE {BEST_SQL}, c AS (SELECT label AS old, component + 100 AS new, count(*) AS n FROM best GROUP BY 1, 2), s AS (SELECT old, new, row_number() OVER (ORDER BY n DESC, old, new) AS i FROM c),
+r AS (SELECT 0::BIGINT AS i, []::INT[] AS olds, []::INT[] AS news UNION ALL SELECT s.i, CASE WHEN free THEN list_append(olds, old) ELSE olds END, CASE WHEN free THEN list_append(news, new) ELSE news END FROM (SELECT r.*, s.old, s.new, s.i AS i2, NOT list_contains(olds, old) AND NOT list_contains(news, new) AS free FROM r JOIN s ON s.i = r.i + 1) s),
+e AS (SELECT olds, news FROM r ORDER BY i DESC LIMIT 1) SELECT unnest(news) AS new, unnest(olds) AS old FROM e""".replace("SELECT s.i, CASE", "SELECT s.i2, CASE")
+)
+def component_match(spark, sf_dir):
+    """Which class each component of a new fit stands for: the pair of most rows first."""
+    assigned = M.assign(points(spark, sf_dir), comps(spark, sf_dir)).select("t", (F.col("component") + 100).alias("new"))
+    counts = assigned.join(points(spark, sf_dir).select("t", F.col("label").alias("old")), "t").groupBy("old", "new").agg(F.count(F.lit(1)).alias("n"))
+    return M.matched(counts)
+
+
+@query(f"WITH {POINTS_SQL} SELECT label, share, round(quantile_cont(x, share), 6) + 0.0::DOUBLE AS quantile FROM (SELECT label, x, unnest([0.05::DOUBLE, 0.5::DOUBLE, 0.95::DOUBLE]) AS share FROM points) GROUP BY 1, 2".replace("quantile_cont(x, share)", "CASE share WHEN 0.05 THEN quantile_cont(x, 0.05) WHEN 0.5 THEN quantile_cont(x, 0.5) ELSE quantile_cont(x, 0.95) END"))
+def refined_quantiles(spark, sf_dir):
+    """Quantiles of each class by histogram passes, down to brackets of eight values."""
+    return Q.exact_quantiles(points(spark, sf_dir), "label", "x", [0.05, 0.5, 0.95], most=8, bins=4).select("label", "share", r6(F.col("quantile")).alias("quantile"))
+
+
 @query("SELECT event_type AS label, count(*) AS n FROM events GROUP BY 1")
 def label_freq(spark, sf_dir):
     return stream(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import contours as C
 from ..operators import prepare as P
 from ..operators import views as V
 from .registry import query
@@ -127,6 +128,29 @@ def kernel_density(spark, sf_dir):
     return V.kernel_density(screen(spark, sf_dir), 10.0, 20.0, 3).select("gx", "gy", F.round("density", 9).alias("density"))
 
 
+#: Levels of the contour lines, of at most TOP.
+LEVELS = [0.5, 1.2, 2.1]
+
+
+def contour_sql() -> str:
+    """Pieces of lines by the squares' cases, and the areas that they go around."""
+    side = {0: ("x + (level - v0) / (v1 - v0)", "y"), 1: ("x + 1", "y + (level - v1) / (v2 - v1)"), 2: ("x + (level - v3) / (v2 - v3)", "y + 1"), 3: ("x", "y + (level - v0) / (v3 - v0)")}
+    parts = [f"SELECT level, {side[f][0]} AS ax, {side[f][1]} AS ay, {side[t][0]} AS bx, {side[t][1]} AS by_ FROM k WHERE c = {case}" for case, some in C.PIECES.items() for f, t in some]
+    return f"""{SCREEN_SQL}, {OFFSETS_SQL}, {grid_sql('g')}, {smooth_sql('s', 'g')}, q AS (SELECT gx - dx AS x, gy - dy AS y, max(CASE WHEN dx = 0 AND dy = 0 THEN density ELSE 0.0 END) AS v0, max(CASE WHEN dx = 1 AND dy = 0 THEN density ELSE 0.0 END) AS v1, max(CASE WHEN dx = 1 AND dy = 1 THEN density ELSE 0.0 END) AS v2, max(CASE WHEN dx = 0 AND dy = 1 THEN density ELSE 0.0 END) AS v3
+ FROM s, (SELECT unnest([0, 1]) AS dx), (SELECT unnest([0, 1]) AS dy) GROUP BY 1, 2), k AS (SELECT *, (v0 >= level)::INT + 2 * (v1 >= level)::INT + 4 * (v2 >= level)::INT + 8 * (v3 >= level)::INT AS c FROM q, (SELECT unnest({LEVELS}::DOUBLE[]) AS level)), p AS ({" UNION ALL ".join(parts)})"""
+
+
+@query(f"WITH {contour_sql()} SELECT level, count(*) AS corners, round(sum(ax * by_ - bx * ay) / 2, 4) AS area FROM p GROUP BY 1")
+def density_contours(spark, sf_dir):
+    """By level, the corners of all rings and the area around which they go, by the corners in turn."""
+    found = C.rings(C.pieces(V.smoothed(V.grid(screen(spark, sf_dir), 10), REACH, FALL, TOP), LEVELS))
+    c, n = F.col("corners"), F.size("corners")
+    cross = lambda i: c[i]["x"] * c[(i + 1) % n]["y"] - c[(i + 1) % n]["x"] * c[i]["y"]
+    area = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + cross(i)) / 2
+    each = found.select("level", n.cast("long").alias("n"), area.alias("a"))
+    return each.groupBy("level").agg(F.sum("n").alias("corners"), F.round(F.sum("a"), 4).alias("area"))
+
+
 @query(f"WITH {SCREEN_SQL} SELECT t, cx, cy FROM screen ORDER BY md5(t::VARCHAR || ':42'), t LIMIT 250")
 def haze_sample(spark, sf_dir):
     """Some 250 points that stand for all."""
