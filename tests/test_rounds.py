@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import contours, quantiles
+from tidemark.operators import contours, kernel, quantiles
 from tidemark.operators import mixture as M
+from tidemark.operators import models as C
 
 
 def test_quantiles_by_brackets_are_those_of_sorted_lists(spark):
@@ -49,3 +50,43 @@ def test_labels_are_matched_by_the_most_rows_first(spark):
     assert sorted((r.old, r.new) for r in M.matched(spark.createDataFrame(rows, "old int, new int, n long")).collect()) == sorted(plain)
     assert M.matched(df.limit(0)).count() == 0
     assert df.select(F.count("old")).first()[0] == 7
+
+
+def test_kernel_machines_meet_the_conditions_of_the_best_one(spark):
+    """A disc within a ring: each decision is the sum of kernels at the rows that fall short, by how much; and held-out rows are told apart."""
+    rng = np.random.default_rng(3)
+    angle, far = rng.uniform(0, 2 * np.pi, 200), np.where(np.arange(200) % 4 == 0, rng.uniform(0, 1, 200), rng.uniform(1.6, 2.6, 200))
+    x, label = np.stack([far * np.cos(angle), far * np.sin(angle)], axis=1), np.where(far < 1.3, "in", "out")
+    rows = spark.createDataFrame([(t, v.tolist(), str(c)) for t, (v, c) in enumerate(zip(x, label, strict=True))], "t long, f array<double>, label string").repartition(3)
+    rows = rows.withColumn("train", C.fold_flags(F.col("t"), 3, 0.7)).cache()
+    made = kernel.fit(rows, ["in", "out", "never"], cost=2.0, gamma=0.7)
+    flags = {r.t: list(r.train) for r in rows.collect()}
+    own = np.array([flags[t][1] for t in range(200)])
+    f, sign = made.decisions(made.inputs(x), 1)[:, 0], np.where(label == "in", 1.0, -1.0)
+    weight = own.sum() / 2 / np.where(label == "in", own[label == "in"].sum(), own[label == "out"].sum())
+    alpha = np.where(own, 2 * 2.0 * weight * sign * np.maximum(1 - sign * f, 0), 0.0)
+    z = (x - made.mean) / made.scale
+    k = np.exp(-0.7 * ((z[:, None] - z[None]) ** 2).sum(axis=2))
+    assert np.abs(k @ alpha + made.weights[1, 0, -1] - f).max() < 1e-4 and 0 < (alpha != 0).sum() < own.sum()
+    held = C.predict(rows, made, None, "train").collect()
+    by = {}
+    for r in held:
+        by.setdefault((r.t, r.fold), {})[r["class"]] = r.proba
+    assert all(abs(sum(p.values()) - 1) < 1e-9 and p["never"] == 0 for p in by.values())
+    assert np.mean([max(p, key=p.get) == label[t] for (t, _), p in by.items()]) > 0.95
+    sure = [p["in"] for (t, _), p in by.items()]
+    truth = [label[t] == "in" for t, _ in by]
+    assert abs(np.mean(sure) - np.mean(truth)) < 0.05  # calibrated on the whole
+
+
+def test_kernel_machines_of_one_class_and_of_few_landmarks(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1, (150, 3)), rng.normal(3, 1, (150, 3))])
+    rows = spark.createDataFrame([(t, v.tolist(), "a" if t < 150 else "b") for t, v in enumerate(x)], "t long, f array<double>, label string").withColumn("train", F.array(F.col("t") < 140, F.col("t") % 2 == 0))
+    made = kernel.fit(rows, ["a", "b"], landmarks=40)
+    one = C.predict(rows, made, 0).where("class = 'a'").agg(F.min("proba")).first()[0]
+    assert one == 1.0
+    right = C.predict(rows, made, None, "train").where("fold = 1").groupBy("t").agg(F.max(F.struct("proba", "class"))["class"].alias("p"))
+    assert right.where((F.col("t") < 150) == (F.col("p") == "a")).count() > 0.95 * 150
+    with pytest.raises(ValueError, match="rows"):
+        kernel.fit(rows.limit(0), ["a"])

@@ -224,8 +224,22 @@ def softmax(values: Column) -> Column:
 # Fits
 
 
+def summed(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Of parts(fold, sums) each fold's sum, place by place: so no row gathers the arrays of all tasks."""
+    places = parts.select("fold", F.posexplode("sums").alias("at", "x")).groupBy("fold", "at").agg(F.sum("x").alias("x")).toArrow()
+    fold, at, x = (places.column(c).to_numpy() for c in ("fold", "at", "x"))
+    out = {}
+    for k in np.unique(fold).tolist():
+        own = fold == k
+        out[k] = np.zeros(int(at[own].max()) + 1)
+        out[k][at[own]] = x[own]
+    return out
+
+
 #: Rows from which the first centres of a fit are drawn: a bounded sample; the fit itself is over all rows.
 START_ROWS = 2000
+#: Components of a fit at most: numbers of fits are multiples of it.
+PARTS = 1 << 16
 
 
 class Fit:
@@ -282,23 +296,20 @@ def fit(points: DataFrame, starts: list[Gaussians], rounds: int = 40, tolerance:
                         away = x - g.mu[k]
                         s[1][k] += share[:, k] @ away
                         s[2][k] += (away * share[:, [k]]).T @ away
-            rows = [(i, k, float(s[0][k]), s[1][k].tolist(), s[2][k].ravel().tolist(), s[3] if k == 0 else 0.0, s[4] if k == 0 else 0) for i, s in sums.items() if s[4] for k in range(len(s[0]))]
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            types = [pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["fit", "k", "w", "m1", "m2", "total", "n"])
-
-        parts = points.mapInArrow(expect, "fit int, k int, w double, m1 array<double>, m2 array<double>, total double, n long")
-        add = lambda c: F.aggregate(F.collect_list(c), F.array_repeat(F.lit(0.0), F.size(F.first(c))), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
-        rows = parts.groupBy("fit", "k").agg(F.sum("w").alias("w"), add("m1").alias("m1"), add("m2").alias("m2"), F.sum("total").alias("total"), F.sum("n").alias("n")).collect()
+            keys = [(i, k) for i, s in sums.items() if s[4] for k in range(len(s[0]))]
+            rows = [[float(s[0][k]), s[3] if k == 0 else 0.0, float(s[4]) if k == 0 else 0.0, *s[1][k].tolist(), *s[2][k].ravel().tolist()] for s, k in ((sums[i], k) for i, k in keys)]
+            yield pa.RecordBatch.from_arrays([pa.array([i * PARTS + k for i, k in keys], pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["fold", "sums"])
+
+        rows = summed(points.mapInArrow(expect, "fold int, sums array<double>"))
         if not rows:
             return fits
         for i in list(going):
-            own = sorted((r for r in rows if r["fit"] == i), key=lambda r: r["k"])
-            g, n, total = now[i], sum(r["n"] for r in own), sum(r["total"] for r in own)
+            own = np.stack([rows[k] for k in sorted(rows) if k // PARTS == i])
+            g, total, n = now[i], own[:, 1].sum(), round(own[:, 2].sum())
             d = g.mu.shape[1]
-            w = np.maximum([r["w"] for r in own], 1e-9)
-            step = np.array([r["m1"] for r in own]) / w[:, None]
-            s = np.array([r["m2"] for r in own]).reshape(-1, d, d) / w[:, None, None] - step[:, :, None] * step[:, None, :] + ridge * np.eye(d)
+            w = np.maximum(own[:, 0], 1e-9)
+            step = own[:, 3 : 3 + d] / w[:, None]
+            s = own[:, 3 + d :].reshape(-1, d, d) / w[:, None, None] - step[:, :, None] * step[:, None, :] + ridge * np.eye(d)
             if total - fits[i].total < tolerance * n:
                 going.remove(i)
                 fits[i] = Fit(g, max(total, fits[i].total), n)

@@ -2,21 +2,21 @@
 
 Rows are (t, f, label, train): f an array of features, train an array of flags, one for each fold. A round of
 Newton's method is one job over all rows: each task sums gradients and second derivatives of every fold, so 200 folds
-cost no more passes than one. Features are scaled by their means and deviations. A radial kernel is replaced by random
-Fourier features, on which the regression is linear.
+cost no more passes than one. Features are scaled by their means and deviations. With ``gamma`` the regression is on random
+Fourier features of a radial kernel; ``kernel`` has support vector machines.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mixture import matrix
+from .mixture import matrix, summed
 
 #: Random features that stand for a radial kernel.
 WAVES = 64
@@ -47,6 +47,10 @@ class Models:
             x = np.sqrt(2 / WAVES) * np.cos(f @ rng.normal(0, np.sqrt(2 * self.gamma), (f.shape[1], WAVES)) + rng.uniform(0, 2 * np.pi, WAVES))
         return np.concatenate([x, np.ones((len(x), 1))], axis=1)
 
+    def of(self, folds: Sequence[int]) -> Models:
+        """Some folds' classifiers."""
+        return replace(self, weights=self.weights[list(folds)], seen=[self.seen[k] for k in folds])
+
     def probabilities(self, x: np.ndarray, fold: int) -> np.ndarray:
         """Of each class, from ``inputs``. A fold that saw one class only gives that one; a class it did not see has none."""
         seen, out = self.seen[fold], np.zeros((len(x), len(self.classes)))
@@ -59,16 +63,11 @@ class Models:
         return out
 
 
-def _flags(batch: pa.RecordBatch, name: str) -> np.ndarray:
+def flags_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
     column = batch.column(name)
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), bool).reshape(batch.num_rows, -1)
 
 
-def _summed(parts: DataFrame, arrays: Sequence[str]) -> list:
-    add = lambda c: F.aggregate(F.collect_list(c), F.array_repeat(F.lit(0.0), F.size(F.first(c))), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
-    return parts.groupBy("fold").agg(*[add(c).alias(c) for c in arrays]).collect()
-
-
 def fit(rows: DataFrame, classes: Sequence[str], balanced: bool = True, gamma: float | None = None, ridge: float = 1.0, rounds: int = 15) -> Models:
     """Fit rows(f, label, train) for every flag of ``train``; ``balanced``: each class of a fold weighs the same in sum."""
     rows = rows.select("f", "label", "train")
@@ -81,7 +80,7 @@ def fit(rows: DataFrame, classes: Sequence[str], balanced: bool = True, gamma: f
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per, sums = None, None
         for batch in batches:
-            flags, y, f = _flags(batch, "train"), label_ids(batch), matrix(batch, "f")
+            flags, y, f = flags_of(batch, "train"), label_ids(batch), matrix(batch, "f")
             if per is None:
                 per, sums = np.zeros((flags.shape[1], kinds)), np.zeros((3, f.shape[1]))
             for k in range(kinds):
@@ -90,7 +89,7 @@ def fit(rows: DataFrame, classes: Sequence[str], balanced: bool = True, gamma: f
         folds = [] if per is None else [*range(len(per)), -1]
         yield pa.RecordBatch.from_arrays([pa.array(folds, pa.int32()), pa.array([] if per is None else [*per.tolist(), sums.ravel().tolist()], pa.list_(pa.float64()))], ["fold", "sums"])
 
-    found = {r["fold"]: np.array(r["sums"]) for r in _summed(rows.mapInArrow(count, "fold int, sums array<double>"), ["sums"])}
+    found = summed(rows.mapInArrow(count, "fold int, sums array<double>"))
     if not found:
         raise ValueError("a model needs rows")
     n, total, squares = found.pop(-1).reshape(3, -1)
@@ -115,7 +114,7 @@ def fit(rows: DataFrame, classes: Sequence[str], balanced: bool = True, gamma: f
         def slopes(batches: Iterator[pa.RecordBatch], now: dict = now) -> Iterator[pa.RecordBatch]:
             sums: dict = {}
             for batch in batches:
-                flags, y, x = _flags(batch, "train"), label_ids(batch), made.inputs(matrix(batch, "f"))
+                flags, y, x = flags_of(batch, "train"), label_ids(batch), made.inputs(matrix(batch, "f"))
                 for k in now:
                     own = flags[:, k]
                     if own.any():
@@ -136,8 +135,8 @@ def fit(rows: DataFrame, classes: Sequence[str], balanced: bool = True, gamma: f
                         sums[k] = sums[k] + one if k in sums else one
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64()))], ["fold", "sums"])
 
-        for r in _summed(rows.mapInArrow(slopes, "fold int, sums array<double>"), ["sums"]):
-            k, sums, seen = r["fold"], np.array(r["sums"]), made.seen[r["fold"]]
+        for k, sums in summed(rows.mapInArrow(slopes, "fold int, sums array<double>")).items():
+            seen = made.seen[k]
             size = len(seen) * width
             here = made.weights[k][seen]
             loss = sums[0] + 0.5 * (penalty * here * here).sum()
@@ -154,13 +153,13 @@ def fit(rows: DataFrame, classes: Sequence[str], balanced: bool = True, gamma: f
     return made
 
 
-def predict(rows: DataFrame, made: Models, fold: int | None = 0, outside: str | None = None) -> DataFrame:
-    """(t, fold, class, proba) of rows(t, f) by one fold, or by every fold for the rows that its flag in ``outside`` leaves out."""
+def predict(rows: DataFrame, made, fold: int | None = 0, outside: str | None = None) -> DataFrame:
+    """(t, fold, class, proba) of rows(t, f) by one fold of ``Models`` or ``kernel.Machines``, or by every fold for the rows that its flag in ``outside`` leaves out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, t = made.inputs(matrix(batch, "f")), batch.column("t").to_numpy()
-            flags = _flags(batch, outside) if outside else None
+            flags = flags_of(batch, outside) if outside else None
             for k in range(len(made.seen)) if fold is None else [fold]:
                 own = np.arange(len(t)) if flags is None else np.flatnonzero(~flags[:, k])
                 p = made.probabilities(x[own], k)
@@ -171,17 +170,17 @@ def predict(rows: DataFrame, made: Models, fold: int | None = 0, outside: str |
     return rows.select("t", "f", *([outside] if outside else [])).mapInArrow(run, "t long, fold int, class string, proba double")
 
 
-def fit_by_validation(rows: DataFrame, classes: Sequence[str], splits: int = 5, **how) -> Models:
+def fit_by_validation(rows: DataFrame, classes: Sequence[str], make: Callable = fit, splits: int = 5, **how):
     """For each fold the best of ``splits`` fits, each on all but a part of the fold's rows, by balanced accuracy on that part."""
     part = F.pmod(F.xxhash64("t"), F.lit(splits))
     every = F.sequence(F.lit(0), F.lit(splits - 1))
     spread = F.flatten(F.transform("train", lambda flag: F.transform(every, lambda s: flag & (part != s))))
     left = F.flatten(F.transform("train", lambda flag: F.transform(every, lambda s: ~(flag & (part == s)))))
     wide = rows.select("t", "f", "label", spread.alias("train"), left.alias("_left"))
-    made = fit(wide, classes, **how)
+    made = make(wide, classes, **how)
     best = F.max(F.struct("proba", "class"))["class"]
     judged = predict(wide, made, None, "_left").groupBy("t", "fold").agg(best.alias("pred")).join(rows.select("t", F.col("label").alias("truth")), "t")
     recall = judged.groupBy("fold", "truth").agg(F.avg((F.col("truth") == F.col("pred")).cast("double")).alias("r")).groupBy("fold").agg(F.avg("r").alias("r"))
     score = {r["fold"]: r["r"] for r in recall.collect()}
     chosen = [max(range(f, f + splits), key=lambda k: (score.get(k, -1.0), -k)) for f in range(0, len(made.seen), splits)]
-    return Models(made.classes, made.mean, made.scale, made.gamma, made.weights[chosen], [made.seen[k] for k in chosen])
+    return made.of(chosen)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ensemble as E
 from ..operators import incremental as I
+from ..operators import kernel as K
 from ..operators import mixture as M
 from ..operators import models as C
 from ..operators import prepare as P
@@ -100,6 +101,16 @@ def fold_models(spark, sf_dir):
     return judged.groupBy("fold").agg(F.avg((F.col("truth") == F.col("pred")).cast("double")).alias("acc"))
 
 
+@query()
+def fold_machines(spark, sf_dir):
+    """(fold, acc): machines with a radial kernel of three folds of the vectors' classes on eight axes, judged by their probabilities on what each left out."""
+    rows = axes(spark, sf_dir, 8).select("t", F.col("v").alias("f"), F.col("label").cast("string").alias("label"), C.fold_flags(F.col("t"), 3, 0.7).alias("train"))
+    rows = keep(rows, "folds")
+    made = K.fit(rows, sorted(r["label"] for r in rows.select("label").distinct().collect()), landmarks=64)
+    judged = E.best_class(C.predict(rows, made, None, "train"), ("t", "fold")).join(rows.select("t", F.col("label").alias("truth")), "t")
+    return judged.groupBy("fold").agg(F.avg((F.col("truth") == F.col("pred")).cast("double")).alias("acc"))
+
+
 @query()
 def gmm_all_rows(spark, sf_dir):
     """(label, n, mu, log_weight): the mixture of all points that the information criterion asks for, up to four components."""

@@ -18,6 +18,7 @@ from .functions.gaussian import Gaussians
 from .operators import drift as D
 from .operators import ensemble as E
 from .operators import incremental as I
+from .operators import kernel as K
 from .operators import layout as L
 from .operators import mixture as M
 from .operators import models as C
@@ -314,8 +315,9 @@ class Session:
         if number not in self.models:
             classes = sorted(r["label"] for r in self.all.select("label").distinct().collect())
             ready = own.select("t", "f", "label", self._train().alias("train"))
-            fit = C.fit_by_validation if self.config.by_validation else C.fit
-            made = fit(ready, classes, balanced=self.config.balanced, gamma=self.config.gamma if self.config.model == "radial" else None)
+            radial = self.config.model == "radial"
+            make, how = (K.fit, {"gamma": self.config.gamma}) if radial else (C.fit, {})
+            made = C.fit_by_validation(ready, classes, make, balanced=self.config.balanced, **how) if self.config.by_validation else make(ready, classes, balanced=self.config.balanced, **how)
             moments = M.moments(own.select(F.lit(0).alias("label"), F.col("f").alias("v"))).first()
             self.models[number] = {"idx": idx.select("t"), "model": made, "moments": moments, "n": stats["n"]}
             self.used.add(number)
