@@ -489,6 +489,9 @@ def test_session_end_to_end(spark, tmp_path):
     assert (other.at, other.used) == (1, {first})
     again = Session(spark, rows, config, (snapshots, session.save(snapshots)))
     assert again.arrived == 120 and again.parts.keys() == session.parts.keys() and again.used == {first}
+    for restored in (other, again):  # the same weights, without a fit
+        assert (restored.models[first]["model"].weights == session.models[first]["model"].weights).all()
+        assert sorted(restored.predict().collect()) == sorted(session.predict().collect())
     session.set_active({first: False})
     assert session.trained_idx().count() == 0
 
@@ -521,6 +524,9 @@ def test_session_of_three_classes_with_lags_and_user_operations(spark):
     assert {r.label for r in session.labels().join(idx, "t").collect()} == {major} and set(session.limits) == set(session.parts)
     key = session.regroup(session.rows.where("label = 'c1'").select("t"))
     assert key in session.parts and session.labels().count() == 240
+    before = set(session.parts)
+    taken = session.adjust_component(session.rows.where("label = 'c2'").select("t"))
+    assert set(taken.values()) <= before and session.labels().count() == 240 and set(session.limits) == set(session.parts)
     if len(session.parts) > 1:
         gone = min(session.parts)
         session.delete_component(gone)

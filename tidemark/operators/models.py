@@ -8,8 +8,9 @@ Fourier features of a radial kernel; ``kernel`` has support vector machines.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,17 @@ def fit(rows: DataFrame, classes: Sequence[str], balanced: bool = True, gamma: f
     return made
 
 
+def dumped(made) -> str:
+    """Fitted classifiers of a dataclass of arrays and plain values, as JSON."""
+    return json.dumps({f.name: v.tolist() if isinstance(v := getattr(made, f.name), np.ndarray) else v for f in fields(made)})
+
+
+def restored(kind: type, text: str):
+    """What ``dumped`` made of classifiers of a kind."""
+    state = json.loads(text)
+    return kind(**{f.name: np.array(state[f.name]) if str(f.type) == "np.ndarray" else state[f.name] for f in fields(kind)})
+
+
 def predict(rows: DataFrame, made, fold: int | None = 0, outside: str | None = None) -> DataFrame:
     """(t, fold, class, proba) of rows(t, f) by one fold of ``Models`` or ``kernel.Machines``, or by every fold for the rows that its flag in ``outside`` leaves out."""
 

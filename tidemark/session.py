@@ -6,6 +6,7 @@ Two sessions share nothing. Rows are (t, attributes.., label, v, f): v all attri
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -300,6 +301,33 @@ class Session:
         self._set_mixture(left, placed.where("uncertain").select("t"))
         return key
 
+    def adjust_component(self, idx: DataFrame, most: float = 0.8) -> dict[int, int]:
+        """New components for the selected rows and all rows of the components that they hold over ``most`` of, which go; then all rows are fitted anew from the others and these.
+
+        A new component takes the label of the one among those that went with which it shares most rows (pairs of most rows first), or a
+        label of its own; returns the labels taken over, by the new fit's numbers.
+        """
+        idx = idx.select("t").distinct()
+        marked = keep(self.labels().join(idx.withColumn("_in", F.lit(1)), "t", "left"), "marked")
+        counts = marked.groupBy("label").agg(F.count("_in").alias("inside"), F.count(F.lit(1)).alias("n")).collect()
+        gone = [r["label"] for r in counts if r["inside"] > most * r["n"]]
+        chosen = marked.where(F.col("_in").isNotNull() | F.col("label").isin(gone))
+        points = self.rows.select("t", "v")
+        new, placed = M.built(points.join(chosen.select("t"), "t", "left_semi"))
+        if not new.keys:
+            return {}
+        shared = placed.select("t", "component").join(chosen.where(F.col("label").isin(gone)).select("t", "label"), "t")
+        found = {r["new"]: r["old"] for r in M.matched(shared.groupBy(F.col("label").alias("old"), F.col("component").alias("new")).agg(F.count(F.lit(1)).alias("n"))).collect()}
+        old, m, n = self._gaussians(), chosen.count(), self.arrived
+        stay = [i for i, k in enumerate(old.keys) if k not in gone]
+        fresh = iter(range(max(old.keys) + 1, max(old.keys) + 1 + len(new.keys)))
+        keys = [*(old.keys[i] for i in stay), *(found[k] if k in found else next(fresh) for k in new.keys)]
+        weights = np.concatenate([np.exp(old.log_weight[stay]) * max(n - m, 1), np.exp(new.log_weight) * m])
+        start = Gaussians(keys, np.concatenate([old.mu[stay], new.mu]), np.concatenate([old.s[stay], new.s]), np.log(weights / weights.sum()))
+        left, placed = M.built(points, start=start)
+        self._set_mixture(left, placed.where("uncertain").select("t"))
+        return found
+
     # Models
 
     def _train(self) -> Column:
@@ -525,10 +553,14 @@ class Session:
                 one = m["idx"].select(F.lit(k).cast("long").alias("model_id"), F.lit(k in self.used).alias("use"), "t")
                 idx = one if idx is None else idx.union(one)
             tables["models"] = idx
+            fitted = [(k, k in self.used, type(m["model"]).__name__, C.dumped(m["model"]), json.dumps({x: m["moments"][x] for x in ("label", "n", "mu", "s", "log_det")}), int(m["n"])) for k, m in sorted(self.models.items())]
+            tables["fitted"] = self.spark.createDataFrame(fitted, "model_id long, use boolean, kind string, model string, moments string, n long")
+        if self.placed is not None:
+            tables["placed"] = self.placed.withColumn("arrived", F.lit(max(n for n, _ in self.layouts)))
         return snapshots.save(tables)
 
     def load(self, snapshots: Snapshots, name: str) -> None:
-        """Rows, mixture and cursor as saved; models are trained anew on their rows."""
+        """Rows, mixture, cursor, models and the last layout as saved; nothing is fitted."""
         tables = snapshots.load(name)
         drop(self.all)
         self.all = keep(tables["rows"], "session")
@@ -541,7 +573,11 @@ class Session:
         self.at, self.window, self.arrived = tables["cursor"].first()
         self.forced = tables.get("forced")
         self.models, self.used = {}, set()
-        if "models" in tables:
-            for r in tables["models"].select("model_id", "use").distinct().orderBy("model_id").collect():
-                number = self.add_model(tables["models"].where(F.col("model_id") == r["model_id"]).select("t"))
-                self.set_active({number: r["use"]})
+        for r in tables["fitted"].orderBy("model_id").collect() if "fitted" in tables else ():
+            made = C.restored({"Models": C.Models, "Machines": K.Machines}[r["kind"]], r["model"])
+            self.models[r["model_id"]] = {"idx": tables["models"].where(F.col("model_id") == r["model_id"]).select("t"), "model": made, "moments": json.loads(r["moments"]), "n": r["n"]}
+            self.set_active({r["model_id"]: r["use"]})
+        self.layouts, self.placed, self.trace = {}, None, []
+        if "placed" in tables:
+            self.placed = tables["placed"].select("t", "x", "y")
+            self.layouts[tables["placed"].first()["arrived"], 0] = self.placed
