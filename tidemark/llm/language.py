@@ -7,11 +7,12 @@ bytes outside its stretch, so every byte is labelled with at least that much tex
 
 Stretches fill blocks of one fixed shape, so a stretch's sums don't depend on what else is in its batch, and
 a document's score not on how rows are partitioned. The network is fitted on a bounded sample of labelled
-documents: STRETCHES of each of DOCS documents a language, both chosen by hashes.
+documents: STRETCHES, from anywhere in the text, of each of DOCS documents a language, both chosen by hashes.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,6 @@ TRAIN_OWN, TRAIN_CONTEXT = 48, 16
 #: Stretches computed together.
 ROWS = 1024
 DOCS, STRETCHES = 300, 4
-#: Characters of a sampled document from which its stretches are chosen: the driver holds no more of it.
-SAMPLE_CHARS = 20_000
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 
 _LETTER = np.zeros(256, np.float32)
@@ -216,8 +215,15 @@ def held_out(doc_id: Column, of: int = 3, rest: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of == rest, F.lit(False))
 
 
-def sample(docs: DataFrame, most: int = DOCS) -> list[tuple[str, str]]:
-    """(lang, text) of ``most`` documents a language at most, those of the least hashes, in a fixed order."""
+def chosen_stretches(text: bytes, most: int = STRETCHES) -> np.ndarray:
+    """``most`` stretches with letters, for training, from anywhere in the whole text: of an order that the text alone decides."""
+    own = stretches([text], TRAIN_OWN, TRAIN_CONTEXT)[0]
+    own = own[_LETTER[own[:, TRAIN_CONTEXT : TRAIN_CONTEXT + TRAIN_OWN]].any(axis=1)]
+    return own[np.random.Generator(np.random.PCG64(zlib.crc32(text))).permutation(len(own))[:most]]
+
+
+def sample(docs: DataFrame, most: int = DOCS, stretches_each: int = STRETCHES) -> list[tuple[str, bytes]]:
+    """(lang, stretch) of ``most`` documents a language at most, those of the least hashes, in a fixed order; no text comes to the driver."""
     ids = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
     counts = {r.lang: r.n for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -232,26 +238,24 @@ def sample(docs: DataFrame, most: int = DOCS) -> list[tuple[str, str]]:
         if seen[lang] <= most:
             chosen.append(doc)
     rows = docs.where(F.col("doc_id").isin(chosen) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # Of each only SAMPLE_CHARS characters come to the driver, and of a repeated id one row: what a fit takes is a few stretches.
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))).alias("r"))
-    return sorted((r.lang, r.text) for r in rows.select("r.lang", "r.text").collect())
+    # Of a repeated id one row.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("lang", F.col("text").cast("string").alias("text"))).alias("r")).select("r.lang", "r.text")
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(lang, x.tobytes()) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in chosen_stretches(text.encode(), stretches_each)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.binary())], ["lang", "stretch"])
 
-def train(rows: list[tuple[str, str]], stretches_each: int = STRETCHES, seed: int = 5) -> Network | None:
-    """A network from (lang, text); None if there is nothing to learn from."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    labels = sorted({lang for lang, _ in rows})
-    found, ys = [], []
-    for lang, text in rows:
-        own = stretches([text.encode()], TRAIN_OWN, TRAIN_CONTEXT)[0]
-        own = own[_LETTER[own[:, TRAIN_CONTEXT : TRAIN_CONTEXT + TRAIN_OWN]].any(axis=1)]
-        chosen = own[rng.permutation(len(own))[:stretches_each]]
-        found.append(chosen)
-        ys += [labels.index(lang)] * len(chosen)
-    if not ys:
+    return sorted((r.lang, bytes(r.stretch)) for r in rows.mapInArrow(cut, "lang string, stretch binary").collect())
+
+
+def train(rows: list[tuple[str, bytes]]) -> Network | None:
+    """A network from (lang, stretch); None if there is nothing to learn from."""
+    if not rows:
         return None
+    labels = sorted({lang for lang, _ in rows})
     network = Network(labels)
-    network.fit(np.concatenate(found), np.array(ys), slice(TRAIN_CONTEXT, TRAIN_CONTEXT + TRAIN_OWN))
+    network.fit(np.stack([np.frombuffer(x, np.uint8) for _, x in rows]), np.array([labels.index(lang) for lang, _ in rows]), slice(TRAIN_CONTEXT, TRAIN_CONTEXT + TRAIN_OWN))
     return network
 
 
