@@ -89,7 +89,11 @@ def prepared(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: float = 3.0, seed: int = 1) -> DataFrame:
-    """The mix: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
+    """The mix: each row of ``docs`` as often as it is taken, with the columns of ``docs``.
+
+    A null text has size 0 and is taken like others of its size; a null source is a source of its own, after all others. Repeated
+    rows count one by one, and rows of one source, size and doc_id are interchangeable. Without rows, or words, nothing is taken.
+    """
     names = docs.columns
     out = with_copies(prepared(docs, F.struct(*[docs[c] for c in names]).alias("_row_of_docs")), weights, most, seed)
     return out.where("_copies > 0").withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col("_row_of_docs")[c].alias(c) for c in names])
