@@ -64,6 +64,7 @@ def conditional(near: DataFrame, betas: DataFrame) -> DataFrame:
 def symmetrized(p: DataFrame) -> DataFrame:
     """(i, j, p): p_ij + p_ji over the total."""
     both = p.select("i", "j", "p").union(p.select("j", "i", "p")).groupBy("i", "j").agg(F.sum("p").alias("p"))
+    both = keep(both, "symmetric")  # looked at twice, and the search for neighbours is in it
     return with_stats(both, F.sum("p").alias("_all")).select("i", "j", (F.col("p") / F.col("_all")).alias("p"))
 
 

@@ -111,7 +111,7 @@ def kmeans_local(spark, sf_dir):
 
 
 #: Rounds of the layouts below: a round is a few jobs over all points.
-ROUNDS = 5
+ROUNDS = 3
 
 
 @query()
