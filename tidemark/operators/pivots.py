@@ -124,12 +124,11 @@ def _visits(left: DataFrame, rings: Rings, k: int) -> DataFrame:
     return left.mapInArrow(run, "ring int, id long, v array<double>")
 
 
-def _met(visits: DataFrame, right: DataFrame, rings: Rings, k: int, itself: bool) -> DataFrame:
+def _met(visits: DataFrame, right: DataFrame, k: int, itself: bool) -> DataFrame:
     """(i, j, d): each visiting row's k best of each block of the ring."""
-    blocks = F.array(*[F.lit(int(-(-n // BLOCK))) for n in rings.rows]) if len(rings.rows) <= 64 else None
     key = ["ring", "block", "_part"]
     sizes = visits.groupBy("ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    per = right.groupBy("ring").agg((F.max("block") + 1).alias("blocks")) if blocks is None else right.select("ring").distinct().withColumn("blocks", F.element_at(blocks, F.col("ring") + 1))
+    per = right.groupBy("ring").agg((F.max("block") + 1).alias("blocks"))
     mine = visits.join(sizes, "ring").join(per, "ring").withColumn("_part", F.pmod(F.hash("id"), "parts")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     theirs = right.join(sizes.select(F.col("ring").alias("ring"), F.col("parts").alias("parts")), "ring").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("d", pa.float64())])
@@ -156,10 +155,10 @@ def search(left: DataFrame, right: DataFrame, k: int, itself: bool = True, pivot
     if not len(rings.of):
         return left.sparkSession.createDataFrame([], "i long, j long, d double, rank int"), 0.0
     first = keep(_visits(left.withColumn("limit", F.lit(None).cast("double")), rings, k), "visits")
-    near = keep(_top(_met(first, rows, rings, k, itself), k), "near")
+    near = keep(_top(_met(first, rows, k, itself), k), "near")
     limits = near.where(F.col("rank") == k).select(F.col("i").alias("id"), F.col("d").alias("limit"))
     second = keep(_visits(left.join(limits, "id", "left").select("id", "v", F.coalesce("limit", F.lit(float("inf"))).alias("limit")), rings, k), "visits")
-    found = _top(near.drop("rank").unionByName(_met(second, rows, rings, k, itself)), k)
+    found = _top(near.drop("rank").unionByName(_met(second, rows, k, itself)), k)
     return found, (first.count() + second.count()) / max(left.count() * len(rings.of), 1)
 
 
