@@ -946,7 +946,7 @@ def test_urls_of_chains_take_one_turn(spark):
     assert time.time() - start < 90 and len(found) == len(made)
     few = spark.createDataFrame([(k, u.replace(deep, "s0/s1/s2")) for k, u in enumerate(made)], "page_id long, url string")
     paths = few.select(urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"), F.when(F.col("page_id") % 3 == 0, "block").alias("label"))
-    with_chains = sorted(urls.templates(paths).collect())
+    with_chains = _with(urls, "FEW_TURNS", 0, lambda: sorted(urls.templates(paths).collect()))
     assert _with(urls, "_along_chains", lambda now: now, lambda: sorted(urls.templates(paths).collect())) == with_chains
 
 

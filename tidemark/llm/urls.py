@@ -4,8 +4,8 @@ Per host, paths make a tree of segments. First each segment is generalised by it
 hexadecimal strings). Then, level by level down to the last segment, the children of a node become a wildcard where
 the node has many of them or nearly as many as urls, and the child itself is rare: it has fewer than RARE paths,
 and too few labels for a verdict of its own. A node of fewer than SPLIT urls is not split further: what is
-below it is one wildcard. So there is no bound on the levels, and each has nodes enough to tell something. Chains of nodes
-with one child take one turn together, so turns are as many as branchings follow each other.
+below it is one wildcard. So there is no bound on the levels, and each has nodes enough to tell something. Below the
+first levels chains of nodes with one child take one turn together, so turns are as many as branchings follow each other.
 
 Branches that differ in one segment only are merged if they are statistically alike: the numbers of blocked,
 allowed and unlabelled urls of the branches pass a chi-square test of homogeneity at 5 %. Of the merged
@@ -34,6 +34,8 @@ MOST_CHILDREN, MANY_SHARE = 50, 0.9
 PURITY = 0.8
 #: A child with so many paths is no wildcard; a node with fewer urls has no children.
 RARE, SPLIT = 10, 10
+#: Turns of one level each before chains are looked for, which costs a job: paths are mostly short, and the templates are the same either way.
+FEW_TURNS = 3
 #: The least share of a rejected template's urls that have labels.
 SUPPORT = 0.1
 #: The normal quantile of the test of homogeneity.
@@ -90,11 +92,11 @@ def templates(urls: DataFrame, purity: float = PURITY, most_children: int = MOST
     paths = urls.groupBy("host", "path").agg(*counts).fillna(0, ["blocks"])
     segments = F.transform(F.slice(F.split("path", "/"), 2, 1 << 30), _form)
     now = keep(paths.withColumn("segments", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(segments)).withColumn("template", F.lit("")), "paths")
-    done = now.where(F.size("segments") == 0)
+    done, turn = now.where(F.size("segments") == 0), 0
     now = now.where(F.size("segments") > 0)
     enough = max(1, math.ceil(round((2 * purity - 1) / (1 - purity), 9))) if purity < 1 else math.inf
     while not now.isEmpty():
-        here = _along_chains(now).withColumn("segment", F.get("segments", F.lit(0)))
+        here = (_along_chains(now) if turn >= FEW_TURNS else now).withColumn("segment", F.get("segments", F.lit(0)))
         children = here.groupBy(F.col("host").alias("gh"), F.col("template").alias("gt"), F.col("segment").alias("gs")).agg(F.count(F.lit(1)).alias("paths"), F.sum("n").alias("urls"), F.sum("labels").alias("labels"))
         children = keep(children, "children")
         nodes = children.groupBy(F.col("gh").alias("nh"), F.col("gt").alias("nt")).agg(F.count(F.lit(1)).alias("kids"), F.sum("urls").alias("all_urls"))
@@ -110,7 +112,7 @@ def templates(urls: DataFrame, purity: float = PURITY, most_children: int = MOST
         moved = moved.withColumn("open", more & (F.col("size") >= SPLIT)).withColumn("template", F.when(more & (F.col("size") < SPLIT), F.concat("next", F.lit("/**"))).otherwise(F.col("next")))
         moved = keep(moved.select("host", "path", "n", "labels", "blocks", F.expr("slice(segments, 2, size(segments))").alias("segments"), "template", "open"), "level")
         done = done.union(moved.where("not open").drop("open"))
-        now = moved.where("open").drop("open")
+        now, turn = moved.where("open").drop("open"), turn + 1
     return done.select("host", "path", "template", "n", "labels", "blocks")
 
 
