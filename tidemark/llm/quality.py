@@ -26,8 +26,8 @@ THRESHOLD = -0.25
 
 #: N-grams of the raw corpus that are added to the trusted ones.
 PRIOR = float(1 << 14)
-#: Trusted documents that are counted; an estimate of 2**16 shares needs no more.
-MOST_TRUSTED = 20_000
+#: Ids of trusted documents that are sent to all tasks at most (16 MB); more are joined with the documents.
+SENT = 1 << 21
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -43,22 +43,37 @@ def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
-def ngram_counts(docs: DataFrame, trusted: DataFrame, width: int = WIDTH, bits: int = BITS, most_trusted: int = MOST_TRUSTED) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of all documents and of the trusted ones by bucket; 2**bits rows come to the driver.
+def _among(ids: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Whether each id is one of the sorted ``chosen``."""
+    return chosen[np.minimum(np.searchsorted(chosen, ids), len(chosen) - 1)] == ids if len(chosen) else np.zeros(len(ids), bool)
 
-    ``trusted`` has doc_id of the trusted documents; of more than ``most_trusted``, those of the least hashes
-    are taken. Each task sums its texts before anything is shuffled, and no text is shuffled.
+
+def ngram_counts(docs: DataFrame, trusted: DataFrame, width: int = WIDTH, bits: int = BITS, sent: int = SENT) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of all documents and of all trusted ones by bucket; 2**bits rows come to the driver.
+
+    ``trusted`` has doc_id of the trusted documents. Up to ``sent`` of them are known to all tasks as sorted ids, so no
+    text is shuffled; more are joined by hash, each text once. Each task sums its texts before its counts are shuffled.
     """
     size = 1 << bits
-    ids = trusted.select(F.col("doc_id").cast("long").alias("t")).where("t is not null").distinct()
-    chosen = np.sort(np.array([r.t for r in ids.orderBy(F.xxhash64("t"), "t").limit(most_trusted).collect()], np.int64))
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if ids.limit(sent + 1).count() <= sent:
+        chosen = np.sort(ids.toArrow().column("doc_id").to_numpy())
+        texts = texts.withColumn("good", F.lit(None).cast("boolean"))
+    else:
+        chosen = np.zeros(0, np.int64)
+        texts = texts.join(ids.withColumn("good", F.lit(True)).hint("shuffle_hash"), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         raw, good = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in _small(batches):
             ids = batch.column("doc_id")
-            texts, marks = _texts(batch), np.isin(ids.fill_null(0).to_numpy(), chosen) & ids.is_valid().to_numpy(zero_copy_only=False)
+            texts, joined = _texts(batch), batch.column("good")
+            if joined.null_count:
+                marks = _among(ids.fill_null(0).to_numpy(), chosen) & ids.is_valid().to_numpy(zero_copy_only=False)
+            else:
+                marks = joined.to_numpy(zero_copy_only=False)
             for i, j in slices(texts):
                 codes, sizes = ngram_codes(Slice(texts[i:j]), width, bits)
                 raw += np.bincount(codes, minlength=size)
@@ -67,7 +82,6 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, width: int = WIDTH, bits:
         release()
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(raw[at]), pa.array(good[at])], ["bucket", "raw", "good"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.mapInArrow(count, "bucket int, raw long, good long").groupBy("bucket").agg(F.sum("raw"), F.sum("good")).toPandas()
     raw, good = np.zeros(size), np.zeros(size)
     raw[found.iloc[:, 0]], good[found.iloc[:, 0]] = found.iloc[:, 1], found.iloc[:, 2]
