@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tidemark.operators import layout, pairs
+from tidemark.operators import layout, pairs, text
 
 
 def frame(spark, x, name="i"):
@@ -61,3 +61,11 @@ def test_repulsion_and_all_anchors_are_their_plain_sums(spark):
     truth = (((p / p.sum() - q * w / (q * w).sum()) * q)[..., None] * way).sum(axis=1)
     found = np.array(sorted(map(tuple, layout.gradient_of_all_anchors(rows, anchors, 0.1).collect())))
     assert np.allclose(found[:, 1:], truth, rtol=1e-9, atol=1e-13)
+
+
+def test_term_weights_shuffle_texts_once_and_do_not_depend_on_the_join(spark):
+    docs = spark.createDataFrame([(1, "A b b c"), (1, "b d"), (2, "c, d-d"), (3, None), (None, "b")], "doc_id long, text string")
+    plan = text.term_counts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    sent, joined = (sorted(map(str, text.tfidf(docs, n).collect())) for n in (100, 0))
+    assert sent == joined and len(sent) == 7
