@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tidemark.operators import layout, pairs, text
+from tidemark.operators import forest, layout, pairs, text
 
 
 def frame(spark, x, name="i"):
@@ -69,3 +69,11 @@ def test_term_weights_shuffle_texts_once_and_do_not_depend_on_the_join(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     sent, joined = (sorted(map(str, text.tfidf(docs, n).collect())) for n in (100, 0))
     assert sent == joined and len(sent) == 7
+
+
+def test_a_forest_of_too_little_recall_gives_way_to_the_exact_search(spark):
+    x = np.random.default_rng(8).standard_normal((600, 30))  # distances all alike, which splits can't tell apart
+    a, b = frame(spark, x), frame(spark, x, "j")
+    exact = {(r.i, r.j) for r in pairs.nearest(a, b, 5, itself=False).collect()}
+    some = {(r.i, r.j) for r in forest.nearest_by_forest(a, b, 5, itself=False, trees=2, leaf=20, recall=0.9).collect()}
+    assert len(exact & some) >= 0.9 * len(exact)
