@@ -210,10 +210,34 @@ class Follower:
         self.uncertain: list[list[float]] = []
         self.limits = limits(gaussians(self.comps).score(x, True) if len(x) else np.zeros((0, len(self.comps))))
 
+    @property
+    def comps(self) -> list[Part]:
+        """The parts; they are held as columns of sums, so that a row changes all of them in one addition."""
+        d = self._d
+        return [Part(float(c[0]), c[1 : d + 1].copy(), c[d + 1 :].reshape(d, d).copy(), float(n)) for c, n in zip(self._sums.T, self._rows, strict=True)]
+
+    @comps.setter
+    def comps(self, parts: list[Part]) -> None:
+        self._d = len(parts[0].first)
+        self._sums = np.array([[c.weight, *c.first, *np.ravel(c.second)] for c in parts], float).T.copy()
+        self._rows = np.array([c.rows for c in parts], float)
+
+    def _far(self, x: np.ndarray) -> np.ndarray:
+        """As ``Gaussians.score`` of one row; covariances of two axes are inverted in place unless they are close to singular."""
+        if self._d == 2:
+            m = self._sums[1:] / self._sums[0]
+            aa, ab, bb = m[2] - m[0] * m[0], m[3] - m[0] * m[1], m[5] - m[1] * m[1]
+            around = aa * bb
+            det = around - ab * ab
+            if (det > 1e-10 * around).all() and aa.min() > 0:
+                u, v = x[0] - m[0], x[1] - m[1]
+                return (bb * u * u - 2 * ab * u * v + aa * v * v) / det + np.log(det)
+        return gaussians(self.comps).score(x[None])[0]
+
     def add(self, x: np.ndarray) -> tuple[int, bool]:
         """The row's part, and whether it is uncertain."""
-        g = gaussians(self.comps)
-        scores = g.score(x[None], True)[0]
+        far, log_share = self._far(x), np.log(self._sums[0] / self._rows)
+        scores = far - log_share
         k = int(scores.argmin())
         self.n += 1
         if scores[k] >= self.limits[k][0]:
@@ -221,13 +245,15 @@ class Follower:
             if len(self.uncertain) > max(self.trigger, self.n // 12):
                 rows = np.array(self.uncertain)
                 made = sorted(best_by_bic(rows, min(7, 1 + round(len(rows) / 50))), key=lambda c: -c.weight)[:4]
-                self.comps += made
+                self.comps = self.comps + made
                 self.limits += limits(gaussians(self.comps).score(rows, True))[-len(made) :]
                 self.uncertain = []
             return k, True
         if scores[k] < self.limits[k][1]:
-            p = g.posterior(x[None])[0]
-            self.comps = [updated(c, x, q) for c, q in zip(self.comps, p, strict=True)]
+            logs = log_share - far / 2
+            p = np.exp(logs - logs.max())
+            self._sums += np.concatenate([[1.0], x, np.outer(x, x).ravel()])[:, None] * (p / p.sum())
+            self._rows += 1
         return k, False
 
     def dump(self) -> str:
@@ -244,6 +270,57 @@ class Follower:
         return made
 
 
+def followed(rows: DataFrame, first: int, most: int) -> DataFrame:
+    """(label, t, component, uncertain) of ``rows(label, t, v)``: each label's rows one by one, after a fit of its first ``first`` rows with ``most`` parts at most.
+
+    A label's rows change its mixture one after another, so labels are what runs side by side, each in a task of its own,
+    which reads its rows in order and holds the mixture and one batch.
+    """
+    rows = rows.select(F.col("label").cast("string").alias("label"), F.col("t").cast("long").alias("t"), "v")
+    labels = sorted(r[0] for r in rows.select("label").where("label is not null").distinct().collect())
+    place = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in labels]).cast("array<string>"), F.col("label")), F.lit(0))
+    schema = pa.schema([("label", pa.string()), ("t", pa.int64()), ("component", pa.int32()), ("uncertain", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        follower, label, begun = None, None, False
+        waiting: list[tuple[int, np.ndarray]] = []
+
+        def start() -> list[tuple[int, int, bool]]:
+            nonlocal follower
+            x = np.array([v for _, v in waiting])
+            follower = Follower(best_by_bic(x, most), x)
+            found = gaussians(follower.comps).score(x, True).argmin(axis=1)
+            out = [(t, int(k), False) for (t, _), k in zip(waiting, found, strict=True)]
+            waiting.clear()
+            return out
+
+        def made(out: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([label] * len(out), pa.string()), *[pa.array([r[k] for r in out], schema.field(k + 1).type) for k in range(3)]], schema=schema)
+
+        for batch in batches:
+            out: list[tuple[int, int, bool]] = []
+            for name, t, v in zip(batch.column("label").to_pylist(), batch.column("t").to_pylist(), matrix(pa.table(batch)), strict=True):
+                if not begun or name != label:
+                    if waiting:
+                        out += start()
+                    if out:
+                        yield made(out)
+                    follower, label, begun, out = None, name, True, []
+                if follower is None:
+                    waiting.append((t, v.copy()))
+                    if len(waiting) == first:
+                        out += start()
+                else:
+                    out.append((t, *follower.add(v)))
+            if out:
+                yield made(out)
+        if waiting:
+            yield made(start())
+
+    dealt = rows.repartitionById(len(labels) + 1, place.cast("int")) if len(labels) <= 256 else rows.repartition("label")
+    return dealt.sortWithinPartitions("label", "t").mapInArrow(run, "label string, t long, component int, uncertain boolean")
+
+
 def limits(scores: np.ndarray) -> list[tuple[float, float]]:
     """Relaxed and strict thresholds of each part from its own rows' scores."""
     best = scores.argmin(axis=1) if len(scores) else np.zeros(0, int)

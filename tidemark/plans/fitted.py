@@ -64,16 +64,8 @@ def gmm_bic(spark, sf_dir):
 @query()
 def gmm_follow(spark, sf_dir):
     """(label, t, component, uncertain): each event type's rows taken one by one, after a fit of its first hundred."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t")
-        x = rows[["x", "hour"]].to_numpy(float)
-        follower = I.Follower(I.best_by_bic(x[:100], 3), x[:100])
-        out = [(int(k), False) for k in I.gaussians(follower.comps).score(x[:100], True).argmin(axis=1)] + [follower.add(r) for r in x[100:]]
-        return pd.DataFrame({"label": rows["label"], "t": rows["t"], "component": [k for k, _ in out], "uncertain": [u for _, u in out]})
-
-    rows = read(spark, sf_dir, "events").select(F.col("event_id").alias("t"), F.col("value").alias("x"), F.hour("ts").cast("double").alias("hour"), F.col("event_type").alias("label"))
-    return rows.groupBy("label").applyInPandas(run, "label string, t long, component int, uncertain boolean")
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("label"), F.col("event_id").alias("t"), F.array("value", F.hour("ts").cast("double")).alias("v"))
+    return I.followed(rows, 100, 3)
 
 
 @query()
