@@ -26,8 +26,8 @@ HIDDEN = 16
 #: Bytes of a stretch that are labelled, and bytes read before and after it: of texts, and in training.
 OWN, CONTEXT = 224, 24
 TRAIN_OWN, TRAIN_CONTEXT = 48, 16
-#: Stretches computed together.
-ROWS = 1024
+#: Stretches computed together: few enough that a step's arrays stay in the cache.
+ROWS = 512
 DOCS, STRETCHES = 300, 4
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 
@@ -99,34 +99,40 @@ class Network:
     def read(self, rows: np.ndarray, own: slice) -> np.ndarray:
         """Each label's probability at the bytes within ``own``: label, time, row.
 
-        As ``_states``, for reading only: each gate in an array of its own, in place, with the halves of the gates' sigmoids in the weights.
+        As ``_states``, for reading only, in place and with the gates side by side: with e = exp(-x) a gate is 1 / (1 + e), so what it
+        weighs is divided by 1 + e, and tanh(x) is 1 - 2 / (1 + exp(2 x)); the signs and the two are in the weights. An e that is
+        infinite gives the limit.
         """
         k, (n, length) = self.hidden, rows.shape
-        u, table = self.w["u"] * 0.5, (self.w["x"] + self.w["v"]).reshape(512, 3 * k)
-        of = lambda x, i: np.ascontiguousarray(x[..., i * k : (i + 1) * k])
-        weights, tables = [of(u, i) for i in range(3)], [of(table, 0) * 0.5, of(table, 1) * 0.5, of(table, 2)]
+        scale = np.array([-1, -1, 2], self.w["u"].dtype)
+        gates = lambda x: np.ascontiguousarray(np.moveaxis(x.reshape(*x.shape[:-1], 3, k) * scale[:, None], -2, 0))
+        weights, table = gates(self.w["u"]), gates(self.w["x"] + self.w["v"]).reshape(3 * 512, k)
         codes = np.stack([rows.T, rows.T[::-1] + np.int64(256)], axis=1)
-        h, z, r, new, gap = (np.zeros((2, n, k), table.dtype) for _ in range(5))
+        codes = np.ascontiguousarray(codes[:, None] + 512 * np.arange(3)[:, None, None])  # time, gate, direction, row
+        h, gap, x, g = (np.zeros((*m, 2, n, k), table.dtype) for m in ((), (), (3,), (3,)))
+        both, new, x_both, x_new = g[:2], g[2], x[:2], x[2]
         size = own.stop - own.start
         out = np.empty((2, size, n, k), table.dtype)
-        for t in range(length):
-            for gate, w in zip((z, r, new), weights, strict=True):
-                np.matmul(h, w, out=gate)
-            for gate, x in zip((z, r), tables, strict=False):
-                gate += x[codes[t]]
-                np.tanh(gate, out=gate)
-                gate += 1.0
-            new *= r
-            new += tables[2][codes[t]]
-            np.tanh(new, out=new)
-            np.subtract(h, new, out=gap)
-            gap *= 0.5
-            gap *= z
-            np.add(new, gap, out=h)
-            if own.start <= t < own.stop:
-                out[0, t - own.start] = h[0]
-            if own.start <= length - 1 - t < own.stop:
-                out[1, length - 1 - t - own.start] = h[1]
+        with np.errstate(over="ignore"):
+            for t in range(max(own.stop, length - own.start)):  # what follows is after the bytes of both directions
+                np.take(table, codes[t], axis=0, out=x, mode="clip")
+                np.matmul(h, weights, out=g)
+                both += x_both
+                np.exp(both, out=both)
+                both += 1.0
+                new /= both[1]
+                new += x_new
+                np.exp(new, out=new)
+                new += 1.0
+                np.divide(-2.0, new, out=new)
+                new += 1.0
+                np.subtract(h, new, out=gap)
+                gap /= both[0]
+                np.add(new, gap, out=h)
+                if own.start <= t < own.stop:
+                    out[0, t - own.start] = h[0]
+                if own.start <= length - 1 - t < own.stop:
+                    out[1, length - 1 - t - own.start] = h[1]
         logits = self.w["o"][:k].T @ out[0].reshape(-1, k).T + self.w["o"][k:].T @ out[1].reshape(-1, k).T + self.w["c"][:, None]
         logits -= logits.max(axis=0)
         np.exp(logits, out=logits)
