@@ -1,10 +1,13 @@
 """Steps whose memory, moved bytes or time must grow no faster than their rows."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import incremental as I
+from tidemark.plans import drift as plan
+from tidemark.streaming import replay, sliding
 
 
 def test_follower_changes_its_sums_without_inverting_matrices(monkeypatch):
@@ -42,3 +45,27 @@ def test_followed_labels_have_a_task_each_and_any_batches(spark):
         follower = I.Follower(first, x[:60])
         expected = [(int(k), False) for k in I.gaussians(first).score(x[:60], True).argmin(axis=1)] + [follower.add(r) for r in x[60:]]
         assert [(r.component, r.uncertain) for r in sorted((r for r in found if r.label == label), key=lambda r: r.t)] == expected
+
+
+def test_followed_rows_are_flat_arrays_in_order():
+    near = [{"j": 3, "v": np.array([1.0, 2.0])}, {"j": 5, "v": np.array([3.0, 4.0])}]
+    made = [(9, None, None), (9, np.array([0.5, 1.5]), near[:1]), (2, np.array([7.0, 8.0]), near), (4, np.array([1.0, 1.0]), []), (6, None, None)]
+    frames = [pd.DataFrame({"t": [r[0] for r in some], "v": [r[1] for r in some], "near": [r[2] for r in some]}) for some in (made[:2], made[2:])]
+    packed = sliding.Packed(iter(frames))
+    assert all(isinstance(x, np.ndarray) and x.dtype != object for x in vars(packed).values())
+    assert list(packed.in_order()) == [(2, [7.0, 8.0], [[3, [1.0, 2.0]], [5, [3.0, 4.0]]]), (4, [1.0, 1.0], []), (6, None, None), (9, [0.5, 1.5], [[3, [1.0, 2.0]]]), (9, None, None)]
+    assert list(sliding.Packed(iter([])).in_order()) == []
+
+
+def test_a_longer_stream_has_more_batches_and_the_same_drift(spark, monkeypatch):
+    """With a restart halfway and stretches put out in small frames."""
+    found, sf = {}, "/root/testdata/sf0.001"
+    for size in (1 << 20, 100):
+        batches = []
+        write = replay.write_batches
+        monkeypatch.setattr(plan, "BATCH", size)
+        with monkeypatch.context() as m:
+            m.setattr(replay, "write_batches", lambda rows, folder, bounds, *a: (batches.extend(bounds), write(rows, folder, bounds, *a)))
+            found[size] = {r.t: r.drift for r in plan.drift_stream(spark, sf).collect()}
+        assert len(batches) == (4 if size > 1000 else 12)
+    assert found[100] == pytest.approx(found[1 << 20]) and len(found[100]) > 900

@@ -25,6 +25,8 @@ from ..operators.pairs import distance_block, nearest_of_label, vectors
 
 #: Changes after which the sums are made anew, so that rounding does not add up.
 ANEW = 1000
+#: Stretches that are put out together.
+PUT_OUT = 10_000
 
 
 class Followed:
@@ -109,6 +111,34 @@ class Followed:
             self._come((t, v, near or []))
 
 
+class Packed:
+    """A label's rows of a batch as flat arrays, some 100 bytes a row instead of an object for each training row of each row."""
+
+    def __init__(self, batches: Iterator[pd.DataFrame]):
+        parts: list[tuple[np.ndarray, ...]] = []
+        for rows in batches:
+            vs = [np.asarray(v, float) if v is not None else np.zeros(0) for v in rows["v"]]
+            near = [n if n is not None else () for n in rows["near"]]
+            flat = [r for n in near for r in n]
+            coordinates = np.concatenate([np.asarray(r["v"], float) for r in flat]) if flat else np.zeros(0)
+            parts.append((rows["t"].to_numpy(np.int64), np.array([v is None for v in rows["v"]], bool), np.array([len(v) for v in vs], np.int64), np.concatenate(vs) if vs else np.zeros(0), np.array([len(n) for n in near], np.int64), np.array([r["j"] for r in flat], np.int64), coordinates))
+        whole = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind)
+        self.t, self.mark, self.sizes, self.v = (whole(k, kind) for k, kind in enumerate((np.int64, bool, np.int64, float)))
+        self.counts, self.j, self.near = whole(4, np.int64), whole(5, np.int64), whole(6, float)
+
+    def in_order(self) -> Iterator[tuple[int, list[float] | None, list[list] | None]]:
+        """(t, v, near) by t, marks last; a mark has neither."""
+        at, first = np.cumsum(self.sizes) - self.sizes, np.cumsum(self.counts) - self.counts
+        for k in np.lexsort((self.mark, self.t)):
+            t = int(self.t[k])
+            if self.mark[k]:
+                yield t, None, None
+                continue
+            d, j, n = self.sizes[k], first[k], self.counts[k]
+            own = self.near[j * d : (j + n) * d].reshape(n, d).tolist()
+            yield t, self.v[at[k] : at[k] + d].tolist(), [[int(i), v] for i, v in zip(self.j[j : j + n].tolist(), own, strict=True)]
+
+
 def with_near(rows: DataFrame, trained: DataFrame, k: int) -> DataFrame:
     """``rows(t, v or x, label)`` with their k nearest of ``trained`` of their label: (t, label, v, near)."""
     near = nearest_of_label(rows, trained, k).select(F.col("i").alias("_i"), "j")
@@ -129,13 +159,16 @@ def follow_windows(stream: DataFrame, width: int) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         followed = Followed(width, state.get[0] if state.exists else None)
-        rows = pd.concat(list(batches))
-        rows = rows.assign(mark=rows["v"].isna()).sort_values(["t", "mark"])
-        out = []
-        for t, v, near in zip(rows["t"].tolist(), rows["v"], rows["near"], strict=True):
-            out += followed.on(t, None if v is None else [float(x) for x in v], None if near is None else [[int(r["j"]), [float(x) for x in r["v"]]] for r in near])
+        rows = Packed(batches)
+        out: list[tuple[int, int, float]] = []
+        made = lambda: pd.DataFrame({"label": [key[0]] * len(out), "s": [r[0] for r in out], "e": [r[1] for r in out], "score": [r[2] for r in out]}).astype({"s": "int64", "e": "int64", "score": "float64"})
+        for t, v, near in rows.in_order():
+            out += followed.on(t, v, near)
+            if len(out) >= PUT_OUT:
+                yield made()
+                out = []
         state.update((followed.dump(),))
-        yield pd.DataFrame({"label": [key[0]] * len(out), "s": [r[0] for r in out], "e": [r[1] for r in out], "score": [r[2] for r in out]}).astype({"s": "int64", "e": "int64", "score": "float64"})
+        yield made()
 
     kind = stream.schema["label"].dataType.simpleString()
     return stream.groupBy("label").applyInPandasWithState(step, f"label {kind}, s long, e long, score double", "window string", "append", GroupStateTimeout.NoTimeout)
