@@ -1,11 +1,14 @@
 """Steps whose memory, moved bytes or time must grow no faster than their rows."""
 
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import incremental as I
+from tidemark.operators import windows as W
 from tidemark.plans import drift as plan
 from tidemark.streaming import replay, sliding
 
@@ -69,3 +72,28 @@ def test_a_longer_stream_has_more_batches_and_the_same_drift(spark, monkeypatch)
             found[size] = {r.t: r.drift for r in plan.drift_stream(spark, sf).collect()}
         assert len(batches) == (4 if size > 1000 else 12)
     assert found[100] == pytest.approx(found[1 << 20]) and len(found[100]) > 900
+
+
+def test_windows_are_fitted_together_and_as_one_by_one(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(m, 1 + m / 9, (90, 2)) for m in (0, 5, 1, 9, 0)])
+    t = [k + 20 for k in range(450) if not 100 <= k < 260 and k != 300]  # windows without rows and with fewer
+    windows = {s: np.array([x[k - 20] for k in t if s <= k < s + 60]).reshape(-1, 2) for s in range(0, 411, 30)}
+    expected = {s: [c for c in I.best_by_bic(w, 3) if c.share > W.LEAST_SHARE] for s, w in windows.items() if len(w)}
+    assert 0 < len(expected) < len(windows)
+    rows = spark.createDataFrame([(k, x[k - 20].tolist()) for k in t], "t long, v array<double>")
+    monkeypatch.setattr(W, "TOGETHER", 4)
+    found = {r.start: json.loads(r.parts) for r in W.window_mixtures(rows, 60, 30).collect()}
+    assert sorted(found) == sorted(expected)
+    for s, parts in found.items():
+        assert [p[0] for p in parts] == pytest.approx([c.share for c in expected[s]], abs=1e-6)
+        assert np.array([p[1] for p in parts]) == pytest.approx(np.array([c.mu for c in expected[s]]), abs=1e-6)
+
+
+def test_rounds_of_windows_invert_all_their_matrices_at_once(monkeypatch):
+    windows, calls, pinv = list(np.random.default_rng(9).normal(0, 1, (16, 100, 2))), [], np.linalg.pinv
+    monkeypatch.setattr(np.linalg, "pinv", lambda s: (calls.append(1), pinv(s))[1])
+    alone = [I.best_by_bic(w, 3) for w in windows]
+    by_one = len(calls)
+    together = I.best_of_many(windows, 3)
+    assert 4 * (len(calls) - by_one) < by_one and [len(p) for p in together] == [len(p) for p in alone]

@@ -197,6 +197,61 @@ def best_by_bic(x: np.ndarray, most: int = 10) -> list[Part]:
     return min(found, key=lambda f: f[:2])[2]
 
 
+def _fit_many(x: np.ndarray, k: int, rounds: int = 100, seed: int = 42, ridge: float = 1e-6) -> list[tuple[list[Part], float]]:
+    """``fit`` of each of some windows of equally many rows: one after another in their starts, together in their rounds."""
+    m, n, d = x.shape
+    mu, s = np.empty((m, k, d)), np.empty((m, k, d, d))
+    for w in range(m):
+        rng = np.random.Generator(np.random.PCG64(seed))
+        centres = [x[w, rng.integers(n)]]
+        for _ in range(k - 1):
+            far = np.min([((x[w] - c) ** 2).sum(axis=1) for c in centres], axis=0)
+            centres.append(x[w, rng.choice(n, p=far / far.sum()) if far.sum() else rng.integers(n)])
+        mu[w], s[w] = centres, np.cov(x[w].T).reshape(d, d) / k + ridge * np.eye(d)
+    weight, last, total = np.full((m, k), n / k), np.full(m, -np.inf), np.full(m, -np.inf)
+    open_ = np.arange(m)
+    for _ in range(rounds):
+        y = x[open_]
+        inverse, log_det = np.linalg.pinv(s[open_]), np.linalg.slogdet(s[open_])[1]
+        away = y[:, None] - mu[open_][:, :, None]  # window, part, row, axis
+        logs = -(((away @ inverse) * away).sum(axis=3) + log_det[..., None] + d * math.log(2 * math.pi)) / 2 + np.log(weight[open_] / n)[..., None]
+        top = logs.max(axis=1, keepdims=True)
+        share = np.exp(logs - top)
+        sums = share.sum(axis=1, keepdims=True)
+        total[open_] = (np.log(sums) + top).sum(axis=(1, 2))
+        share /= sums
+        w = np.maximum(share.sum(axis=2), 1e-9)
+        centre = share @ y / w[..., None]
+        away = y[:, None] - centre[:, :, None]
+        weight[open_], mu[open_] = w, centre
+        s[open_] = np.swapaxes(away, 2, 3) @ (away * share[..., None]) / w[..., None, None] + ridge * np.eye(d)
+        settled = np.abs(total[open_] - last[open_]) < 1e-4 * n
+        last[open_] = total[open_]
+        open_ = open_[~settled]
+        if not len(open_):
+            break
+    return [([Part.of(mu[w, c], s[w, c], weight[w, c], n) for c in range(k)], float(total[w])) for w in range(m)]
+
+
+def best_of_many(windows: Sequence[np.ndarray], most: int = 10) -> list[list[Part]]:
+    """``best_by_bic`` of each window; windows of equally many rows are fitted together."""
+    out: list[list[Part]] = [[] for _ in windows]
+    sizes = np.array([len(w) for w in windows], np.int64)
+    for n in np.unique(sizes):
+        own = np.flatnonzero(sizes == n)
+        if n < 2 or not all(np.isfinite(windows[w]).all() for w in own):
+            for w in own:
+                out[w] = best_by_bic(windows[w], most)
+            continue
+        x, found = np.stack([windows[w] for w in own]), [[] for _ in own]
+        for k in range(1, min(most, n // 25 + 1) + 1):
+            for tried, (parts, total) in zip(found, _fit_many(x, k), strict=True):
+                tried.append((bic(parts, total, int(n)), k, parts))
+        for w, tried in zip(own, found, strict=True):
+            out[w] = min(tried, key=lambda f: f[:2])[2]
+    return out
+
+
 class Follower:
     """A mixture that takes rows one by one.
 

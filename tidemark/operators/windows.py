@@ -9,33 +9,42 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.kept import keep
 from . import incremental as I
 
 #: Parts below this share are left out.
 LEAST_SHARE = 1e-3
+#: Windows that are fitted together.
+TOGETHER = 32
 
 
 def window_mixtures(rows: DataFrame, width: int, stride: int, most: int = 3) -> DataFrame:
     """(start, parts) of rows(t, v): the parts of the mixture of each whole window of ``width`` rows that starts at a multiple of ``stride``, as JSON.
 
-    A row is copied to the windows that it is in; a window is a task's.
+    A stretch of windows is a task's, and all its windows are fitted together; a row is copied only to the stretches that it is in.
     """
     last = rows.agg(F.max("t").alias("_last"))
     first = F.greatest(F.lit(0), F.floor((F.col("t") - width) / stride) + 1)
-    spread = rows.join(F.broadcast(last)).withColumn("_k", F.explode(F.sequence(first, F.floor(F.col("t") / stride)))).withColumn("start", F.col("_k") * stride)
-    whole = spread.where(F.col("start") + width - 1 <= F.col("_last")).select("start", "t", "v")
+    # Those that end after the last row are left out.
+    upto = F.least(F.floor(F.col("t") / stride), F.floor((F.col("_last") + 1 - width) / stride))
+    spread = rows.where("t is not null").join(F.broadcast(last)).withColumn("_from", first).withColumn("_upto", upto).where("_from <= _upto")
+    spread = spread.withColumn("_part", F.explode(F.sequence(F.floor(F.col("_from") / TOGETHER), F.floor(F.col("_upto") / TOGETHER))))
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("t")
-        found = [c for c in I.best_by_bic(np.stack(part["v"]), most) if c.share > LEAST_SHARE]
-        return pd.DataFrame({"start": [part["start"].iloc[0]], "parts": [json.dumps([[c.share, c.mu.tolist(), c.s.tolist()] for c in found])]})
+        t, x = part["t"].to_numpy(), np.stack(part["v"])
+        starts = [k * stride for k in range(max(int(part["_from"].min()), key[0] * TOGETHER), min(int(part["_upto"].max()), key[0] * TOGETHER + TOGETHER - 1) + 1)]
+        windows = [x[np.searchsorted(t, s) : np.searchsorted(t, s + width)] for s in starts]
+        there = [k for k, w in enumerate(windows) if len(w)]
+        found = [[c for c in parts if c.share > LEAST_SHARE] for parts in I.best_of_many([windows[k] for k in there], most)]
+        return pd.DataFrame({"start": [starts[k] for k in there], "parts": [json.dumps([[c.share, c.mu.tolist(), c.s.tolist()] for c in parts]) for parts in found]})
 
-    return whole.groupBy("start").applyInPandas(fit, "start long, parts string")
+    return spread.select("_part", "_from", "_upto", "t", "v").groupBy("_part").applyInPandas(fit, "start long, parts string")
 
 
 def mixture_drift(rows: DataFrame, width: int, stride: int, most: int = 3) -> DataFrame:
     """(start, parts, drift): the number of each window's parts, and the least cost of moving their shares to the parts of the window before."""
-    found = window_mixtures(rows, width, stride, most)
+    found = keep(window_mixtures(rows, width, stride, most), "mixtures")  # both sides of a join read them
     # Each window meets the one before by its start, without a window over all rows.
     before = found.select((F.col("start") + stride).alias("start"), F.col("parts").alias("_before"))
     joined = found.join(before, "start", "left")
