@@ -1,6 +1,7 @@
 """Steps that met all pairs: the same results by products and sums of blocks, and copies that grow slower than the rows' squares."""
 
 import numpy as np
+import pyarrow as pa
 
 from tidemark.operators import forest, layout, pairs, text
 
@@ -77,3 +78,17 @@ def test_a_forest_of_too_little_recall_gives_way_to_the_exact_search(spark):
     exact = {(r.i, r.j) for r in pairs.nearest(a, b, 5, itself=False).collect()}
     some = {(r.i, r.j) for r in forest.nearest_by_forest(a, b, 5, itself=False, trees=2, leaf=20, recall=0.9).collect()}
     assert len(exact & some) >= 0.9 * len(exact)
+
+
+def test_distances_of_large_blocks_leave_their_task_in_parts(spark):
+    x = np.random.default_rng(9).standard_normal((2600, 3))
+    left = np.arange(2600) < 1400
+    rows = pa.record_batch([pa.array(range(2600)), pa.array(x.tolist()), pa.array(left)], ["i", "v", "_left"])
+    parts = list(pairs.given(iter([rows.slice(0, 900), rows.slice(900)])))
+    assert max(p.num_rows for p in parts) <= pairs.GIVEN**2 < 1400 * 1200
+    i, j, d = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in range(3))
+    truth = pairs.distance_block(x[left], x[~left])
+    assert len(i) == truth.size and (d == truth[i, j - 1400]).all()
+    found = sorted(map(tuple, pairs.all_distances(frame(spark, x[:50]), frame(spark, x[:40], "j"), 3).collect()))
+    assert [r[:2] for r in found] == [(i, j) for i in range(50) for j in range(40)]
+    assert np.array_equal(np.array([r[2] for r in found]).reshape(50, 40), pairs.distance_block(x[:50], x[:40]))
