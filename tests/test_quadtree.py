@@ -1,6 +1,7 @@
 """Repulsion by the adaptive tree and anchored layouts as jobs, against plain sums."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidemark.operators import layout as L
@@ -73,3 +74,22 @@ def test_an_anchored_layout_ends_when_its_error_is_stale(spark):
     points = spark.createDataFrame([(t, rng.standard_normal(3).tolist(), 0) for t in range(12)], "t long, v array<double>, label int")
     found = L.continued_in_rounds(points, positions(spark, rng.standard_normal((9, 2))), perplexity=3.0, rounds=2, stale=0)
     assert found.count() == 12  # the first error ends it
+
+
+def test_groups_of_leaves_in_many_parts_give_the_sums_of_the_arrays(spark):
+    """Equal points fill one leaf, which is more than a group and more than a piece."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal((500, 2)) * 10, np.full((2100, 2), 3.0)])
+    at, square = positions(spark, x), (float(x[:, 0].min()), float(x[:, 1].min()), float(np.ptp(x, axis=0).max()) * (1 + 1e-9))
+    one = Q._by_tasks(at, square, 0.5, 8).toPandas().sort_values("i").to_numpy()
+    found = Q._by_joins(at, square, 0.5, 8, most=60, piece=400).toPandas().sort_values("i").to_numpy()
+    assert found.shape == one.shape and np.allclose(found, one, rtol=1e-9, atol=1e-9)
+
+
+def test_groups_do_not_become_more_as_points_do(spark):
+    for n in (20_000, 80_000):
+        x = np.random.default_rng(5).random((n, 2))
+        frame = spark.createDataFrame(pd.DataFrame({"t": range(n), "x": x[:, 0], "y": x[:, 1]}))
+        tree = Q.cells(Q._coded(frame, (0.0, 0.0, 1.0)), 64)
+        groups = Q._groups(tree, max(Q.LEAST, n // Q.GROUPS)).collect()
+        assert Q.GROUPS // 4 <= len(groups) <= 4 * Q.GROUPS and sum(4.0 ** -r.gl for r in groups) == 1.0
