@@ -56,6 +56,15 @@ def test_leaves_are_small_and_hold_each_row_once_a_tree(spark, clusters):
     assert b.groupBy("tree", "id").count().where("count != 1").count() == 0 and b.count() == 4500
 
 
+def test_leaves_of_few_rows_are_those_of_all_and_no_others(spark, clusters):
+    right = table(spark, clusters[:1500], "id")
+    a, every = forest.in_leaves(right.where("id % 300 = 7"), right, trees=3, leaf=50, sample=150)
+    few, b = forest.in_leaves(right.where("id % 300 = 7"), right, trees=3, leaf=50, sample=150, few=True)
+    of = lambda df: {(r.tree, r.leaf, r.id) for r in df.collect()}
+    leaves = {k[:2] for k in of(a)}
+    assert of(few) == of(a) and of(b) == {k for k in of(every) if k[:2] in leaves} and b.count() <= 15 * 50
+
+
 def test_rows_without_enough_rows_in_their_leaves_are_searched_for_exactly(spark):
     x = np.random.default_rng(2).standard_normal((30, 2))
     found = rows_of(forest.nearest_by_forest(table(spark, x, "i"), table(spark, x, "j"), 20, itself=False, trees=1, leaf=4))
