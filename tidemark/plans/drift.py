@@ -77,13 +77,12 @@ def drift_sliding(spark, sf_dir):
 @query(f"WITH {SLIDING_SQL} SELECT t, round(drift, 6) + 0.0::DOUBLE AS drift FROM drift")
 def drift_stream(spark, sf_dir):
     """The same from a stream: four batches or, of many rows, a multiple of it, each label's window as state, and a restart from the checkpoint halfway."""
-    # In order, so that a batch is read from the files that have its rows.
-    near = sliding.with_near(stream(spark, sf_dir), trained(stream(spark, sf_dir)), K)
-    rows = keep(near.repartitionByRange("t").sortWithinPartitions("t"), "near")
+    rows = stream(spark, sf_dir)
     low, high, n = rows.agg(F.min("t"), F.max("t"), F.count(F.lit(1))).first()
     parts = 4 * max(1, -(-n // (4 * BATCH)))
     cuts = [low + (high + 1 - low) * k // parts for k in range(parts + 1)]
     bounds = list(zip(cuts[:-1], cuts[1:], strict=True))
+    rows = keep(sliding.packed(rows, trained(rows), K, low, high, parts), "packed")
     marked, source, sink, checkpoint = sliding.with_marks(rows, bounds), new_path(spark, "batches"), new_path(spark, "stretches"), new_path(spark, "checkpoint")
     for some in (bounds[: parts // 2], bounds[parts // 2 :]):
         replay.write_batches(marked, source, some)
