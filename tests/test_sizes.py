@@ -92,3 +92,16 @@ def test_distances_of_large_blocks_leave_their_task_in_parts(spark):
     found = sorted(map(tuple, pairs.all_distances(frame(spark, x[:50]), frame(spark, x[:40], "j"), 3).collect()))
     assert [r[:2] for r in found] == [(i, j) for i in range(50) for j in range(40)]
     assert np.array_equal(np.array([r[2] for r in found]).reshape(50, 40), pairs.distance_block(x[:50], x[:40]))
+
+
+def test_rows_of_all_distances_are_shuffled_once_whatever_the_blocks(spark):
+    """They were copied for each block of the other side, so what was shuffled grew with the square of the rows."""
+    x = np.random.default_rng(10).standard_normal((90, 3))
+    found = pairs.all_distances(frame(spark, x), frame(spark, x[:50], "j"), 6)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 2
+    d = np.full((90, 50), np.nan)
+    for r in found.collect():
+        d[r.i, r.j] = r.d
+    assert np.array_equal(d, pairs.distance_block(x, x[:50]))
+    assert pairs.all_distances(frame(spark, x), frame(spark, x, "j").limit(0)).count() == 0
