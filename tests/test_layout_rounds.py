@@ -1,5 +1,7 @@
 """Layouts whose rounds are a task's or a job each: as by joins, and all of their rounds."""
 
+import pickle
+
 import numpy as np
 
 from tidemark.operators import layout as L
@@ -63,3 +65,11 @@ def test_layout_steps_takes_all_rounds(spark, monkeypatch):
     monkeypatch.setattr(L, "laid_out", laid_out)
     assert plan.layout_steps(spark, "/root/testdata/sf0.001").count() == 500
     assert taken == [1000, 500]  # as the reference's first layout and those that go on
+
+
+def test_what_a_round_sends_can_be_read_without_the_library():
+    at = R.Positions(np.random.default_rng(4).standard_normal((2, 300)), np.ones((2, 3)))
+    sent = pickle.dumps(at.plain())
+    again = R.Positions.of(pickle.loads(sent))
+    assert b"tidemark" not in sent
+    assert all((a == b).all() for a, b in zip(at.pushed(1, 3), again.pushed(1, 3), strict=True))
