@@ -99,7 +99,7 @@ def test_rows_of_all_distances_are_shuffled_once_whatever_the_blocks(spark):
     x = np.random.default_rng(10).standard_normal((90, 3))
     found = pairs.all_distances(frame(spark, x), frame(spark, x[:50], "j"), 6)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 2
+    assert "Generate" not in plan and plan.count("Exchange RoundRobinPartitioning(6)") == 2
     d = np.full((90, 50), np.nan)
     for r in found.collect():
         d[r.i, r.j] = r.d
